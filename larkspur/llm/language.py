@@ -132,7 +132,8 @@ class Scorer:
             return UNKNOWN, 0.0
         if self.n > len(self.model.words) + self.most:
             self.reset()
-        mean = self.rows[self.index(words)].mean(axis=0)
+        at = self.index(words)  # may replace the rows
+        mean = self.rows[at].mean(axis=0)
         likely = np.exp(mean - mean.max())
         best = int(likely.argmax())
         return self.model.langs[best], float(likely[best] / likely.sum())
