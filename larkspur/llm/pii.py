@@ -262,7 +262,7 @@ def pseudonymize(docs: DataFrame, key: bytes = EXAMPLE_KEY, column: str = "text"
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in got], batch.schema.types[at])
             for k in KINDS if counts else ():
-                columns.append(pa.array([sum(x[2] is k for x in f) for _, f in got], pa.int32()))
+                columns.append(pa.array([sum(x[2].name == k.name for x in f) for _, f in got], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

@@ -84,7 +84,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     hashed = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.unhex(F.sha2(x["value"], 256)).alias("value"))
     gather = lambda kinds: F.transform(F.concat(*[matches("text", k) for k in kinds]), hashed)
     rows = named.withColumn("base", gather(BASE)).withColumn("more", gather(FURTHER))
-    apart = F.expr("filter(more, m -> not exists(base, b -> b.start < m.end and m.start < b.end))")
+    # Of overlapping candidates the earlier kind counts.
+    apart = F.expr("filter(more, m -> not exists(concat(base, more), b -> b.rank < m.rank and b.start < m.end and m.start < b.end))")
     return rows.select("doc_id", "repository", "owner", "base", apart.alias("more"))
 
 
