@@ -16,7 +16,9 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[D
     """Good rows with their file, and the lines that could not be read."""
     known = StructType([*schema.fields]).add("corrupt_", StringType())
     rows = spark.read.schema(known).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_").json(path).withColumn("file_", F.input_file_name())
-    return rows.filter("corrupt_ is null").drop("corrupt_"), rows.filter("corrupt_ is not null").select("file_", F.col("corrupt_").alias("line"))
+    # Spark refuses to read the corrupt column alone, so both parts keep a column of the schema.
+    good, bad = rows.filter("corrupt_ is null").drop("corrupt_"), rows.filter("corrupt_ is not null")
+    return good, bad.select("file_", F.col("corrupt_").alias("line"), F.col(schema.fieldNames()[0]))
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
