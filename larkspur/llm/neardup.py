@@ -9,12 +9,15 @@ coordinate has one, so a signature of K coordinates costs about N + K log K
 darts rather than N * K hashes, and two texts agree in a coordinate with
 probability equal to their (weighted) Jaccard similarity.
 
-Coordinates are joined in bands. Equal texts are one row from the start. In a
-band's bucket, texts are compared with one of them, then with another, and the
-pairs that are still in different classes after that all with each other; each
-link is verified on the whole shingle sets. Texts already linked are never
-compared again, so groups of copies cost rows in proportion to their size.
-Classes are the connected components of the links.
+Coordinates are joined in bands. Equal texts are one row from the start. The
+texts in a band's bucket are compared with the one among them that meets most
+others anywhere (in a group of edited copies, the one closest to their common
+source), so a group costs rows in proportion to its size. Texts of buckets
+that are in several classes after that are joined by prefix filter: ordered by
+rarity, two sets of similarity t share one of their first (1 - t)n + 1
+shingles, and shingles of one class only come first, so a copy with many edits
+of its own meets nobody. That join is exact; all links are verified on the
+whole shingle sets. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -177,6 +180,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared * 1_000_000_000 >= (F.size("x") + F.size("y") - shared) * round(similarity * 1_000_000_000)).select("a", "b")
 
 
+def across_classes(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids of different classes that may be as similar, by
+    prefix filter over the sets of ``classes`` (id, class): no such pair is missed."""
+    ceil = lambda x: F.ceil(x - 1e-9)  # noqa: E731  a hair less, so that prefixes are never too short
+    tokens = sets.join(classes, "id").select("id", "class", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("c1"), F.max("class").alias("c2"))
+    # Any order that all sets share will do. What one class alone has comes first and joins nothing.
+    often = often.select("s", F.when(F.col("c1") == F.col("c2"), 0).otherwise(F.col("df")).alias("df"))
+    ordered = tokens.join(often, "s").groupBy("id").agg(F.first("class").alias("class"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    probe = F.col("n") - ceil(F.col("n") * similarity) + 1
+    index = F.col("n") - ceil(F.col("n") * (2 * similarity / (1 + similarity))) + 1
+    prefix = ordered.select("id", "class", "n", index.alias("index"), F.posexplode(F.slice("order", 1, probe.cast("int"))).alias("at", "o"))
+    prefix = stage(prefix.filter("o.df > 0").select("id", "class", "n", "index", F.col("o.s").alias("s"), F.col("at")), "prefixes")
+    small = prefix.filter("at < index").select("s", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    large = prefix.select("s", F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)))
+    near = (F.col("ca") != F.col("cb")) & order & (F.col("na") >= F.col("nb") * similarity - 1e-9) & enough
+    return small.join(large, (small["s"] == large["s"]) & near).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, class) of the links' connected components; the class is the least id.
 
@@ -204,7 +228,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     """(doc_id, class_id, links, copies): one row per row of ``docs``.
 
     class_id is the least id among the documents linked to it, directly or by
-    others; links counts the distinct other texts that it was found linked to
+    others; links counts the distinct other texts that it was compared with and linked to
     (0 for a text without a near copy), copies the rows with its own text.
     Equal texts are always one class. A null text counts as empty; texts
     without words are linked to their equals only. Texts of fewer than five
@@ -217,9 +241,10 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     groups = keys.groupBy("hash").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     groups = stage(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     buckets = groups.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(buckets.join(shared, ["band", "key"]), "members")
-    taken = groups.join(members.select("id").distinct(), "id").select("hash", "id", F.col("doc").alias("least"))
+    met = stage(members.groupBy("id").agg(F.sum("size").alias("met")), "met")
+    taken = groups.join(met.select("id"), "id").select("hash", "id", F.col("doc").alias("least"))
     # The copy with the least id stands for its group.
     rows = base.join(taken, "hash").filter(F.coalesce(F.col("doc") <= F.col("least"), F.col("least").isNull())).dropDuplicates(["hash"])
     sets = stage(_sets(rows, banding.words, banding.weighted), "sets")
@@ -227,19 +252,12 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     def ask(pairs: DataFrame) -> DataFrame:
         return stage(verified(pairs.filter("a <> b").distinct(), sets, banding.similarity), "links")
 
-    links = ask(members.select(F.col("low").alias("a"), F.col("id").alias("b")))
-    for end in ("high", "all"):
-        labelled = members.join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id"))
-        labelled = stage(labelled, "labelled")
-        split = labelled.groupBy("band", "key").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 <> c2").select("band", "key")
-        rest = labelled.join(split, ["band", "key"])
-        if end == "high":
-            of = labelled.select(F.col("id").alias("high"), F.col("class").alias("other")).distinct()
-            pairs = rest.join(of, "high").filter("class <> other").select(F.col("high").alias("a"), F.col("id").alias("b"))
-        else:
-            both = rest.select("band", "key", "id", "class").alias("p").join(rest.select("band", "key", "id", "class").alias("q"), ["band", "key"])
-            pairs = both.filter("p.id < q.id and p.class <> q.class").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-        links = stage(links.union(ask(pairs)), "links")
+    centers = members.join(met, "id").groupBy("band", "key").agg(F.max(F.struct("met", "id")).alias("c")).select("band", "key", F.col("c.id").alias("a"))
+    links = ask(members.join(centers, ["band", "key"]).select("a", F.col("id").alias("b")))
+    labelled = stage(members.join(components(links), "id", "left").withColumn("class", F.coalesce("class", "id")), "labelled")
+    split = labelled.groupBy("band", "key").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 <> c2").select("band", "key")
+    rest = stage(labelled.join(split, ["band", "key"]).select("id", "class").distinct(), "rest")
+    links = stage(links.union(ask(across_classes(sets, rest, banding.similarity))), "links")
     ends = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
     of_group = groups.select("id", "hash", "doc", "copies").join(components(links), "id", "left").join(ends, "id", "left")
     of_group = stage(of_group.withColumn("class", F.coalesce("class", "id")), "classes")
