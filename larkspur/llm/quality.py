@@ -128,7 +128,8 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     ``scale``, by which its squared distances are too large."""
     names = list(VECTOR)
     middle = rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(names)])
-    away = rows.join(middle, "cell")
+    # One small row per cell, as a table of known size: the rows need not be shuffled to it.
+    away = rows.join(stage(middle, "middle"), "cell")
     spread = away.groupBy("cell").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, x in enumerate(names)])
     start = spread
     for i in range(len(names)):
@@ -138,7 +139,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = stage(_distance(rows, estimate).select("cell", "d2", *names), "distances")
         cut = far.groupBy("cell").agg(F.percentile_approx("d2", KEPT_SHARE, 10_000).alias("cut"))
-        near = far.join(cut, "cell").filter("d2 <= cut")
+        near = far.join(stage(cut, "cuts"), "cell").filter("d2 <= cut")
         moments = near.groupBy("cell").agg(
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)],
             *[F.covar_pop(x, y).alias(f"c_{j}_{i}") for i, y in enumerate(names) for j, x in enumerate(names[: i + 1])],
