@@ -28,15 +28,14 @@ UNKNOWN = "und"
 class Limits:
     """Documented bounds of the model.
 
-    At most ``docs`` labelled documents, the ones with the smallest seeded
-    hashes, are learned from, and at most ``chars`` code points of each; the
-    model keeps the ``words`` most frequent words and the ``grams`` most
-    frequent n-grams of each length up to ``longest``. So its size, which is
-    what goes to executors, is at most a few MB whatever the corpus.
+    At most ``docs`` distinct labelled texts, the ones with the smallest
+    seeded hashes, are learned from, each once and whole; the model keeps the
+    ``words`` most frequent words and the ``grams`` most frequent n-grams of
+    each length up to ``longest``. So its size, which is what goes to
+    executors, is at most a few MB whatever the corpus.
     """
 
     docs: int = 20_000
-    chars: int = 20_000
     words: int = 40_000
     grams: int = 10_000
     longest: int = 4
@@ -54,16 +53,18 @@ class Model:
 def train(labelled: DataFrame, limits: Limits = Limits()) -> Model:
     """Learn from ``text`` and ``lang`` of rows where both are set."""
     labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    labelled = labelled.select(F.substring("text", 1, limits.chars).alias("text"), "lang", F.xxhash64(F.lit(7), "text").alias("h"))
-    n = labelled.count()
+    labelled = labelled.select("text", "lang", F.xxhash64(F.lit(7), "lang", "text").alias("h"))
+    n = labelled.select("h").distinct().count()
     if n > limits.docs:
         # A bounded sample by hash; four standard deviations below the bound.
         share = (limits.docs - 4 * math.sqrt(limits.docs)) / n
         labelled = labelled.filter(F.col("h") < int(-(2**63) + share * 2**64))
+    # Copies count once, so that one text with a third of all rows keeps the bound.
+    labelled = labelled.dropDuplicates(["h"])
     word = F.explode(F.expr(r"filter(split(lower(text), '[^\\p{L}]+'), w -> w != '')")).alias("word")
     counts = labelled.select("lang", word).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.persist()
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
 
     def table(df: DataFrame, key: str, most: int) -> tuple[dict[str, int], np.ndarray]:
