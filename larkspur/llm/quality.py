@@ -135,7 +135,8 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     for i in range(len(names)):
         for j in range(i + 1):
             start = start.withColumn(f"c_{j}_{i}", F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0))
-    estimate = stage(_factors(start.drop(*[f"s_{i}" for i in range(len(names))])), "mcd")
+    # One row per cell, in one file: footers of many files would hide how small it is.
+    estimate = stage(_factors(start.drop(*[f"s_{i}" for i in range(len(names))])).repartition(1), "mcd")
     for _ in range(STEPS):
         far = stage(_distance(rows, estimate).select("cell", "d2", *names), "distances")
         cut = far.groupBy("cell").agg(F.percentile_approx("d2", KEPT_SHARE, 10_000).alias("cut"))
@@ -144,7 +145,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)],
             *[F.covar_pop(x, y).alias(f"c_{j}_{i}") for i, y in enumerate(names) for j, x in enumerate(names[: i + 1])],
         )
-        estimate = stage(_factors(moments), "mcd")
+        estimate = stage(_factors(moments).repartition(1), "mcd")
     scale = _distance(rows, estimate).groupBy("cell").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 10_000) / MEDIAN).alias("scale"), F.count(F.lit(1)).alias("n"))
     return estimate.join(scale, "cell")
 
@@ -166,7 +167,7 @@ def judge(docs: DataFrame, outer: str = "lang", inner: str = "source", keep: lis
     measured = stage(measured.select(*keep, *counts, *VECTOR, "lang__", "source__"), "statistics")
     good = grouped(measured.filter("not base_failed"), "lang__", "source__")
     good = stage(good, "grouped")
-    estimate = stage(minimum_covariance(good.select("cell", *VECTOR)), "estimate")
+    estimate = stage(minimum_covariance(good.select("cell", *VECTOR)).repartition(1), "estimate")
     judged = _distance(good, estimate).withColumn("distance", F.col("d2") / F.col("scale"))
     judged = judged.withColumn("kept", (F.col("n") < LEAST_GROUP) | (F.col("distance") <= CUTOFF))
     failed = measured.filter("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
