@@ -3,11 +3,12 @@
 Each text gives counts of its words, symbols, repeated lines and repeated
 passages; too few words, or too many of them in repeated passages, fail at
 once. The counts also give a vector of five transformed shares. For every
-language and source the minimum covariance determinant is estimated: from
-medians and absolute deviations, repeated concentration steps keep the three
-quarters of the rows that lie nearest by Mahalanobis distance and estimate
-their mean and covariance again, so outliers cannot hide themselves. A text
-far from its group's estimate is rejected.
+language and source the minimum covariance determinant is estimated: from three
+robust starts, concentration steps keep the half of the rows that lies nearest
+by Mahalanobis distance and estimate its mean and covariance again until they
+settle, and the start of the least determinant counts; so outliers cannot hide
+themselves unless they are about half of a group. A text far from its group's
+estimate is rejected.
 
 Everything is built of SQL functions. Groups are only ever summed (means,
 covariances, approximate quantiles), so one may hold any share of the rows;
@@ -24,8 +25,12 @@ from .shared import stage
 #: The transformed statistics, with the least standard deviation that counts:
 #: what varies less than this within good texts is not evidence.
 VECTOR = {"word_length": 0.15, "symbols": 0.05, "capitals": 0.05, "repeats": 0.1, "dup_lines": 0.1}
-#: Share of the rows that concentration steps keep, and how many steps there are.
-KEPT_SHARE, STEPS = 0.75, 3
+#: Share of the rows that concentration steps keep (the floors above stand for
+#: the few rows more that a covariance needs), the factor by which the covariance
+#: of the nearest half of normal rows is too small (0.5 over the chance that the
+#: square of seven variables is below MEDIAN), and the fall of the logarithm of
+#: the determinant below which a start has settled.
+KEPT_SHARE, CONSISTENCY, SETTLED = 0.5, 1.9122, 0.01
 #: Squared distance beyond which a text is rejected: of five normal variables, one in 10**5.
 CUTOFF = 30.86
 #: Median of the squared length of five standard normal variables.
@@ -112,42 +117,84 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum(parts[1:], parts[0])).drop(*[f"y_{i}" for i in range(len(names))])
 
 
-def _factors(estimate: DataFrame) -> DataFrame:
-    """Cholesky factors l_i_j of the covariances c_i_j with the floors added."""
+def _factors(estimate: DataFrame, times: float = 1.0) -> DataFrame:
+    """Cholesky factors l_i_j of so many times the covariances c_i_j, with the
+    floors added, and ``log_det``, the logarithm of their determinant."""
     for i, floor in enumerate(VECTOR.values()):
         for j in range(i + 1):
-            v = F.coalesce(F.col(f"c_{j}_{i}"), F.lit(0.0)) + (F.lit(floor * floor) if i == j else F.lit(0.0))
+            v = times * F.coalesce(F.col(f"c_{j}_{i}"), F.lit(0.0)) + (F.lit(floor * floor) if i == j else F.lit(0.0))
             for k in range(j):
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return estimate.drop(*[c for c in estimate.columns if c.startswith("c_")])
+    logs = [2 * F.log(f"l_{i}_{i}") for i in range(len(VECTOR))]
+    return estimate.withColumn("log_det", sum(logs[1:], logs[0])).drop(*[c for c in estimate.columns if c.startswith("c_")])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates per cell, none moved far by less than half of the
+    rows: medians with absolute deviations, the shortest halves, and medians
+    with the correlations of bounded (tanh) values."""
+    names, steps = list(VECTOR), 20
+    near = rows.groupBy("cell").agg(*[F.percentile_approx(x, [k / steps for k in range(steps + 1)], 10_000).alias(f"q_{i}") for i, x in enumerate(names)])
+    half = lambda i: F.array_min(F.array(*[F.struct((F.col(f"q_{i}")[k + steps // 2] - F.col(f"q_{i}")[k]).alias("w"), ((F.col(f"q_{i}")[k + steps // 2] + F.col(f"q_{i}")[k]) / 2).alias("m")) for k in range(steps // 2 + 1)]))
+    middle = near.select("cell", *[F.col(f"q_{i}")[steps // 2].alias(f"m_{i}") for i in range(len(names))], *[half(i).alias(f"h_{i}") for i in range(len(names))])
+    # One small row per cell, as a table of known size: the rows need not be shuffled to it.
+    middle = stage(middle.repartition(1), "middle")
+    away = rows.join(middle, "cell").groupBy("cell").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, x in enumerate(names)])
+    spread = stage(middle.join(away.select("cell", *[(1.4826 * F.col(f"s_{i}")).alias(f"s_{i}") for i in range(len(names))]), "cell").repartition(1), "spread")
+    bound = [F.tanh((F.col(x) - F.col(f"m_{i}")) / F.greatest(F.col(f"s_{i}"), F.lit(floor))) for i, (x, floor) in enumerate(VECTOR.items())]
+    pairs = [(j, i) for i in range(len(names)) for j in range(i)]
+    # Not corr(), which divides by the deviation of a constant.
+    likeness = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    alike = rows.join(spread, "cell").groupBy("cell").agg(*[likeness(bound[j], bound[i]).alias(f"r_{j}_{i}") for j, i in pairs])
+    both = spread.join(alike, "cell")
+
+    def start(number: int, mean, deviation, correlation) -> DataFrame:
+        own = [(deviation(i) * deviation(i) if i == j else correlation(j, i) * deviation(i) * deviation(j)).alias(f"c_{j}_{i}") for i in range(len(names)) for j in range(i + 1)]
+        return both.select("cell", F.lit(number).alias("start"), *[mean(i).alias(f"m_{i}") for i in range(len(names))], *own)
+
+    median, mad, none = (lambda i: F.col(f"m_{i}")), (lambda i: F.col(f"s_{i}")), (lambda j, i: F.lit(0.0))
+    found = start(0, median, mad, none)
+    found = found.union(start(1, lambda i: F.col(f"h_{i}.m"), lambda i: F.col(f"h_{i}.w") / 1.349, none))
+    return _factors(found.union(start(2, median, mad, lambda j, i: F.coalesce(F.col(f"r_{j}_{i}"), F.lit(0.0)))))
+
+
+def _concentrated(far: DataFrame) -> DataFrame:
+    """Estimates of the nearest half per cell and start; rows tied at the cut
+    count with the part of them that fills it, so copies can't swell it."""
+    names = list(VECTOR)
+    cut = far.groupBy("cell", "start").agg(F.percentile_approx("d2", KEPT_SHARE, 10_000).alias("cut"))
+    rows = far.join(stage(cut.repartition(1), "cuts"), ["cell", "start"])
+    pairs = [(j, i) for i in range(len(names)) for j in range(i + 1)]
+    values = {"n": F.lit(1.0)} | {f"m_{i}": F.col(x) for i, x in enumerate(names)} | {f"c_{j}_{i}": F.col(names[j]) * F.col(names[i]) for j, i in pairs}
+    sums = [F.coalesce(F.sum(F.when(at, v)), F.lit(0.0)).alias(f"{part}_{k}") for part, at in (("in", F.col("d2") < F.col("cut")), ("tied", F.col("d2") == F.col("cut"))) for k, v in values.items()]
+    got = rows.groupBy("cell", "start").agg(F.count(F.lit(1)).alias("n"), *sums)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (KEPT_SHARE * F.col("n") - F.col("in_n")) / F.col("tied_n")))
+    got = got.withColumn("part_", part).withColumn("kept_", F.col("in_n") + F.col("part_") * F.col("tied_n"))
+    mean = {k: (F.col(f"in_{k}") + F.col("part_") * F.col(f"tied_{k}")) / F.col("kept_") for k in values}
+    moments = [mean[f"m_{i}"].alias(f"m_{i}") for i in range(len(names))] + [(mean[f"c_{j}_{i}"] - mean[f"m_{j}"] * mean[f"m_{i}"]).alias(f"c_{j}_{i}") for j, i in pairs]
+    return _factors(got.select("cell", "start", *moments), CONSISTENCY)
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
     """One row per cell: mean m_i and Cholesky factor l_i_j of its estimate, and
     ``scale``, by which its squared distances are too large."""
     names = list(VECTOR)
-    middle = rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(names)])
-    # One small row per cell, as a table of known size: the rows need not be shuffled to it.
-    away = rows.join(stage(middle, "middle"), "cell")
-    spread = away.groupBy("cell").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, x in enumerate(names)])
-    start = spread
-    for i in range(len(names)):
-        for j in range(i + 1):
-            start = start.withColumn(f"c_{j}_{i}", F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0))
-    # One row per cell, in one file: footers of many files would hide how small it is.
-    estimate = stage(_factors(start.drop(*[f"s_{i}" for i in range(len(names))])).repartition(1), "mcd")
-    for _ in range(STEPS):
-        far = stage(_distance(rows, estimate).select("cell", "d2", *names), "distances")
-        cut = far.groupBy("cell").agg(F.percentile_approx("d2", KEPT_SHARE, 10_000).alias("cut"))
-        near = far.join(stage(cut, "cuts"), "cell").filter("d2 <= cut")
-        moments = near.groupBy("cell").agg(
-            *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)],
-            *[F.covar_pop(x, y).alias(f"c_{j}_{i}") for i, y in enumerate(names) for j, x in enumerate(names[: i + 1])],
-        )
-        estimate = stage(_factors(moments).repartition(1), "mcd")
-    scale = _distance(rows, estimate).groupBy("cell").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 10_000) / MEDIAN).alias("scale"), F.count(F.lit(1)).alias("n"))
-    return estimate.join(scale, "cell")
+    # One row per cell and start, in one file: footers of many files would hide how small it is.
+    estimate = stage(_starts(rows).withColumn("least", F.lit(float("inf"))).repartition(1), "mcd")
+    while True:
+        far = stage(_distance(rows, estimate).select("cell", "start", "d2", *names), "distances")
+        now = _concentrated(far).join(estimate.select("cell", "start", F.col("least").alias("was")), ["cell", "start"])
+        estimate = stage(now.withColumn("least", F.least("was", "log_det")).repartition(1), "mcd")
+        # Each further step needs a fall of this much below all before, so there is an end.
+        if estimate.filter(f"log_det < was - {SETTLED}").isEmpty():
+            break
+        estimate = estimate.drop("was")
+    kept = [c for c in estimate.columns if c.startswith(("m_", "l_"))]
+    best = estimate.groupBy("cell").agg(F.min(F.struct("log_det", "start", *kept)).alias("b")).select("cell", *[F.col(f"b.{c}").alias(c) for c in kept])
+    best = stage(best.repartition(1), "best")
+    scale = _distance(rows, best).groupBy("cell").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 10_000) / MEDIAN).alias("scale"), F.count(F.lit(1)).alias("n"))
+    return best.join(scale, "cell")
 
 
 def judge(docs: DataFrame, outer: str = "lang", inner: str = "source", keep: list[str] | None = None) -> DataFrame:

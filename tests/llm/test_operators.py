@@ -309,6 +309,19 @@ def test_outliers_do_not_hide_each_other(spark):
     assert all(x.kept == (x.doc_id % 5 != 0) for x in got.itertuples())
 
 
+@pytest.mark.parametrize("share", [0.26, 0.34, 0.45])
+def test_copies_of_junk_do_not_hide_themselves(spark, share):
+    """Copies of one junk text hold up to nearly half of a group, and all have one distance."""
+    rng, rows = random.Random(9), []
+    words = [f"{a}{b}{c}" for a in ("ta", "re", "mi", "so") for b in ("lan", "der", "vi") for c in ("", "n", "sto")]
+    junk = " ".join(rng.choice(words) + "###" for _ in range(90))
+    for i in range(900):
+        rows.append((i, junk if i < 900 * share else " ".join(rng.choice(words) for _ in range(rng.randrange(40, 400))), "en", "hot"))
+    got = quality.judged_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    assert not got[got.doc_id < 900 * share].kept.any()
+    assert got[got.doc_id >= 900 * share].kept.mean() > 0.99
+
+
 def test_bpe_is_that_of_the_library(docs, table):
     from tokenizers import Tokenizer
 
