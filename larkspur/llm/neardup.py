@@ -225,11 +225,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, links, copies): one row per row of ``docs``.
+    """(doc_id, class_id, copies): one row per row of ``docs``.
 
     class_id is the least id among the documents linked to it, directly or by
-    others; links counts the distinct other texts that it was compared with and linked to
-    (0 for a text without a near copy), copies the rows with its own text.
+    others; copies counts the rows with its own text. How many texts a text is
+    near to is not told: within a class not all pairs are compared.
     Equal texts are always one class. A null text counts as empty; texts
     without words are linked to their equals only. Texts of fewer than five
     words are one shingle. A null id never names a class, unless all its ids
@@ -258,11 +258,10 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     split = labelled.groupBy("band", "key").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 <> c2").select("band", "key")
     rest = stage(labelled.join(split, ["band", "key"]).select("id", "class").distinct(), "rest")
     links = stage(links.union(ask(across_classes(sets, rest, banding.similarity))), "links")
-    ends = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    of_group = groups.select("id", "hash", "doc", "copies").join(components(links), "id", "left").join(ends, "id", "left")
+    of_group = groups.select("id", "hash", "doc", "copies").join(components(links), "id", "left")
     of_group = stage(of_group.withColumn("class", F.coalesce("class", "id")), "classes")
     names = of_group.groupBy("class").agg(F.min("doc").alias("class_id"))
-    named = of_group.join(names, "class").select("hash", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies")
+    named = of_group.join(names, "class").select("hash", "class_id", "copies")
     return keys.select(F.col("doc").alias(key), "hash").join(named, "hash").drop("hash")
 
 

@@ -188,6 +188,22 @@ def test_near_duplicates_against_brute_force(docs, table):
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == brute_classes(list(table.doc_id), list(table.text))
 
 
+def test_near_duplicates_tell_only_what_brute_force_confirms(spark):
+    """Edited copies of one source: every column is known from all pairs."""
+    rng = random.Random(8)
+    source = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        words = list(source)
+        words[rng.randrange(300)] = f"x{i}"
+        rows += [(i, " ".join(words))] * (1 + i % 2)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(got.columns) == ["class_id", "copies", "doc_id"]
+    classes, copies = brute_classes([r[0] for r in rows], [r[1] for r in rows]), Counter(r[1] for r in rows)
+    want = sorted((d, classes[d], copies[t]) for d, t in rows)
+    assert sorted((r["doc_id"], r["class_id"], r["copies"]) for r in got.collect()) == want
+
+
 def test_chains_of_near_copies_lose_no_link(spark):
     """Each text differs a little from the last, so ends of a chain share nothing."""
     rng = random.Random(2)
