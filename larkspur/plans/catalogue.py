@@ -637,11 +637,11 @@ def donor_assignment(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
 k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, min(ts) AS begin_ts, count(*) AS events, round(sum(value), 4) AS value FROM k GROUP BY user_id, s""")
 def streaming_sessions(spark, sf_dir):
-    got = streaming.drained(streaming.sessions(streaming.stream(spark, sf_dir, "events")))
+    got = streaming.drained_sessions(streaming.stream(spark, sf_dir, "events"))
     return got.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("begin_ts"), "events", F.round("value", 4).alias("value"))
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def streaming_distinct(spark, sf_dir):
     seen = streaming.stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return streaming.drained(seen, "append").groupBy("user_id").agg(F.count(F.lit(1)).alias("kinds"))
+    return streaming.drained(seen).groupBy("user_id").agg(F.count(F.lit(1)).alias("kinds"))

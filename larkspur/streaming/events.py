@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,39 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return marked.groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
 
 
-def drained(stream_df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its result table."""
-    spark = stream_df.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream_df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all executors share; only
+    where it is unset, as in tests, a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-larkspur-")
+    return f"{named}/streams/{uuid.uuid4().hex}"
+
+
+def _drain(stream_df: DataFrame, top: str) -> None:
+    """Append what a stream gives of what is there now to ``top``/out; offsets and state are in ``top``/state."""
+    sink = stream_df.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def drained(stream_df: DataFrame) -> DataFrame:
+    """Run a stream over what is there, into files, and read them back."""
+    spark, top = stream_df.sparkSession, _folder(stream_df.sparkSession)
+    _drain(stream_df, top)
+    return spark.read.schema(stream_df.schema).parquet(f"{top}/out")
+
+
+def drained_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """The sessions of all events that are there, the last ones too.
+
+    Appended sessions end with the watermark. When all events are read, one
+    event of nobody, far ahead, moves it past all ends; its own session stays
+    open, so it is never given out.
+    """
+    spark, top = events.sparkSession, _folder(events.sparkSession)
+    ahead = f"{top}/ahead"
+    spark.createDataFrame([], events.schema).write.parquet(ahead)
+    found = sessions(events.unionByName(spark.readStream.schema(events.schema).parquet(ahead)), gap, late)
+    _drain(found, top)
+    nobody = [F.lit("9000-01-01").cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(nobody).write.mode("append").parquet(ahead)
+    _drain(found, top)
+    return spark.read.schema(found.schema).parquet(f"{top}/out")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import contracts, graph, ranks, splits, stats, timeline
 from larkspur.sources import manifests
+from larkspur.streaming import events as streaming
 
 
 def test_majority_tie_goes_to_the_lower_label(spark):
@@ -92,3 +93,15 @@ def test_manifest_latest_row_wins_and_corrupt_lines_are_kept_apart(spark, tmp_pa
     manifests.write_canonical(good, str(tmp_path / "out"), "id")
     with pytest.raises(Exception, match="(?i)exists"):
         manifests.write_canonical(good, str(tmp_path / "out"), "id")
+
+
+def test_streams_leave_rows_in_files_and_close_every_session(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "_folder", lambda spark: str(tmp_path / "shared"), raising=False)
+    rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 05:00:00", 4.0), (None, "2024-01-01 05:10:00", 8.0)]
+    df = spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in" / "events.parquet"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "events.parquet"))
+    got = streaming.drained_sessions(stream)
+    assert sorted((str(r["user_id"]), r["events"], r["value"]) for r in got.collect()) == [("1", 1, 4.0), ("1", 2, 3.0), ("None", 1, 8.0)]
+    assert (tmp_path / "shared" / "state" / "offsets").is_dir() and got.inputFiles()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("drained_")]
