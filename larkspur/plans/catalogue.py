@@ -441,15 +441,19 @@ def novelty(spark, sf_dir):
 
 
 @query(f"WITH {_DIMS}, s AS (SELECT dim, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM e GROUP BY 1) SELECT max(n) AS n, round(sqrt(sum(2 * (n * q - s * s)) / (max(n) * (max(n) - 1))), 6) AS diversity FROM s")
-def diversity(spark, sf_dir):
-    """Root mean squared distance of all pairs, from sums (no pair is formed)."""
+def rms_spread(spark, sf_dir):
+    """Root mean squared distance of all pairs, from sums (no pair is formed).
+
+    Not the reference's diversity, which is the mean distance and never larger.
+    """
     e = _vectors(spark, sf_dir).select(F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     s = e.groupBy("dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
     return s.agg(F.max("n").alias("n"), F.round(F.sqrt(F.sum(2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))) / (F.max("n") * (F.max("n") - 1))), 6).alias("diversity"))
 
 
 @query(f"WITH {_DIMS}, s AS (SELECT label, dim, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM e GROUP BY 1, 2) SELECT label, max(n) AS n, round(sqrt(sum(2 * (n * q - s * s)) / (max(n) * (max(n) - 1))), 5) AS spread FROM s GROUP BY 1 HAVING max(n) > 1")
-def multimodality(spark, sf_dir):
+def rms_spread_by_label(spark, sf_dir):
+    """Root mean squared distance of the pairs of each label; not the reference's multimodality."""
     e = _vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     s = e.groupBy("label", "dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
     out = s.groupBy("label").agg(F.max("n").alias("n"), F.sum(2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))).alias("w"))

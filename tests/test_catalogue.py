@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from larkspur.plans import catalogue
@@ -36,6 +37,14 @@ def test_gives_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_rms_spread_is_not_named_as_the_mean_distance(spark):
+    assert not {"diversity", "multimodality"} & set(catalogue.queries())
+    v = np.array([r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()], dtype=float)
+    d2 = ((v[:, None] - v[None]) ** 2).sum(-1)[np.triu_indices(len(v), 1)]
+    got = catalogue.queries()["rms_spread"](spark, SF).first()["diversity"]
+    assert abs(got - np.sqrt(d2.mean())) < 1e-4 and got > np.sqrt(d2).mean()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
