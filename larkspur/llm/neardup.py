@@ -224,17 +224,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("l").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, copies): one row per row of ``docs``.
-
-    class_id is the least id among the documents linked to it, directly or by
-    others; copies counts the rows with its own text. How many texts a text is
-    near to is not told: within a class not all pairs are compared.
-    Equal texts are always one class. A null text counts as empty; texts
-    without words are linked to their equals only. Texts of fewer than five
-    words are one shingle. A null id never names a class, unless all its ids
-    are null; repeated ids keep a row each. Other columns are not read.
-    """
+def _classes(docs: DataFrame, banding: Banding, key: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, hash) of each row, and (hash, doc, copies, class) of each distinct
+    text: its least id, its rows and its class."""
     base = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("hash", F.unhex(F.sha2("text", 256)))
     keys = stage(band_keys(base, banding), "bands")
@@ -259,15 +251,34 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     rest = stage(labelled.join(split, ["band", "key"]).select("id", "class").distinct(), "rest")
     links = stage(links.union(ask(across_classes(sets, rest, banding.similarity))), "links")
     of_group = groups.select("id", "hash", "doc", "copies").join(components(links), "id", "left")
-    of_group = stage(of_group.withColumn("class", F.coalesce("class", "id")), "classes")
+    return keys.select("doc", "hash"), stage(of_group.withColumn("class", F.coalesce("class", "id")), "classes")
+
+
+def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, copies): one row per row of ``docs``.
+
+    class_id is the least id among the documents linked to it, directly or by
+    others; copies counts the rows with its own text. How many texts a text is
+    near to is not told: within a class not all pairs are compared.
+    Equal texts are always one class. A null text counts as empty; texts
+    without words are linked to their equals only. Texts of fewer than five
+    words are one shingle. A null id never names a class, unless all its ids
+    are null; repeated ids keep a row each. Other columns are not read.
+    """
+    keys, of_group = _classes(docs, banding, key)
     names = of_group.groupBy("class").agg(F.min("doc").alias("class_id"))
     named = of_group.join(names, "class").select("hash", "class_id", "copies")
     return keys.select(F.col("doc").alias(key), "hash").join(named, "hash").drop("hash")
 
 
 def first_of_each(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the least id
-    (rows repeated whole count as one; rows without an id all stay)."""
-    gone = near_duplicates(docs, banding).filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay: one of each class, the one with the least
+    id and of these with the least hash of its text. Null ids come last, rows
+    repeated whole count as one, and rows of one id with different texts stay or
+    go each with its own class."""
+    _, of_group = _classes(docs, banding, "doc_id")
+    first = of_group.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")).alias("f"))
+    first = first.select(F.col("f.doc").alias("doc__"), F.col("f.hash").alias("hash__"))
+    hashed = docs.withColumn("text_hash__", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = (hashed["text_hash__"] == first["hash__"]) & hashed["doc_id"].cast("long").eqNullSafe(first["doc__"])
+    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "text_hash__"]).select(docs.columns)

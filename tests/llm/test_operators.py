@@ -217,6 +217,16 @@ def test_chains_of_near_copies_lose_no_link(spark):
     assert set(got.class_id) == {0} and got[got.doc_id >= 100].copies.eq(41).all()
 
 
+def test_one_document_of_each_class_stays(spark):
+    """Repeated ids with different texts, and near copies without ids."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (None, c), (None, c + " end"), (None, c), (None, a), (None, None), (3, "")]
+    got = neardup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"]) == [(1, a), (2, b), (3, "")]
+    assert [r["text"] in (c, c + " end") for r in got if r["doc_id"] is None] == [True]
+
+
 @pytest.mark.parametrize("kind", ["set", "counts", "reals"])
 def test_signatures_agree_as_often_as_texts_are_alike(kind):
     rng = np.random.default_rng(3)
