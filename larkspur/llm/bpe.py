@@ -1,14 +1,15 @@
 """BPE encoding and decoding with a public tokenizer's vocabulary.
 
-Encoding finds the exact merges in linear time by backtracking: the next token
-is the longest vocabulary match at a place (an Aho-Corasick automaton over the
-tokens), accepted only if it is compatible with the token before it, that is
-if byte-pair merging of the two tokens' bytes would keep the boundary between
-them; else the next shorter match is tried, and when none is left the last
-token is taken back. Compatibility is looked up in a table, filled for a pair
-when it is first seen by undoing merges from both sides. Decoding is a gather
-from an offset table: the bytes of all tokens in one array, and where each
-begins.
+Encoding finds the exact merges in linear time by backtracking: one pass of an
+Aho-Corasick automaton over a pretoken finds all tokens in it, and so the
+longest at each place. The next token is the longest at its place, accepted
+only if it is compatible with the token before it, that is if byte-pair merging
+of the two tokens' bytes would keep the boundary between them; else the next
+shorter one is tried (a table has each token's longest proper prefix), and when
+none is left the last token is taken back and its place is dead.
+Compatibility is looked up in a table, filled for a pair when it is first seen
+by undoing merges from both sides. Decoding is a gather from an offset table:
+the bytes of all tokens in one array, and where each begins.
 
 Merging never crosses the pretokenizer's boundaries. A pretoken is worked out
 once and kept, in two generations of bounded size, so frequent ones stay.
@@ -36,6 +37,8 @@ _QUICK = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_L}{_N
 _FULL = regex.compile(PRETOKEN).findall
 #: Pretokens of a generation of the store.
 MOST_PRETOKENS = 300_000
+#: Longer ones are hardly met again, and would leave the store without a bound in bytes.
+LONGEST_KEPT = 64
 
 
 def pretokens(text: str) -> list[str]:
@@ -57,7 +60,8 @@ class Store(dict):
         got = self.old.get(key)
         if got is None:
             got = self.work(key)
-        self[key] = got
+        if len(key) <= LONGEST_KEPT:
+            self[key] = got
         return got
 
 
@@ -80,7 +84,10 @@ class Vocabulary:
         self.latin = dict(enumerate(letters))
         back = {c: b for b, c in enumerate(letters)}
         ids = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in file["added_tokens"] if t["special"]}
+        # Added tokens are taken as they stand; other ways of matching them are refused.
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that take in or need what is around them are not handled")
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1
         tokens = [b""] * size
         for token, i in ids.items():
@@ -98,18 +105,18 @@ class Vocabulary:
             self.rank[left, right] = r
             # A token that several merges make comes from the first.
             self.split.setdefault(whole, (r, left, right))
-        self.automaton = ahocorasick.Automaton()
-        self.length = {}
         # Tokens that merging their own bytes does not give can't occur.
-        for token, i in ids.items():
-            if token not in self.special and (len(token) == 1 or i in self.split):
-                self.automaton.add_word(token, i)
-                self.length[i] = len(token)
+        self.whole = {token: i for token, i in ids.items() if token not in self.special and (len(token) == 1 or i in self.split)}
+        self.length, self.shorter = [0] * size, [-1] * size
+        self.automaton = ahocorasick.Automaton()
+        for token, i in self.whole.items():
+            self.automaton.add_word(token, i)
+            self.length[i] = len(token)
+            self.shorter[i] = next((self.whole[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.whole), -1)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        if len(self.special) > 1:
-            raise ValueError("tokenizers with several special tokens are not handled")
-        self.special_pattern = "|".join(map(re.escape, self.special))
+        # Of several that begin at a place the longest counts.
+        self.special_pattern = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
 
     def keeps_boundary(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens together keeps them apart.
@@ -143,32 +150,31 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Ids of a pretoken, given in byte letters, by backtracking."""
-        longest, lookup = self.automaton.longest_prefix, self.automaton
+        if (token := self.whole.get(word)) is not None:
+            return [token]
+        lengths, shorter, keeps = self.length, self.shorter, self.keeps_boundary
         n = len(word)
-        if word in lookup:
-            return [lookup.get(word)]
+        longest = [-1] * n
+        # In order of their ends, so the last at a start is the longest.
+        for end, token in self.automaton.iter(word):
+            longest[end - lengths[token] + 1] = token
         out: list[int] = []
-        at, size = 0, longest(word)
+        at, token = 0, longest[0]
         dead = bytearray(n + 1)  # places from which no continuation fits
         while True:
-            # The longest match that is a token, leads to a live place and fits.
-            while size > 0:
-                if not dead[at + size]:
-                    token = lookup.get(word[at : at + size], None)
-                    if token is not None and (not out or self.keeps_boundary(out[-1], token)):
-                        break
-                size -= 1
-            if size > 0:
+            while token >= 0 and (dead[at + lengths[token]] or (out and not keeps(out[-1], token))):
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += size
+                at += lengths[token]
                 if at == n:
                     return out
-                size = longest(word[at:])
+                token = longest[at]
             else:
                 dead[at] = 1
-                size = self.length[out.pop()]
-                at -= size
-                size -= 1
+                token = out.pop()
+                at -= lengths[token]
+                token = shorter[token]
 
 
 class Encoder:

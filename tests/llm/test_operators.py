@@ -291,7 +291,7 @@ def test_packing_places_every_piece_once(docs, table):
 def test_crossover_keeps_the_pieces(spark):
     rng = np.random.Generator(np.random.PCG64(1))
     lengths = {int(k): int(n) for k, n in zip(rng.integers(1, 101, 60), rng.integers(1, 30, 60), strict=True)}
-    a, b = (packing._started(lengths, 100, rng, plain=False) for _ in range(2))
+    a, b = (packing._started(lengths, 100, rng, kind) for kind in (1, 2))
     for child in (packing.crossover(a, b, 100, 0.99, rng) for _ in range(10)):
         held = Counter()
         for p, n in child.items():
@@ -303,6 +303,24 @@ def test_crossover_keeps_the_pieces(spark):
     assert sum(best.values()) <= min(sum(a.values()), sum(b.values()))
 
 
+def test_evolving_beats_the_best_fit(spark):
+    lengths = Counter(np.random.default_rng(6).integers(200, 701, 1500).tolist())
+    best = packing.evolve(spark, dict(lengths), 1024)
+    bound = -(-sum(k * n for k, n in lengths.items()) // 1024)
+    assert bound <= sum(best.values()) <= bound + 6 < sum(packing.best_fit(Counter(), lengths, 1024).values()) - 5
+
+
+def test_runs_give_each_number_its_place(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 4)
+    packed = Counter({(50, 50): 7, (50, 30, 20): 5, (30, 30, 30): 2})
+    numbers = [(length, i) for length, n in ((50, 19), (30, 11), (20, 5)) for i in range(n)]
+    table = spark.createDataFrame(packing.runs(packed))
+    got = packing.placed(spark.createDataFrame(numbers, "length long, number long"), table).toPandas().sort_values(["sequence_id", "offset"])
+    each = got.groupby("sequence_id")
+    assert (got.offset == each.length.cumsum() - got.length).all()
+    assert Counter(tuple(sorted(x, reverse=True)) for x in each.length.apply(list)) == packed
+
+
 def test_quality_counts_against_brute_force(spark, docs, table):
     planted = ["a b c d e f g h " * 3, "x\n\nx\n \ny\nx", "\x0b\x0c\r", "# * $ %&|<> é", "one two three four five six seven eight nine one two three four five six seven eight"]
     extra = spark.createDataFrame([(10_000 + i, t, "en", "p") for i, t in enumerate(planted)], "doc_id long, text string, lang string, source string")
@@ -359,6 +377,10 @@ def test_bpe_is_that_of_the_library(docs, table):
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert own.encode(t).tolist() == e.ids
         assert own.decode(own.encode(t)) == library.decode(e.ids, skip_special_tokens=False)
+    letters = random.Random(3)
+    for t in ("".join(letters.choices("etaoinshrdlucm", k=1_000_000)), "a" * 400_000, " " * 400_000):
+        ids = own.encode(t)
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and own.decode(ids) == t
     got = bpe.round_trips(docs, queries.vocabulary()).toPandas()
     text = dict(zip(table.doc_id, table.text, strict=True))
     assert all(x.decoded_sha256 == hashlib.sha256(text[x.doc_id].encode()).hexdigest() for x in got.itertuples())
