@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import dealt_join, stage
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar; ``a`` may be a hot key."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     sizes = (F.size("x") >= similarity * F.size("y")) & (F.size("y") >= similarity * F.size("x"))
-    both = pairs.join(right, "b").join(left, "a").filter(sizes)
+    # A centre with a third of all pairs is dealt over tasks.
+    both = dealt_join(stage(pairs, "pairs"), left, "a", "b").join(right, "b").filter(sizes)
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     # Integer sizes times a short decimal: compare in units of 10**-9 to keep ties exact.
     return both.filter(shared * 1_000_000_000 >= (F.size("x") + F.size("y") - shared) * round(similarity * 1_000_000_000)).select("a", "b")
@@ -236,9 +237,10 @@ def _classes(docs: DataFrame, banding: Banding, key: str) -> tuple[DataFrame, Da
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(buckets.join(shared, ["band", "key"]), "members")
     met = stage(members.groupBy("id").agg(F.sum("size").alias("met")), "met")
-    taken = groups.join(met.select("id"), "id").select("hash", "id", F.col("doc").alias("least"))
-    # The copy with the least id stands for its group.
-    rows = base.join(taken, "hash").filter(F.coalesce(F.col("doc") <= F.col("least"), F.col("least").isNull())).dropDuplicates(["hash"])
+    # The copy with the least id stands for its group; dealt by id too, copies don't meet.
+    taken = groups.join(met.select("id"), "id").select("hash", "id", F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("doc"))
+    once = base.select("hash", F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("doc"), "text").dropDuplicates(["hash", "none", "doc"])
+    rows = once.join(taken, ["hash", "none", "doc"]).select("id", "text")
     sets = stage(_sets(rows, banding.words, banding.weighted), "sets")
 
     def ask(pairs: DataFrame) -> DataFrame:
@@ -268,17 +270,20 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), key: str = "d
     keys, of_group = _classes(docs, banding, key)
     names = of_group.groupBy("class").agg(F.min("doc").alias("class_id"))
     named = of_group.join(names, "class").select("hash", "class_id", "copies")
-    return keys.select(F.col("doc").alias(key), "hash").join(named, "hash").drop("hash")
+    return dealt_join(keys, named, "hash", "doc").select(F.col("doc").alias(key), "class_id", "copies")
 
 
 def first_of_each(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, the one with the least
-    id and of these with the least hash of its text. Null ids come last, rows
-    repeated whole count as one, and rows of one id with different texts stay or
-    go each with its own class."""
+    id and of these with the least hash of its text. Null ids come last; rows of
+    one id with different texts stay or go each with its own class; of rows of
+    one id and text the one whose other columns, as JSON, come first stays."""
     _, of_group = _classes(docs, banding, "doc_id")
     first = of_group.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")).alias("f"))
     first = first.select(F.col("f.doc").alias("doc__"), F.col("f.hash").alias("hash__"))
     hashed = docs.withColumn("text_hash__", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     same = (hashed["text_hash__"] == first["hash__"]) & hashed["doc_id"].cast("long").eqNullSafe(first["doc__"])
-    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "text_hash__"]).select(docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    one = Window.partitionBy("text_hash__", F.col("doc_id").cast("long")).orderBy(order)
+    return hashed.join(first, same, "left_semi").withColumn("nth__", F.row_number().over(one)).filter("nth__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
