@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters only; an underscore or digit ends a word.
+#: Letters, and numbers that are no digits (as ² and Ⅷ).
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -29,16 +29,15 @@ class Limits:
     """Documented bounds of the model.
 
     At most ``docs`` distinct labelled texts, the ones with the smallest
-    seeded hashes, are learned from, each once and whole; the model keeps the
-    ``words`` most frequent words and the ``grams`` most frequent n-grams of
-    each length up to ``longest``. So its size, which is what goes to
-    executors, is at most a few MB whatever the corpus.
+    seeded hashes, are learned from, each once and whole; all their words and
+    n-grams are kept. So the model, which is what goes to executors, does not
+    grow with the corpus. A language needs ``least_part`` of those texts, so
+    that stray values of ``lang`` add no languages: there are at most 200.
     """
 
-    docs: int = 20_000
-    words: int = 40_000
-    grams: int = 10_000
+    docs: int = 1_000
     longest: int = 4
+    least_part: float = 0.005
 
 
 @dataclass(frozen=True)
@@ -51,7 +50,11 @@ class Model:
 
 
 def train(labelled: DataFrame, limits: Limits = Limits()) -> Model:
-    """Learn from ``text`` and ``lang`` of rows where both are set."""
+    """Learn from ``text`` and ``lang`` of rows where both are set.
+
+    Repeated rows count once; of an empty table, or one without labels, a model
+    of no language is learned. Other columns are not read.
+    """
     labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
     labelled = labelled.select("text", "lang", F.xxhash64(F.lit(7), "lang", "text").alias("h"))
     n = labelled.select("h").distinct().count()
@@ -61,15 +64,17 @@ def train(labelled: DataFrame, limits: Limits = Limits()) -> Model:
         labelled = labelled.filter(F.col("h") < int(-(2**63) + share * 2**64))
     # Copies count once, so that one text with a third of all rows keeps the bound.
     labelled = labelled.dropDuplicates(["h"])
+    texts = dict(labelled.groupBy("lang").count().collect())
+    langs = sorted(x for x, k in texts.items() if k >= limits.least_part * sum(texts.values()))
+    labelled = labelled.filter(F.col("lang").isin(langs))
     word = F.explode(F.expr(r"filter(split(lower(text), '[^\\p{L}]+'), w -> w != '')")).alias("word")
     counts = labelled.select("lang", word).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.persist()
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
 
-    def table(df: DataFrame, key: str, most: int) -> tuple[dict[str, int], np.ndarray]:
-        top = df.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        rows = top.filter("total > 1").orderBy(F.desc("total"), key).limit(most).collect()
+    def table(df: DataFrame, key: str) -> tuple[dict[str, int], np.ndarray]:
+        by = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        rows = by.orderBy(key).collect()
         found = np.zeros((len(rows), len(langs)))
         for i, r in enumerate(rows):
             for lang, k in r["by"].items():
@@ -77,19 +82,27 @@ def train(labelled: DataFrame, limits: Limits = Limits()) -> Model:
         total = found.sum(axis=0) + 0.5 * (len(rows) + 1)
         return {r[key]: i for i, r in enumerate(rows)}, np.log((found + 0.5) / total) if rows else found
 
-    words, word_scores = table(counts, "word", limits.words)
+    words, word_scores = table(counts, "word")
     grams, gram_scores = [], []
     for k in range(1, limits.longest + 1):
         cut = F.expr(f"transform(sequence(1, length(p) - {k - 1}), i -> substring(p, i, {k}))")
         padded = counts.select("lang", "n", F.concat(F.lit("<"), "word", F.lit(">")).alias("p")).filter(F.length("p") >= k)
         of = padded.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        known, scores = table(of, "gram", limits.grams)
+        known, scores = table(of, "gram")
         grams.append(known)
         gram_scores.append(scores)
     counts.unpersist()
     return Model(langs, words, grams, word_scores, gram_scores)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (general category L) in lower case; anything else ends a word."""
+    words = WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [p for w in words for p in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 class Scorer:
     """Rows of scores by word; unseen words are worked out once and kept, up to a bound."""
 
@@ -128,7 +141,7 @@ class Scorer:
         return np.array(found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
         if self.n > len(self.model.words) + self.most:
@@ -140,24 +153,26 @@ class Scorer:
         return self.model.langs[best], float(likely[best] / likely.sum())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to all rows of ``docs``, by their whole texts.
 
     A null text or one without letters is ``und`` with score 0, as is any text
-    if nothing could be learned; ties go to the first language by name.
-    Columns of these two names are replaced; others are kept.
+    if nothing could be learned; ties go to the first language by name. Columns
+    of the two names, which can be chosen, are replaced; others are kept.
+    Repeated rows get equal predictions; an empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    docs = docs.drop(lang_pred, score)
+    schema = docs.withColumn(lang_pred, F.lit("")).withColumn(score, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def predicted(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            got = [scorer.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, lang_pred, score],
             )
 
     return docs.mapInArrow(predicted, schema)
