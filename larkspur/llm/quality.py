@@ -7,8 +7,11 @@ language and source the minimum covariance determinant is estimated: from three
 robust starts, concentration steps keep the half of the rows that lies nearest
 by Mahalanobis distance and estimate its mean and covariance again until they
 settle, and the start of the least determinant counts; so outliers cannot hide
-themselves unless they are about half of a group. A text far from its group's
-estimate is rejected.
+themselves unless they are about half of a group. Each language and all rows
+together are estimated in the same way, and an estimate of n rows is drawn to
+that of the wider set with the weight of 20 rows, so that few rows decide
+little, by one law for all sizes. A text far from its group's estimate is
+rejected.
 
 Everything is built of SQL functions. Groups are only ever summed (means,
 covariances, approximate quantiles), so one may hold any share of the rows;
@@ -35,8 +38,9 @@ KEPT_SHARE, CONSISTENCY, SETTLED = 0.5, 1.9122, 0.01
 CUTOFF = 30.86
 #: Median of the squared length of five standard normal variables.
 MEDIAN = 4.351
-#: Groups of fewer rows are joined with the rest of their language, then of all.
-LEAST_GROUP = 50
+#: Rows for which the estimate of the wider set counts; and what all rows are
+#: drawn to, the deviations of a set of which nothing is known.
+DRAW, WIDE = 20, {"word_length": 0.4, "symbols": 0.3, "capitals": 0.2, "repeats": 0.3, "dup_lines": 0.3}
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -91,16 +95,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.drop("text_", "words_", "lines_", "n_lines_", "n_capitals_", "n_echoes_")
 
 
-def grouped(rows: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Add ``cell``: the (outer, inner) group, or the rest of the outer group, or the rest of all."""
-    o, i = F.coalesce(F.col(outer).cast("string"), F.lit("")), F.coalesce(F.col(inner).cast("string"), F.lit(""))
-    rows = rows.withColumn("outer_", o).withColumn("inner_", i)
-    sizes = rows.groupBy("outer_", "inner_").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < LEAST_GROUP)
-    rest = small.groupBy("outer_").agg(F.sum("n").alias("m"))
-    cell = F.when(F.col("n") >= LEAST_GROUP, F.concat_ws("/", F.lit("group"), "outer_", "inner_")).when(F.col("m") >= LEAST_GROUP, F.concat_ws("/", F.lit("rest"), "outer_")).otherwise("rest")
-    cells = stage(sizes.join(rest, "outer_", "left").select("outer_", "inner_", cell.alias("cell")), "cells")
-    return rows.join(cells, ["outer_", "inner_"]).drop("outer_", "inner_")
+def _cell(*keys: str) -> Column:
+    """The name of a set of rows: of all, of an outer group or of a group."""
+    return F.to_json(F.array(*[F.col(k).cast("string") for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("[]")
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -127,7 +124,7 @@ def _factors(estimate: DataFrame, times: float = 1.0) -> DataFrame:
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l_{j}_{j}"))
     logs = [2 * F.log(f"l_{i}_{i}") for i in range(len(VECTOR))]
-    return estimate.withColumn("log_det", sum(logs[1:], logs[0])).drop(*[c for c in estimate.columns if c.startswith("c_")])
+    return estimate.withColumn("log_det", sum(logs[1:], logs[0]))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -176,51 +173,85 @@ def _concentrated(far: DataFrame) -> DataFrame:
     return _factors(got.select("cell", "start", *moments), CONSISTENCY)
 
 
+def _shrunk(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """Estimates ``own`` (with ``wider``, a cell's name) drawn to those of the wider cells by their sizes."""
+    names = list(VECTOR)
+    both = own.join(wider.select(F.col("cell").alias("wider"), *[F.col(c).alias(f"w{c}") for c in wider.columns if c.startswith(("m_", "c_", "scale"))]), "wider")
+    part = F.col("n") / (F.col("n") + DRAW)
+    mixed = lambda c: part * F.col(c) + (1 - part) * F.col(f"w{c}")
+    apart = lambda i: F.col(f"m_{i}") - F.col(f"wm_{i}")
+    means = [mixed(f"m_{i}").alias(f"m_{i}") for i in range(len(names))]
+    spreads = [(mixed(f"c_{j}_{i}") + part * (1 - part) * apart(j) * apart(i)).alias(f"c_{j}_{i}") for i in range(len(names)) for j in range(i + 1)]
+    return both.select("cell", *means, *spreads, mixed("scale").alias("scale"))
+
+
 def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """One row per cell: mean m_i and Cholesky factor l_i_j of its estimate, and
-    ``scale``, by which its squared distances are too large."""
+    """One row per cell: mean m_i and covariance c_i_j of its estimate (for
+    normal rows; without the floors), ``log_det`` of its nearest half, ``scale``,
+    by which its squared distances are too large, and its rows ``n``."""
     names = list(VECTOR)
     # One row per cell and start, in one file: footers of many files would hide how small it is.
     estimate = stage(_starts(rows).withColumn("least", F.lit(float("inf"))).repartition(1), "mcd")
     while True:
-        far = stage(_distance(rows, estimate).select("cell", "start", "d2", *names), "distances")
+        far = _distance(rows, estimate).select("cell", "start", "d2", *names)
         now = _concentrated(far).join(estimate.select("cell", "start", F.col("least").alias("was")), ["cell", "start"])
         estimate = stage(now.withColumn("least", F.least("was", "log_det")).repartition(1), "mcd")
         # Each further step needs a fall of this much below all before, so there is an end.
         if estimate.filter(f"log_det < was - {SETTLED}").isEmpty():
             break
         estimate = estimate.drop("was")
-    kept = [c for c in estimate.columns if c.startswith(("m_", "l_"))]
-    best = estimate.groupBy("cell").agg(F.min(F.struct("log_det", "start", *kept)).alias("b")).select("cell", *[F.col(f"b.{c}").alias(c) for c in kept])
+    kept = [c for c in estimate.columns if c.startswith(("m_", "l_", "c_"))]
+    best = estimate.groupBy("cell").agg(F.min(F.struct("log_det", "start", *kept)).alias("b")).select("cell", "b.log_det", *[F.col(f"b.{c}").alias(c) for c in kept])
     best = stage(best.repartition(1), "best")
     scale = _distance(rows, best).groupBy("cell").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 10_000) / MEDIAN).alias("scale"), F.count(F.lit(1)).alias("n"))
-    return best.join(scale, "cell")
+    found = best.join(scale, "cell").select("cell", *[F.col(f"m_{i}") for i in range(len(names))], *[(CONSISTENCY * F.col(f"c_{j}_{i}")).alias(f"c_{j}_{i}") for i in range(len(names)) for j in range(i + 1)], "log_det", "scale", "n")
+    return stage(found.repartition(1), "estimates")
 
 
-def judge(docs: DataFrame, outer: str = "lang", inner: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Statistics and verdicts of all rows of ``docs``: the columns ``keep``, the
-    counts, base_failed, distance (squared, scaled) and kept.
+def estimates(good: DataFrame, outer: str, inner: str) -> DataFrame:
+    """One row per group that ``good`` has, by its cell: m_i, factors l_i_j and scale."""
+    cells = [_cell(), _cell(outer), _cell(outer, inner)]
+    rows = stage(good.select(F.explode(F.array(*cells)).alias("cell"), *VECTOR), "grouped")
+    own = minimum_covariance(rows)
+    groups = stage(good.select(*[c.alias(n) for c, n in zip(cells, ("all", "outer", "group"), strict=True)]).distinct().repartition(1), "cells")
+    top = own.join(groups.select(F.col("all").alias("cell")).distinct(), "cell").withColumn("wider", F.col("cell"))
+    unknown = [F.lit(WIDE[x] ** 2 if i == j else 0.0).alias(f"c_{j}_{i}") for i, x in enumerate(VECTOR) for j in range(i + 1)]
+    found = _shrunk(top, top.select("cell", *[f"m_{i}" for i in range(len(VECTOR))], *unknown, F.lit(1.0).alias("scale")))
+    for level, wider in (("outer", "all"), ("group", "outer")):
+        names = groups.select(F.col(level).alias("cell"), F.col(wider).alias("wider")).distinct()
+        found = _shrunk(own.join(names, "cell"), found)
+    return stage(_factors(found).drop("log_det", *[c for c in found.columns if c.startswith("c_")]).repartition(1), "estimate")
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def verdicts(docs: DataFrame, outer: str = "lang", inner: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """Statistics and verdicts of all rows of ``docs``: ``row``, a struct of the
+    columns ``keep``, whose names can't clash with others, the counts,
+    base_failed, distance (squared, scaled) and kept.
 
     A null text has no words and fails, as does an empty one. Estimates use
-    only rows that pass the base rules; null languages or sources are a group
-    of their own; groups of fewer than 50 rows are joined with the rest of
-    their language, then of all, and a rest of fewer rejects nothing. Repeated
-    rows are judged alike; an empty table gives no rows.
+    only rows that pass the base rules; null languages or sources are groups of
+    their own; repeated rows are judged alike; an empty table gives no rows.
     """
-    keep = keep or ["doc_id"]
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    read = docs.select(*keep, *([] if "text" in keep else ["text"]), F.col(outer).alias("lang__"), F.col(inner).alias("source__"))
-    measured = statistics(read)
-    measured = stage(measured.select(*keep, *counts, *VECTOR, "lang__", "source__"), "statistics")
-    good = grouped(measured.filter("not base_failed"), "lang__", "source__")
-    good = stage(good, "grouped")
-    estimate = stage(minimum_covariance(good.select("cell", *VECTOR)).repartition(1), "estimate")
-    judged = _distance(good, estimate).withColumn("distance", F.col("d2") / F.col("scale"))
-    judged = judged.withColumn("kept", (F.col("n") < LEAST_GROUP) | (F.col("distance") <= CUTOFF))
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row"), "text", F.col(outer).cast("string").alias("outer_"), F.col(inner).cast("string").alias("inner_"))
+    measured = stage(statistics(read).select("row", *COUNTS, *VECTOR, "outer_", "inner_"), "statistics")
+    good = measured.filter("not base_failed")
+    far = _distance(good.withColumn("cell", _cell("outer_", "inner_")), estimates(good, "outer_", "inner_"))
+    judged = far.withColumn("distance", F.col("d2") / F.col("scale")).withColumn("kept", F.col("distance") <= CUTOFF)
     failed = measured.filter("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    out = [*keep, *counts, "distance", "kept"]
+    out = ["row", *COUNTS, "distance", "kept"]
     return judged.select(*out).unionByName(failed.select(*out))
 
 
+def judge(docs: DataFrame, outer: str = "lang", inner: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """:func:`verdicts` with the columns ``keep`` as they are; of these, ones
+    with the name of a result are left out for it."""
+    found = verdicts(docs, outer, inner, keep)
+    own = [F.col(f"row.`{c}`").alias(c) for c in keep or ["doc_id"] if c not in (*COUNTS, "distance", "kept")]
+    return found.select(*own, *COUNTS, "distance", "kept")
+
+
 def judged_documents(docs: DataFrame) -> DataFrame:
     return judge(docs)
