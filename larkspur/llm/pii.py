@@ -14,6 +14,7 @@ format is valid (area codes, dates), the network walks on until one is.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -226,10 +227,16 @@ class Pseudonyms:
             return []
         taken: list[tuple[int, int, Kind]] = []
         for kind, pattern in self.patterns:
+            starts = [x[0] for x in taken]
+            new = []
             for m in pattern.finditer(text):
-                if kind.valid(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in taken):
-                    taken.append((m.start(), m.end(), kind))
-        return sorted(taken, key=lambda x: x[:2])
+                # What is taken doesn't overlap, so only the last that begins before the end can be in the way.
+                at = bisect.bisect_left(starts, m.end())
+                if kind.valid(m[0]) and (at == 0 or taken[at - 1][1] <= m.start()):
+                    new.append((m.start(), m.end(), kind))
+            if new:
+                taken = sorted(taken + new, key=lambda x: x[0])
+        return taken
 
     def text(self, text: str) -> tuple[str, list[tuple[int, int, Kind]]]:
         found, out, at = self.spans(text), [], 0
@@ -239,16 +246,13 @@ class Pseudonyms:
         return "".join([*out, text[at:]]) if found else text, found
 
 
-#: Stands for the key that a run is given; whoever has it can undo the pseudonyms.
-EXAMPLE_KEY = b"replace-this-key"
-
-
-def pseudonymize(docs: DataFrame, key: bytes = EXAMPLE_KEY, column: str = "text", counts: bool = True) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, column: str = "text", counts: bool = True) -> DataFrame:
     """All rows and columns of ``docs`` with the values in ``column`` replaced.
 
-    With ``counts``, adds pii_<kind> for each kind (replacing columns of these
-    names). A null text stays null and an empty one empty, with zero counts;
-    every row is on its own, so repeated rows get equal results.
+    Whoever has ``key`` can undo the pseudonyms. With ``counts``, adds
+    pii_<kind> for each kind (replacing columns of these names). A null text
+    stays null and an empty one empty, with zero counts; every row is on its
+    own, so repeated rows get equal results; an empty table gives no rows.
     """
     names = [f"pii_{k.name}" for k in KINDS] if counts else []
     docs = docs.drop(*names)

@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: the session's ``spark.larkspur.pii.key``. Only
+    the public test tables may go without it, by a key that anyone can read here."""
+    return spark.conf.get("spark.larkspur.pii.key", "public-test-tables").encode()
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
     return fingerprints.fingerprint_edits(documents(spark, sf_dir)).select(columns)
@@ -55,7 +61,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
