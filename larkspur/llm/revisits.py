@@ -8,8 +8,9 @@ revisit takes over the response's headers, updated by those that a
 not-modified answer may carry.
 
 One URL may hold a third of all records, so no window spans a URL's history:
-time is cut into slices, a window runs within (URL, slice), and what a slice
-inherits comes from a running maximum over one row per (URL, slice).
+records are cut into slices of about equal size in order of URL and time, a
+window runs within (URL, slice), and what a slice inherits comes from a running
+maximum over one row per (URL, slice).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 #: Headers that a 304 answer may update in a stored response (RFC 9111 leaves the rest).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -34,24 +37,39 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve(records: DataFrame, slices: int = 256) -> DataFrame:
+def folded(headers: Column) -> Column:
+    """Headers by lower-case name (null: none). Of several spellings of a name
+    the one that comes last in order of characters counts."""
+    entries = F.coalesce(F.map_entries(headers), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
+    later = lambda e: F.exists(entries, lambda x: (F.lower(x["key"]) == F.lower(e["key"])) & (x["key"] > e["key"]))
+    last = F.filter(entries, lambda e: ~later(e))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def weak(tag: Column) -> Column:
+    """An entity tag for weak comparison, as a not-modified answer is made."""
+    return F.regexp_replace(F.trim(tag), "^W/", "")
+
+
+def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit of ``records``.
 
     ``records``: record_id, kind ('response' or 'revisit'), url, at (long),
     etag, modified (nullable strings), headers map<string,string> and digest
     of the payload; more columns are ignored. Result: record_id, url, at,
     status ('resolved', 'validators differ', 'no earlier response'),
-    response_id, digest (null unless resolved) and headers.
+    response_id, digest (null unless resolved) and headers, with names in lower
+    case (of several spellings of a name the last in order counts).
 
     Earlier means a smaller ``at``; of responses at the same time the largest
-    record_id counts. A revisit without validators, or with a null URL or time,
-    is not resolved. Repeated revisits each give a row.
+    record_id counts. Entity tags compare weakly. A revisit without validators,
+    or with a null URL or time, is not resolved. Repeated revisits each give a
+    row; an empty table gives none.
     """
     valid = F.col("url").isNotNull() & F.col("at").isNotNull()
-    rows = records.select("record_id", "kind", "url", "at", "etag", "modified", "headers", "digest")
-    lo, hi = rows.agg(F.min("at"), F.max("at")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // slices))
-    rows = rows.withColumn("slice", F.floor((F.col("at") - F.lit(lo or 0)) / width))
+    rows = records.select("record_id", "kind", "url", "at", "etag", "modified", folded(F.col("headers")).alias("headers"), "digest")
+    # All records of a URL and time are in one slice; a written number is the same on a retry.
+    rows = stage(rows.repartitionByRange("url", "at").withColumn("slice", F.spark_partition_id()), "slices")
     kept = F.struct("at", "record_id", "etag", "modified", "headers", "digest")
     response = F.col("kind") == "response"
     # max_by over a map-free key; one row per (URL, slice) that has a response.
@@ -67,12 +85,11 @@ def resolve(records: DataFrame, slices: int = 256) -> DataFrame:
     lost = rows.filter(~valid & ~F.coalesce(response, F.lit(False))).withColumn("got", F.lit(None).cast(last.schema["last"].dataType))
     cols = ["record_id", "url", "at", "etag", "modified", "headers", "got"]
     joined = joined.select(*cols).unionByName(lost.select(*cols))
-    same = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("got.etag")).otherwise(F.col("modified") == F.col("got.modified"))
+    same = F.when(F.col("etag").isNotNull(), weak(F.col("etag")) == weak(F.col("got.etag"))).otherwise(F.col("modified") == F.col("got.modified"))
     status = F.when(F.col("got").isNull(), "no earlier response").when(F.coalesce(same, F.lit(False)), "resolved").otherwise("validators differ")
-    permitted = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED) & v.isNotNull())
-    lower = F.transform_keys(permitted, lambda k, v: F.lower(k))
-    stored = F.map_filter(F.coalesce("got.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.col("lower"), F.lower(k)))
-    out = joined.withColumn("status", status).withColumn("lower", lower)
+    new = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
+    stored = F.map_filter("got.headers", lambda k, v: ~F.map_contains_key(F.col("new"), k))
+    out = joined.withColumn("status", status).withColumn("new", new)
     ok = F.col("status") == "resolved"
     return out.select(
         "record_id",
@@ -81,7 +98,7 @@ def resolve(records: DataFrame, slices: int = 256) -> DataFrame:
         "status",
         F.when(ok, F.col("got.record_id")).alias("response_id"),
         F.when(ok, F.col("got.digest")).alias("digest"),
-        F.when(ok, F.map_concat(F.transform_keys(stored, lambda k, v: F.lower(k)), F.col("lower"))).otherwise(F.col("headers")).alias("headers"),
+        F.when(ok, F.map_concat(stored, "new")).otherwise(F.col("headers")).alias("headers"),
     )
 
 
