@@ -5,18 +5,19 @@ memory; the exchange between the passes is on disk. Pass two takes one bucket
 at a time, puts its rows in a Fisher-Yates order seeded by bucket, and writes
 it. Buckets one after another make a uniform shuffle of all records; position p
 in it goes to shard p mod n, slot p div n, so counts differ by one at most and
-slots have no gaps.
+slots have no gaps. What stands before a bucket comes from a table of counts,
+summed in two levels; no bucket's count passes through the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from .shared import shared_dir
+from .shared import shared_dir, stage
 
 
 def record_size(text: Column) -> Column:
@@ -35,19 +36,19 @@ def external_shuffle(
     number of equal texts, and rows of one id, spread; a null id counts as a
     value, and only rows equal in both stay in one bucket. Nulls and empty
     texts are records of size 1; repeated rows each keep a slot of their own;
-    an empty table gives no rows. Up to 8 bytes per bucket of ``bucket_bytes``
-    (counts before it) pass through the driver, 6 MB for 100 TB in buckets of
-    128 MB.
+    an empty table gives no rows.
     """
     docs = docs.drop("shard", "slot", "bucket")
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     total = docs.agg(F.sum(record_size(F.col("text")))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
     bucketed = docs.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets, dtype=np.int64)
-    for r in bucketed.groupBy("bucket").count().collect():
-        counts[r["bucket"]] = r["count"]
-    before = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    counts = stage(bucketed.groupBy("bucket").count().withColumn("group", F.floor(F.col("bucket") / 4096)), "counts")
+    earlier = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    of_groups = counts.groupBy("group").agg(F.sum("count").alias("n"))
+    of_groups = of_groups.select("group", F.coalesce(F.sum("n").over(earlier(F.lit(0), "group")), F.lit(0)).alias("base_"))
+    starts = counts.withColumn("within_", F.coalesce(F.sum("count").over(earlier("group", "bucket")), F.lit(0))).join(of_groups, "group")
+    starts = stage(starts.select("bucket", (F.col("base_") + F.col("within_")).alias("before_")).coalesce(1 + buckets // 2**20), "starts")
     names = [f.name for f in docs.schema.fields]
     schema = docs.withColumn("shard", F.lit(0).cast("int")).withColumn("slot", F.lit(0).cast("long")).schema
 
@@ -57,21 +58,22 @@ def external_shuffle(
             return
         rows = pa.Table.from_batches(held)
         held.clear()
-        bucket = rows.column("bucket").to_numpy()
+        bucket, before = rows.column("bucket").to_numpy(), rows.column("before_").to_numpy()
         # Arrival order depends on the exchange; the row's hash does not.
         order = np.lexsort((rows.column("order").to_numpy(), bucket))
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts):
             b = int(bucket[part[0]])
             part = part[np.random.Generator(np.random.PCG64([seed, b])).permutation(len(part))]
-            at = before[b] + np.arange(len(part), dtype=np.int64)
+            at = before[part[0]] + np.arange(len(part), dtype=np.int64)
             shard, slot = (at % n_shards).astype(np.int32), at // n_shards
             for lo in range(0, len(part), 1024):
                 out = rows.select(names).take(part[lo : lo + 1024]).combine_chunks()
                 out = out.append_column("shard", pa.array(shard[lo : lo + 1024], pa.int32())).append_column("slot", pa.array(slot[lo : lo + 1024], pa.int64()))
                 yield from out.to_batches()
 
-    scattered = bucketed.withColumn("order", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"))).repartitionById(buckets, F.col("bucket"))
+    # The table of buckets is broadcast while it is small.
+    scattered = bucketed.join(starts, "bucket").withColumn("order", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"))).repartitionById(buckets, F.col("bucket"))
     path = f"{shared_dir(docs.sparkSession)}/larkspur/{name}-{_unique()}"
     scattered.mapInArrow(shuffled, schema).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     read = docs.sparkSession.read.schema(schema).parquet(path)
