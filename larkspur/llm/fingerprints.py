@@ -15,7 +15,8 @@ undecoded (equal cells in all three subtables, about once in 10**6 blocks) are
 compared as sets.
 
 Everything is built of SQL functions on rows: no Python runs on executors. One
-exchange, of rows to ranges of doc_id, brings each text next to its successor.
+exchange, of rows to ranges of doc_id, brings each text next to its successor;
+there are as many ranges as the rows need, and one id's rows may have several.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import stage, whole_text
 
 #: A paragraph: a line, cut after the sentence that passes 160 code points, at 320 at most.
 PARAGRAPH = r"[^\n]{160,319}?[.!?](?=\s|$)|[^\n]{1,320}"
@@ -31,8 +32,9 @@ PARAGRAPH = r"[^\n]{160,319}?[.!?](?=\s|$)|[^\n]{1,320}"
 SIZES = (8, 32, 128)
 #: Rounds of peeling; more are needed for a few blocks in a million, which retry.
 ROUNDS = 7
-#: Bound on the number of ranges (and so on the ids that the driver sees).
-MOST_RANGES = 16_384
+#: Parts of equal size that ids are cut into first, and again by value into
+#: ranges. The driver sees the ids between the parts, and no others.
+PARTS = 4096
 #: Bits of a digest: check sum below, then the places in the subtables, then the block.
 CHECK_BITS, PLACE_BITS = 20, 7
 BLOCK_FROM = CHECK_BITS + 3 * PLACE_BITS
@@ -127,45 +129,53 @@ def likeness(left: str, diff: str) -> Column:
     return F.expr(f"if({union} = 0, 1.0D, (size({left}) - {only_left}) / cast({union} as double))")
 
 
+def ranges(ids: DataFrame, rows_per_range: int) -> DataFrame:
+    """``ids`` (key, tie and others) with ``part`` and ``range``, in order of
+    (key, tie): a part is cut evenly by value into as many ranges as its rows need."""
+    n = ids.count()
+    parts = max(1, min(PARTS, n // rows_per_range))
+    cuts = ids.agg(F.percentile_approx("key", [(i + 1) / parts for i in range(parts - 1)] or [1.0], 50_000)).first()[0] or []
+    cuts = cuts[: parts - 1]
+    # An id that holds several cuts is a part of its own.
+    cuts = sorted({*cuts, *(c - 1 for c, d in zip(cuts, cuts[1:], strict=False) if c == d)})
+    wide = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("key")))
+    if not wide:
+        part = F.lit(0)
+    else:
+        at = below(F.lit([w[-1] for w in wide]))
+        part = at * 64 + below(F.element_at(F.array(*[F.lit(w) for w in wide], F.lit([2**63 - 1])), at + 1))
+    rows = ids.withColumn("part", part.cast("long"))
+    spread = rows.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"))
+    spread = stage(spread.select("part", "lo", (F.col("hi").cast("double") - F.col("lo") + 1).alias("width"), F.ceil(F.col("n") / rows_per_range).alias("ranges")).repartition(1), "parts")
+    place = F.col("key").cast("double") - F.col("lo") + (F.col("tie") / 2.0**64 + 0.5)
+    nth = F.least(F.floor(place / F.col("width") * F.col("ranges")), F.col("ranges") - 1)
+    return rows.join(F.broadcast(spread), "part").withColumn("range", F.shiftleft("part", 40) + nth).drop("lo", "width", "ranges")
+
+
 def with_next(df: DataFrame, carried: list[str], rows_per_range: int = 512) -> DataFrame:
     """Add ``next_<c>`` of each carried column from the next row by descending
     doc_id (after the last: the first; equal ids by text hash; null ids last).
 
     Rows go to ranges of ids, and the first row of each range also to the range
-    before it, so that one exchange suffices whatever the number of rows.
+    before it, so that one exchange suffices whatever the number of rows. The
+    table of ranges has a row for 512 documents; Spark broadcasts it while it is
+    small and joins by range beyond that.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = df.select(key.alias("key"))
-    n = min(MOST_RANGES, max(1, ids.count() // rows_per_range))
-    cuts = ids.agg(F.percentile_approx("key", [(i + 1) / n for i in range(n - 1)] or [1.0], 50_000)).first()[0] or []
-    cuts = sorted(set(cuts[: n - 1]))
-    wide = [cuts[i : i + 128] for i in range(0, len(cuts), 128)]
-    below = lambda xs, k: F.size(F.filter(F.lit(xs), lambda c: c < k))
-    if len(cuts) == 0:
-        rng = F.lit(0)
-    elif len(wide) == 1:
-        rng = below(cuts, key)
-    else:
-        at = below([w[-1] for w in wide], key)
-        fine = F.array(*[F.lit(w) for w in wide], F.lit([2**63 - 1]))
-        rng = at * 128 + F.size(F.filter(F.element_at(fine, at + 1), lambda c: c < key))
-    tagged = df.select(key.alias("key"), rng.alias("r"))
-    heads = sorted((r["r"], r["m"]) for r in tagged.groupBy("r").agg(F.max("key").alias("m")).collect()) or [(0, 0)]
-    used = [r for r, _ in heads]
-    top, goes_to = [None] * (used[-1] + 1), [None] * (used[-1] + 1)
-    for i, (r, m) in enumerate(heads):
-        top[r], goes_to[r] = m, used[(i + 1) % len(used)]
-    spot = F.col("range") + 1
-    lit = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    is_head = F.element_at(lit(top), spot) == F.col("key")
-    both = F.when(is_head, F.array(F.struct(F.col("range").cast("long").alias("r"), F.lit(0).alias("copy")), F.struct(F.element_at(lit(goes_to), spot).alias("r"), F.lit(1).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("range").cast("long").alias("r"), F.lit(0).alias("copy")))
-    )
-    rows = df.withColumn("key", key).withColumn("range", rng.cast("int")).withColumn("at", F.explode(both))
-    rows = rows.withColumn("tie", F.xxhash64(F.col("text")))
+    keyed = df.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("tie", F.xxhash64("text"))
+    tagged = ranges(keyed, rows_per_range)
+    heads = stage(tagged.select("part", "range", "key", "tie").groupBy("part", "range").agg(F.max(F.struct("key", "tie")).alias("head")), "heads")
+    lows = heads.groupBy("part").agg(F.min("range").alias("low"))
+    every = Window.partitionBy(F.lit(0))
+    lows = lows.select("part", F.coalesce(F.lead("low").over(every.orderBy("part")), F.min("low").over(every)).alias("low"))
+    above = F.lead("range").over(Window.partitionBy("part").orderBy("range"))
+    to = heads.withColumn("above", above).join(F.broadcast(lows), "part").select("range", "head", F.coalesce("above", "low").alias("goes_to"))
+    to = stage(to.coalesce(1 + heads.count() // 2**20), "goes")
+    here, there = F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.struct(F.col("goes_to").alias("r"), F.lit(1).alias("copy"))
+    rows = tagged.join(to, "range").withColumn("at", F.explode(F.when(F.struct("key", "tie") == F.col("head"), F.array(here, there)).otherwise(F.array(here))))
     w = Window.partitionBy("at.r").orderBy("at.copy", F.desc("key"), F.desc("tie"))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried})
-    return rows.filter("at.copy = 0").drop("key", "range", "at", "tie")
+    rows = rows.select(*df.columns, "at", "key", "tie").withColumns({f"next_{c}": F.lead(c).over(w) for c in carried})
+    return rows.filter("at.copy = 0").drop("at", "key", "tie")
 
 
 def fingerprint_edits(docs: DataFrame, rows_per_range: int = 512) -> DataFrame:
