@@ -52,7 +52,7 @@ RUNS = {
     "op7": lambda d: packing.pack(d, queries.vocabulary()),
     "op8": quality.judged_documents,
     "op9": lambda d: bpe.round_trips(d, queries.vocabulary()),
-    "op10": lambda d: pii.pseudonymize(d),
+    "op10": lambda d: pii.pseudonymize(d, b"key"),
 }
 
 
@@ -109,6 +109,24 @@ def test_language_held_out_accuracy(docs, table):
     assert got.score.between(0, 1).all()
 
 
+def test_numbers_are_no_letters(spark):
+    """Prediction takes for letters what training does."""
+    df = spark.createDataFrame([(i, f"the cat and dog number {i}", "en") for i in range(6)] + [(6, "²½", None), (7, "Ⅷ ③ 12", None), (8, "x²y", None)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    assert [got[i]["lang_pred"] for i in (6, 7, 8)] == ["und", "und", "en"] and got[6]["score"] == 0.0
+    assert language.words_of("X²yⅧz_1a") == ["x", "y", "z", "a"]
+
+
+def test_stray_languages_and_names(spark):
+    rows = [(i, f"word{i % 7} a b", "en", 7.0) for i in range(900)] + [(1000 + i, f"mot{i} c", "fr", 7.0) for i in range(400)] + [(2000, "stray one", "xx", 7.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = language.train(df)
+    assert model.langs == ["en", "fr"]
+    kept = language.identify(df, model, "p_", "s_")
+    assert kept.columns == ["doc_id", "text", "lang", "score", "p_", "s_"] and kept.filter("score <> 7.0").isEmpty()
+
+
 def test_unseen_words_fall_back_to_shorter_ngrams(spark):
     rows = [("en", "the thing with other weather")] * 5 + [("fr", "quelque chose avec beaucoup")] * 5
     model = language.train(spark.createDataFrame(rows, "lang string, text string"))
@@ -125,7 +143,7 @@ def test_revisits_against_brute_force(spark):
         url = rng.choice(["hot", "hot", "b", "c", None])
         rows.append((i, kind, url, rng.choice([None, *range(80)]), rng.choice(["x", "y", None]), rng.choice(["m", None]), {"Date": str(i), "Server": "s"}, f"d{i}", "clash"))
     df = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, etag string, modified string, headers map<string,string>, digest string, slice string")
-    got = {r["record_id"]: r for r in revisits.resolve(df, slices=7).collect()}
+    got = {r["record_id"]: r for r in revisits.resolve(df).collect()}
     assert len(got) == sum(r[1] == "revisit" for r in rows)
     for i, kind, url, at, etag, modified, _, _, _ in rows:
         if kind == "response":
@@ -145,6 +163,18 @@ def test_revisits_against_brute_force(spark):
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_headers_fold_and_tags_compare_weakly(spark):
+    rows = [
+        (1, "response", "u", 1, '"x"', None, {"Date": "1", "date": "2", "Server": "s"}, "d1"),
+        (2, "revisit", "u", 5, 'W/"x"', None, {"DATE": "3", "Date": "4", "ETag": '"x"'}, None),
+        (3, "revisit", "u", 6, 'W/"y"', None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, etag string, modified string, headers map<string,string>, digest string")
+    got = {r["record_id"]: r for r in revisits.resolve(df).collect()}
+    assert got[2]["status"] == "resolved" and got[2]["headers"] == {"date": "4", "server": "s", "etag": '"x"'}
+    assert got[3]["status"] == "validators differ" and got[3]["headers"] == {}
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [("HTTP://www.A.com:80/x/?b=2&a=1&ref=q#f", "a.com/x?a=1&b=2"), ("https://m.a.com/", "a.com"), (None, None), ("a.com/X", "a.com/X")],
@@ -269,6 +299,34 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert got[9]["spans"] == "prefixed:4:48" and got[10]["n_live"] == 1
 
 
+def test_ownership_counts_repositories_and_owners(spark):
+    """Two owners are few, unless they have a value in many repositories; a shared repository counts once."""
+    few, spread, own = ("ghp_" + x * 5 for x in ("Few2Owns", "Spread2s", "Own3Many"))
+    rows = [(f"r{i % 2}", f"x {few}", f"o{i % 2}") for i in range(20)] + [(f"s{i}", f"x {spread}", f"o{i % 2}") for i in range(8)]
+    rows += [(f"t{i}", f"x {own}", "o9") for i in range(30)] + [("shared", f"x {few}", "o0"), ("shared", f"x {few}", "o1")]
+    df = spark.createDataFrame([(i, r, t, o) for i, (r, t, o) in enumerate(rows)], "doc_id long, repo string, text string, source string")
+    got = {r["doc_id"]: r["n_live"] for r in secrets.scan_documents(df, "repo").collect()}
+    assert [got[0], got[20], got[28], got[58]] == [1, 0, 1, 1]
+    counts = secrets.ownership(df.select(F.col("text").alias("value"), F.col("repo").alias("repository"), F.col("source").alias("owner")))
+    assert {(r["repositories"], r["owners"]) for r in counts.collect()} == {(3, 2), (8, 2), (30, 1)}
+
+
+def test_secrets_in_long_tokens_and_many_matches(spark):
+    late = "x" * 55 + "7" + "B" * 10
+    many = " ".join(f"{i:024x}" for i in range(30_000)) + " " + " ".join(f"Ab{i:030d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, f"x {late} y", "s"), (2, many, "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.scan_documents(df).collect()}
+    assert got[1]["spans"] == "mixed:2:68"
+    spans = got[2]["spans"].split(",")
+    assert got[2]["n_hex"] == 50_000 and spans[1] == "hex:25:49" and len(spans) == 50_000
+
+
+def test_pii_of_many_matches_in_order():
+    text = " ".join(f"user{i}@mail.example.com 2024-01-{i % 28 + 1:02d}" for i in range(25_000))
+    spans = pii.Pseudonyms(b"k").spans(text)
+    assert len(spans) == 50_000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_packing_places_every_piece_once(docs, table):
     from tokenizers import Tokenizer
 
@@ -366,6 +424,41 @@ def test_copies_of_junk_do_not_hide_themselves(spark, share):
     assert got[got.doc_id >= 900 * share].kept.mean() > 0.99
 
 
+def test_estimates_against_brute_force(spark):
+    """The least determinant found is that of many random starts, and so are the verdicts."""
+    rng = np.random.default_rng(8)
+    names, floors = list(quality.VECTOR), np.array(list(quality.VECTOR.values()))
+    good = rng.normal(size=(280, 5)) @ np.diag([0.4, 0.2, 0.15, 0.3, 0.3]) @ (np.eye(5) + 0.3 * np.tri(5, k=-1))
+    x = np.vstack([good, rng.normal(size=(120, 5)) * 0.1 + np.array([2.5, 1.5, 1.0, 2.0, 2.0])])
+    df = spark.createDataFrame([("c", *map(float, r)) for r in x], "cell string, " + ", ".join(f"{n} double" for n in names))
+    got = quality.minimum_covariance(df).first()
+
+    def steps(chosen):
+        for _ in range(60):
+            mean, cov = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) * quality.CONSISTENCY + np.diag(floors**2)
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            chosen = np.argsort(d2, kind="stable")[: len(x) // 2]
+        mean, cov = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) * quality.CONSISTENCY + np.diag(floors**2)
+        return np.linalg.slogdet(cov)[1], mean, cov
+
+    best = min((steps(rng.choice(len(x), 12, replace=False)) for _ in range(60)), key=lambda b: b[0])
+    assert got["log_det"] <= best[0] + 0.05
+    mean = np.array([got[f"m_{i}"] for i in range(5)])
+    cov = np.array([[got[f"c_{min(i, j)}_{max(i, j)}"] for j in range(5)] for i in range(5)]) + np.diag(floors**2)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    mine, theirs = far(mean, cov), far(best[1], best[2])
+    assert ((mine > quality.CUTOFF) == (theirs > quality.CUTOFF)).mean() > 0.99 and (mine[280:] > quality.CUTOFF).all() and (mine[:280] <= quality.CUTOFF).mean() > 0.97
+
+
+def test_quality_takes_columns_of_any_name(spark):
+    names = "n_words kept distance cell symbols n scale row outer_ start".split()
+    rows = [(i, f"some words in a text number {i} that has enough of them to be judged as good or bad by all rules", "en", "s", *["7"] * len(names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = quality.verdicts(df, keep=df.columns).filter("kept").select("row.*")
+    assert got.columns == df.columns and got.filter("scale <> '7'").isEmpty() and got.count() == 40
+    assert quality.judge(df, keep=["doc_id", "n_words", "cell"]).columns == ["doc_id", "cell", *quality.COUNTS, "distance", "kept"]
+
+
 def test_bpe_is_that_of_the_library(docs, table):
     from tokenizers import Tokenizer
 
@@ -415,7 +508,7 @@ def test_feistel_is_a_permutation():
 def test_only_validated_values_are_replaced(spark):
     text = f"Mail {VALUES['email'][0]}, card {VALUES['card'][1]}, not a card 4845168114407328, version 1.2.3, call {VALUES['phone'][0]} twice {VALUES['phone'][0]}."
     df = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, VALUES["email"][0], 5)], "doc_id long, text string, pii_email int")
-    got = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, b"key").collect()}
     out = got[1]["text"]
     assert "4845168114407328" in out and "version 1.2.3" in out and VALUES["card"][1] not in out
     assert got[3]["text"] in out and out.count(re.search(r"call (\S+ \S+ \S+) twice", out)[1]) == 2
