@@ -1,30 +1,46 @@
 """A corpus pipeline: language ID, quality rules, near-duplicates, PII, packing.
 
 Each stage takes all that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents, further ones too whatever their names. Null and empty
+texts go with the first stage, as they have no language; repeated rows count as
+near copies of each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import language, neardup, packing, pii, quality
-from larkspur.llm.queries import vocabulary
+from larkspur.llm.queries import pii_key, vocabulary
 from larkspur.llm.shared import documents, stage
 
 
+#: Share of the way from chance to certainty below which a language is no better than a guess.
+GUESS = 0.05
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the model knows; those without letters go.
+    """Documents whose language the model tells; it fills in where ``lang`` is null.
 
-    The model learns from the labelled documents that are not held out.
+    Texts without letters go, and those that the model's languages fit all
+    alike: a score (the best one's share) within a twentieth of the way from
+    chance to 1. The model learns from the labelled documents that are not held
+    out; if there is nothing to learn from, all texts with letters stay.
     """
     model = language.train(docs.filter(~language.held_out()))
-    return language.identify(docs, model).filter(f"lang_pred <> '{language.UNKNOWN}'").select(docs.columns)
+    told = language.identify(docs, model, "language_pred__", "language_score__")
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    chance = 1 / len(model.langs)
+    sure = (F.col("language_pred__") != language.UNKNOWN) & (F.col("language_score__") >= chance + GUESS * (1 - chance))
+    filled = F.coalesce("lang", "language_pred__").alias("lang")
+    return told.filter(sure).select(*[filled if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    return quality.judge(docs, keep=docs.columns).filter("kept").select(docs.columns)
+    return quality.verdicts(docs, keep=docs.columns).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal numbers, dates and addresses replaced."""
-    return pii.pseudonymize(docs, counts=False)
+    """All documents, with personal numbers, dates and addresses replaced under the session's key."""
+    return pii.pseudonymize(docs, pii_key(spark), counts=False)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
