@@ -31,37 +31,79 @@ def js_divergence(df: DataFrame, group: str, value: str, left: str, right: str)
 
 
 def sign_test(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Pairs won, lost and tied, and the normal two-sided z of the wins."""
+    """Pairs won, lost and tied, and the exact two-sided p: twice the smaller
+    binomial tail of the untied pairs, at most 1."""
     got = df.agg(F.sum((x > y).cast("long")).alias("wins"), F.sum((x < y).cast("long")).alias("losses"), F.sum((x == y).cast("long")).alias("ties"))
-    n = F.col("wins") + F.col("losses")
-    return got.withColumn("z", F.when(n > 0, F.round((F.abs(F.col("wins") - F.col("losses")) - 1) / F.sqrt(n), 6)))
-
-
-def permutation_p(df: DataFrame, key: str, value: str, group: Column, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Share of relabelings whose difference of group means is as large as the
-    one seen, with one added to both counts. A relabeling gives each row to a
-    group by a seeded hash, in the groups' proportion."""
-    rows = df.select(key, F.col(value).cast("double").alias("x"), group.cast("int").alias("g"))
-    share = rows.agg(F.avg("g").alias("share"))
-    # One pass: each row goes to sums of every round, which are added up map-side.
-    spread = rows.join(share).select("x", "g", "share", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"), key)
-    u = F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    given = spread.withColumn("h", F.when(F.col("round") == 0, F.col("g") == 1).otherwise(u < F.col("share")))
+    n, most = F.col("wins") + F.col("losses"), F.greatest("wins", "losses")
+    # From k = n down: the logarithm of C(n, k) / 2**n grows by ln(k / (n - k + 1)).
+    step = lambda a, k: F.struct((a["l"] + F.log(k) - F.log(n - k + 1)).alias("l"), (a["s"] + F.exp(a["l"])).alias("s"))
+    start = F.struct((-n * math.log(2.0)).alias("l"), F.lit(0.0).alias("s"))
+    # The step for k adds the tail's term for k, then moves on to k - 1.
+    tail = F.aggregate(F.sequence(n, most, F.lit(-1).cast("long")), start, step, lambda a: a["s"])
+    return got.withColumn("p", F.when(n > 0, F.round(F.least(F.lit(1.0), 2 * tail), 9)))
+
+
+def _drawn(seed: int, *key: Column) -> Column:
+    """A draw below 2**32 from sha256 of the seed and a key, the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+
+
+def permutation_p(entities: DataFrame, key: str, value: str, group: Column, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """Share of relabelings of the entities (one row each) whose difference of
+    group means is as large as the one seen, with one added to both counts.
+
+    A relabeling gives the group to the same number of entities, the first in a
+    seeded order. Rows are values per entity, not the events behind them.
+    """
+    rows = entities.select(key, F.col(value).cast("double").alias("x"), group.cast("int").alias("g"))
+    sizes = rows.agg(F.sum("g").alias("k"))
+    spread = rows.select(key, "x", "g", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
+    nth = F.row_number().over(Window.partitionBy("round").orderBy(_drawn(seed, F.col("round"), F.col(key)), key))
+    given = spread.withColumn("n", nth).crossJoin(F.broadcast(sizes)).withColumn("h", F.when(F.col("round") == 0, F.col("g") == 1).otherwise(F.col("n") <= F.col("k")))
     means = given.groupBy("round").agg(F.avg(F.when(F.col("h"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("h"), F.col("x"))).alias("b"))
-    diff = means.select("round", F.abs(F.col("a") - F.col("b")).alias("d"))
-    seen = F.max(F.when(F.col("round") == 0, F.col("d"))).over(Window.partitionBy(F.lit(0)))
-    return diff.withColumn("seen", seen).filter("round > 0").agg(F.round(F.max("seen"), 6).alias("difference"), ((F.sum((F.col("d") >= F.col("seen")).cast("long")) + 1) / (rounds + 1)).alias("p_value"))
-
-
-def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by the Poisson bootstrap: each row
-    counts in each round as often as a seeded Poisson draw says."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps, p = [], 0.0
-    for k in range(8):
-        p += math.exp(-1) / math.factorial(k)
-        steps.append(p)
-    draws = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    spread = df.select(key, F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("k", draws)
-    means = spread.groupBy("round").agg((F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count(F.lit(1)).alias("rounds"))
+    diff = means.select("round", F.round(F.abs(F.col("a") - F.col("b")), 9).alias("d"))
+    seen = diff.filter("round = 0").select(F.col("d").alias("seen"))
+    both = diff.filter("round > 0").crossJoin(F.broadcast(seen))
+    return both.agg(F.round(F.max("seen"), 6).alias("difference"), F.round((F.sum((F.col("d") >= F.col("seen")).cast("long")) + 1) / (rounds + 1), 6).alias("p_value"))
+
+
+def bootstrap_mean(entities: DataFrame, key: str, value: str, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean over entities (one row each), drawn with
+    replacement as often as there are entities, by seeded draws."""
+    at = Window.partitionBy(F.lit(0)).orderBy(key)
+    numbered = entities.select(key, F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(at) - 1)
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    draws = numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).crossJoin(F.broadcast(n))
+    taken = draws.select("round", F.pmod(_drawn(seed, F.col("round"), F.col("i")), F.col("n")).alias("i"))
+    means = taken.join(numbered.select("i", "x"), "i").groupBy("round").agg(F.avg("x").alias("m"))
+    return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("rounds"))
+
+
+def frechet(left: DataFrame, right: DataFrame, vector: str) -> float:
+    """Frechet distance of two sets of vectors from their means and covariances.
+
+    Spark sums the moments (d*d numbers); the driver takes the trace of the root
+    of their product from its eigenvalues.
+    """
+    import numpy as np
+
+    def moments(df: DataFrame):
+        x = df.select(F.transform(vector, lambda v: v.cast("double")).alias("v"))
+        i = x.select(F.posexplode("v").alias("i", "a"), "v").select("i", "a", F.posexplode("v").alias("j", "b"))
+        got = i.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c"), F.avg("a").alias("m")).collect()
+        d = 1 + max(r["i"] for r in got)
+        mean, cov = np.zeros(d), np.zeros((d, d))
+        for r in got:
+            mean[r["i"]], cov[r["i"], r["j"]] = r["m"], r["c"]
+        return mean, cov
+
+    (m1, c1), (m2, c2) = moments(left), moments(right)
+    roots = np.sqrt(np.maximum(np.linalg.eigvals(c1 @ c2).real, 0.0)).sum()
+    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * roots)
+
+
+def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Counts by truth and prediction with the share of the truth's rows."""
+    counts = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(truth)))

@@ -8,36 +8,16 @@ with classes; labels are acceptance.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
 from larkspur.operators import contracts, graph, ranks, retrieval, splits, stats, timeline
-from larkspur.session import table
+from larkspur.plans import measures, records, segments  # noqa: F401  they register their queries
+from larkspur.plans.registry import oracle_sql, queries, query  # noqa: F401
+from larkspur.session import shared_folder, table
 from larkspur.streaming import events as streaming
 
-Query = Callable[[SparkSession, str], DataFrame]
-_found: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _found[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _found.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _found.items() if sql}
-
-
 _SPLIT = """r AS (SELECT *, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents),
 s AS (SELECT *, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r)"""
 
@@ -151,12 +131,14 @@ def accepted_documents(spark, sf_dir):
     return contracts.first_reason(df, rules).filter("reason is null").select("doc_id", "source")
 
 
-@query("""SELECT CASE WHEN a IS NULL THEN 'only right' WHEN b IS NULL THEN 'only left' WHEN h = g THEN 'same' ELSE 'differs' END AS verdict, count(*) AS rows
-FROM (SELECT doc_id AS a, sha256(text) AS h FROM documents WHERE n_chars > 500) FULL JOIN (SELECT doc_id AS b, sha256(substr(text, 1, 2000)) AS g FROM documents WHERE n_chars < 9000) ON a = b GROUP BY 1""")
+@query(r"""SELECT CASE WHEN a IS NULL THEN 'only right' WHEN b IS NULL THEN 'only left' WHEN h = g THEN 'same' ELSE 'differs' END AS verdict, count(*) AS rows
+FROM (SELECT doc_id AS a, sha256(text) AS h FROM documents) FULL JOIN (SELECT doc_id AS b, sha256(regexp_replace(text, '[0-9]+', '#', 'g')) AS g FROM documents SEMI JOIN labels USING (doc_id)) ON a = b GROUP BY 1""")
 def census_diff(spark, sf_dir):
+    """All documents against the version of the labelled ones in which numbers are masked."""
     d = _docs(spark, sf_dir)
-    left = d.filter("n_chars > 500").select("doc_id", F.sha2("text", 256).alias("h"))
-    right = d.filter("n_chars < 9000").select("doc_id", F.sha2(F.substring("text", 1, 2000), 256).alias("h"))
+    masked = d.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    left = d.select("doc_id", F.sha2("text", 256).alias("h"))
+    right = masked.select("doc_id", F.sha2(F.regexp_replace("text", "[0-9]+", "#"), 256).alias("h"))
     return contracts.compared(left, right, "doc_id", "h")
 
 
@@ -401,11 +383,13 @@ def nearest_centroid(spark, sf_dir):
 
 @query(f"WITH {_ASSIGNED}, r AS (SELECT *, row_number() OVER (PARTITION BY assigned ORDER BY distance) AS k, count(*) OVER (PARTITION BY assigned) AS n2 FROM a), t AS (SELECT assigned, max(distance) AS cut FROM r WHERE k <= ceil(n2 * 0.9) GROUP BY 1) SELECT assigned, cut, sum((distance <= cut)::INT)::BIGINT AS accepted, count(*) AS n FROM a JOIN t USING (assigned) GROUP BY 1, 2")
 def accept_by_quantile(spark, sf_dir):
-    a = _assigned(spark, sf_dir)
+    """The cut is found from counts per distance, so a label's rows are not sorted together."""
+    counts = _assigned(spark, sf_dir).groupBy("assigned", "distance").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("assigned")
-    r = a.withColumn("k", F.row_number().over(w.orderBy("distance"))).withColumn("n2", F.count(F.lit(1)).over(w))
-    cut = F.max(F.when(F.col("k") <= F.ceil(F.col("n2") * F.lit(0.9)), F.col("distance"))).over(w)
-    return r.withColumn("cut", cut).groupBy("assigned", "cut").agg(F.sum((F.col("distance") <= F.col("cut")).cast("long")).alias("accepted"), F.count(F.lit(1)).alias("n"))
+    r = counts.withColumn("upto", F.sum("c").over(w.orderBy("distance"))).withColumn("n", F.sum("c").over(w))
+    reached = F.col("upto") >= F.ceil(F.col("n") * F.lit(0.9))
+    cut = F.min(F.when(reached, F.col("distance"))).over(w)
+    return r.withColumn("cut", cut).groupBy("assigned", "cut").agg(F.sum(F.when(F.col("distance") <= F.col("cut"), F.col("c")).otherwise(0)).alias("accepted"), F.sum("c").alias("n"))
 
 
 @query(f"WITH {_ASSIGNED}, k AS (SELECT assigned, label, count(*) AS n FROM a GROUP BY 1, 2) SELECT assigned, max(n) AS largest, sum(n)::BIGINT AS members, round(max(n) / sum(n), 6) AS purity FROM k GROUP BY 1")
@@ -479,8 +463,9 @@ def js_divergence(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS x, avg(CASE WHEN event_type = 'view' THEN value END) AS y FROM events GROUP BY 1),
-w AS (SELECT sum((x > y)::INT)::BIGINT AS wins, sum((x < y)::INT)::BIGINT AS losses, sum((x = y)::INT)::BIGINT AS ties FROM e)
-SELECT wins, losses, ties, round((abs(wins - losses) - 1) / sqrt(wins + losses), 6) AS z FROM w""")
+w AS (SELECT sum((x > y)::INT)::BIGINT AS wins, sum((x < y)::INT)::BIGINT AS losses, sum((x = y)::INT)::BIGINT AS ties FROM e),
+t AS (SELECT *, wins + losses AS n, unnest(range(greatest(wins, losses), wins + losses + 1)) AS k FROM w)
+SELECT wins, losses, ties, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 9) AS p FROM t GROUP BY ALL""")
 def sign_test(spark, sf_dir):
     mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
     users = _events(spark, sf_dir).groupBy("user_id").agg(mean("click").alias("x"), mean("view").alias("y"))
@@ -515,14 +500,26 @@ def correlations(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("source").agg(F.round(F.corr("n_chars", F.length("text")), 6).alias("r"), F.round(F.covar_samp("n_chars", "doc_id"), 3).alias("cov"))
 
 
-@query()
+_USERS = "u AS (SELECT user_id, avg(value) AS x, (user_id % 3 = 0)::INT AS g FROM events GROUP BY 1)"
+
+
+def _users(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("x"))
+
+
+@query(f"""WITH {_USERS}, r AS (SELECT *, unnest(range(0, 101)) AS round FROM u), k AS (SELECT sum(g) AS k FROM u),
+n AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY ('0x' || substr(sha256('42:' || round || ':' || user_id), 1, 8))::BIGINT, user_id) AS nth FROM r),
+d AS (SELECT round, round(abs(avg(CASE WHEN h THEN x END) - avg(CASE WHEN NOT h THEN x END)), 9) AS d FROM (SELECT *, CASE WHEN round = 0 THEN g = 1 ELSE nth <= k END AS h FROM n, k) GROUP BY 1)
+SELECT round(max(s.d), 6) AS difference, round((sum((d.d >= s.d)::INT) + 1) / 101, 6) AS p_value FROM d, (SELECT d FROM d WHERE round = 0) s WHERE round > 0""")
 def permutation_p(spark, sf_dir):
-    return stats.permutation_p(_events(spark, sf_dir).filter("event_type in ('click', 'view')"), "event_id", "value", F.col("event_type") == "click")
+    return stats.permutation_p(_users(spark, sf_dir), "user_id", "x", F.col("user_id") % 3 == 0)
 
 
-@query()
+@query(f"""WITH {_USERS}, i AS (SELECT x, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM u), d AS (SELECT i.i, n, unnest(range(1, 101)) AS round FROM i),
+t AS (SELECT round, ('0x' || substr(sha256('42:' || round || ':' || i), 1, 8))::BIGINT % n AS i FROM d), m AS (SELECT round, avg(x) AS m FROM t JOIN i USING (i) GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS rounds FROM m""")
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_mean(_events(spark, sf_dir), "event_id", "value")
+    return stats.bootstrap_mean(_users(spark, sf_dir), "user_id", "x")
 
 
 @query()
@@ -541,15 +538,11 @@ SELECT id AS doc_id, min(l) AS component FROM r GROUP BY 1""")
 def same_source_components(spark, sf_dir):
     d = _docs(spark, sf_dir)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _own_folder())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     keyed = d.select("doc_id", F.sha2("text", 256).alias("hash"), F.concat_ws(":", "source", "lang", F.floor(F.col("n_chars") / 500).cast("string")).alias("kind"))
     return graph.components(graph.star_edges(keyed, "doc_id", ["hash", "kind"]), keyed, "doc_id")
 
 
-def _own_folder() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="spark-larkspur-")
 
 
 @query("""WITH s AS (SELECT DISTINCT source, lang FROM documents), n AS (SELECT count(DISTINCT lang) AS n FROM documents)

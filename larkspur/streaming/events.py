@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import shared_folder
+
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the folder as a file stream; its schema is that of the table."""
@@ -23,10 +24,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which all executors share; only
-    where it is unset, as in tests, a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-larkspur-")
-    return f"{named}/streams/{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _drain(stream_df: DataFrame, top: str) -> None:
