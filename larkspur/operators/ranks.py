@@ -26,6 +26,44 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, rank: str = "rank", by: l
     return out.select(*[c for c in df.columns if c not in ("hash_", "range_")], rank, "population")
 
 
+def quantile_range(df: DataFrame, value: str, parts: int = 4096) -> Column:
+    """The number of a row's range, in order of ``value``: ranges of about
+    equally many rows, cut at approximate quantiles (at most ``parts`` numbers)."""
+    parts = max(1, min(parts, df.count() // 512))
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [(i + 1) / parts for i in range(parts - 1)] or [1.0], 50_000)).first()[0] or []
+    cuts = sorted(set(cuts[: parts - 1]))
+    wide = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    if not wide:
+        return F.lit(0)
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col(value).cast("double")))
+    at = below(F.lit([w[-1] for w in wide]))
+    return at * 64 + below(F.element_at(F.array(*[F.lit(w) for w in wide], F.lit([float("inf")])), at + 1))
+
+
+def mean_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
+    """Add the rank from 1 by ``value``, ties getting their mean, from counts per
+    value and running sums within and over ranges of values."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n_"))
+    wide = counts.withColumn("range_", quantile_range(counts, value))
+    sums = wide.groupBy("range_").agg(F.sum("n_").alias("m_"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range_", F.coalesce(F.sum("m_").over(before), F.lit(0)).alias("before_"))
+    within = Window.partitionBy("range_").orderBy(value)
+    placed = wide.withColumn("upto_", F.sum("n_").over(within)).join(starts, "range_")
+    return df.join(placed.select(value, (F.col("before_") + F.col("upto_") - (F.col("n_") - 1) / 2.0).alias(rank)), value)
+
+
+def row_numbers(df: DataFrame, by: str, order: str, number: str) -> DataFrame:
+    """Number the rows of each group from 0 by ``order``, which has no ties:
+    within ranges of it, whose starts come from counts, so that no group is one task."""
+    df = df.withColumn("range_", quantile_range(df, order))
+    counts = df.groupBy(by, "range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy(by, "range_").orderBy(order)) - 1
+    return df.withColumn("at_", within).join(starts, [by, "range_"]).withColumn(number, F.col("at_") + F.col("before_")).drop("range_", "at_", "before_")
+
+
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in a total order (latest wins with a descending one)."""
     return df.withColumn("n_", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("n_ = 1").drop("n_")
@@ -41,7 +79,7 @@ def ranked_quantile(df: DataFrame, value: str, q: float, rule: str) -> DataFrame
     """A quantile that is one of the values: rank ceil(q*n) ('ceil'), or
     round-half-even of q*(n-1), from 0 ('nearest'). Found from counts by value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n_"))
-    wide = counts.withColumn("range_", F.floor(F.log2(F.greatest(F.abs(F.col(value)), F.lit(1))) * F.signum(F.col(value).cast("double")) * 16))
+    wide = counts.withColumn("range_", quantile_range(counts, value))
     ranges = wide.groupBy("range_").agg(F.sum("n_").alias("m_"))
     up_to = ranges.withColumn("upto_", F.sum("m_").over(Window.partitionBy(F.lit(0)).orderBy("range_"))).withColumn("all_", F.sum("m_").over(Window.partitionBy(F.lit(0))))
     want = F.greatest(F.ceil(F.lit(q) * F.col("all_")), F.lit(1)) if rule == "ceil" else F.bround(F.lit(q) * (F.col("all_") - 1)) + 1

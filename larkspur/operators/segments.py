@@ -119,7 +119,7 @@ def merged_short(runs: DataFrame, sequence: str, label: str, least: int) -> Data
     have one label join. One sequence's runs, not its frames, are one group."""
     out = f"{sequence} {runs.schema[sequence].dataType.simpleString()}, {label} {runs.schema[label].dataType.simpleString()}, start long, end long"
 
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("start")
         parts = [list(p) for p in zip(frame[label], frame["start"], frame["end"], strict=True)]
         size = lambda p: p[2] - p[1]

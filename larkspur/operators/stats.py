@@ -7,18 +7,24 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantile_range
 
-def rank_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve by ranks, ties counting half, from counts per score."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
-    # Counts are few where scores repeat; the running sum goes by coarse ranges first.
-    ranges = counts.withColumn("r", F.floor(F.col("s") / 64))
+
+def rank_auc(df: DataFrame, score: str, positive: Column, digits: int | None = 6, parts: int = 4096) -> DataFrame:
+    """Area under the ROC curve by ranks, ties counting half, from counts per score.
+
+    The running sum goes by ranges first, cut at approximate quantiles, so that
+    scores of any scale are spread.
+    """
+    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
+    ranges = counts.withColumn("r", quantile_range(counts, "s", parts))
     sums = ranges.groupBy("r").agg(F.sum("q").alias("rq"))
     before = sums.withColumn("rb", F.coalesce(F.sum("rq").over(Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "rb")
     inside = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = ranges.withColumn("b", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(before, "r")
     wins = F.sum(F.col("p") * (F.col("rb") + F.col("b")) + F.col("p") * F.col("q") / 2)
-    return below.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), wins.alias("w")).select("positives", "negatives", F.round(F.col("w") / (F.col("positives") * F.col("negatives")), 6).alias("auc"))
+    auc = F.col("w") / (F.col("positives") * F.col("negatives"))
+    return below.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), wins.alias("w")).select("positives", "negatives", (auc if digits is None else F.round(auc, digits)).alias("auc"))
 
 
 def js_divergence(df: DataFrame, group: str, value: str, left: str, right: str) -> DataFrame:

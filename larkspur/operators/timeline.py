@@ -37,23 +37,23 @@ def in_windows(df: DataFrame, frame: str, size: int, stride: int) -> DataFrame:
 def centered_vote(df: DataFrame, sequence: str, frame: str, label: str, half: int) -> DataFrame:
     """Replace each label by the most frequent one within ``half`` frames; the
     frame's own label wins ties, else the least label."""
-    spread = df.select(sequence, F.col(frame).alias("voter"), F.col(label).alias("vote"), F.explode(F.sequence(F.col(frame) - half, F.col(frame) + half)).alias(frame))
-    votes = spread.groupBy(sequence, frame, "vote").agg(F.count(F.lit(1)).alias("votes"))
-    own = df.select(sequence, frame, F.col(label).alias("own"))
-    best = Window.partitionBy(sequence, frame).orderBy(F.desc("votes"), F.when(F.col("vote") == F.col("own"), 0).otherwise(1), "vote")
-    return votes.join(own, [sequence, frame]).withColumn("n_", F.row_number().over(best)).filter("n_ = 1").select(sequence, frame, F.col("own").alias(label), F.col("vote").alias("voted"))
+    near = Window.partitionBy(sequence).orderBy(F.col(frame).cast("long")).rangeBetween(-half, half)
+    votes, own = F.col("votes_"), F.col(label)
+    counted = F.transform(F.array_distinct(votes), lambda v: F.struct((-F.size(F.filter(votes, lambda x: x["l"].eqNullSafe(v["l"])))).alias("n"), (~v["l"].eqNullSafe(own)).alias("other"), v["l"].alias("l")))
+    found = df.withColumn("votes_", F.collect_list(F.struct(own.alias("l"))).over(near))
+    return found.select(sequence, frame, label, F.array_min(counted)["l"].alias("voted"))
 
 
 def nearest_events(df: DataFrame, sequence: str, time: Column, is_beat: Column, is_query: Column, key: str) -> DataFrame:
     """As-of in both directions: each query event's nearest beat of its sequence.
 
-    One window pass forward and one back over the union, no pair join. Beats at
-    the query's own time count. Adds before, after and distance in the unit of
+    One running maximum forward and one running minimum back over the union, no
+    pair join; each row is added once. Beats at the query's own time count. Adds before, after and distance in the unit of
     ``time`` (null without a beat).
     """
     rows = df.withColumn("t_", time).withColumn("beat_", F.when(is_beat, F.col("t_")))
     past = Window.partitionBy(sequence).orderBy("t_").rangeBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(sequence).orderBy("t_").rangeBetween(0, Window.unboundedFollowing)
+    future = Window.partitionBy(sequence).orderBy(F.desc("t_")).rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.max("beat_").over(past)).withColumn("after", F.min("beat_").over(future))
     gap = F.least(F.col("t_") - F.col("before"), F.col("after") - F.col("t_"))
     return rows.filter(is_query).select(sequence, key, F.col("t_").alias("t"), "before", "after", gap.alias("distance"))

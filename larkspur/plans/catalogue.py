@@ -622,7 +622,7 @@ def donor_assignment(spark, sf_dir):
     d = _docs(spark, sf_dir).select("source", "doc_id")
     sizes = d.groupBy("source").agg(F.count(F.lit(1)).alias("size")).withColumn("g", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")))
     sizes = sizes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    k = d.withColumn("m", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    k = ranks.row_numbers(d, "source", "doc_id", "m")
     to = sizes.alias("x").join(sizes.alias("y"), F.col("y.g") == F.col("x.g") % F.col("x.n") + 1).select(F.col("x.source").alias("source"), F.col("y.source").alias("from"), F.col("y.size").alias("donors"))
     want = k.join(to, "source").select("doc_id", "from", (F.col("m") % F.col("donors")).alias("m"))
     return want.join(k.select(F.col("source").alias("from"), "m", F.col("doc_id").alias("donor")), ["from", "m"]).select("doc_id", "donor")

@@ -37,12 +37,20 @@ def test_gives_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
-def test_rms_spread_is_not_named_as_the_mean_distance(spark):
-    assert not {"diversity", "multimodality"} & set(catalogue.queries())
-    v = np.array([r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()], dtype=float)
+def test_distances_and_moments_against_numpy(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    v = np.array([r["embedding"] for r in rows], dtype=float)
     d2 = ((v[:, None] - v[None]) ** 2).sum(-1)[np.triu_indices(len(v), 1)]
     got = catalogue.queries()["rms_spread"](spark, SF).first()["diversity"]
     assert abs(got - np.sqrt(d2.mean())) < 1e-4 and got > np.sqrt(d2).mean()
+    even = np.array([r["label"] % 2 == 0 for r in rows])
+    a, b = v[even], v[~even]
+    ca, cb = np.cov(a.T), np.cov(b.T)
+    vals, vecs = np.linalg.eigh(ca)
+    half = vecs @ np.diag(np.sqrt(np.maximum(vals, 0))) @ vecs.T
+    root = np.sqrt(np.maximum(np.linalg.eigvalsh(half @ cb @ half), 0)).sum()
+    want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * root
+    assert abs(catalogue.queries()["frechet_distance"](spark, SF).first()[0] - want) < 1e-4
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import contracts, graph, ranks, splits, stats, timeline
+from larkspur.operators import contracts, graph, placement, ranks, retrieval, segments, splits, stats, timeline
 from larkspur.sources import manifests
 from larkspur.streaming import events as streaming
 
@@ -33,6 +33,86 @@ def test_windows_of_short_sequences_are_none(spark):
     assert got == [("b", 0, 4), ("b", 1, 5)]
 
 
+def test_centered_vote_counts_nulls_and_gaps(spark):
+    df = spark.createDataFrame([("s", 0, "x"), ("s", 1, None), ("s", 2, None), ("s", 7, "y")], "s string, f long, v string")
+    got = {r["f"]: r["voted"] for r in timeline.centered_vote(df, "s", "f", "v", 1).collect()}
+    assert got == {0: "x", 1: None, 2: None, 7: "y"}
+
+
+@pytest.mark.parametrize(
+    ("runs", "want"),
+    [
+        ([("a", 0, 5), ("b", 5, 6), ("c", 6, 9)], [("a", 0, 5), ("c", 5, 9)]),  # into the shorter neighbour
+        ([("a", 0, 4), ("b", 4, 5), ("c", 5, 9)], [("a", 0, 5), ("c", 5, 9)]),  # the left of equals
+        ([("a", 0, 4), ("b", 4, 5), ("a", 5, 8)], [("a", 0, 8)]),  # equal neighbours join
+        ([("a", 0, 1), ("b", 1, 2)], [("b", 0, 2)]),  # until one is left
+        ([("a", 0, 1)], [("a", 0, 1)]),
+    ],
+)
+def test_short_runs_merge_shortest_first(spark, runs, want):
+    df = spark.createDataFrame([("s", *r) for r in runs], "s string, v string, start long, end long")
+    assert [tuple(r)[1:] for r in segments.merged_short(df, "s", "v", 3).orderBy("start").collect()] == want
+
+
+def test_minima_keep_their_distance(spark):
+    values = [5.0, 1.0, 5.0, 2.0, 5.0, 5.0, 5.0, 0.5, 5.0]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "s string, f long, v double")
+    lows = segments.minima(df, "s", "f", "v", 0.98)
+    assert {r["f"] for r in lows.collect()} == {1, 3, 7}
+    assert {r["f"] for r in segments.apart(lows, "s", "f", "v", 4, 4).collect()} == {1, 7}
+    assert {(r["f"], r["v"]) for r in segments.merged_points(lows, "s", "f", "v", 3).collect()} == {(1, 1.0), (7, 0.5)}
+
+
+def test_snapped_windows_and_stitching(spark):
+    lengths = spark.createDataFrame([("a", 10), ("b", 3), ("c", 8)], "s string, n long")
+    got = sorted((r["s"], r["start"]) for r in segments.snapped_windows(lengths, "s", "n", 4, 4).collect())
+    assert got == [("a", 0), ("a", 4), ("a", 6), ("c", 0), ("c", 4)]
+    written = spark.createDataFrame([("s", 0, 0, "x"), ("s", 1, 0, "x"), ("s", 1, 1, "y")], "s string, f long, start long, v string")
+    assert {(r["f"], r["v"], r["writers"], r["conflict"]) for r in segments.stitched(written, "s", "f", "start", "v").collect()} == {(0, "x", 1, False), (1, "x", 2, True)}
+
+
+def test_padded_mean_at_the_edges(spark):
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate([1, 4, 7])] + [("t", 0, 2.0)], "s string, f long, v double")
+    got = {(r["s"], r["f"]): r["smooth"] for r in segments.padded_mean(df, "s", "f", "v", 2).collect()}
+    assert got == {("s", 0): (1 + 1 + 1 + 4 + 7) / 5, ("s", 1): (1 + 1 + 4 + 7 + 7) / 5, ("s", 2): (1 + 4 + 7 + 7 + 7) / 5, ("t", 0): 2.0}
+
+
+def test_located_before_all_spans_is_null(spark):
+    spans = spark.createDataFrame([("s", 3, 5), ("s", 5, 9)], "s string, start long, end long")
+    points = spark.createDataFrame([("s", 2), ("s", 3), ("s", 5), ("s", 12)], "s string, t long")
+    got = {r["t"]: (r["span_start"], r["span_end"]) for r in segments.located(points, spans, "s", "t", []).collect()}
+    assert got == {2: (None, None), 3: (3, 5), 5: (5, 9), 12: (5, 9)}
+
+
+@pytest.mark.parametrize(("wins", "losses", "want"), [(1, 1, 1.0), (5, 0, 0.0625), (8, 2, 0.109375), (0, 0, None)])
+def test_exact_sign_test(spark, wins, losses, want):
+    rows = [(2, 1)] * wins + [(1, 2)] * losses + [(1, 1)]
+    got = stats.sign_test(spark.createDataFrame(rows, "x int, y int"), F.col("x"), F.col("y")).first()
+    assert (got["wins"], got["losses"], got["ties"], got["p"]) == (wins, losses, 1, want)
+
+
+def test_mean_ranks_and_row_numbers(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([3, 1, 3, 2])], "i long, v long")
+    assert {r["i"]: r["r"] for r in ranks.mean_ranks(df, "v", "r").collect()} == {0: 3.5, 1: 1.0, 2: 3.5, 3: 2.0}
+    many = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"))
+    assert ranks.row_numbers(many, "g", "k", "n").filter("n <> k div 2").isEmpty()
+
+
+def test_more_queries_take_more_passes(spark):
+    q = spark.createDataFrame([(i, float(i)) for i in range(40)], "q long, x double")
+    r = spark.createDataFrame([(i, float(i)) for i in range(7)], "r long, y double")
+    assert retrieval.against(q, r, pass_size=16).select("q", "r").distinct().count() == 280
+
+
+def test_placement(spark):
+    df = spark.createDataFrame([("a", "train", None), ("a", "train", "train"), ("a", "val", None), ("b", "val", "val"), ("b", "train", "train"), ("c", "val", None)], "c string, split string, pin string")
+    assert [tuple(r) for r in placement.straddling(df, "c", "split").orderBy("c").collect()] == [("a", 2, 1), ("b", 2, 1)]
+    assert {r["c"]: r["placement"] for r in placement.pinned(df, "c", "pin").collect()} == {"a": "train", "b": "refused", "c": "free"}
+    assert placement.chaining_guard(df, "c", 0.4).first()["void"]
+    five = spark.range(5).select(F.lit("g").alias("g"), "id")
+    assert [r["id"] for r in placement.evenly_spaced(five, "g", "id", 3).orderBy("id").collect()] == [0, 2, 4]
+
+
 def test_nearest_event_before_after_and_none(spark):
     df = spark.createDataFrame([("a", 1, 10, "beat"), ("a", 2, 14, "move"), ("a", 3, 15, "beat"), ("b", 4, 1, "move")], "s string, id int, t long, k string")
     got = {r["id"]: (r["before"], r["after"], r["distance"]) for r in timeline.nearest_events(df, "s", F.col("t"), F.col("k") == "beat", F.col("k") == "move", "id").collect()}
