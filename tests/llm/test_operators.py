@@ -531,3 +531,17 @@ def test_pipeline_stages_take_effect(spark, table):
     assert len(set(classes.values())) == len(kept)
     packed = p.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(packed.doc_id) == set(kept.doc_id)
+
+
+def test_language_stage_fills_in_and_keeps_columns(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the cat and the dog number{i}", "en" if i % 2 else None, "s", 10, 7.0, "x") for i in range(20)]
+    rows += [(98, None, "en", "s", 0, 7.0, "x"), (99, "12 34", "en", "s", 5, 7.0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    got = corpus_pipeline.language_id(spark, df, SF)
+    assert got.columns == df.columns
+    assert {tuple(r)[2:] for r in got.collect()} == {("en", "s", 10, 7.0, "x")} and got.count() == 20
+    assert corpus_pipeline.language_id(spark, df.limit(0), SF).count() == 0
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == 20
