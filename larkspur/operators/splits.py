@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import hash_rank
+from .ranks import hash_rank, row_numbers
 
 
 def rank_split(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42, by: list[str] | None = None) -> DataFrame:
@@ -46,3 +46,71 @@ def shared_between(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     seen = df.select(key, split).distinct()
     pairs = seen.alias("a").join(seen.alias("b"), key).filter(F.col(f"a.{split}") < F.col(f"b.{split}"))
     return pairs.groupBy(F.col(f"a.{split}").alias("left_split"), F.col(f"b.{split}").alias("right_split")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+#: Distinct masses that ``largest_deficit`` takes; n of them need n*n/2 rows at least.
+MOST_MASSES = 1_000_000
+
+
+def largest_deficit(df: DataFrame, group: str, mass: str, shares: dict[str, int]) -> DataFrame:
+    """Whole groups, heaviest first (ties by the number ``group``), each to the split
+    farthest below its share of all mass (ties by order in ``shares``). One row
+    per group. Masses are whole numbers.
+
+    Groups of one mass differ by name only, so the driver walks through the
+    distinct masses and their counts, whose number is checked. Of m equal groups
+    a split takes as many as it has places among the m largest of the deficits
+    left before each; every place's turn follows from the other splits' deficits.
+    """
+    sizes = df.groupBy(group).agg(F.sum(mass).cast("long").alias("mass"))
+    counts = sizes.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() > MOST_MASSES:
+        raise ValueError(f"more than {MOST_MASSES} distinct masses")
+    table, names, unit = sorted(map(tuple, counts.collect()), reverse=True), list(shares), sum(shares.values())
+    total = sum(m * n for m, n in table)
+    left, quotas = [shares[s] * total for s in names], []
+    for m, n in table:
+        step = unit * m
+        if step == 0:
+            taken = [n if i == left.index(max(left)) else 0 for i in range(len(names))]
+        else:
+            over = lambda t: [max(0, (d - t) // step + 1) for d in left]  # noqa: B023, E731  places of deficit t or more
+            low, high = min(left) - step * n, max(left) + 1
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if sum(over(middle)) >= n else (low, middle)
+            taken, level = over(low + 1), over(low)
+            for i in range(len(names)):
+                more = min(level[i] - taken[i], n - sum(taken))
+                taken[i] += max(0, more)
+        quotas += [(m, i, left[i], k, left[:], taken) for i, k in enumerate(taken) if k]
+        left = [d - step * k for d, k in zip(left, taken, strict=True)]
+    given = df.sparkSession.createDataFrame(quotas, "mass long, split_ int, from_ long, n_ long, all_ array<long>, taken_ array<long>")
+    step = F.col("mass") * unit
+    places = given.withColumn("i_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)))
+    key = F.col("from_") - step * F.col("i_")
+    before = lambda j: F.expr(f"greatest(0L, least(taken_[{j}], if(all_[{j}] < key_, 0L, (all_[{j}] - key_) div nullif(mass * {unit}, 0) + if({j} < split_ or (all_[{j}] - key_) % nullif(mass * {unit}, 0) <> 0, 1L, 0L))))")
+    turn = sum((F.when(F.col("split_") == j, F.col("i_")).otherwise(before(j)) for j in range(len(names))), F.lit(0))
+    placed = places.withColumn("key_", key).withColumn("turn_", F.when(F.col("mass") == 0, F.col("i_")).otherwise(turn)).select("mass", "turn_", "split_")
+    numbered = row_numbers(sizes, "mass", group, "turn_")
+    return numbered.join(placed, ["mass", "turn_"]).select(group, "mass", F.element_at(F.lit(names), F.col("split_") + 1).alias("split"))
+
+
+def guarded_fill(df: DataFrame, group: str, mass: str, parts: dict[str, int], of: int, most: float, seed: int = 42) -> DataFrame:
+    """Whole groups in the order of sha256 of "seed:group" fill each part by the mass
+    (whole numbers) before them, ``parts`` of ``of`` shares; the rest, and every
+    group with more than ``most`` of all mass, is train. Running sums by ranges
+    of the hash, so that no task takes all groups."""
+    sizes = df.groupBy(group).agg(F.sum(mass).cast("long").alias("mass"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("mass").alias("total_")))).withColumn("oversize", F.col("mass") > F.col("total_") * most)
+    sizes = sizes.withColumn("hash_", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256)).withColumn("range_", F.substring("hash_", 1, 3))
+    counted = F.when(F.col("oversize"), F.lit(0)).otherwise(F.col("mass"))
+    ranges = sizes.groupBy("range_").agg(F.sum(counted).alias("m_"))
+    ranges = ranges.select("range_", F.coalesce(F.sum("m_").over(Window.partitionBy(F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"))
+    within = Window.partitionBy("range_").orderBy("hash_", group).rowsBetween(Window.unboundedPreceding, -1)
+    sized = sizes.withColumn("at_", F.coalesce(F.sum(counted).over(within), F.lit(0))).join(ranges, "range_").withColumn("before_", F.col("at_") + F.col("start_"))
+    split, upto = F.when(F.col("oversize"), "train"), 0
+    for name, share in parts.items():
+        upto += share
+        split = split.when(F.col("before_") * of < F.col("total_") * upto, name)
+    return sized.select(group, "mass", "oversize", split.otherwise("train").alias("split"))
