@@ -12,7 +12,7 @@ from larkspur.session import session
 HEADLINE = (
     "cross_split_duplicates stable_hash_split account_greedy_split group_spans_splits pk_violations fk_attribute_disagreement "
     "qc_reasons label_runs majority_label_per_window centered_vote sliding_windows sessions nearest_beat beat_alignment_score "
-    "zscore_embeddings nearest_centroid topk_neighbours r_precision rank_auc linear_quantiles same_source_components sequence_summary stitched_labels spans_within_runs confusion_matrix permutation_p"
+    "zscore_embeddings nearest_centroid topk_neighbours r_precision rank_auc linear_quantiles same_source_components sequence_summary stitched_labels spans_within_runs confusion_matrix permutation_p largest_deficit_split pool_best_share phrase_starts"
 ).split()
 
 

@@ -79,3 +79,26 @@ def merge_centers(centers: DataFrame, groups: int) -> DataFrame:
         return pd.DataFrame({"label": table["label"], "merged": [order[m] for m in member]})
 
     return centers.select("label", "center", "n", F.lit(0).alias("all_")).groupBy("all_").applyInPandas(fold, f"label {kind}, merged int")
+
+
+def merge_small(centers: DataFrame, parent: str, least: int) -> DataFrame:
+    """(parent, label, merged): centres (parent, label, center, n) with fewer than
+    ``least`` rows join their nearest sibling (ties by label), the smallest first
+    (ties by label), until none is left or the parent has one. The sibling's
+    centre moves by the rows it takes and it keeps its label. One parent's centres,
+    not its rows, are one group."""
+
+    def fold(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("label", ignore_index=True)
+        at, size = np.array(table["center"].tolist(), dtype=float), table["n"].to_numpy(dtype=float)
+        member, live = np.arange(len(table)), list(range(len(table)))
+        while len(live) > 1 and (i := min(live, key=lambda k: (size[k], k))) is not None and size[i] < least:
+            live.remove(i)
+            j = live[int(((at[live] - at[i]) ** 2).sum(axis=1).argmin())]
+            at[j] = (size[i] * at[i] + size[j] * at[j]) / (size[i] + size[j])
+            size[j] += size[i]
+            member[member == i] = j
+        return pd.DataFrame({parent: [key[0]] * len(table), "label": table["label"], "merged": table["label"].to_numpy()[member]})
+
+    kind = {c: centers.schema[c].dataType.simpleString() for c in (parent, "label")}
+    return centers.select(parent, "label", "center", "n").groupBy(parent).applyInPandas(fold, f"{parent} {kind[parent]}, label {kind['label']}, merged {kind['label']}")

@@ -62,3 +62,22 @@ def detected_stride(first: Column, second: Column, tolerance: float) -> Column:
     n = F.size(first)
     agrees = lambda s: F.forall(F.sequence(s + 1, n), lambda i: F.abs(F.element_at(first, i) - F.element_at(second, i - s)) <= tolerance)
     return F.when((n > 1) & (F.size(second) >= n), F.array_min(F.filter(F.sequence(F.lit(1), n - 1), agrees)))
+
+
+def anchor_pairs(pairs: Column, most: float) -> Column:
+    """Of anchor pairs struct(s, t) in order, those that a warp can hold: both rise,
+    and the stretch from the last one kept is within ``most`` times either way.
+    The first pair is always kept; an empty array stays empty."""
+    last = lambda a: F.element_at(a, -1)
+    ds, dt = (lambda a, x: x["s"] - last(a)["s"]), (lambda a, x: x["t"] - last(a)["t"])
+    fits = lambda a, x: (ds(a, x) > 0) & (dt(a, x) > 0) & (dt(a, x) <= most * ds(a, x)) & (ds(a, x) <= most * dt(a, x))
+    return F.when(F.size(pairs) > 0, F.aggregate(F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), F.slice(pairs, 1, 1), lambda a, x: F.when(fits(a, x), F.concat(a, F.array(x))).otherwise(a))).otherwise(pairs)
+
+
+def through_anchors(pairs: Column, place: Column) -> Column:
+    """Where a target's place lies in the source: linearly between the kept pairs
+    around it; null outside them."""
+    k = F.array_max(F.filter(F.sequence(F.lit(1), F.size(pairs) - 1), lambda i: F.element_at(pairs, i)["t"] <= place))
+    a, b = F.element_at(pairs, k), F.element_at(pairs, k + 1)
+    inside = (F.size(pairs) > 1) & k.isNotNull() & (place <= b["t"])
+    return F.when(F.size(pairs) > 1, F.when(inside, a["s"] + (place - a["t"]) * (b["s"] - a["s"]) / (b["t"] - a["t"])))

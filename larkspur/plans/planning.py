@@ -35,6 +35,14 @@ def merged_centers(spark, sf_dir):
     return clusters.merge_centers(retrieval.centroids(table(spark, sf_dir, "embeddings"), "embedding", "label"), 5)
 
 
+@query()
+def small_groups_merged(spark, sf_dir):
+    """Groups of (label, id modulo 5) with fewer than 12 vectors join their nearest sibling of the same label; held against planted cases."""
+    v = table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") * 5 + F.col("vec_id") % 5).cast("long").alias("label"))
+    c = retrieval.centroids(v, "embedding", "label").withColumn("parent", F.floor(F.col("label") / 5))
+    return clusters.merge_small(c, "parent", 12)
+
+
 # --- placement ---------------------------------------------------------------
 
 _DEFICITS = """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS mass FROM orders GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY mass DESC, o_custkey) AS rn, sum(mass) OVER () AS total FROM g),
@@ -176,6 +184,27 @@ def warped_halves(spark, sf_dir):
     return got.select("vec_id", F.size("w.pairs").alias("pairs"), F.round("w.cost", 5).alias("cost"))
 
 
+_ANCHORS = f"""{FRAMES}, b AS (SELECT user_id, frame, max(CASE WHEN event_type = 'view' THEN frame END) OVER (PARTITION BY user_id ORDER BY frame) AS p, min(CASE WHEN event_type = 'view' THEN frame END) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM f),
+n AS (SELECT user_id, frame AS t, CASE WHEN q IS NULL OR frame - p <= q - frame THEN p ELSE q END AS s FROM b WHERE frame % 8 = 0 AND (p IS NOT NULL OR q IS NOT NULL)),
+c AS (SELECT user_id, list({{'s': s, 't': t}} ORDER BY t) AS p FROM n GROUP BY 1),
+k AS (SELECT user_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN x[1].s > a[-1].s AND x[1].t > a[-1].t AND x[1].t - a[-1].t <= 1.6 * (x[1].s - a[-1].s) AND x[1].s - a[-1].s <= 1.6 * (x[1].t - a[-1].t) THEN list_concat(a, x) ELSE a END) AS kept FROM c)"""
+
+
+@query(f"""WITH {_ANCHORS}, u AS (SELECT user_id, kept[i].s AS s, kept[i].t AS t, kept[i + 1].s AS s2, kept[i + 1].t AS t2 FROM (SELECT user_id, kept, unnest(range(1, len(kept))) AS i FROM k))
+SELECT f.user_id, f.frame, round(s + (f.frame - t) * (s2 - s) / (t2 - t), 6) AS source FROM f JOIN u ON u.user_id = f.user_id AND ((f.frame >= t AND f.frame < t2) OR (f.frame = t2 AND NOT EXISTS (SELECT 1 FROM u v WHERE v.user_id = f.user_id AND v.t = f.frame)))""")
+def warped_to_anchors(spark, sf_dir):
+    """Every eighth frame is drawn to its nearest view (the earlier of equals); frames between kept anchors are placed linearly."""
+    f = frames(spark, sf_dir)
+    view = F.when(F.col("event_type") == "view", F.col("frame"))
+    b = f.withColumn("p", F.max(view).over(by_user().rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.min(view).over(by_user().rowsBetween(0, Window.unboundedFollowing)))
+    near = F.when(F.col("q").isNull() | (F.col("frame") - F.col("p") <= F.col("q") - F.col("frame")), F.col("p")).otherwise(F.col("q"))
+    n = b.filter("frame % 8 = 0").select("user_id", near.alias("s"), F.col("frame").alias("t")).filter("s is not null")
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("t", "s"))), lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t")))
+    kept = n.groupBy("user_id").agg(sorted_.alias("all")).select("user_id", warping.anchor_pairs(F.col("all"), 1.6).alias("kept"))
+    told = f.select("user_id", "frame").join(kept, "user_id")
+    return told.select("user_id", "frame", F.round(warping.through_anchors(F.col("kept"), F.col("frame")), 6).alias("source")).filter("source is not null")
+
+
 # --- SQL ---------------------------------------------------------------------
 
 

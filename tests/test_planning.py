@@ -108,3 +108,20 @@ def test_views_and_functions(spark):
     assert {t.name for t in spark.catalog.listTables()} >= set(TABLES)
     got = spark.sql("SELECT overlap(1, 5, 3, 9), overlap(1, 2, 3, 4), phase(1.5D, 1D, 2D), phase(1D, 1D, 1D), upload_key('a:b:c'), mm_ss(75)").first()
     assert tuple(got) == (2, 0, 0.5, None, "c", "01:15")
+
+
+def test_small_groups_join_the_nearest_sibling_smallest_first(spark):
+    rows = [(1, 10, [0.0], 1), (1, 11, [1.0], 2), (1, 12, [5.0], 9), (1, 13, [1.4], 3), (2, 20, [0.0], 1), (3, 30, [0.0], 5), (3, 31, [0.0], 5)]
+    df = spark.createDataFrame(rows, "p int, label int, center array<double>, n long")
+    got = {r["label"]: r["merged"] for r in clusters.merge_small(df, "p", 5).collect()}
+    # 10 joins 11; of 11 and 13 with three rows each 11 goes first, to 13, which then has six.
+    assert got == {10: 13, 11: 13, 12: 12, 13: 13, 20: 20, 30: 30, 31: 31}
+
+
+def test_anchors_must_rise_and_keep_the_stretch(spark):
+    pairs = [(0, 0), (0, 8), (10, 16), (100, 24), (19, 24)]
+    df = spark.createDataFrame([(pairs,), ([],)], "p array<struct<s: long, t: long>>")
+    kept = df.select(warping.anchor_pairs(F.col("p"), 1.6).alias("k"))
+    assert [[tuple(x) for x in r["k"]] for r in kept.collect()] == [[(0, 0), (10, 16), (19, 24)], []]
+    at = [warping.through_anchors(F.col("k"), F.lit(x)) for x in (8, 16, 24, 25)]
+    assert [tuple(r) for r in kept.select(*at).collect()] == [(5.0, 10.0, 19.0, None), (None,) * 4]
