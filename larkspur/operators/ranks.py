@@ -26,10 +26,12 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, rank: str = "rank", by: l
     return out.select(*[c for c in df.columns if c not in ("hash_", "range_")], rank, "population")
 
 
-def quantile_range(df: DataFrame, value: str, parts: int = 4096) -> Column:
-    """The number of a row's range, in order of ``value``: ranges of about
-    equally many rows, cut at approximate quantiles (at most ``parts`` numbers)."""
-    parts = max(1, min(parts, df.count() // 512))
+def quantile_range(df: DataFrame, value: str, parts: int = 4096, rows: int = 512) -> Column:
+    """The number of a row's range, in order of ``value``, a number or a time: ranges of
+    about ``rows`` rows, cut at approximate quantiles (at most ``parts`` numbers). Nulls are in the first."""
+    parts = max(1, min(parts, df.count() // rows))
+    if parts == 1:
+        return F.lit(0)
     cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [(i + 1) / parts for i in range(parts - 1)] or [1.0], 50_000)).first()[0] or []
     cuts = sorted(set(cuts[: parts - 1]))
     wide = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
@@ -53,15 +55,17 @@ def mean_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
     return df.join(placed.select(value, (F.col("before_") + F.col("upto_") - (F.col("n_") - 1) / 2.0).alias(rank)), value)
 
 
-def row_numbers(df: DataFrame, by: str, order: str, number: str) -> DataFrame:
+def row_numbers(df: DataFrame, by: str, order: str | list[str], number: str, rows: int = 512) -> DataFrame:
     """Number the rows of each group from 0 by ``order``, which has no ties:
-    within ranges of it, whose starts come from counts, so that no group is one task."""
-    df = df.withColumn("range_", quantile_range(df, order))
-    counts = df.groupBy(by, "range_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(by, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    within = F.row_number().over(Window.partitionBy(by, "range_").orderBy(order)) - 1
-    return df.withColumn("at_", within).join(starts, [by, "range_"]).withColumn(number, F.col("at_") + F.col("before_")).drop("range_", "at_", "before_")
+    within ranges of its first column, whose starts come from counts, so that no group is one task."""
+    order = [order] if isinstance(order, str) else order
+    ranged = df.withColumn("range_", quantile_range(df, order[0], rows=rows))
+    counts = ranged.groupBy(F.col(by).alias("by_"), F.col("range_").alias("at_range_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("by_").orderBy("at_range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("by_", "at_range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy(by, "range_").orderBy(*order)) - 1
+    same = F.col(by).eqNullSafe(F.col("by_")) & (F.col("range_") == F.col("at_range_"))
+    return ranged.withColumn("at_", within).join(starts, same).withColumn(number, F.col("at_") + F.col("before_")).select(*df.columns, number)
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -9,35 +9,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import timeline
 
-def _in_order(sequence: str, frame: str):
-    return Window.partitionBy(sequence).orderBy(frame)
 
-
-def padded_mean(df: DataFrame, sequence: str, frame: str, value: str, half: int) -> DataFrame:
+def padded_mean(df: DataFrame, sequence: str, frame: str, value: str, half: int, block: int = timeline.BLOCK) -> DataFrame:
     """Add ``smooth``: the mean within ``half`` frames, edges repeated."""
-    w = _in_order(sequence, frame)
-    inside = w.rowsBetween(-half, half)
-    first, last = F.first(value).over(w), F.first(value).over(Window.partitionBy(sequence).orderBy(F.desc(frame)))
-    at, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(sequence))
-    before, after = F.greatest(half - at, F.lit(0)), F.greatest(half - (n - 1 - at), F.lit(0))
-    return df.withColumn("smooth", (F.sum(value).over(inside) + before * first + after * last) / (2 * half + 1))
+
+    def mean(w):
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before, after = (half - F.count(F.lit(1)).over(w.rowsBetween(*r)) for r in ((-half, -1), (1, half)))
+        inside = F.sum(value).over(w.rowsBetween(-half, half))
+        return {"smooth": (inside + before * F.first(value).over(every) + after * F.last(value).over(every)) / (2 * half + 1)}
+
+    return timeline.near(df, sequence, frame, half, mean, block)
 
 
-def differences(df: DataFrame, sequence: str, frame: str, value: str, orders: int) -> DataFrame:
+def differences(df: DataFrame, sequence: str, frame: str, value: str, orders: int, block: int = timeline.BLOCK) -> DataFrame:
     """Add d1, d2, ...: differences of the series, null where it is too short."""
-    w, last = _in_order(sequence, frame), value
-    for k in range(1, orders + 1):
-        df = df.withColumn(f"d{k}", F.col(last) - F.lag(last).over(w))
-        last = f"d{k}"
-    return df
+
+    def steps(w):
+        row, out = [F.lag(value, k).over(w) if k else F.col(value) for k in range(orders + 1)], {}
+        for k in range(1, orders + 1):
+            row = [a - b for a, b in zip(row, row[1:])]
+            out[f"d{k}"] = row[0]
+        return out
+
+    return timeline.near(df, sequence, frame, orders, steps, block)
 
 
-def minima(df: DataFrame, sequence: str, frame: str, value: str, under: float) -> DataFrame:
+def minima(df: DataFrame, sequence: str, frame: str, value: str, under: float, block: int = timeline.BLOCK) -> DataFrame:
     """Rows lower than the one before, not above the one after, and under so many times the sequence's mean."""
-    w = _in_order(sequence, frame)
-    low = (F.col(value) < F.lag(value).over(w)) & (F.col(value) <= F.lead(value).over(w))
-    return df.withColumn("low_", low & (F.col(value) <= under * F.avg(value).over(Window.partitionBy(sequence)))).filter("low_").drop("low_")
+    low = lambda w: (F.col(value) < F.lag(value).over(w)) & (F.col(value) <= F.lead(value).over(w))
+    lows = timeline.near(df, sequence, frame, 1, lambda w: {"low_": low(w)}, block).filter("low_").drop("low_")
+    means = df.groupBy(F.col(sequence).alias("sequence_")).agg(F.avg(value).alias("mean_"))
+    return lows.join(means, F.col(sequence).eqNullSafe(F.col("sequence_"))).filter(F.col(value) <= under * F.col("mean_")).select(*df.columns)
 
 
 def apart(points: DataFrame, sequence: str, frame: str, value: str, gap: int, most: int) -> DataFrame:
@@ -59,21 +64,20 @@ def merged_points(points: DataFrame, sequence: str, frame: str, value: str, gap:
     return found.select(sequence, F.explode(kept).alias("k")).select(sequence, F.col("k.f").alias(frame), F.col("k.v").alias(value))
 
 
-def lagged_correlation(df: DataFrame, sequence: str, frame: str, x: str, y: str, lags: int, least: int) -> DataFrame:
+def lagged_correlation(df: DataFrame, sequence: str, frame: str, x: str, y: str, lags: int, least: int, block: int = timeline.BLOCK) -> DataFrame:
     """(sequence, lag, r, n): correlation of x with y so many frames later, where at least so many overlap."""
-    w = _in_order(sequence, frame)
-    wide = df.select(sequence, F.col(x).alias("x"), F.array(*[F.lead(y, k).over(w) for k in range(lags + 1)]).alias("ys"))
-    each = wide.select(sequence, "x", F.posexplode("ys").alias("lag", "y")).filter("y is not null")
+    wide = timeline.near(df, sequence, frame, lags, lambda w: {"ys_": F.array(*[F.lead(y, k).over(w) for k in range(lags + 1)])}, block)
+    each = wide.select(sequence, F.col(x).alias("x"), F.posexplode("ys_").alias("lag", "y")).filter("y is not null")
     return each.groupBy(sequence, "lag").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def located(points: DataFrame, spans: DataFrame, sequence: str, at: str, keep: list[str]) -> DataFrame:
-    """As-of: add start and end of the span that begins last at or before each point (null before all)."""
-    p = points.select(sequence, F.col(at).alias("t_"), F.lit(1).alias("kind_"), F.struct(at, *keep).alias("p_"))
-    s = spans.select(sequence, F.col("start").alias("t_"), F.lit(0).alias("kind_"), F.struct("start", "end").alias("s_"))
-    w = Window.partitionBy(sequence).orderBy("t_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(s, allowMissingColumns=True).withColumn("span_", F.last("s_", ignorenulls=True).over(w)).filter("kind_ = 1")
-    return both.select(sequence, "p_.*", F.col("span_.start").alias("span_start"), F.col("span_.end").alias("span_end"))
+def located(points: DataFrame, spans: DataFrame, sequence: str, at: str, keep: list[str], block: int = timeline.BLOCK) -> DataFrame:
+    """As-of: add start and end of the span that begins last at or before each point (null before all; the longest of those that begin together)."""
+    p = points.select(sequence, F.col(at).alias("t_"), F.struct(at, *keep).alias("p_"))
+    s = spans.select(sequence, F.col("start").alias("t_"), F.struct("start", "end").alias("s_"))
+    both = p.unionByName(s, allowMissingColumns=True)
+    found = timeline.running(both, sequence, timeline.block_of("t_", block), "t_", {"span_": ("max", F.col("s_"))}).filter("p_ is not null")
+    return found.select(sequence, "p_.*", F.col("span_.start").alias("span_start"), F.col("span_.end").alias("span_end"))
 
 
 def snapped_windows(lengths: DataFrame, sequence: str, length: str, size: int, stride: int) -> DataFrame:

@@ -2,20 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from larkspur.operators import ranks
+
+#: So many frames of a sequence are one task's at a time.
+BLOCK = 65_536
+
+def frames(df: DataFrame, sequence: str, order: list[str], frame: str = "frame", rows: int = BLOCK) -> DataFrame:
+    """Number the rows of each sequence from 0. The first column of ``order`` is a number or a time."""
+    return ranks.row_numbers(df, sequence, order, frame, rows)
+
 
-def frames(df: DataFrame, sequence: str, order: list[str], frame: str = "frame") -> DataFrame:
-    """Number the rows of each sequence from 0."""
-    return df.withColumn(frame, F.row_number().over(Window.partitionBy(sequence).orderBy(*order)) - 1)
+def near(df: DataFrame, sequence: str, frame: str, reach: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+    """Add columns over windows of each sequence that reach at most ``reach`` frames either way.
+
+    ``columns`` gets a window ordered by frame. A sequence is cut into blocks of
+    frames, and rows near a block's edge are shown to its neighbour too, so a
+    long sequence is many tasks. Frames have no repeats.
+    """
+    at = lambda f: F.floor(f / F.lit(block))
+    seen = F.array_distinct(F.array(at(F.col(frame)), at(F.col(frame) - reach), at(F.col(frame) + reach)))
+    shown = df.withColumn("block_", F.explode(seen)).withColumn("own_", F.col("block_") == at(F.col(frame)))
+    window = Window.partitionBy(sequence, "block_").orderBy(frame)
+    return shown.withColumns(columns(window)).filter("own_").drop("block_", "own_")
 
 
-def runs(df: DataFrame, sequence: str, frame: str, label: str) -> DataFrame:
+def running(df: DataFrame, sequence: str, block: Column, order: str, columns: dict[str, tuple[str, Column]], downward: bool = False) -> DataFrame:
+    """Add running "max", "min" or "sum" columns over each sequence's rows up to
+    and with each one and its ties in ``order`` (from the last row on where ``downward``).
+
+    ``block`` rises with ``order``: running values within blocks, and over the
+    blocks' totals for what stands before each. Nulls are skipped.
+    """
+    of = {"max": F.max, "min": F.min, "sum": F.sum}
+    both = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a + b, a, b)}
+    way = F.desc if downward else F.asc
+    wide = df.withColumn("block_", block).withColumns({f"{name}__": c for name, (_, c) in columns.items()})
+    totals = wide.groupBy(F.col(sequence).alias("sequence_"), F.col("block_").alias("at_block_")).agg(*[of[how](f"{name}__").alias(f"{name}__t") for name, (how, _) in columns.items()])
+    earlier = Window.partitionBy("sequence_").orderBy(way("at_block_")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("sequence_", "at_block_", *[of[how](f"{name}__t").over(earlier).alias(f"{name}__b") for name, (how, _) in columns.items()])
+    within = Window.partitionBy(sequence, "block_").orderBy(way(order)).rangeBetween(Window.unboundedPreceding, 0)
+    inside = wide.withColumns({f"{name}__": of[how](f"{name}__").over(within) for name, (how, _) in columns.items()})
+    same = F.col(sequence).eqNullSafe(F.col("sequence_")) & (F.col("block_") == F.col("at_block_"))
+    found = [both[how](F.col(f"{name}__"), F.col(f"{name}__b")).alias(name) for name, (how, _) in columns.items()]
+    return inside.join(starts, same).select(*[c for c in df.columns if c not in columns], *found)
+
+
+def block_of(frame: str, block: int = BLOCK) -> Column:
+    """The number of a frame's block."""
+    return F.floor(F.col(frame) / F.lit(block))
+
+
+def runs(df: DataFrame, sequence: str, frame: str, label: str, block: int = BLOCK) -> DataFrame:
     """Maximal runs of equal labels (nulls being equal), half open: start, end, length."""
-    w = Window.partitionBy(sequence).orderBy(frame)
-    starts = df.withColumn("new_", F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag(frame).over(w) == F.col(frame) - 1), 0).otherwise(1))
-    numbered = starts.withColumn("run", F.sum("new_").over(w))
+    fresh = lambda w: F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag(frame).over(w) == F.col(frame) - 1), 0).otherwise(1)
+    starts = near(df.select(sequence, frame, label), sequence, frame, 1, lambda w: {"new_": fresh(w)}, block)
+    numbered = running(starts, sequence, block_of(frame, block), frame, {"run": ("sum", F.col("new_"))})
     return numbered.groupBy(sequence, "run").agg(F.first(label).alias(label), F.min(frame).alias("start"), (F.max(frame) + 1).alias("end"), F.count(F.lit(1)).alias("length"))
 
 
@@ -34,34 +80,41 @@ def in_windows(df: DataFrame, frame: str, size: int, stride: int) -> DataFrame:
     return df.withColumn("start", F.explode(F.transform(slots, lambda i: i * stride)))
 
 
-def centered_vote(df: DataFrame, sequence: str, frame: str, label: str, half: int) -> DataFrame:
+def centered_vote(df: DataFrame, sequence: str, frame: str, label: str, half: int, block: int = BLOCK) -> DataFrame:
     """Replace each label by the most frequent one within ``half`` frames; the
     frame's own label wins ties, else the least label."""
-    near = Window.partitionBy(sequence).orderBy(F.col(frame).cast("long")).rangeBetween(-half, half)
     votes, own = F.col("votes_"), F.col(label)
     counted = F.transform(F.array_distinct(votes), lambda v: F.struct((-F.size(F.filter(votes, lambda x: x["l"].eqNullSafe(v["l"])))).alias("n"), (~v["l"].eqNullSafe(own)).alias("other"), v["l"].alias("l")))
-    found = df.withColumn("votes_", F.collect_list(F.struct(own.alias("l"))).over(near))
+    cast = df.select(sequence, F.col(frame).cast("long").alias(frame), label)
+    found = near(cast, sequence, frame, half, lambda w: {"votes_": F.collect_list(F.struct(own.alias("l"))).over(w.rangeBetween(-half, half))}, block)
     return found.select(sequence, frame, label, F.array_min(counted)["l"].alias("voted"))
 
 
-def nearest_events(df: DataFrame, sequence: str, time: Column, is_beat: Column, is_query: Column, key: str) -> DataFrame:
+def nearest_events(df: DataFrame, sequence: str, time: Column, is_beat: Column, is_query: Column, key: str, rows: int = BLOCK) -> DataFrame:
     """As-of in both directions: each query event's nearest beat of its sequence.
 
     One running maximum forward and one running minimum back over the union, no
-    pair join; each row is added once. Beats at the query's own time count. Adds before, after and distance in the unit of
+    pair join, within ranges of time and over their totals. Beats at the query's own time count. Adds before, after and distance in the unit of
     ``time`` (null without a beat).
     """
-    rows = df.withColumn("t_", time).withColumn("beat_", F.when(is_beat, F.col("t_")))
-    past = Window.partitionBy(sequence).orderBy("t_").rangeBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(sequence).orderBy(F.desc("t_")).rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.max("beat_").over(past)).withColumn("after", F.min("beat_").over(future))
+    timed = df.select(sequence, key, time.alias("t_"), F.when(is_beat, time).alias("beat_"), is_query.alias("query_"))
+    ranged = timed.withColumn("range_", ranks.quantile_range(timed, "t_", rows=rows))
+    ranged = running(ranged, sequence, F.col("range_"), "t_", {"before": ("max", F.col("beat_"))})
+    ranged = running(ranged, sequence, F.col("range_"), "t_", {"after": ("min", F.col("beat_"))}, downward=True)
     gap = F.least(F.col("t_") - F.col("before"), F.col("after") - F.col("t_"))
-    return rows.filter(is_query).select(sequence, key, F.col("t_").alias("t"), "before", "after", gap.alias("distance"))
+    return ranged.filter("query_").select(sequence, key, F.col("t_").alias("t"), "before", "after", gap.alias("distance"))
 
 
-def sessions(df: DataFrame, sequence: str, seconds: Column, gap: float) -> DataFrame:
+def sessions(df: DataFrame, sequence: str, seconds: Column, gap: float, rows: int = BLOCK) -> DataFrame:
     """Runs of events that are at most ``gap`` apart."""
-    w = Window.partitionBy(sequence).orderBy("s_")
-    rows = df.withColumn("s_", seconds)
-    rows = rows.withColumn("new_", F.when(F.col("s_") - F.lag("s_").over(w) <= gap, 0).otherwise(1)).withColumn("session", F.sum("new_").over(w))
-    return rows.groupBy(sequence, "session").agg(F.count(F.lit(1)).alias("events"), F.min("s_").alias("begin_s"), F.max("s_").alias("end_s"))
+    timed = df.select(sequence, seconds.alias("s_"))
+    ranged = timed.withColumn("range_", ranks.quantile_range(timed, "s_", rows=rows))
+    last = ranged.groupBy(F.col(sequence).alias("sequence_"), F.col("range_").alias("at_range_")).agg(F.max("s_").alias("last_"))
+    earlier = Window.partitionBy("sequence_").orderBy("at_range_").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("sequence_", "at_range_", F.max("last_").over(earlier).alias("last_"))
+    w = Window.partitionBy(sequence, "range_").orderBy("s_")
+    stepped = ranged.withColumn("previous_", F.lag("s_").over(w))
+    stepped = stepped.join(last, F.col(sequence).eqNullSafe(F.col("sequence_")) & (F.col("range_") == F.col("at_range_")))
+    fresh = F.when(F.col("s_") - F.coalesce("previous_", "last_") <= gap, 0).otherwise(1)
+    numbered = running(stepped.select(sequence, "s_", "range_", fresh.alias("new_")), sequence, F.col("range_"), "s_", {"session": ("sum", F.col("new_"))})
+    return numbered.groupBy(sequence, "session").agg(F.count(F.lit(1)).alias("events"), F.min("s_").alias("begin_s"), F.max("s_").alias("end_s"))

@@ -239,8 +239,7 @@ SELECT user_id, count(*) AS overlaps, sum((x <> y)::INT)::BIGINT AS conflicts FR
 def stitch_conflicts(spark, sf_dir):
     shown = timeline.in_windows(_frames(spark, sf_dir), "frame", 8, 4)
     labels = ranks.majority(shown, ["user_id", "start"], "event_type")
-    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("start"))
-    pairs = labels.withColumn("y", nxt).filter("y is not null")
+    pairs = timeline.near(labels, "user_id", "start", 4, lambda w: {"y": F.lead("event_type").over(w)}).filter("y is not null")
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("overlaps"), F.sum((F.col("event_type") != F.col("y")).cast("long")).alias("conflicts"))
 
 
@@ -306,23 +305,22 @@ def best_phase(spark, sf_dir):
 @query(f"""WITH {_FRAMES}, g AS (SELECT user_id, frame, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY frame) AS d, lead(value) OVER (PARTITION BY user_id ORDER BY frame) - value AS e FROM f)
 SELECT user_id, frame, value FROM g WHERE d > 0 AND e < 0""")
 def accent_frames(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("frame")
-    g = _frames(spark, sf_dir).withColumn("d", F.col("value") - F.lag("value").over(w)).withColumn("e", F.lead("value").over(w) - F.col("value"))
+    sides = lambda w: {"d": F.col("value") - F.lag("value").over(w), "e": F.lead("value").over(w) - F.col("value")}
+    g = timeline.near(_frames(spark, sf_dir), "user_id", "frame", 1, sides)
     return g.filter("d > 0 and e < 0").select("user_id", F.col("frame").cast("long").alias("frame"), "value")
 
 
 @query(f"""WITH {_FRAMES}, g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY frame) AS gap FROM f)
 SELECT user_id, count(gap) AS gaps, max(gap) AS longest, sum(CASE WHEN gap > 86400000000 THEN 1 ELSE 0 END)::BIGINT AS breaks FROM g GROUP BY 1""")
 def gap_summary(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("frame")
-    g = _frames(spark, sf_dir).withColumn("gap", F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w))
+    g = timeline.near(_frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"gap": F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)})
     return g.groupBy("user_id").agg(F.count("gap").alias("gaps"), F.max("gap").alias("longest"), F.sum(F.when(F.col("gap") > 86_400_000_000, 1).otherwise(0)).alias("breaks"))
 
 
 @query(f"""WITH {_FRAMES}, t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY frame) AS b FROM f)
 SELECT a, b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY a), 6) AS p FROM t WHERE b IS NOT NULL GROUP BY a, b""")
 def transitions(spark, sf_dir):
-    t = _frames(spark, sf_dir).withColumn("b", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("frame"))).filter("b is not null")
+    t = timeline.near(_frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"b": F.lead("event_type").over(w)}).filter("b is not null")
     counts = t.groupBy(F.col("event_type").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 6))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import candidates, clusters, retrieval, splits, warping
+from larkspur.operators import candidates, clusters, ranks, retrieval, splits, timeline, warping
 from larkspur.plans.registry import query
-from larkspur.plans.segments import FRAMES, RUNS, by_user, frames, label_runs
+from larkspur.plans.segments import FRAMES, RUNS, frames, label_runs
 from larkspur.session import table
 from larkspur.sources import views
 
@@ -78,7 +77,7 @@ def energy_floor(spark, sf_dir):
     """Runs whose mean is not under the fifth of their class."""
     f, r = frames(spark, sf_dir), label_runs(spark, sf_dir).select("user_id", "event_type", "start")
     begun = f.join(r.select("user_id", F.col("start").alias("frame"), "start"), ["user_id", "frame"], "left")
-    begun = begun.withColumn("start", F.last("start", ignorenulls=True).over(by_user().rowsBetween(Window.unboundedPreceding, 0)))
+    begun = timeline.running(begun, "user_id", timeline.block_of("frame"), "frame", {"start": ("max", F.col("start"))})
     energy = begun.groupBy("user_id", "event_type", "start").agg(F.round(F.avg("value"), 6).alias("energy"))
     return candidates.above_floor(energy, "event_type", "energy", 0.2).select("user_id", "event_type", F.col("start").cast("long").alias("start"), "energy")
 
@@ -102,7 +101,7 @@ def stretch_gate(spark, sf_dir):
 h AS (SELECT user_id, coalesce(list(frame ORDER BY frame) FILTER (novelty > cut), []) AS p FROM d JOIN q USING (user_id) GROUP BY 1),
 t AS (SELECT user_id, list_reduce(list_concat([[0::BIGINT]], list_transform(p, lambda x: [x])), lambda a, x: CASE WHEN x[1] - a[-1] >= 8 THEN list_concat(a, x) ELSE a END) AS s FROM h) SELECT user_id, unnest(s) AS frame FROM t""")
 def phrase_starts(spark, sf_dir):
-    d = frames(spark, sf_dir).withColumn("novelty", F.round(F.abs(F.col("value") - F.lag("value").over(by_user())), 6)).withColumn("novelty", F.coalesce("novelty", F.lit(0.0)))
+    d = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"novelty": F.coalesce(F.round(F.abs(F.col("value") - F.lag("value").over(w)), 6), F.lit(0.0))})
     return candidates.phrase_starts(d, "user_id", "frame", "novelty", 0.7, 8)
 
 
@@ -110,15 +109,15 @@ def phrase_starts(spark, sf_dir):
 def energy_follow(spark, sf_dir):
     """Each bar's place in the order of loudness within its sequence."""
     b = frames(spark, sf_dir).groupBy("user_id", F.floor(F.col("frame") / 8).alias("bar")).agg(F.round(F.avg("value"), 6).alias("loudness"))
-    w = Window.partitionBy("user_id")
-    return b.withColumn("target", F.round((F.row_number().over(w.orderBy("loudness", "bar")) - 0.5) / F.count(F.lit(1)).over(w), 6))
+    n = b.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = ranks.row_numbers(b, "user_id", ["loudness", "bar"], "at", timeline.BLOCK).join(n, "user_id")
+    return placed.select("user_id", "bar", "loudness", F.round((F.col("at") + 0.5) / F.col("n"), 6).alias("target"))
 
 
 @query(f"""WITH {RUNS}, k AS (SELECT *, lead(event_type) OVER w AS next_type, lead(length) OVER w AS next_length FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY start)) SELECT user_id, start, event_type, length, next_type, next_length, abs(next_length - length) <= greatest(2, 0.15 * length) AS continues FROM k WHERE next_length IS NOT NULL""")
 def continue_source(spark, sf_dir):
     """The part of the same recording that follows, and whether its length is near enough."""
-    w = Window.partitionBy("user_id").orderBy("start")
-    k = label_runs(spark, sf_dir).withColumn("next_type", F.lead("event_type").over(w)).withColumn("next_length", F.lead("length").over(w)).filter("next_length is not null")
+    k = timeline.near(label_runs(spark, sf_dir), "user_id", "run", 1, lambda w: {"next_type": F.lead("event_type").over(w), "next_length": F.lead("length").over(w)}).filter("next_length is not null")
     return k.select("user_id", "start", "event_type", "length", "next_type", "next_length", (F.abs(F.col("next_length") - F.col("length")) <= F.greatest(F.lit(2.0), F.col("length") * 0.15)).alias("continues"))
 
 
@@ -128,7 +127,8 @@ def step_lock(spark, sf_dir):
     """Clicks as steps, views as beats: 1 on the beat, -1 half a beat off, 0 where no step lies between beats."""
     beat = F.when(F.col("event_type") == "view", F.unix_micros("ts"))
     f = frames(spark, sf_dir).withColumn("t", F.unix_micros("ts")).withColumn("beat", beat)
-    f = f.withColumn("p", F.max("beat").over(by_user().rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.min("beat").over(by_user().rowsBetween(0, Window.unboundedFollowing)))
+    f = timeline.running(f, "user_id", timeline.block_of("frame"), "frame", {"p": ("max", F.col("beat"))})
+    f = timeline.running(f, "user_id", timeline.block_of("frame"), "frame", {"q": ("min", F.col("beat"))}, downward=True)
     score = F.avg(F.when(F.col("q") > F.col("p"), F.cos(2 * F.pi() * ((F.col("t") - F.col("p")) / (F.col("q") - F.col("p"))))))
     return f.filter("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"), F.round(F.coalesce(score, F.lit(0.0)), 6).alias("score"))
 
@@ -196,7 +196,8 @@ def warped_to_anchors(spark, sf_dir):
     """Every eighth frame is drawn to its nearest view (the earlier of equals); frames between kept anchors are placed linearly."""
     f = frames(spark, sf_dir)
     view = F.when(F.col("event_type") == "view", F.col("frame"))
-    b = f.withColumn("p", F.max(view).over(by_user().rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.min(view).over(by_user().rowsBetween(0, Window.unboundedFollowing)))
+    b = timeline.running(f, "user_id", timeline.block_of("frame"), "frame", {"p": ("max", view)})
+    b = timeline.running(b, "user_id", timeline.block_of("frame"), "frame", {"q": ("min", view)}, downward=True)
     near = F.when(F.col("q").isNull() | (F.col("frame") - F.col("p") <= F.col("q") - F.col("frame")), F.col("p")).otherwise(F.col("q"))
     n = b.filter("frame % 8 = 0").select("user_id", near.alias("s"), F.col("frame").alias("t")).filter("s is not null")
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("t", "s"))), lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import ranks, segments, timeline
@@ -18,10 +18,6 @@ v AS (SELECT user_id, start, event_type, count(*) AS votes FROM o GROUP BY ALL),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, start ORDER BY votes DESC, event_type) AS k FROM v) WHERE k = 1)"""
 
 
-def by_user():
-    return Window.partitionBy("user_id").orderBy("frame")
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return timeline.frames(events, "user_id", ["ts", "event_id"]).withColumn("frame", F.col("frame").cast("long"))
@@ -47,7 +43,7 @@ def centered_mean(spark, sf_dir):
 
 @query(f"WITH {FRAMES}, m AS (SELECT user_id, frame, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS middle FROM f) SELECT user_id, frame, round(middle, 5) AS middle, round(value / middle, 5) AS spike FROM m")
 def rolling_median_spikes(spark, sf_dir):
-    m = frames(spark, sf_dir).withColumn("middle", F.percentile("value", 0.5).over(by_user().rowsBetween(-3, 3)))
+    m = timeline.near(frames(spark, sf_dir), "user_id", "frame", 3, lambda w: {"middle": F.percentile("value", 0.5).over(w.rowsBetween(-3, 3))})
     return m.select("user_id", "frame", F.round("middle", 5).alias("middle"), F.round(F.try_divide("value", "middle"), 5).alias("spike"))
 
 
@@ -61,7 +57,8 @@ def motion_differences(spark, sf_dir):
 @query(f"""WITH {FRAMES}, d AS (SELECT user_id, frame, abs(value - (lag(value) OVER (PARTITION BY user_id ORDER BY frame) + lead(value) OVER (PARTITION BY user_id ORDER BY frame)) / 2) AS off FROM f),
 m AS (SELECT user_id, median(off) AS middle FROM d GROUP BY 1) SELECT user_id, frame, round(off, 5) AS off FROM d JOIN m USING (user_id) WHERE off > 3 * middle""")
 def one_frame_outliers(spark, sf_dir):
-    d = frames(spark, sf_dir).withColumn("off", F.abs(F.col("value") - (F.lag("value").over(by_user()) + F.lead("value").over(by_user())) / 2))
+    off = lambda w: F.abs(F.col("value") - (F.lag("value").over(w) + F.lead("value").over(w)) / 2)
+    d = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"off": off(w)})
     middle = d.groupBy("user_id").agg(F.percentile("off", 0.5).alias("middle"))
     return d.join(middle, "user_id").filter("off > 3 * middle").select("user_id", "frame", F.round("off", 5).alias("off"))
 
@@ -90,7 +87,8 @@ def accent_minima(spark, sf_dir):
 
 @query(f"WITH {FRAMES} SELECT a.user_id, a.frame, b.value AS shifted FROM f a JOIN f b ON a.user_id = b.user_id AND b.frame = (a.frame + 5) % a.n")
 def circular_shift(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    f = frames(spark, sf_dir)
+    f = f.join(f.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
     moved = f.select("user_id", F.pmod(F.col("frame") - 5, F.col("n")).alias("frame"), F.col("value").alias("shifted"))
     return moved
 
@@ -98,17 +96,23 @@ def circular_shift(spark, sf_dir):
 @query(f"""WITH {FRAMES}, r AS (SELECT user_id, frame, rank() OVER (PARTITION BY user_id ORDER BY value) + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0 AS rk, (rank() OVER (PARTITION BY user_id ORDER BY value) - 1) / n AS below FROM f)
 SELECT user_id, round(corr(rk, frame), 5) AS spearman, round(max(below), 5) AS top_position FROM r GROUP BY 1 HAVING count(*) >= 3""")
 def spearman_per_sequence(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    rank = F.rank().over(w.orderBy("value"))
-    r = frames(spark, sf_dir).withColumn("rk", rank + (F.count(F.lit(1)).over(Window.partitionBy("user_id", "value")) - 1) / 2.0).withColumn("below", (rank - 1) / F.count(F.lit(1)).over(w))
-    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rk", F.col("frame").cast("double")), 5).alias("spearman"), F.round(F.max("below"), 5).alias("top_position")).filter("n >= 3").drop("n")
+    f = frames(spark, sf_dir)
+    counts = f.groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("same"))
+    upto = timeline.running(counts, "user_id", ranks.quantile_range(f, "value", rows=timeline.BLOCK), "value", {"upto": ("sum", F.col("same"))})
+    r = f.join(upto, ["user_id", "value"]).withColumn("rk", F.col("upto") - (F.col("same") - 1) / 2.0)
+    n = F.count(F.lit(1))
+    return r.groupBy("user_id").agg(n.alias("n"), F.round(F.corr("rk", F.col("frame").cast("double")), 5).alias("spearman"), F.round(F.max(F.col("upto") - F.col("same")) / n, 5).alias("top_position")).filter("n >= 3").drop("n")
 
 
 @query(f"""WITH {FRAMES}, g AS (SELECT user_id, frame, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY frame)) / 1e6 AS s FROM f), l AS (SELECT *, abs(ln(s) - lag(ln(s)) OVER (PARTITION BY user_id ORDER BY frame)) AS step FROM g WHERE s > 0)
 SELECT user_id, round(stddev_pop(ln(s)), 5) AS spread, round(max(s) / min(s), 3) AS widest, round(avg(step), 5) AS mean_step, round(max(step), 5) AS max_step FROM l GROUP BY 1 HAVING count(*) >= 2""")
 def stretch_spread(spark, sf_dir):
-    g = frames(spark, sf_dir).withColumn("s", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(by_user())) / 1e6).filter("s > 0")
-    steps = g.withColumn("step", F.abs(F.log("s") - F.lag(F.log("s")).over(by_user())))
+    """A step is from the last earlier gap that is not none."""
+    g = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"s": (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6})
+    gap = F.when(F.col("s") > 0, F.struct("frame", "s"))
+    g = timeline.running(g, "user_id", timeline.block_of("frame"), "frame", {"last": ("max", gap)})
+    g = timeline.near(g, "user_id", "frame", 1, lambda w: {"before": F.lag("last").over(w)})
+    steps = g.filter("s > 0").withColumn("step", F.abs(F.log("s") - F.log("before.s")))
     out = steps.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop(F.log("s")), 5).alias("spread"), F.round(F.max("s") / F.min("s"), 3).alias("widest"), F.round(F.avg("step"), 5).alias("mean_step"), F.round(F.max("step"), 5).alias("max_step"))
     return out.filter("n >= 2").drop("n")
 
@@ -116,8 +120,9 @@ def stretch_spread(spark, sf_dir):
 @query(f"""WITH {FRAMES}, b AS (SELECT *, event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY frame) AS seam FROM f), k AS (SELECT *, max(CASE WHEN seam THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM b)
 SELECT user_id, round(avg(CASE WHEN near = 1 THEN value END) / avg(CASE WHEN near = 0 THEN value END), 5) AS ratio FROM k GROUP BY 1""")
 def seam_ratio(spark, sf_dir):
-    b = frames(spark, sf_dir).withColumn("seam", F.when(F.col("event_type") != F.lag("event_type").over(by_user()), 1).otherwise(0))
-    k = b.withColumn("near", F.max("seam").over(by_user().rowsBetween(-1, 1)))
+    f = frames(spark, sf_dir)
+    b = timeline.near(f, "user_id", "frame", 1, lambda w: {"seam": F.when(F.col("event_type") != F.lag("event_type").over(w), 1).otherwise(0)})
+    k = timeline.near(b, "user_id", "frame", 1, lambda w: {"near": F.max("seam").over(w.rowsBetween(-1, 1))})
     return k.groupBy("user_id").agg(F.round(F.try_divide(F.avg(F.when(F.col("near") == 1, F.col("value"))), F.avg(F.when(F.col("near") == 0, F.col("value")))), 5).alias("ratio"))
 
 
@@ -197,10 +202,11 @@ def bar_bins(spark, sf_dir):
 @query(f"""WITH {RUNS}, b AS (SELECT user_id, start AS pos FROM runs UNION SELECT user_id, unnest(range(0, n, 8)) FROM (SELECT DISTINCT user_id, n FROM f)), n AS (SELECT DISTINCT user_id, n FROM f)
 SELECT user_id, pos AS start, lead(pos, 1, n) OVER (PARTITION BY user_id ORDER BY pos) AS "end" FROM b JOIN n USING (user_id)""")
 def runs_cut_at_bars(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    w = Window.partitionBy("user_id")
-    flagged = f.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("cut", (F.col("frame") % 8 == 0) | ~F.col("event_type").eqNullSafe(F.lag("event_type").over(by_user()))).filter("cut")
-    return flagged.select("user_id", F.col("frame").alias("start"), F.coalesce(F.lead("frame").over(by_user()), F.col("n")).alias("end"))
+    """The next cut is at most a bar ahead, and so is the end of a sequence after its last one."""
+    turn = lambda w: (F.col("frame") % 8 == 0) | ~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))
+    f = timeline.near(frames(spark, sf_dir), "user_id", "frame", 8, lambda w: {"cut": turn(w), "stop": F.max("frame").over(w.rowsBetween(0, 7)) + 1})
+    cuts = timeline.near(f.filter("cut"), "user_id", "frame", 8, lambda w: {"next": F.lead("frame").over(w)})
+    return cuts.select("user_id", F.col("frame").alias("start"), F.coalesce("next", "stop").alias("end"))
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT user_id, frame // 4 AS bar, string_agg(event_type, ',' ORDER BY frame) AS content FROM f GROUP BY 1, 2 HAVING count(*) = 4), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, content ORDER BY bar) AS nth FROM b)
@@ -225,9 +231,10 @@ ASOF LEFT JOIN (SELECT * FROM k WHERE v IS NOT NULL) q ON k.user_id = q.user_id
 SELECT user_id, frame, round(CASE WHEN v IS NOT NULL THEN v ELSE pv + (qv - pv) * (frame - pf) / (qf - pf) END, 5) AS filled FROM a""")
 def gaps_filled(spark, sf_dir):
     known = F.when(F.col("event_type") != "error", F.struct("frame", "value"))
-    upward = by_user().rowsBetween(Window.unboundedPreceding, 0)
-    downward = Window.partitionBy("user_id").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
-    a = frames(spark, sf_dir).withColumn("k", known).withColumn("p", F.last("k", ignorenulls=True).over(upward)).withColumn("q", F.last("k", ignorenulls=True).over(downward))
+    block = timeline.block_of("frame")
+    a = frames(spark, sf_dir).withColumn("k", known)
+    a = timeline.running(a, "user_id", block, "frame", {"p": ("max", F.col("k"))})
+    a = timeline.running(a, "user_id", block, "frame", {"q": ("min", F.col("k"))}, downward=True)
     between = F.col("p.value") + (F.col("q.value") - F.col("p.value")) * (F.col("frame") - F.col("p.frame")) / F.nullif(F.col("q.frame") - F.col("p.frame"), F.lit(0))
     return a.select("user_id", "frame", F.round(F.coalesce(F.col("k.value"), between), 5).alias("filled"))
 
@@ -235,24 +242,27 @@ def gaps_filled(spark, sf_dir):
 @query(f"""WITH {FRAMES}, m AS (SELECT user_id, event_id, event_type, frame, n, min(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS trough, max(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS peak FROM f)
 SELECT user_id, event_id, trough, peak FROM m WHERE event_type = 'click' AND frame >= 2 AND frame < n - 2""")
 def trough_and_peak(spark, sf_dir):
-    m = frames(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).withColumn("trough", F.min("value").over(by_user().rowsBetween(-2, 2))).withColumn("peak", F.max("value").over(by_user().rowsBetween(-2, 0)))
-    return m.filter("event_type = 'click' and frame >= 2 and frame < n - 2").select("user_id", "event_id", "trough", "peak")
+    around = lambda w: {"after": F.count(F.lit(1)).over(w.rowsBetween(1, 2)), "trough": F.min("value").over(w.rowsBetween(-2, 2)), "peak": F.max("value").over(w.rowsBetween(-2, 0))}
+    m = timeline.near(frames(spark, sf_dir), "user_id", "frame", 2, around)
+    return m.filter("event_type = 'click' and frame >= 2 and after = 2").select("user_id", "event_id", "trough", "peak")
 
 
 @query(f"""WITH {RUNS}, d AS (SELECT *, CASE WHEN abs(mean - lag(mean) OVER (PARTITION BY user_id ORDER BY start)) < 5 THEN 0 ELSE 1 END AS cut FROM runs), k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY start) AS part FROM d)
 SELECT user_id, min(start) AS start, max(stop) AS "end", count(*) AS runs FROM k GROUP BY user_id, part""")
 def boundaries_dropped(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("new", F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(by_user())), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_user()))
+    fresh = lambda w: F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(w)), 0).otherwise(1)
+    f = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"new": fresh(w)})
+    f = timeline.running(f, "user_id", timeline.block_of("frame"), "frame", {"run": ("sum", F.col("new"))})
     runs = f.groupBy("user_id", "run").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.avg("value").alias("mean"))
-    by_run = Window.partitionBy("user_id").orderBy("start")
-    k = runs.withColumn("cut", F.when(F.abs(F.col("mean") - F.lag("mean").over(by_run)) < 5, 0).otherwise(1)).withColumn("part", F.sum("cut").over(by_run))
+    k = timeline.near(runs, "user_id", "run", 1, lambda w: {"cut": F.when(F.abs(F.col("mean") - F.lag("mean").over(w)) < 5, 0).otherwise(1)})
+    k = timeline.running(k, "user_id", timeline.block_of("run"), "run", {"part": ("sum", F.col("cut"))})
     return k.groupBy("user_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("runs")).drop("part")
 
 
 @query(f"""WITH {FRAMES}, s AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY frame) AS nxt, abs(lead(value) OVER (PARTITION BY user_id ORDER BY frame) - value) AS step FROM f)
 SELECT CASE WHEN event_type = 'view' AND nxt = 'view' THEN 'filler' WHEN event_type = 'view' OR nxt = 'view' THEN 'crossing' ELSE 'named' END AS kind, count(*) AS n, round(avg(step), 5) AS mean_step FROM s WHERE nxt IS NOT NULL GROUP BY 1""")
 def steps_by_ends(spark, sf_dir):
-    s = frames(spark, sf_dir).withColumn("nxt", F.lead("event_type").over(by_user())).withColumn("step", F.abs(F.lead("value").over(by_user()) - F.col("value"))).filter("nxt is not null")
+    s = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"nxt": F.lead("event_type").over(w), "step": F.abs(F.lead("value").over(w) - F.col("value"))}).filter("nxt is not null")
     kind = F.expr("case when event_type = 'view' and nxt = 'view' then 'filler' when event_type = 'view' or nxt = 'view' then 'crossing' else 'named' end")
     return s.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("step"), 5).alias("mean_step"))
 
@@ -267,7 +277,7 @@ def autocorrelation(spark, sf_dir):
 @query(f"""WITH {FRAMES}, y AS (SELECT user_id, frame, value AS x, lag(value) OVER (PARTITION BY user_id ORDER BY frame) AS y FROM f), l AS (SELECT user_id, frame, x, unnest(range(0, 6)) AS lag FROM y), p AS (SELECT l.user_id, l.lag, round(corr(l.x, y.y), 5) AS r, count(*) AS n FROM l JOIN y ON y.user_id = l.user_id AND y.frame = l.frame + l.lag WHERE y.y IS NOT NULL GROUP BY 1, 2)
 SELECT user_id, lag::INT AS lag, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, lag) AS k FROM p WHERE n >= 20) WHERE k = 1""")
 def best_lag(spark, sf_dir):
-    both = frames(spark, sf_dir).withColumn("y", F.lag("value").over(by_user()))
+    both = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"y": F.lag("value").over(w)})
     r = segments.lagged_correlation(both, "user_id", "frame", "value", "y", 5, 20).withColumn("r", F.round("r", 5))
     return ranks.first_rows(r, ["user_id"], [F.desc("r"), F.asc("lag")]).select("user_id", "lag", "r")
 
@@ -302,7 +312,8 @@ def tiled_turns(spark, sf_dir):
 
 @query("""WITH c AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations) SELECT conv_id, count(*) AS turns, min(turn) = 0 AND max(turn) = count(*) - 1 AS complete, coalesce(sum((step <= 0)::INT), 0)::BIGINT AS repeats, coalesce(sum((step > 1)::INT), 0)::BIGINT AS gaps FROM c GROUP BY 1""")
 def frame_id_validation(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("step", F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    c = timeline.frames(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", ["turn"])
+    c = timeline.near(c, "conv_id", "frame", 1, lambda w: {"step": F.col("turn") - F.lag("turn").over(w)})
     counted = lambda x: F.coalesce(count_if(x), F.lit(0))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), ((F.min("turn") == 0) & (F.max("turn") == F.count(F.lit(1)) - 1)).alias("complete"), counted("step <= 0").alias("repeats"), counted("step > 1").alias("gaps"))
 

@@ -185,3 +185,26 @@ def test_streams_leave_rows_in_files_and_close_every_session(spark, tmp_path, mo
     assert sorted((str(r["user_id"]), r["events"], r["value"]) for r in got.collect()) == [("1", 1, 4.0), ("1", 2, 3.0), ("None", 1, 8.0)]
     assert (tmp_path / "shared" / "state" / "offsets").is_dir() and got.inputFiles()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("drained_")]
+
+
+def test_blocks_of_a_sequence_change_nothing(spark):
+    """Every timeline operator gives the same rows with blocks of four frames or ranges of four rows as with one."""
+    df = spark.range(240).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.lit("cold")).alias("s"), "id", (F.col("id") * 7 % 41).alias("t"), (F.hash("id") % 3).alias("v"), (F.col("id") * 13 % 17).cast("double").alias("x"))
+    one, many = timeline.frames(df, "s", ["t", "id"], "f"), timeline.frames(df, "s", ["t", "id"], "f", rows=4)
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert one.count() == 240 and same(one, many)
+    for name, op, last in (
+        ("runs", lambda b: timeline.runs(one, "s", "f", "v", b), None),
+        ("vote", lambda b: timeline.centered_vote(one, "s", "f", "v", 2, b), None),
+        ("mean", lambda b: segments.padded_mean(one, "s", "f", "x", 2, b), None),
+        ("differences", lambda b: segments.differences(one, "s", "f", "x", 3, b), None),
+        ("minima", lambda b: segments.minima(one, "s", "f", "x", 0.98, b), None),
+        ("lags", lambda b: segments.lagged_correlation(one, "s", "f", "x", "x", 3, 2, b), "r"),
+        ("nearest", lambda b: timeline.nearest_events(df, "s", F.col("t"), F.col("v") == 0, F.col("v") == 1, "id", b), None),
+        ("sessions", lambda b: timeline.sessions(df, "s", F.col("t") * 3, 4.0, b), None),
+        ("located", lambda b: segments.located(one.filter("v = 1"), one.filter("f % 5 = 2").select("s", F.col("f").alias("start"), (F.col("f") + 3).alias("end")), "s", "f", [], b), None),
+    ):
+        a, b = op(1_000_000), op(4)
+        if last:
+            a, b = (d.withColumn(last, F.round(last, 9)) for d in (a, b))
+        assert a.count() > 0 and same(a, b), name
