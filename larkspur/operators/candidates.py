@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import quantiles, ranks, timeline
+
 
 def best_share(rows: DataFrame, pool: str, score: Column, ordinal: str, share: float, least: int = 2, untouched: int = 2) -> DataFrame:
     """The ceil(n*share) best of each pool by score (ties by ordinal), ``least`` at
     least; pools of at most ``untouched`` stay whole, as do candidates of a pool
     none of which has a score. Adds ``rank`` and ``pool_size``."""
-    all_ = Window.partitionBy(pool)
-    ranked = rows.withColumn("score_", score).withColumn("pool_size", F.count(F.lit(1)).over(all_)).withColumn("scored_", F.count("score_").over(all_))
-    ranked = ranked.withColumn("rank", F.row_number().over(all_.orderBy(F.desc_nulls_last("score_"), F.asc(ordinal))))
+    scored = rows.withColumn("score_", score)
+    sizes = scored.groupBy(F.col(pool).alias("pool_")).agg(F.count(F.lit(1)).alias("pool_size"), F.count("score_").alias("scored_"))
+    placed = scored.withColumn("score_", F.coalesce(-F.col("score_").cast("double"), F.lit(float("inf"))))
+    placed = ranks.row_numbers(placed, pool, ["score_", ordinal], "at_", timeline.BLOCK)
+    ranked = placed.join(sizes, F.col(pool).eqNullSafe(F.col("pool_"))).withColumn("rank", F.col("at_") + 1).drop("pool_", "at_")
     most = F.greatest(F.ceil(F.col("pool_size") * share), F.lit(least))
     return ranked.filter((F.col("pool_size") <= untouched) | (F.col("scored_") == 0) | (F.col("rank") <= most)).drop("score_", "scored_")
 
 
 def above_floor(rows: DataFrame, group: str, energy: str, q: float) -> DataFrame:
     """Rows whose energy is not under the group's q-quantile."""
-    floor = rows.groupBy(group).agg(F.percentile(energy, q).alias("floor_"))
+    floor = quantiles.linear(rows, group, energy, {"floor_": q})
     return rows.join(floor, group).filter(F.col(energy) >= F.col("floor_")).drop("floor_")
 
 
@@ -42,7 +46,7 @@ def stretch_report(slots: DataFrame, candidates: DataFrame, label: str, length:
 def phrase_starts(rows: DataFrame, sequence: str, frame: str, novelty: str, q: float, least: int) -> DataFrame:
     """Frames that begin a phrase: 0, and in order those whose novelty is above the
     sequence's q-quantile and that stand at least ``least`` after the last start."""
-    cut = rows.groupBy(sequence).agg(F.percentile(novelty, q).alias("cut_"))
+    cut = quantiles.linear(rows, sequence, novelty, {"cut_": q})
     high = rows.join(cut, sequence).filter(F.col(novelty) > F.col("cut_"))
     places = high.groupBy(sequence).agg(F.array_sort(F.collect_list(F.col(frame).cast("long"))).alias("p_"))
     found = rows.select(sequence).distinct().join(places, sequence, "left").withColumn("p_", F.coalesce("p_", F.expr("cast(array() as array<bigint>)")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import ranks, timeline
+
 
 def chaining_guard(components: DataFrame, component: str, most: float) -> DataFrame:
     """Rows, components, the largest one's share, and whether it voids the grouping."""
@@ -28,16 +30,16 @@ def pinned(rows: DataFrame, component: str, pin: str) -> DataFrame:
     return found.select(component, "members", state.alias("placement"))
 
 
-def round_robin(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+def round_robin(rows: DataFrame, group: str, order: list[str], block: int = timeline.BLOCK) -> DataFrame:
     """Add ``turn``: one row of each group in each turn, in order."""
-    return rows.withColumn("turn", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    return ranks.row_numbers(rows, group, order, "turn", block)
 
 
 def evenly_spaced(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """At most n rows of each group, evenly spaced in order, first and last among them."""
-    w = Window.partitionBy(group)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    size = F.count(F.lit(1)).over(w)
+    sizes = rows.groupBy(F.col(group).alias("group_")).agg(F.count(F.lit(1)).alias("size_"))
+    numbered = ranks.row_numbers(rows, group, order, "at_", timeline.BLOCK).join(sizes, F.col(group).eqNullSafe(F.col("group_")))
+    at, size = F.col("at_"), F.col("size_")
     # Row i is taken when the index i * (n - 1) // (size - 1) is first reached there.
     step = F.when(size <= n, F.lit(True)).otherwise((at == 0) | (F.floor(at * (n - 1) / (size - 1)) > F.floor((at - 1) * (n - 1) / (size - 1))))
-    return rows.withColumn("taken_", step).filter("taken_").drop("taken_")
+    return numbered.filter(step).select(*rows.columns)

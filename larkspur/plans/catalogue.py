@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import contracts, graph, ranks, retrieval, splits, stats, timeline
+from larkspur.operators import contracts, graph, quantiles, ranks, retrieval, splits, stats, timeline
 from larkspur.plans import controls, measures, planning, records, segments  # noqa: F401  they register their queries
 from larkspur.plans.registry import oracle_sql, queries, query  # noqa: F401
 from larkspur.session import shared_folder, table
@@ -382,12 +382,9 @@ def nearest_centroid(spark, sf_dir):
 @query(f"WITH {_ASSIGNED}, r AS (SELECT *, row_number() OVER (PARTITION BY assigned ORDER BY distance) AS k, count(*) OVER (PARTITION BY assigned) AS n2 FROM a), t AS (SELECT assigned, max(distance) AS cut FROM r WHERE k <= ceil(n2 * 0.9) GROUP BY 1) SELECT assigned, cut, sum((distance <= cut)::INT)::BIGINT AS accepted, count(*) AS n FROM a JOIN t USING (assigned) GROUP BY 1, 2")
 def accept_by_quantile(spark, sf_dir):
     """The cut is found from counts per distance, so a label's rows are not sorted together."""
-    counts = _assigned(spark, sf_dir).groupBy("assigned", "distance").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("assigned")
-    r = counts.withColumn("upto", F.sum("c").over(w.orderBy("distance"))).withColumn("n", F.sum("c").over(w))
-    reached = F.col("upto") >= F.ceil(F.col("n") * F.lit(0.9))
-    cut = F.min(F.when(reached, F.col("distance"))).over(w)
-    return r.withColumn("cut", cut).groupBy("assigned", "cut").agg(F.sum(F.when(F.col("distance") <= F.col("cut"), F.col("c")).otherwise(0)).alias("accepted"), F.sum("c").alias("n"))
+    counts = quantiles.counted(_assigned(spark, sf_dir), "assigned", "distance")
+    reached = F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(0.9)), F.struct(F.col("distance").alias("cut"), F.col("upto").alias("accepted")))
+    return counts.groupBy("assigned").agg(F.min(reached).alias("r"), F.max("n").alias("n")).select("assigned", "r.cut", "r.accepted", "n")
 
 
 @query(f"WITH {_ASSIGNED}, k AS (SELECT assigned, label, count(*) AS n FROM a GROUP BY 1, 2) SELECT assigned, max(n) AS largest, sum(n)::BIGINT AS members, round(max(n) / sum(n), 6) AS purity FROM k GROUP BY 1")
@@ -480,7 +477,8 @@ def nearest_rank_quantile(spark, sf_dir):
 
 @query("SELECT source, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90 FROM documents GROUP BY 1")
 def linear_quantiles(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("source").agg(F.round(F.percentile("n_chars", 0.5), 4).alias("p50"), F.round(F.percentile("n_chars", 0.9), 4).alias("p90"))
+    found = quantiles.linear(_docs(spark, sf_dir), "source", "n_chars", {"p50": 0.5, "p90": 0.9})
+    return found.select("source", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
 
 
 @query("SELECT floor(log2(greatest(n_chars, 1)))::BIGINT AS bucket, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS mass FROM documents GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import controls, intervals, ranks, stats, timeline
+from larkspur.operators import controls, intervals, quantiles, ranks, stats, timeline
 from larkspur.plans.registry import query
 from larkspur.plans.segments import FRAMES, RUNS, frames, label_runs
 from larkspur.session import table
@@ -42,7 +42,7 @@ SELECT user_id, bar, max(CASE WHEN low THEN length ELSE 0 END) AS longest, max(C
 def windows_with_hold(spark, sf_dir):
     """Whether a window of sixteen frames has three in a row under half the sequence's median."""
     f = frames(spark, sf_dir)
-    mid = f.groupBy("user_id").agg(F.percentile("value", 0.5).alias("mid"))
+    mid = quantiles.linear(f, "user_id", "value", {"mid": 0.5})
     low = f.join(mid, "user_id").select(F.struct("user_id", F.floor(F.col("frame") / 16).alias("bar")).alias("w"), "frame", (F.col("value") < 0.5 * F.col("mid")).alias("low"))
     longest = F.max(F.when(F.col("low"), F.col("length")).otherwise(0))
     return timeline.runs(low, "w", "frame", "low").groupBy("w").agg(longest.alias("longest")).select("w.user_id", "w.bar", "longest", (F.col("longest") >= 3).alias("holds"))
@@ -59,7 +59,7 @@ def rolling_percentile(spark, sf_dir):
 def deep_events(spark, sf_dir):
     """Clicks at or under the 0.3 quantile of their sequence's clicks; all of them where it has none."""
     c = table(spark, sf_dir, "events").filter("event_type = 'click'").select("user_id", "event_id", "value")
-    return c.join(c.groupBy("user_id").agg(F.percentile("value", 0.3).alias("cut")), "user_id").filter("value <= cut or cut is null").drop("cut")
+    return c.join(quantiles.linear(c, "user_id", "value", {"cut": 0.3}), "user_id", "left").filter("value <= cut or cut is null").drop("cut")
 
 
 @query(f"""WITH {FRAMES}, d AS (SELECT round(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY frame)), 6) AS step FROM f), r AS (SELECT step, row_number() OVER (ORDER BY step) AS k, count(*) OVER () AS n FROM d WHERE step IS NOT NULL)

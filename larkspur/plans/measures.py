@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import ranks, retrieval, stats
+from larkspur.operators import ranks, retrieval, stats, timeline
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -262,8 +262,8 @@ def mann_whitney(spark, sf_dir):
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'F') SELECT o.o_orderkey, s.r AS rank FROM orders o LEFT JOIN s USING (o_orderkey)""")
 def rank_among_survivors(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    s = o.filter("o_orderstatus <> 'F'").withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")).cast("long"))
-    return o.select("o_orderkey").join(s.select("o_orderkey", "rank"), "o_orderkey", "left")
+    s = ranks.row_numbers(o.filter("o_orderstatus <> 'F'"), "o_custkey", ["o_totalprice", "o_orderkey"], "at", timeline.BLOCK)
+    return o.select("o_orderkey").join(s.select("o_orderkey", (F.col("at") + 1).alias("rank")), "o_orderkey", "left")
 
 
 @query("""WITH p AS (SELECT source, avg(quality) AS q, avg(n_chars) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b FROM p) SELECT count(*) AS parts, round(corr(a, b), 6) AS spearman FROM r""")

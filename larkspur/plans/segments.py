@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import ranks, segments, timeline
+from larkspur.operators import quantiles, ranks, segments, timeline
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -59,7 +59,7 @@ m AS (SELECT user_id, median(off) AS middle FROM d GROUP BY 1) SELECT user_id, f
 def one_frame_outliers(spark, sf_dir):
     off = lambda w: F.abs(F.col("value") - (F.lag("value").over(w) + F.lead("value").over(w)) / 2)
     d = timeline.near(frames(spark, sf_dir), "user_id", "frame", 1, lambda w: {"off": off(w)})
-    middle = d.groupBy("user_id").agg(F.percentile("off", 0.5).alias("middle"))
+    middle = quantiles.linear(d, "user_id", "off", {"middle": 0.5})
     return d.join(middle, "user_id").filter("off > 3 * middle").select("user_id", "frame", F.round("off", 5).alias("off"))
 
 
@@ -97,9 +97,7 @@ def circular_shift(spark, sf_dir):
 SELECT user_id, round(corr(rk, frame), 5) AS spearman, round(max(below), 5) AS top_position FROM r GROUP BY 1 HAVING count(*) >= 3""")
 def spearman_per_sequence(spark, sf_dir):
     f = frames(spark, sf_dir)
-    counts = f.groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("same"))
-    upto = timeline.running(counts, "user_id", ranks.quantile_range(f, "value", rows=timeline.BLOCK), "value", {"upto": ("sum", F.col("same"))})
-    r = f.join(upto, ["user_id", "value"]).withColumn("rk", F.col("upto") - (F.col("same") - 1) / 2.0)
+    r = f.join(quantiles.counted(f, "user_id", "value").drop("n"), ["user_id", "value"]).withColumn("rk", F.col("upto") - (F.col("same") - 1) / 2.0)
     n = F.count(F.lit(1))
     return r.groupBy("user_id").agg(n.alias("n"), F.round(F.corr("rk", F.col("frame").cast("double")), 5).alias("spearman"), F.round(F.max(F.col("upto") - F.col("same")) / n, 5).alias("top_position")).filter("n >= 3").drop("n")
 
@@ -221,9 +219,9 @@ def repeated_bars(spark, sf_dir):
 SELECT user_id, round(avg((value < 0.25 * mid)::INT), 5) AS held, round(avg((value > 2 * mid)::INT), 5) AS burst, round(max(p90 / p10), 4) AS spread FROM f JOIN m USING (user_id) WHERE mid > 1e-4 AND p10 > 0 GROUP BY 1""")
 def hold_and_burst(spark, sf_dir):
     f = frames(spark, sf_dir)
-    m = f.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).filter("q[1] > 1e-4 and q[0] > 0")
+    m = quantiles.linear(f, "user_id", "value", {"p10": 0.1, "mid": 0.5, "p90": 0.9}).filter("mid > 1e-4 and p10 > 0")
     share = lambda c: F.round(F.avg(F.expr(c).cast("int")), 5)
-    return f.join(m, "user_id").groupBy("user_id").agg(share("value < 0.25 * q[1]").alias("held"), share("value > 2 * q[1]").alias("burst"), F.round(F.max(F.expr("q[2] / q[0]")), 4).alias("spread"))
+    return f.join(m, "user_id").groupBy("user_id").agg(share("value < 0.25 * mid").alias("held"), share("value > 2 * mid").alias("burst"), F.round(F.max(F.expr("p90 / p10")), 4).alias("spread"))
 
 
 @query(f"""WITH {FRAMES}, k AS (SELECT user_id, frame, CASE WHEN event_type <> 'error' THEN value END AS v FROM f), a AS (SELECT k.user_id, k.frame, k.v, p.frame AS pf, p.v AS pv, q.frame AS qf, q.v AS qv FROM k ASOF LEFT JOIN (SELECT * FROM k WHERE v IS NOT NULL) p ON k.user_id = p.user_id AND k.frame >= p.frame

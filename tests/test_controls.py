@@ -3,7 +3,11 @@
 import collections
 import random
 
-from larkspur.operators import controls, intervals
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.operators import candidates, controls, intervals, placement, quantiles
 
 
 def test_interval_join_finds_each_pair_once(spark):
@@ -52,3 +56,34 @@ def test_pairs_draw_small_groups_as_often_and_never_one_twice(spark):
     group = dict(rows)
     assert set(by) == {"big", "two"} and sum(by.values()) == 2000 and abs(by["two"] - 1000) < 150
     assert all(r["left"] != r["right"] and group[r["left"]] == group[r["right"]] == r["g"] for r in got)
+
+
+@pytest.mark.parametrize("rows", [4, 1_000_000])
+def test_quantiles_are_numpys_in_any_ranges(spark, rows):
+    draw = random.Random(7)
+    data = [(draw.choice(["hot", "hot", "hot", "b", None]), draw.choice([None, *range(20)])) for _ in range(400)] + [("one", 3), ("none", None)]
+    df = spark.createDataFrame(data, "g string, x long")
+    got = {r["g"]: (r["a"], r["m"], r["z"]) for r in quantiles.linear(df, "g", "x", {"a": 0.0, "m": 0.37, "z": 1.0}, rows).collect()}
+    groups = collections.defaultdict(list)
+    for g, x in data:
+        if x is not None:
+            groups[g].append(x)
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, [0.0, 0.37, 1.0]))
+
+
+def test_pools_keep_ties_by_ordinal_and_those_without_scores(spark):
+    rows = [("p", i, float(i // 2)) for i in range(8)] + [("q", i, None) for i in range(5)] + [("r", 0, 1.0), ("r", 1, None)] + [("s", 0, None), ("s", 1, 2.0), ("s", 2, 3.0)]
+    df = spark.createDataFrame(rows, "pool string, i long, x double")
+    got = collections.defaultdict(list)
+    for r in candidates.best_share(df, "pool", F.col("x"), "i", 0.25).orderBy("rank").collect():
+        got[r["pool"]].append(r["i"])
+    assert dict(got) == {"p": [6, 7], "q": [0, 1, 2, 3, 4], "r": [0, 1], "s": [2, 1]}
+
+
+def test_turns_take_one_of_each_group(spark):
+    df = spark.range(30).select(F.when(F.col("id") < 25, "big").otherwise("small").alias("g"), (-F.col("id")).alias("k"))
+    for block in (3, 1000):
+        got = {(r["g"], r["k"]): r["turn"] for r in placement.round_robin(df, "g", ["k"], block).collect()}
+        assert got == {**{("big", -i): 24 - i for i in range(25)}, **{("small", -i): 29 - i for i in range(25, 30)}}
