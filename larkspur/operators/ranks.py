@@ -59,13 +59,13 @@ def row_numbers(df: DataFrame, by: str, order: str | list[str], number: str, row
     """Number the rows of each group from 0 by ``order``, which has no ties:
     within ranges of its first column, whose starts come from counts, so that no group is one task."""
     order = [order] if isinstance(order, str) else order
-    ranged = df.withColumn("range_", quantile_range(df, order[0], rows=rows))
-    counts = ranged.groupBy(F.col(by).alias("by_"), F.col("range_").alias("at_range_")).agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy("by_").orderBy("at_range_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("by_", "at_range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    within = F.row_number().over(Window.partitionBy(by, "range_").orderBy(*order)) - 1
-    same = F.col(by).eqNullSafe(F.col("by_")) & (F.col("range_") == F.col("at_range_"))
-    return ranged.withColumn("at_", within).join(starts, same).withColumn(number, F.col("at_") + F.col("before_")).select(*df.columns, number)
+    # The group as a struct: null groups are equal in the join too, and rows stay where the window has them.
+    ranged = df.withColumns({"by_": F.struct(by), "range_": quantile_range(df, order[0], rows=rows)})
+    counts = ranged.groupBy("by_", "range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("by_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("by_", "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy("by_", "range_").orderBy(*order)) - 1
+    return ranged.withColumn("at_", within).join(starts, ["by_", "range_"]).withColumn(number, F.col("at_") + F.col("before_")).select(*df.columns, number)
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

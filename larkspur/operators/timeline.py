@@ -12,44 +12,49 @@ from larkspur.operators import ranks
 #: So many frames of a sequence are one task's at a time.
 BLOCK = 65_536
 
+#: A row's sequence, as a struct so that null sequences are equal in joins too, and its block.
+PLACE = ["key_", "block_"]
+
 def frames(df: DataFrame, sequence: str, order: list[str], frame: str = "frame", rows: int = BLOCK) -> DataFrame:
     """Number the rows of each sequence from 0. The first column of ``order`` is a number or a time."""
     return ranks.row_numbers(df, sequence, order, frame, rows)
 
 
-def near(df: DataFrame, sequence: str, frame: str, reach: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+def near(df: DataFrame, sequence: str, frame: str, reach: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK, keep: bool = False) -> DataFrame:
     """Add columns over windows of each sequence that reach at most ``reach`` frames either way.
 
     ``columns`` gets a window ordered by frame. A sequence is cut into blocks of
     frames, and rows near a block's edge are shown to its neighbour too, so a
-    long sequence is many tasks. Frames have no repeats.
+    long sequence is many tasks. Frames have no repeats. ``keep`` leaves the
+    blocks' columns, by which ``running`` then finds the rows in place.
     """
     at = lambda f: F.floor(f / F.lit(block))
     seen = F.array_distinct(F.array(at(F.col(frame)), at(F.col(frame) - reach), at(F.col(frame) + reach)))
-    shown = df.withColumn("block_", F.explode(seen)).withColumn("own_", F.col("block_") == at(F.col(frame)))
-    window = Window.partitionBy(sequence, "block_").orderBy(frame)
-    return shown.withColumns(columns(window)).filter("own_").drop("block_", "own_")
+    shown = df.drop(*PLACE).withColumn("key_", F.struct(sequence)).withColumn("block_", F.explode(seen)).withColumn("own_", F.col("block_") == at(F.col(frame)))
+    window = Window.partitionBy(*PLACE).orderBy(frame)
+    return shown.withColumns(columns(window)).filter("own_").drop("own_", *([] if keep else PLACE))
 
 
-def running(df: DataFrame, sequence: str, block: Column, order: str, columns: dict[str, tuple[str, Column]], downward: bool = False) -> DataFrame:
+def running(df: DataFrame, sequence: str, block: Column, order: str, columns: dict[str, tuple[str, Column]], downward: bool = False, keep: bool = False) -> DataFrame:
     """Add running "max", "min" or "sum" columns over each sequence's rows up to
     and with each one and its ties in ``order`` (from the last row on where ``downward``).
 
     ``block`` rises with ``order``: running values within blocks, and over the
-    blocks' totals for what stands before each. Nulls are skipped.
+    blocks' totals for what stands before each. Nulls are skipped. Rows whose
+    blocks were kept stay there.
     """
     of = {"max": F.max, "min": F.min, "sum": F.sum}
     both = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a + b, a, b)}
     way = F.desc if downward else F.asc
-    wide = df.withColumn("block_", block).withColumns({f"{name}__": c for name, (_, c) in columns.items()})
-    totals = wide.groupBy(F.col(sequence).alias("sequence_"), F.col("block_").alias("at_block_")).agg(*[of[how](f"{name}__").alias(f"{name}__t") for name, (how, _) in columns.items()])
-    earlier = Window.partitionBy("sequence_").orderBy(way("at_block_")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("sequence_", "at_block_", *[of[how](f"{name}__t").over(earlier).alias(f"{name}__b") for name, (how, _) in columns.items()])
-    within = Window.partitionBy(sequence, "block_").orderBy(way(order)).rangeBetween(Window.unboundedPreceding, 0)
+    placed = df if set(PLACE) <= set(df.columns) else df.withColumns({"key_": F.struct(sequence), "block_": block})
+    wide = placed.withColumns({f"{name}__": c for name, (_, c) in columns.items()})
+    totals = wide.groupBy(*PLACE).agg(*[of[how](f"{name}__").alias(f"{name}__t") for name, (how, _) in columns.items()])
+    earlier = Window.partitionBy("key_").orderBy(way("block_")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*PLACE, *[of[how](f"{name}__t").over(earlier).alias(f"{name}__b") for name, (how, _) in columns.items()])
+    within = Window.partitionBy(*PLACE).orderBy(way(order)).rangeBetween(Window.unboundedPreceding, 0)
     inside = wide.withColumns({f"{name}__": of[how](f"{name}__").over(within) for name, (how, _) in columns.items()})
-    same = F.col(sequence).eqNullSafe(F.col("sequence_")) & (F.col("block_") == F.col("at_block_"))
     found = [both[how](F.col(f"{name}__"), F.col(f"{name}__b")).alias(name) for name, (how, _) in columns.items()]
-    return inside.join(starts, same).select(*[c for c in df.columns if c not in columns], *found)
+    return inside.join(starts, PLACE).select(*[c for c in placed.columns if c not in columns and (keep or c not in PLACE)], *found)
 
 
 def block_of(frame: str, block: int = BLOCK) -> Column:
@@ -60,7 +65,7 @@ def block_of(frame: str, block: int = BLOCK) -> Column:
 def runs(df: DataFrame, sequence: str, frame: str, label: str, block: int = BLOCK) -> DataFrame:
     """Maximal runs of equal labels (nulls being equal), half open: start, end, length."""
     fresh = lambda w: F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag(frame).over(w) == F.col(frame) - 1), 0).otherwise(1)
-    starts = near(df.select(sequence, frame, label), sequence, frame, 1, lambda w: {"new_": fresh(w)}, block)
+    starts = near(df.select(sequence, frame, label), sequence, frame, 1, lambda w: {"new_": fresh(w)}, block, keep=True)
     numbered = running(starts, sequence, block_of(frame, block), frame, {"run": ("sum", F.col("new_"))})
     return numbered.groupBy(sequence, "run").agg(F.first(label).alias(label), F.min(frame).alias("start"), (F.max(frame) + 1).alias("end"), F.count(F.lit(1)).alias("length"))
 
@@ -99,7 +104,7 @@ def nearest_events(df: DataFrame, sequence: str, time: Column, is_beat: Column,
     """
     timed = df.select(sequence, key, time.alias("t_"), F.when(is_beat, time).alias("beat_"), is_query.alias("query_"))
     ranged = timed.withColumn("range_", ranks.quantile_range(timed, "t_", rows=rows))
-    ranged = running(ranged, sequence, F.col("range_"), "t_", {"before": ("max", F.col("beat_"))})
+    ranged = running(ranged, sequence, F.col("range_"), "t_", {"before": ("max", F.col("beat_"))}, keep=True)
     ranged = running(ranged, sequence, F.col("range_"), "t_", {"after": ("min", F.col("beat_"))}, downward=True)
     gap = F.least(F.col("t_") - F.col("before"), F.col("after") - F.col("t_"))
     return ranged.filter("query_").select(sequence, key, F.col("t_").alias("t"), "before", "after", gap.alias("distance"))
@@ -108,13 +113,11 @@ def nearest_events(df: DataFrame, sequence: str, time: Column, is_beat: Column,
 def sessions(df: DataFrame, sequence: str, seconds: Column, gap: float, rows: int = BLOCK) -> DataFrame:
     """Runs of events that are at most ``gap`` apart."""
     timed = df.select(sequence, seconds.alias("s_"))
-    ranged = timed.withColumn("range_", ranks.quantile_range(timed, "s_", rows=rows))
-    last = ranged.groupBy(F.col(sequence).alias("sequence_"), F.col("range_").alias("at_range_")).agg(F.max("s_").alias("last_"))
-    earlier = Window.partitionBy("sequence_").orderBy("at_range_").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select("sequence_", "at_range_", F.max("last_").over(earlier).alias("last_"))
-    w = Window.partitionBy(sequence, "range_").orderBy("s_")
-    stepped = ranged.withColumn("previous_", F.lag("s_").over(w))
-    stepped = stepped.join(last, F.col(sequence).eqNullSafe(F.col("sequence_")) & (F.col("range_") == F.col("at_range_")))
+    ranged = timed.withColumns({"key_": F.struct(sequence), "block_": ranks.quantile_range(timed, "s_", rows=rows)})
+    last = ranged.groupBy(*PLACE).agg(F.max("s_").alias("last_"))
+    earlier = Window.partitionBy("key_").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*PLACE, F.max("last_").over(earlier).alias("last_"))
+    stepped = ranged.withColumn("previous_", F.lag("s_").over(Window.partitionBy(*PLACE).orderBy("s_"))).join(last, PLACE)
     fresh = F.when(F.col("s_") - F.coalesce("previous_", "last_") <= gap, 0).otherwise(1)
-    numbered = running(stepped.select(sequence, "s_", "range_", fresh.alias("new_")), sequence, F.col("range_"), "s_", {"session": ("sum", F.col("new_"))})
+    numbered = running(stepped.select(*PLACE, sequence, "s_", fresh.alias("new_")), sequence, F.col("block_"), "s_", {"session": ("sum", F.col("new_"))})
     return numbered.groupBy(sequence, "session").agg(F.count(F.lit(1)).alias("events"), F.min("s_").alias("begin_s"), F.max("s_").alias("end_s"))

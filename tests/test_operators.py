@@ -187,8 +187,17 @@ def test_streams_leave_rows_in_files_and_close_every_session(spark, tmp_path, mo
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("drained_")]
 
 
-def test_blocks_of_a_sequence_change_nothing(spark):
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_blocks_of_a_sequence_change_nothing(spark, broadcast):
     """Every timeline operator gives the same rows with blocks of four frames or ranges of four rows as with one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        blocks_change_nothing(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def blocks_change_nothing(spark):
     df = spark.range(240).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.lit("cold")).alias("s"), "id", (F.col("id") * 7 % 41).alias("t"), (F.hash("id") % 3).alias("v"), (F.col("id") * 13 % 17).cast("double").alias("x"))
     one, many = timeline.frames(df, "s", ["t", "id"], "f"), timeline.frames(df, "s", ["t", "id"], "f", rows=4)
     same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
