@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, neardup, packing, pii, quality, revisits, secrets, sharding
+from . import bpe, fingerprints, language, neardup, packing, phrases, pii, quality, revisits, secrets, sharding, spelling, topk
 from .shared import documents
 
 
@@ -64,10 +64,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprints, op2_sharding, op3_language, op4_revisits, op5_near_duplicates, op6_secrets, op7_packing, op8_quality, op9_bpe, op10_pii]
+    own = [op1_fingerprints, op2_sharding, op3_language, op4_revisits, op5_near_duplicates, op6_secrets, op7_packing, op8_quality, op9_bpe, op10_pii, op11_spelling, op12_phrases, op13_topk]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_revisits": revisits.SQL}
+    return {"op4_revisits": revisits.SQL, "op12_phrases": phrases.SQL, "op13_topk": topk.SQL}

@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders by a column or not, and read it back.
 
     This cuts the lineage: what follows rereads files that outlive any
     executor, and rows, ids and sampled bounds no longer change on a retry.
     """
     path = f"{shared_dir(df.sparkSession)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
