@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import staged
+
 
 def star_edges(df: DataFrame, key: str, groups: list[str]) -> DataFrame:
     """Edges from the least member of each group to the others, for each kind of group."""
@@ -20,16 +22,31 @@ def star_edges(df: DataFrame, key: str, groups: list[str]) -> DataFrame:
 def components(edges: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     """(key, component): the least id that a vertex is connected to.
 
-    Labels spread along edges and along labels until none changes; each round
-    is cut with checkpoint() in the session's checkpoint folder.
+    Rounds of two steps until the edges stay as they are: every vertex's greater
+    neighbours are tied to its least one (large star), then its lesser
+    neighbours and itself (small star). Edges become stars around the least ids
+    in a number of rounds that grows with the logarithm of the vertices, however
+    long the paths are. Edges from or to null are none; each round is written out.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    labels = vertices.select(F.col(key).alias("id"), F.col(key).alias("l")).checkpoint()
+    now = staged(_facing(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct(), "edges")
+    state = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "l"), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
-        low = labels.join(near, "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
-        hook = low.groupBy("l").agg(F.min("m").alias("h"))
-        now = low.join(hook, "l").select("id", F.least("m", "h").alias("n"), "l").checkpoint()
-        if now.filter("n <> l").isEmpty():
-            return now.select(F.col("id").alias(key), F.col("n").alias("component"))
-        labels = now.select("id", F.col("n").alias("l"))
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = _facing(both.filter("b > a").join(least, "a").select("b", F.col("m").alias("a"))).distinct()
+        # From here on a is the greater end: small stars are groups by it.
+        hubs = large.groupBy(F.col("b").alias("hub")).agg(F.min("a").alias("m"))
+        tied = large.join(hubs, F.col("b") == F.col("hub"))
+        small = _facing(tied.select("a", F.col("m").alias("b")).union(hubs.select(F.col("hub").alias("a"), F.col("m").alias("b")))).distinct()
+        now = staged(small, "edges")
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if found == state:
+            break
+        state = found
+    labels = now.select(F.col("b").alias(key), F.col("a").alias("component"))
+    return vertices.select(key).join(labels, key, "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def _facing(edges: DataFrame) -> DataFrame:
+    """Edges from their lesser end ``a`` to the greater ``b``; loops and null ends go."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

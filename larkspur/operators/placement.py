@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import ranks, timeline
+from larkspur.operators import graph, ranks, splits, timeline
+from larkspur.session import staged
 
 
 def chaining_guard(components: DataFrame, component: str, most: float) -> DataFrame:
@@ -30,6 +31,54 @@ def pinned(rows: DataFrame, component: str, pin: str) -> DataFrame:
     return found.select(component, "members", state.alias("placement"))
 
 
+def place_beside_pins(vertices: DataFrame, edges: DataFrame, key: str, pin: str, shares: dict[str, int], to: str | None = None, drop_bridging: bool = False, seed: int = 42) -> DataFrame:
+    """Place new vertices (null ``pin``) beside pinned ones, which never move:
+    (key, component, split, state), one row per vertex.
+
+    A component with pins of one split takes it whole (``follows``); one without
+    pins goes to the split ``to``, or where that is null by the largest deficit
+    counted on top of the pinned mass (``placed``), equal sizes by sha256 of
+    "seed:least member". A new vertex that joins pins of several splits bridges
+    them: that is an error, or with ``drop_bridging`` all new vertices of the
+    component are left out (``dropped``, without a split), and components are
+    found again without them until none bridges. Pinned vertices of one component on
+    several sides keep them (``straddles``). ``vertices`` has each key once;
+    edges (u, v) from or to other keys, or null ones, do not count.
+    """
+    live = staged(vertices.select(key, F.col(pin).alias("pin_")).filter(F.col(key).isNotNull()), "live")
+    dropped = live.limit(0).select(key, F.lit(None).cast(live.schema[key].dataType).alias("component"))
+    while True:
+        ends = lambda e, end: e.join(live.select(F.col(key).alias(end)), end, "left_semi")  # noqa: B023, E731
+        found = graph.components(ends(ends(edges.select("u", "v"), "u"), "v"), live, key)
+        found = staged(found.join(live, key), "components")
+        groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.count("pin_").alias("pins"), F.min("pin_").alias("side"), F.max("pin_").alias("other"))
+        groups = staged(groups, "groups")
+        bridging = groups.filter("side <> other and size > pins").select("component")
+        bridges = staged(found.filter("pin_ is null").join(bridging, "component", "left_semi").select(key, "component"), "bridges")
+        some = sorted(r[0] for r in bridges.limit(3).collect())
+        if not some:
+            break
+        if not drop_bridging:
+            raise ValueError(f"new vertices join several pinned splits, among them {some}; placing them would put one component on two sides")
+        dropped = dropped.union(bridges)
+        live = staged(live.join(bridges, key, "left_anti"), "live")
+    free = groups.filter("pins = 0").select("component", "size")
+    if to is None:
+        held = {r["pin_"]: r["count"] for r in live.filter("pin_ is not null").groupBy("pin_").count().collect()}
+        followers = groups.filter("side = other").groupBy("side").agg(F.sum(F.col("size") - F.col("pins")).alias("n"))
+        for r in followers.collect():
+            held[r["side"]] += r["n"]
+        if unknown := set(held) - set(shares):
+            raise ValueError(f"pinned to splits without a share: {sorted(unknown)}")
+        placed = splits.largest_deficit(free, "component", "size", shares, held, seed).select("component", "split")
+    else:
+        placed = free.select("component", F.lit(to).alias("split"))
+    known = found.join(groups.select("component", "side", "other"), "component").join(placed, "component", "left")
+    state = F.when(F.col("side") != F.col("other"), "straddles").when(F.col("pin_").isNotNull(), "pinned").when(F.col("side").isNotNull(), "follows").otherwise("placed")
+    out = known.select(key, "component", F.coalesce("pin_", "side", "split").alias("split"), state.alias("state"))
+    return out.union(dropped.select(key, "component", F.lit(None).cast("string").alias("split"), F.lit("dropped").alias("state")))
+
+
 def round_robin(rows: DataFrame, group: str, order: list[str], block: int = timeline.BLOCK) -> DataFrame:
     """Add ``turn``: one row of each group in each turn, in order."""
     return ranks.row_numbers(rows, group, order, "turn", block)

@@ -51,11 +51,15 @@ def shared_between(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 #: Distinct masses that ``largest_deficit`` takes; n of them need n*n/2 rows at least.
 MOST_MASSES = 1_000_000
 
+#: Places of a split that are written out by one task.
+PLACES = 65_536
 
-def largest_deficit(df: DataFrame, group: str, mass: str, shares: dict[str, int]) -> DataFrame:
-    """Whole groups, heaviest first (ties by the number ``group``), each to the split
-    farthest below its share of all mass (ties by order in ``shares``). One row
-    per group. Masses are whole numbers.
+
+def largest_deficit(df: DataFrame, group: str, mass: str, shares: dict[str, int], held: dict[str, int] | None = None, seed: int | None = None) -> DataFrame:
+    """Whole groups, heaviest first, each to the split farthest below its share of
+    all mass (ties to the greatest name). One row per group. Masses are whole
+    numbers. Equal masses go by the number ``group``, or with a seed by sha256
+    of "seed:group". ``held`` is the mass that splits have already; it is part of all mass.
 
     Groups of one mass differ by name only, so the driver walks through the
     distinct masses and their counts, whose number is checked. Of m equal groups
@@ -66,9 +70,10 @@ def largest_deficit(df: DataFrame, group: str, mass: str, shares: dict[str, int]
     counts = sizes.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
     if counts.count() > MOST_MASSES:
         raise ValueError(f"more than {MOST_MASSES} distinct masses")
-    table, names, unit = sorted(map(tuple, counts.collect()), reverse=True), list(shares), sum(shares.values())
-    total = sum(m * n for m, n in table)
-    left, quotas = [shares[s] * total for s in names], []
+    table, names, unit = sorted(map(tuple, counts.collect()), reverse=True), sorted(shares, reverse=True), sum(shares.values())
+    held = held or {}
+    total = sum(m * n for m, n in table) + sum(held.values())
+    left, quotas = [shares[s] * total - unit * held.get(s, 0) for s in names], []
     for m, n in table:
         step = unit * m
         if step == 0:
@@ -87,12 +92,19 @@ def largest_deficit(df: DataFrame, group: str, mass: str, shares: dict[str, int]
         left = [d - step * k for d, k in zip(left, taken, strict=True)]
     given = df.sparkSession.createDataFrame(quotas, "mass long, split_ int, from_ long, n_ long, all_ array<long>, taken_ array<long>")
     step = F.col("mass") * unit
-    places = given.withColumn("i_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)))
+    # Places in two steps, so that the many of one mass are many tasks' and no long array.
+    parts = given.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / PLACES)))).repartition("mass", "split_", "part_")
+    first = F.col("part_") * PLACES
+    places = parts.withColumn("i_", F.explode(F.sequence(first, F.least(first + PLACES, F.col("n_")) - 1)))
     key = F.col("from_") - step * F.col("i_")
     before = lambda j: F.expr(f"greatest(0L, least(taken_[{j}], if(all_[{j}] < key_, 0L, (all_[{j}] - key_) div nullif(mass * {unit}, 0) + if({j} < split_ or (all_[{j}] - key_) % nullif(mass * {unit}, 0) <> 0, 1L, 0L))))")
     turn = sum((F.when(F.col("split_") == j, F.col("i_")).otherwise(before(j)) for j in range(len(names))), F.lit(0))
     placed = places.withColumn("key_", key).withColumn("turn_", F.when(F.col("mass") == 0, F.col("i_")).otherwise(turn)).select("mass", "turn_", "split_")
-    numbered = row_numbers(sizes, "mass", group, "turn_")
+    order = [group]
+    if seed is not None:
+        sizes = sizes.withColumn("hash_", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
+        sizes, order = sizes.withColumn("early_", F.conv(F.substring("hash_", 1, 12), 16, 10).cast("long")), ["early_", "hash_", group]
+    numbered = row_numbers(sizes, "mass", order, "turn_")
     return numbered.join(placed, ["mass", "turn_"]).select(group, "mass", F.element_at(F.lit(names), F.col("split_") + 1).alias("split"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import candidates, clusters, ranks, retrieval, splits, timeline, warping
+from larkspur.operators import candidates, clusters, graph, placement, ranks, retrieval, splits, timeline, warping
 from larkspur.plans.registry import query
 from larkspur.plans.segments import FRAMES, RUNS, frames, label_runs
 from larkspur.session import table
@@ -46,8 +46,8 @@ def small_groups_merged(spark, sf_dir):
 
 _DEFICITS = """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS mass FROM orders GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY mass DESC, o_custkey) AS rn, sum(mass) OVER () AS total FROM g),
 w AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS o_custkey, NULL::BIGINT AS mass, (8 * total)::BIGINT AS a, total::BIGINT AS b, total::BIGINT AS c, '' AS split FROM i WHERE rn = 1
-UNION ALL SELECT i.rn, i.o_custkey, i.mass, a - CASE WHEN a >= b AND a >= c THEN 10 * i.mass ELSE 0 END, b - CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN 10 * i.mass ELSE 0 END, c - CASE WHEN NOT (a >= b AND a >= c) AND b < c THEN 10 * i.mass ELSE 0 END,
-CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END FROM w JOIN i ON i.rn = w.rn + 1) SELECT o_custkey, mass, split FROM w WHERE rn > 0"""
+UNION ALL SELECT i.rn, i.o_custkey, i.mass, a - CASE WHEN NOT (b >= a AND b >= c) AND a >= c THEN 10 * i.mass ELSE 0 END, b - CASE WHEN b >= a AND b >= c THEN 10 * i.mass ELSE 0 END, c - CASE WHEN NOT (b >= a AND b >= c) AND a < c THEN 10 * i.mass ELSE 0 END,
+CASE WHEN b >= a AND b >= c THEN 'val' WHEN a >= c THEN 'train' ELSE 'test' END FROM w JOIN i ON i.rn = w.rn + 1) SELECT o_custkey, mass, split FROM w WHERE rn > 0"""
 
 
 @query(_DEFICITS)
@@ -218,3 +218,40 @@ def sql_surface(spark, sf_dir):
         "SELECT n_name, count(*) AS orders, round(avg(hash_share('7', cast(o_orderkey as string))), 8) AS mean_draw, sum(overlap(o_orderkey, o_orderkey + 40, 100, 900)) AS overlap, max(mm_ss(o_custkey)) AS last_time "
         "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_custkey < 3600 GROUP BY n_name"
     )
+
+
+# --- pinned placement --------------------------------------------------------
+
+_TIES = """h AS (SELECT doc_id, sha256(text) AS g FROM documents UNION ALL SELECT doc_id, source || ':' || lang || ':' || (n_chars // 500) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL),
+e AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY g) AS u, doc_id AS v FROM h WHERE g IS NOT NULL) WHERE u <> v),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+p AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN sha256('7:' || (source || ':' || lang || ':' || (n_chars // 500))) < 'c' THEN 'train' WHEN sha256('7:' || (source || ':' || lang || ':' || (n_chars // 500))) < 'e' THEN 'val' ELSE 'test' END END AS pin FROM documents)"""
+_LABELS = "r{0}(id, l) AS (SELECT doc_id, doc_id FROM {1} UNION SELECT b.v, r.l FROM r{0} r JOIN b ON b.u = r.id JOIN {1} x ON x.doc_id = b.v WHERE r.l < b.v), c{0} AS (SELECT id AS doc_id, min(l) AS component FROM r{0} GROUP BY 1)"
+
+
+def _pinned_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kind = F.concat(F.col("source"), F.lit(":"), F.col("lang"), F.lit(":"), F.floor(F.col("n_chars") / 500).cast("string"))
+    keyed = d.select("doc_id", F.sha2("text", 256).alias("hash"), kind.alias("kind"))
+    at = F.sha2(F.concat(F.lit("7:"), "kind"), 256)
+    side = F.when(at < "c", "train").when(at < "e", "val").otherwise("test")
+    return keyed.withColumn("pin", F.when(F.col("doc_id") % 3 != 0, side)), graph.star_edges(keyed, "doc_id", ["hash", "kind"])
+
+
+@query(f"""WITH RECURSIVE {_TIES}, {_LABELS.format(1, "p")},
+bad AS (SELECT component FROM c1 JOIN p USING (doc_id) GROUP BY 1 HAVING min(pin) <> max(pin) AND count(*) > count(pin)),
+gone AS (SELECT doc_id, component FROM c1 JOIN p USING (doc_id) JOIN bad USING (component) WHERE pin IS NULL),
+p2 AS (SELECT * FROM p ANTI JOIN gone USING (doc_id)), {_LABELS.format(2, "p2")},
+s AS (SELECT component, count(*) AS size, count(pin) AS pins, min(pin) AS lo, max(pin) AS hi FROM c2 JOIN p2 USING (doc_id) GROUP BY 1),
+t AS (SELECT count(*) * 8 - 10 * sum((split = 'train')::INT) AS train, count(*) - 10 * sum((split = 'val')::INT) AS val, count(*) - 10 * sum((split = 'test')::INT) AS test FROM (SELECT coalesce(pin, CASE WHEN lo = hi THEN lo END) AS split FROM c2 JOIN p2 USING (doc_id) JOIN s USING (component))),
+i AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, sha256('42:' || component)) AS rn FROM s WHERE pins = 0),
+w AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS component, train::BIGINT AS a, val::BIGINT AS v, test::BIGINT AS c, '' AS split FROM t
+UNION ALL SELECT i.rn, i.component, a - CASE WHEN NOT (v >= a AND v >= c) AND a >= c THEN 10 * size ELSE 0 END, v - CASE WHEN v >= a AND v >= c THEN 10 * size ELSE 0 END, c - CASE WHEN NOT (v >= a AND v >= c) AND a < c THEN 10 * size ELSE 0 END,
+CASE WHEN v >= a AND v >= c THEN 'val' WHEN a >= c THEN 'train' ELSE 'test' END FROM w JOIN i ON i.rn = w.rn + 1)
+SELECT doc_id, component, coalesce(pin, lo, w.split) AS split, CASE WHEN lo <> hi THEN 'straddles' WHEN pin IS NOT NULL THEN 'pinned' WHEN lo IS NOT NULL THEN 'follows' ELSE 'placed' END AS state
+FROM c2 JOIN p2 USING (doc_id) JOIN s USING (component) LEFT JOIN w USING (component) UNION ALL SELECT doc_id, component, NULL, 'dropped' FROM gone""")
+def documents_beside_pins(spark, sf_dir):
+    """New documents beside pinned ones: components by equal text or kind follow
+    their pins, bridging ones are left out, free ones go by the largest deficit."""
+    docs, edges = _pinned_documents(spark, sf_dir)
+    return placement.place_beside_pins(docs, edges, "doc_id", "pin", {"train": 8, "val": 1, "test": 1}, drop_bridging=True)

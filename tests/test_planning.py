@@ -21,7 +21,7 @@ def test_largest_deficit_is_the_step_by_step_rule(spark, masses):
     shares = {"train": 8, "val": 1, "test": 1}
     left, want = {s: k * sum(masses) for s, k in shares.items()}, {}
     for i, m in sorted(enumerate(masses), key=lambda x: (-x[1], x[0])):
-        to = max(shares, key=lambda s: left[s])
+        to = max(shares, key=lambda s: (left[s], s))
         want[i], left[to] = to, left[to] - 10 * m
     got = splits.largest_deficit(spark.createDataFrame(list(enumerate(masses)), "g long, m long"), "g", "m", shares)
     assert {r["g"]: r["split"] for r in got.collect()} == want
