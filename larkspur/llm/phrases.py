@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +112,14 @@ class Counter:
 FOUND = "lang string, phrase string, k int, n long, bit long"
 
 
-def _scan(shard: DataFrame, rules: Rules, step: int, now: list[np.ndarray], ago: list[np.ndarray]) -> DataFrame:
-    """Counts of one shard's active phrases, summed in the tasks as far as their buffers go."""
-    shared = shard.sparkSession.sparkContext.broadcast((now, ago))
+def _scan(shard: DataFrame, rules: Rules, step: int, now: list[np.ndarray], ago: list[np.ndarray]) -> tuple[DataFrame, Broadcast]:
+    """Counts of one shard's active phrases, summed in the tasks as far as their
+    buffers go, and the bitmaps as they were sent, compressed."""
+    shared = shard.sparkSession.sparkContext.broadcast([[zlib.compress(x, 1) for x in of] for of in (now, ago)])
 
     def counted(batches):
         counters: dict[str, Counter] = {}
+        bitmaps = [[np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in of] for of in shared.value]
 
         def drained():
             for lang, counter in counters.items():
@@ -130,14 +133,14 @@ def _scan(shard: DataFrame, rules: Rules, step: int, now: list[np.ndarray], ago:
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if lang not in counters:
-                    counters[lang] = Counter(lang, rules, step, *shared.value)
+                    counters[lang] = Counter(lang, rules, step, *bitmaps)
                 counters[lang].add(text)
                 if len(text) > rules.buffer or sum(c.n for c in counters.values()) > rules.buffer:
                     yield from drained()
         yield from drained()
 
     rows = shard.mapInArrow(counted, FOUND)
-    return rows.groupBy("lang", "k", "phrase", "bit").agg(F.sum("n").alias("n"))
+    return rows.groupBy("lang", "k", "phrase", "bit").agg(F.sum("n").alias("n")), shared
 
 
 def _bitmaps(counts: DataFrame, rules: Rules) -> list[np.ndarray]:
@@ -170,9 +173,10 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         # Nothing is in its cycle when words are done and no bit was set since a cycle ago.
         if step >= rules.shards and all((a == b).all() for a, b in zip(now, ago, strict=True)):
             break
-        found = _scan(texts.filter(F.col("shard") == step % rules.shards).drop("shard"), rules, step, now, ago)
+        found, shared = _scan(texts.filter(F.col("shard") == step % rules.shards).drop("shard"), rules, step, now, ago)
         both = found if total is None else total.unionByName(found).groupBy("lang", "k", "phrase", "bit").agg(F.sum("n").alias("n"))
         total = stage(both, f"phrases-{step}")
+        shared.destroy()
         reached = _bitmaps(total, rules)
         # Bits stay set: counts only grow, so this is a matter of form.
         history = [*history, [a | b for a, b in zip(now, reached, strict=True)]][-rules.shards - 1 :]
