@@ -25,21 +25,48 @@ def nearest(rows: DataFrame, vector: str, centers: DataFrame) -> DataFrame:
     return met.select(*rows.columns, F.col("found_.label").alias("assigned"), F.col("found_.distance").alias("distance"))
 
 
-def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int, seed: int = 42) -> DataFrame:
-    """(label, center): Lloyd's rounds from the k first rows by sha256 of "seed:key".
+def squared_seeds(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> list[tuple[object, list[float]]]:
+    """(key, vector) of k starting rows, each drawn with a probability in
+    proportion to its squared distance from the nearest one before.
+
+    One pass over the rows for each: with u from sha256 of "seed:i:key" (52
+    bits), the row with the least -ln(u) / distance wins that race as often as
+    its weight says. Rows with no distance win only where there is no other (by
+    least u, as the first one does). Fewer than k rows are an error; keys are unique.
+    """
+    seeds: list[tuple[object, list[float]]] = []
+    if (n := rows.count()) < k:
+        raise ValueError(f"{n} rows cannot form {k} clusters")
+    for i in range(k):
+        u = (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col(key).cast("string")), 256), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+        centers = rows.sparkSession.createDataFrame([(j, c) for j, (_, c) in enumerate(seeds)], "label int, center array<double>")
+        met = nearest(rows, vector, centers) if seeds else rows.withColumn("distance", F.lit(0.0))
+        told = met.select(F.col(key).alias("key"), F.col(vector).alias("x"), F.col("distance").alias("d"), u.alias("u"))
+        race = F.when(F.col("d") > 0, -F.log("u") / F.col("d"))
+        won = told.agg(F.min_by(F.struct("key", "x"), F.struct(F.col("d") <= 0, F.coalesce(race, F.col("u")), "key"))).first()[0]
+        seeds.append((won["key"], [float(x) for x in won["x"]]))
+    return seeds
+
+
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int, seed: int = 42, start: list[list[float]] | None = None) -> DataFrame:
+    """(label, center): Lloyd's rounds from ``start``, or the k first rows by sha256 of "seed:key".
 
     A round assigns all rows in one pass and sums them per centre before the
-    shuffle. The centres (k rows) go through the driver, so that no plan grows
-    with the rounds. A centre without rows starts again at a row farthest from
-    its own. Fewer than k rows give as many centres as rows.
+    shuffle; when no centre moves any more the rounds end. The centres (k rows)
+    go through the driver, so that no plan grows with the rounds. A centre
+    without rows starts again at a row farthest from its own. Fewer than k rows
+    give as many centres as rows.
     """
     spark = rows.sparkSession
     schema = "label int, center array<double>"
-    start = rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).limit(k)
-    centers = [(i, [float(x) for x in r[0]]) for i, r in enumerate(start.select(vector).collect())]
+    if start is None:
+        first = rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).limit(k)
+        start = [[float(x) for x in r[0]] for r in first.select(vector).collect()]
+    centers, before = list(enumerate(start)), None
     for _ in range(rounds):
-        if not centers:
+        if not centers or centers == before:
             break
+        before = centers
         told = nearest(rows.select(key, vector), vector, spark.createDataFrame(centers, schema))
         found = {r["label"]: [round(x, 9) for x in r["center"]] for r in retrieval.centroids(told.withColumnRenamed("assigned", "label"), vector, "label").collect()}
         lost = [i for i, _ in centers if i not in found]

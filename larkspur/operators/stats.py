@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,29 +89,133 @@ def bootstrap_mean(entities: DataFrame, key: str, value: str, rounds: int = 100,
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("rounds"))
 
 
-def frechet(left: DataFrame, right: DataFrame, vector: str) -> float:
-    """Frechet distance of two sets of vectors from their means and covariances.
+def summed(df: DataFrame, columns: list[str], add: Callable[..., np.ndarray], size: int) -> DataFrame:
+    """One row ``sums``: an array of ``size`` doubles (as bytes), which ``add`` gives
+    of each batch of the columns. Tasks add up their batches, sixteen tasks the
+    tasks' arrays, one task those; no row is copied and none goes through the driver."""
 
-    Spark sums the moments (d*d numbers); the driver takes the trace of the root
-    of their product from its eigenvalues.
-    """
-    import numpy as np
-
-    def moments(df: DataFrame):
-        x = df.select(F.transform(vector, lambda v: v.cast("double")).alias("v"))
-        i = x.select(F.posexplode("v").alias("i", "a"), "v").select("i", "a", F.posexplode("v").alias("j", "b"))
-        got = i.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c"), F.avg("a").alias("m")).collect()
-        d = 1 + max(r["i"] for r in got)
-        mean, cov = np.zeros(d), np.zeros((d, d))
-        for r in got:
-            mean[r["i"]], cov[r["i"], r["j"]] = r["m"], r["c"]
-        return mean, cov
-
-    (m1, c1), (m2, c2) = moments(left), moments(right)
+    def partial(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += add(*[b.column(i) for i in range(len(columns))])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def added(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    schema = "sums binary"
+    return df.select(*columns).mapInArrow(partial, schema).repartition(16).mapInArrow(added, schema).repartition(1).mapInArrow(added, schema)
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _moments_size(width: int) -> int:
+    return 1 + width + width * width
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Count, sums and sums of products of rows."""
+    return np.concatenate([[float(len(x))], x.sum(axis=0), (x.T @ x).ravel()])
+
+
+def _frechet(one: np.ndarray, two: np.ndarray, width: int) -> float:
+    """From both sides' moments; the trace of the root of a product by its eigenvalues."""
+
+    def mean_and_covariance(m):
+        n, s, q = m[0], m[1 : 1 + width], m[1 + width :].reshape(width, width)
+        return s / n, (q - np.outer(s, s) / n) / (n - 1)
+
+    (m1, c1), (m2, c2) = mean_and_covariance(one), mean_and_covariance(two)
     roots = np.sqrt(np.maximum(np.linalg.eigvals(c1 @ c2).real, 0.0)).sum()
     return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * roots)
 
 
+def _width(df: DataFrame, vector: str) -> int:
+    found = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if found[0] is None or found[0] != found[1]:
+        raise ValueError(f"vectors of {vector} need one length, found {found[0]} to {found[1]}")
+    return found[0]
+
+
+def _set(df: DataFrame, vector: str) -> DataFrame:
+    return df.filter(F.col(vector).isNotNull())
+
+
+def frechet(left: DataFrame, right: DataFrame, vector: str) -> DataFrame:
+    """One row ``frechet``: the Frechet distance of two sets of vectors, from their
+    means and covariances (sums of d and d*d numbers in one pass over each side).
+    Null vectors do not count; a side of fewer than two is an error."""
+    left, right = _set(left, vector), _set(right, vector)
+    width = _width(left, vector)
+    if width != _width(right, vector):
+        raise ValueError("the two sides' vectors differ in length")
+    add = lambda c: _moments(_rows(c, width))
+    sides = [summed(df, [vector], add, _moments_size(width)).select(F.lit(i).alias("side"), "sums") for i, df in enumerate((left, right))]
+
+    def told(batches):
+        sums = {}
+        for b in batches:
+            sums |= dict(zip(b.column("side").to_pylist(), map(np.frombuffer, b.column("sums").to_pylist()), strict=True))
+        if min(sums[0][0], sums[1][0]) < 2:
+            raise ValueError("a side has fewer than two vectors")
+        yield pa.RecordBatch.from_arrays([pa.array([_frechet(sums[0], sums[1], width)])], names=["frechet"])
+
+    return sides[0].union(sides[1]).repartition(1).mapInArrow(told, "frechet double")
+
+
+def paired_swaps(pairs: DataFrame, key: str, arm: str, baseline: str, truth: DataFrame, vector: str, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """One row: observed_delta, null_sd, p_one_sided, permutations. The Frechet
+    distance of the baselines to the truth less that of the arms, against rounds
+    in which each pair's two vectors are swapped where sha256 of
+    "seed:round:key" begins with a digit below 8. p is the share of rounds at
+    least as far out on the side of what was seen.
+
+    One pass over the pairs: a round's sums are those of the arms plus, for the
+    swapped pairs, the difference of the two vectors' products; all rounds' sums
+    are one array (rounds times d*d + d numbers). Pairs with a null side do not count.
+    """
+    pairs = pairs.filter(F.col(arm).isNotNull() & F.col(baseline).isNotNull())
+    truth = _set(truth, vector)
+    width = _width(truth, vector)
+    if {_width(pairs, arm), _width(pairs, baseline)} != {width}:
+        raise ValueError("the sides' vectors differ in length")
+    m = _moments_size(width)
+    swap = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: (F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), F.col(key).cast("string")), 256), 1, 1) < "8").cast("double"))
+
+    def add(a, b, s):
+        x, y, s = _rows(a, width), _rows(b, width), _rows(s, rounds)
+        total = np.zeros((rounds + 2, m))
+        total[0], total[1] = _moments(x), _moments(y)
+        for lo in range(0, len(x), 256):  # so many rows' products are held at a time
+            own = slice(lo, lo + 256)
+            products = lambda v: np.concatenate([v, (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)], axis=1)
+            total[2:, 1:] += s[own].T @ (products(y[own]) - products(x[own]))
+        return total.ravel()
+
+    both = summed(pairs.withColumn("swap_", swap), [arm, baseline, "swap_"], add, (rounds + 2) * m).select(F.lit(0).alias("side"), "sums")
+    real = summed(truth, [vector], lambda c: _moments(_rows(c, width)), m).select(F.lit(1).alias("side"), "sums")
+
+    def told(batches):
+        sums = {}
+        for b in batches:
+            sums |= dict(zip(b.column("side").to_pylist(), map(np.frombuffer, b.column("sums").to_pylist()), strict=True))
+        of, aim = sums[0].reshape(rounds + 2, m), sums[1]
+        delta = lambda one, two: _frechet(two, aim, width) - _frechet(one, aim, width)
+        seen = delta(of[0], of[1])
+        null = np.array([delta(of[0] + of[2 + r], of[1] - of[2 + r]) for r in range(rounds)])
+        tail = float((null >= seen).mean() if seen >= 0 else (null <= seen).mean())
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([float(null.std(ddof=1))]), pa.array([tail]), pa.array([rounds], pa.int32())], names=["observed_delta", "null_sd", "p_one_sided", "permutations"])
+
+    return both.union(real).repartition(1).mapInArrow(told, "observed_delta double, null_sd double, p_one_sided double, permutations int")
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Counts by truth and prediction with the share of the truth's rows."""
     counts = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))

@@ -243,7 +243,7 @@ def frechet_distance(spark, sf_dir):
     """Of the vectors of even and odd labels; the root of a matrix is beyond SQL, so it is held against NumPy."""
     v = _vectors(spark, sf_dir)
     d = stats.frechet(v.filter("label % 2 = 0"), v.filter("label % 2 = 1"), "embedding")
-    return spark.range(1).select(F.lit(round(d, 6)).alias("frechet"))
+    return d.select(F.round("frechet", 6).alias("frechet"))
 
 
 # --- ranks -------------------------------------------------------------------
