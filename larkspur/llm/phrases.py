@@ -1,187 +1,273 @@
-r"""Phrase collocations by dynamic itemset counting.
+"""Phrase collocations by dynamic itemset counting.
 
 The documents are dealt into shards, and steps scan one shard each, round and
 round. Words are counted from the first step on. A longer phrase becomes active
 as soon as both phrases that it is made of (all but its last word, all but its
 first) have reached the threshold, which may be in the middle of a round, and
-then it is counted for exactly one full cycle of shards, so its count is exact
-wherever it began. Counting ends when no phrase is in the middle of its cycle.
-
-What is active is told to tasks as bitmaps of a fixed size: phrases that reached
-the threshold set the bit of their hash. Bits are never cleared, and a phrase's
-cycle is dated by its bits alone: it is counted at the steps at which its bits
-are set now and were not yet set a cycle ago. Two phrases that share a bit
-therefore start early at worst, and are counted for one full cycle all the same;
-the threshold itself is taken from exact counts. Bitmaps do not grow with the
-corpus; when they fill up, more phrases are counted than need be.
+then it is counted for exactly one full cycle of shards, wherever it began.
+Counting ends when no phrase is in the middle of its cycle.
+
+These counts are kept by 40 to 64 bits of a phrase's hash, a few bytes each: a
+step's are sorted and packed by range of the hash, and phrases that became
+active at one step are one cohort, whose packed counts of a cycle are merged
+range by range. Tasks are told what is active by tables of fixed size: for each
+bit of the hashes the step since which a phrase there counts as frequent.
+Entries never change again, and a phrase's cycle is dated by them alone. So two
+phrases that share a hash or a bit start early at worst, and none is lost. A
+last scan counts all phrases whose bits are set, by their words and therefore
+exactly. The tables do not grow with the corpus; when they fill up, more
+phrases are counted than need be.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dealt_join, stage
 
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-ENDS = re.compile("[.,;:!?\n\x0b\x0c\r]")
-WORDS = re.compile("[^ \t]+")
+#: Lower case of A to Z, one mark for what ends a piece, a space for a tab.
+SIGNS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " \n " for c in ".,;:!?\n\x0b\x0c\r"} | {"\t": " "})
+
+#: A step that has not come.
+NEVER = 255
 
 
 @dataclass(frozen=True)
 class Rules:
-    least: int = 10  # occurrences that a candidate has
+    least: int = 10  # occurrences that a candidate has, at most 65,535
     longest: int = 3  # words of a candidate, at most
     first: int = 2_000  # ranks of each language
     contained: int = 50  # percent of its occurrences in one longer candidate at which a phrase is dropped
-    shards: int = 4  # shards of a cycle
-    bits: int = 1 << 26  # bits of a bitmap, of which there is one for each length but the last
+    shards: int = 4  # shards of a cycle, at most 60
+    bits: int = 25  # the tables have 2**bits entries, one table for each length
     buffer: int = 2_000_000  # words that a task counts at a time
+    part: int = 1_000_000  # words of the corpus for each range of hashes
 
 
-def position(lang: str, phrase: str, bits: int) -> int:
-    """The bit of a phrase."""
-    return zlib.crc32(f"{lang}\0{phrase}".encode()) % bits
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-class Counter:
-    """Counts the active phrases of some texts of one language."""
+class Words:
+    """The words of some texts of one language as numbers, in order; 1 ends a piece."""
 
-    def __init__(self, lang: str, rules: Rules, step: int, now: list[np.ndarray], ago: list[np.ndarray]):
-        self.lang, self.rules, self.step, self.now, self.ago = lang, rules, step, now, ago
+    def __init__(self, lang: str):
+        self.lang = lang
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str, int] = defaultdict(count().__next__)
+        self.codes[""], self.codes["\n"]
         self.parts: list[np.ndarray] = []
         self.n = 0
 
     def add(self, text: str) -> None:
-        codes = self.codes
-        for piece in ENDS.split(text.translate(LOWER)):
-            words = WORDS.findall(piece)
-            if words:
-                # -1 ends a piece: no phrase goes across it.
-                self.parts.append(np.array([*[codes.setdefault(w, len(codes)) for w in words], -1], dtype=np.int64))
-                self.n += len(words)
-
-    def _set(self, phrases: list[str], bitmap: np.ndarray) -> np.ndarray:
-        at = np.fromiter((position(self.lang, p, self.rules.bits) for p in phrases), dtype=np.int64, count=len(phrases))
-        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-    def counts(self):
-        """(k, phrases, counts): all words in the first cycle, and the longer
-        phrases that are in theirs; k = 0 is the number of words."""
-        if not self.parts:
-            return
-        flat, shards = np.concatenate(self.parts), self.rules.shards
-        words = list(self.codes)
-        if self.step < shards:
-            yield 0, [""], [self.n]
-            yield 1, words, np.bincount(flat[flat >= 0], minlength=len(words)).tolist()
-        # For each place the phrase that begins there, by number, -1 for none; and its text by number.
-        at, names = flat, words
-        for k in range(2, self.rules.longest + 1):
-            now, ago = self._set(names, self.now[k - 2]), self._set(names, self.ago[k - 2])
-            left, right = at[:-1], at[1:]
-            fine = (left >= 0) & (right >= 0)
-            fine[fine] = now[left[fine]] & now[right[fine]]
-            places = np.flatnonzero(fine)
-            if not len(places):
-                return
-            pairs, which, n = np.unique(left[places] * len(names) + right[places], return_inverse=True, return_counts=True)
-            a, b = pairs // len(names), pairs % len(names)
-            # The next word of a phrase: the last one of its second part.
-            last = [names[j].rpartition(" ")[2] for j in b.tolist()] if k > 2 else [names[j] for j in b.tolist()]
-            phrases = [f"{names[i]} {w}" for i, w in zip(a.tolist(), last, strict=True)]
-            counted = np.flatnonzero(~(ago[a] & ago[b])).tolist()
-            if counted:
-                yield k, [phrases[i] for i in counted], n[counted].tolist()
-            at = np.full(len(at) - 1, -1, dtype=np.int64)
-            at[places] = which
-            names = phrases
-
-
-FOUND = "lang string, phrase string, k int, n long, bit long"
-
-
-def _scan(shard: DataFrame, rules: Rules, step: int, now: list[np.ndarray], ago: list[np.ndarray]) -> tuple[DataFrame, Broadcast]:
-    """Counts of one shard's active phrases, summed in the tasks as far as their
-    buffers go, and the bitmaps as they were sent, compressed."""
-    shared = shard.sparkSession.sparkContext.broadcast([[zlib.compress(x, 1) for x in of] for of in (now, ago)])
+        found = text.translate(SIGNS).split(" ")
+        found.append("\n")
+        self.parts.append(np.fromiter(map(self.codes.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.n += len(found)
+
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length k: where phrases of it begin, among the words' numbers, and their hashes there."""
+        flat = np.concatenate(self.parts) if self.parts else np.zeros(0, dtype=np.int64)
+        flat = flat[flat > 0]
+        own = np.fromiter((xxhash.xxh64_intdigest(f"{self.lang}\0{w}") for w in self.codes), dtype=np.uint64, count=len(self.codes))
+        word = own[flat]
+        fine, h = flat > 1, word
+        for k in range(1, longest + 1):
+            if k > 1:
+                fine = fine[:-1] & (flat[k - 1 :] > 1)
+                h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :])
+            yield k, fine, h, flat
+
+    def text(self, at: np.ndarray, k: int, flat: np.ndarray) -> list[str]:
+        names = list(self.codes)
+        return [" ".join([names[c] for c in flat[i : i + k].tolist()]) for i in at.tolist()]
+
+
+def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes of a range (their low 40 bits count) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return np.concatenate([steps.T.ravel(), np.minimum(n, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T.ravel()]).tobytes()
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(payload, dtype=np.uint8).reshape(7, -1)
+    steps, n = np.zeros((planes.shape[1], 8), dtype=np.uint8), np.zeros((planes.shape[1], 2), dtype=np.uint8)
+    steps[:, :5], n[:] = planes[:5].T, planes[5:].T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), n.view("<u2").ravel().astype(np.int64)
+
+
+class Active:
+    """Since which step the phrases of each length are active, by bits of their parts' hashes."""
+
+    def __init__(self, tables: list[np.ndarray], bits: int):
+        self.tables, self.shift = tables, np.uint64(64 - bits)
+
+    def since(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Of phrases of k words: the step since which they count as frequent."""
+        return self.tables[k - 1][(h >> self.shift).astype(np.int64)]
+
+
+def _batches(batches, rules: Rules, drained):
+    """Texts by language into buffers, and what ``drained`` makes of full ones."""
+    held: dict[str, Words] = {}
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if lang not in held:
+                held[lang] = Words(lang)
+            held[lang].add(text)
+            if sum(w.n for w in held.values()) > rules.buffer:
+                for words in held.values():
+                    yield from drained(words)
+                held.clear()
+    for words in held.values():
+        yield from drained(words)
+
+
+def _told(spark, tables: list[np.ndarray]) -> Broadcast:
+    """Tables of fixed size, compressed while they are sparse."""
+    return spark.sparkContext.broadcast([zlib.compress(t, 1) for t in tables])
+
+
+def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bits: int) -> DataFrame:
+    """(k, since, part, counts): the packed counts of a shard's active phrases, by cohort and range of hashes."""
 
     def counted(batches):
-        counters: dict[str, Counter] = {}
-        bitmaps = [[np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in of] for of in shared.value]
-
-        def drained():
-            for lang, counter in counters.items():
-                for k, phrases, n in counter.counts():
-                    for lo in range(0, len(phrases), 65_536):
-                        some = phrases[lo : lo + 65_536]
-                        bits = [position(lang, p, rules.bits) for p in some] if 0 < k < rules.longest else [-1] * len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 65_536], pa.int64()), pa.array(bits, pa.int64())], names=["lang", "phrase", "k", "n", "bit"])
-            counters.clear()
-
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if lang not in counters:
-                    counters[lang] = Counter(lang, rules, step, *bitmaps)
-                counters[lang].add(text)
-                if len(text) > rules.buffer or sum(c.n for c in counters.values()) > rules.buffer:
-                    yield from drained()
-        yield from drained()
-
-    rows = shard.mapInArrow(counted, FOUND)
-    return rows.groupBy("lang", "k", "phrase", "bit").agg(F.sum("n").alias("n")), shared
-
-
-def _bitmaps(counts: DataFrame, rules: Rules) -> list[np.ndarray]:
-    """For each length but the last the bits of the phrases that have reached the
-    threshold, in pieces of 4 KB: at most bits / 32768 rows for each."""
-    out = [np.zeros(rules.bits // 8, dtype=np.uint8) for _ in range(1, rules.longest)]
-    reached = counts.filter((F.col("bit") >= 0) & (F.col("n") >= rules.least))
-    some = reached.groupBy("k", F.floor(F.col("bit") / 32_768).alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+        active = Active([np.frombuffer(zlib.decompress(t), dtype=np.uint8) for t in shared.value], rules.bits)
+
+        def drained(words: Words):
+            before = None  # since when each shorter phrase counts as frequent, by place
+            for k, fine, h, _ in words.phrases(rules.longest):
+                since = np.zeros(len(h), dtype=np.uint8) if before is None else np.maximum(before[:-1], before[1:])
+                live = fine & (since <= step) & (step < since.astype(np.int64) + rules.shards)
+                cohorts = np.unique(since[live]).tolist()
+                for cohort in cohorts:
+                    found, n = np.unique(h[live & (since == cohort)], return_counts=True)
+                    part = (found >> np.uint64(64 - part_bits)).astype(np.int64)
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+                    low = (found << np.uint64(part_bits)) >> np.uint64(24)  # the 40 bits after the part's
+                    payloads = [_packed(low[i:j], n[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                    for lo in range(0, len(payloads), 4_096):
+                        some = payloads[lo : lo + 4_096]
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array([cohort] * len(some), pa.int32()), pa.array(part[cuts[lo : lo + len(some)]], pa.int64()), pa.array(some, pa.binary())], names=["k", "since", "part", "counts"])
+                if k < rules.longest:
+                    before = np.where(fine, active.since(k, h), np.uint8(NEVER))
+                    if not (before <= step).any():
+                        break
+
+        yield from _batches(batches, rules, drained)
+
+    return shard.mapInArrow(counted, "k int, since int, part long, counts binary")
+
+
+def _reached(counts: DataFrame, rules: Rules, part_bits: int) -> list[np.ndarray]:
+    """For each length the bits of phrases that reached the threshold in their
+    cycle so far; in pieces of 4 KB, 2**bits / 32768 rows at most for each length."""
+
+    def merged(key, table):
+        found = [_unpacked(x) for x in table.column("counts").to_pylist()]
+        h, n = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        often = h[first][np.add.reduceat(n, first) >= rules.least]
+        whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(24)) >> np.uint64(part_bits))
+        bits = np.unique(whole >> np.uint64(64 - rules.bits)).astype(np.int64)
+        return pa.table({"k": pa.array(np.full(len(bits), key[0].as_py(), dtype=np.int32)), "bit": pa.array(bits)})
+
+    places = counts.groupBy("k", "since", "part").applyInArrow(merged, "k int, bit long")
+    some = places.groupBy("k", F.floor(F.col("bit") / 32_768).alias("piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    out = [np.zeros(1 << rules.bits, dtype=bool) for _ in range(rules.longest)]
     for r in some.collect():
-        at = r["piece"] * 4_096
-        piece = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)[: rules.bits // 8 - at]
-        out[r["k"] - 1][at : at + len(piece)] = piece
+        piece = np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8), bitorder="little")
+        at = r["piece"] * 32_768
+        out[r["k"] - 1][at : at + 32_768] |= piece[: (1 << rules.bits) - at].astype(bool)
     return out
 
 
+def _active(texts: DataFrame, rules: Rules) -> list[np.ndarray]:
+    """All steps: for each length the table of the steps since which its phrases count as frequent."""
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    part_bits = min(40, max(4, int(size // 4 // rules.part).bit_length()))
+    tables = [np.full(1 << rules.bits, NEVER, dtype=np.uint8) for _ in range(rules.longest)]
+    steps: list[DataFrame] = []
+    step = latest = 0  # latest: when the last cohort began
+    while step < latest + rules.shards:
+        shared = _told(spark, tables[:-1])
+        steps.append(stage(_scan(texts.filter(F.col("shard") == step % rules.shards), rules, step, shared, part_bits), f"phrases-{step}"))
+        shared.destroy()
+        # Cohorts whose cycle is over have told all that they had to.
+        open_, cycle = steps[-1], steps[-rules.shards :]
+        for earlier in cycle[:-1]:
+            open_ = open_.union(earlier)
+        reached = _reached(open_.filter(F.col("since") > step - rules.shards), rules, part_bits)
+        step += 1
+        for k, (table, bits) in enumerate(zip(tables, reached, strict=True), 1):
+            fresh = bits & (table == NEVER)
+            if fresh.any():
+                table[fresh] = step
+                latest = step if k < rules.longest else latest
+    return tables
+
+
 def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(lang, k, phrase, n): exact counts of all words and of every phrase of 2
-    to ``longest`` words with at least ``least`` occurrences; shorter-lived
-    phrases may be among them with their exact counts too. k = 0 has the number
+    """(lang, k, phrase, n): exact counts of every word and phrase of up to
+    ``longest`` words with at least ``least`` occurrences; others whose hashes
+    have a bit of one of them may be there with their exact counts too. k = 0 has the number
     of all words."""
+    if rules.least > 65_535 or rules.shards > 60:
+        raise ValueError("at most 65,535 occurrences and 60 shards")
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(rules.shards)).cast("int")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("shard", shard)
     texts = stage(texts, "phrase-shards", by="shard")  # a step reads its own shard's files only
-    empty = np.zeros(rules.bits // 8, dtype=np.uint8)
-    lengths = range(1, rules.longest)
-    history = [[empty for _ in lengths]]
-    total, step = None, 0
-    while True:
-        now, ago = history[-1], history[0] if len(history) > rules.shards else [empty for _ in lengths]
-        # Nothing is in its cycle when words are done and no bit was set since a cycle ago.
-        if step >= rules.shards and all((a == b).all() for a, b in zip(now, ago, strict=True)):
-            break
-        found, shared = _scan(texts.filter(F.col("shard") == step % rules.shards).drop("shard"), rules, step, now, ago)
-        both = found if total is None else total.unionByName(found).groupBy("lang", "k", "phrase", "bit").agg(F.sum("n").alias("n"))
-        total = stage(both, f"phrases-{step}")
-        shared.destroy()
-        reached = _bitmaps(total, rules)
-        # Bits stay set: counts only grow, so this is a matter of form.
-        history = [*history, [a | b for a, b in zip(now, reached, strict=True)]][-rules.shards - 1 :]
-        step += 1
-    return total.select("lang", "k", "phrase", "n")
+    tables = _active(texts, rules)
+    shared = _told(docs.sparkSession, [(t != NEVER).astype(np.uint8) for t in tables])
+
+    def counted(batches):
+        active = Active([np.frombuffer(zlib.decompress(t), dtype=np.uint8) for t in shared.value], rules.bits)
+
+        def rows(words: Words, k: int, phrases: list[str], n: list[int]):
+            for lo in range(0, len(phrases), 65_536):
+                some = phrases[lo : lo + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 65_536], pa.int64())], names=["lang", "phrase", "k", "n"])
+
+        def drained(words: Words):
+            for k, fine, h, flat in words.phrases(rules.longest):
+                if k == 1:
+                    yield from rows(words, 0, [""], [int(fine.sum())])
+                at = np.flatnonzero(fine)
+                at = at[active.since(k, h[at]) == 1]
+                if not len(at):
+                    break  # a longer phrase has frequent parts
+                # Numbers of phrases within the buffer, from those of their words.
+                code, names = flat[at], len(words.codes)
+                for j in range(1, k):
+                    _, code = np.unique(code * names + flat[at + j], return_inverse=True)
+                _, first, n = np.unique(code, return_index=True, return_counts=True)
+                yield from rows(words, k, words.text(at[first], k, flat), n.tolist())
+
+        yield from _batches(batches, rules, drained)
+
+    found = texts.mapInArrow(counted, "lang string, phrase string, k int, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    # The tables are needed until this is written.
+    out = stage(found.filter((F.col("k") == 0) | (F.col("n") >= rules.least)), "phrases")
+    shared.destroy()
+    return out
 
 
 def _joined(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:

@@ -101,7 +101,7 @@ def from_sql(docs, sql=phrases.SQL):
     return duck(documents=docs).sql(f"SELECT {', '.join(PHRASE)} FROM ({sql})").fetchall()
 
 
-@pytest.mark.parametrize("rules", [phrases.Rules(), phrases.Rules(shards=3, bits=1 << 20, buffer=500), phrases.Rules(shards=1, bits=64)], ids=["given", "small buffers", "crowded bitmap"])
+@pytest.mark.parametrize("rules", [phrases.Rules(), phrases.Rules(shards=3, bits=16, buffer=500, part=1_000), phrases.Rules(shards=1, bits=6)], ids=["given", "small buffers", "crowded bitmap"])
 def test_phrases_against_sql(docs, rules):
     assert rows(phrases.collocations(docs, rules), *PHRASE) == sorted(from_sql(docs))
 
@@ -114,7 +114,7 @@ def test_phrases_begun_late_are_counted_whole(spark):
     table = [(i, t, rng.choice(["en", "fr", None]), 1, "w", 2) for i, t in enumerate(texts)]
     df = spark.createDataFrame(table + table[:40], DOCS)
     for shards in (1, 2, 5):
-        assert rows(phrases.collocations(df, phrases.Rules(shards=shards)), *PHRASE) == sorted(from_sql(df))
+        assert rows(phrases.collocations(df, phrases.Rules(shards=shards, bits=18)), *PHRASE) == sorted(from_sql(df))
     assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -138,7 +138,7 @@ def test_longer_phrases_drop_those_inside(spark):
         score, k = min(cuts)
         want.append((p, a, counts[" ".join(w[:k])], counts[" ".join(w[k:])], score))
     df = spark.createDataFrame([(i, t, "en", 1, "w", 2) for i, t in enumerate(texts)], DOCS)
-    got = phrases.collocations(df, phrases.Rules(longest=4, least=least))
+    got = phrases.collocations(df, phrases.Rules(longest=4, least=least, bits=18))
     assert rows(got, "phrase", "a", "l", "r", "score") == sorted(want) and "p q r" not in {w[0] for w in want}
 
 
