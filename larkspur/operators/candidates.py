@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import quantiles, ranks, timeline
+from larkspur.operators import folds, quantiles, ranks, timeline
 
 
 def best_share(rows: DataFrame, pool: str, score: Column, ordinal: str, share: float, least: int = 2, untouched: int = 2) -> DataFrame:
@@ -23,8 +23,8 @@ def best_share(rows: DataFrame, pool: str, score: Column, ordinal: str, share: f
 
 def above_floor(rows: DataFrame, group: str, energy: str, q: float) -> DataFrame:
     """Rows whose energy is not under the group's q-quantile."""
-    floor = quantiles.linear(rows, group, energy, {"floor_": q})
-    return rows.join(floor, group).filter(F.col(energy) >= F.col("floor_")).drop("floor_")
+    floor = quantiles.linear(rows, group, energy, {"floor_": q}).withColumnRenamed(group, "of_")
+    return rows.join(floor, F.col(group).eqNullSafe(F.col("of_"))).filter(F.col(energy) >= F.col("floor_")).drop("floor_", "of_")
 
 
 def first_of_tied(rows: DataFrame, pool: str, cost: str, ordinal: str, seed: int) -> DataFrame:
@@ -46,10 +46,8 @@ def stretch_report(slots: DataFrame, candidates: DataFrame, label: str, length:
 def phrase_starts(rows: DataFrame, sequence: str, frame: str, novelty: str, q: float, least: int) -> DataFrame:
     """Frames that begin a phrase: 0, and in order those whose novelty is above the
     sequence's q-quantile and that stand at least ``least`` after the last start."""
-    cut = quantiles.linear(rows, sequence, novelty, {"cut_": q})
-    high = rows.join(cut, sequence).filter(F.col(novelty) > F.col("cut_"))
-    places = high.groupBy(sequence).agg(F.array_sort(F.collect_list(F.col(frame).cast("long"))).alias("p_"))
-    found = rows.select(sequence).distinct().join(places, sequence, "left").withColumn("p_", F.coalesce("p_", F.expr("cast(array() as array<bigint>)")))
-    begin = F.expr("array(cast(0 as bigint))")
-    starts = F.aggregate("p_", begin, lambda a, x: F.when(x - F.element_at(a, -1) >= least, F.concat(a, F.array(x))).otherwise(a))
-    return found.select(sequence, F.explode(starts).alias(frame))
+    cut = quantiles.linear(rows, sequence, novelty, {"cut_": q}).withColumnRenamed(sequence, "of_")
+    high = rows.join(cut, F.col(sequence).eqNullSafe(F.col("of_"))).filter(F.col(novelty) > F.col("cut_"))
+    # Frame 0 stands before all others and is always taken.
+    zero = rows.select(sequence, F.lit(0).cast("long").alias(frame)).distinct()
+    return folds.apart(high.select(sequence, F.col(frame).cast("long").alias(frame)).filter(F.col(frame) > 0).union(zero), sequence, frame, least)

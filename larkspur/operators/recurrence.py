@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import quantiles, timeline
+from larkspur.operators import graph, quantiles, timeline
 from larkspur.session import staged
 
 #: Places of a block; a pair of blocks is so many distances squared.
@@ -245,3 +245,56 @@ def agreement(votes: DataFrame, sequence: str, window: str, place: str, rate: st
     both = ends.join(won, "key_", "left")
     n = F.coalesce(-F.col("x.n"), F.lit(0))
     return both.select(F.col(f"key_.{sequence}").alias(sequence), n.alias("n_agree"), F.col("x.place").alias("place"), F.col("x.rate").alias("rate"), (-F.col("x.sum") / n).alias("mean_score"), F.col("x.first").alias("first_window"), F.col("x.last").alias("last_window"), F.coalesce(F.col("x.last") == F.col("end"), F.lit(False)).alias("covers_end"))
+
+
+def _local_stars(near: np.ndarray) -> np.ndarray:
+    """For each place of a symmetric relation the least place that it is connected to."""
+    label = np.arange(len(near))
+    while True:
+        # The least label around each place, then the label of that label.
+        least = np.minimum(np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)), label)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def alike(df: DataFrame, sequence: str, at: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+    """(sequence, at, group): places of a sequence that are connected by cosine
+    similarities (to nine decimals) of ``least`` or more; the group is its first
+    place. A pair of blocks tells its own components as stars, at most one edge
+    for each of its places, whatever the number of like pairs. ``at`` counts
+    places from 0; vectors of length 0 are like none."""
+    blocks = packed(df, sequence, at, F.col(at), vector, F.lit(0), block)
+
+    def measure(a: Places, b: Places, same: bool, _):
+        x, places = (a.vectors, a.at) if same else (np.concatenate([a.vectors, b.vectors]), np.concatenate([a.at, b.at]))
+        norm = np.linalg.norm(x, axis=1)
+        unit = x / np.where(norm > 0, norm, 1)[:, None]
+        near = np.round(unit @ unit.T, 9) >= least
+        near &= (norm > 0)[:, None] & (norm > 0)[None, :]
+        label = _local_stars(near)
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        return {"u": places[label[tied]], "v": places[tied]}
+
+    edges = met(blocks, measure, "u long, v long")
+    ends = lambda e: F.struct("key_", F.col(e).alias("at_"))
+    every = df.select(F.struct(F.struct(sequence).alias("key_"), F.col(at).cast("long").alias("at_")).alias("id"))
+    found = graph.components(edges.select(ends("u").alias("u"), ends("v").alias("v")), every, "id")
+    return found.select(F.col(f"id.key_.{sequence}").alias(sequence), F.col("id.at_").alias(at), F.col("component.at_").alias("group"))
+
+
+def repeat_plan(bars: DataFrame, sequence: str, at: str, vector: str, label: str, weight: str, strength: float, filler: int = 0, block: int = BLOCK) -> DataFrame:
+    """(sequence, at, label, planned, group): bars of a sequence that sound alike
+    (see :func:`alike`) get one label: of all but ``filler`` the one with the
+    most weight in the group, ties to the least; a group that names nothing else
+    stays filler. Strength 0 changes nothing; null labels count as filler.
+    """
+    kept = F.coalesce(F.col(label), F.lit(filler))
+    if strength <= 0:
+        return bars.select(sequence, at, label, F.col(label).alias("planned"), F.col(at).cast("long").alias("group"))
+    groups = alike(bars, sequence, at, vector, strength, block).select(F.struct(sequence, at).alias("bar_"), "group")
+    placed = staged(bars.select(sequence, F.col(at).cast("long").alias(at), label, kept.alias("kept_"), F.col(weight).cast("double").alias("weight_")).withColumn("bar_", F.struct(sequence, at)).join(groups, "bar_").withColumn("of_", F.struct(sequence, "group")), "bars")
+    votes = placed.groupBy("of_", "kept_").agg(F.sum("weight_").alias("weight_"))
+    won = votes.groupBy("of_").agg(F.min(F.struct(F.col("kept_") == filler, -F.col("weight_"), F.col("kept_").alias("won"))).alias("x")).select("of_", F.col("x.won").alias("planned"))
+    return placed.join(won, "of_").select(sequence, at, label, "planned", "group")

@@ -76,3 +76,22 @@ def repetition_contrast(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") % 3).alias("class"))
     placed = ranks.row_numbers(v, "label", "vec_id", "at")
     return _rounded(recurrence.label_contrast(placed, "label", "at", "embedding", "class", 4, cosine=True))
+
+
+_BARS = f"""{FRAMES}, r AS (SELECT user_id, frame // 4 AS bar, sum((event_type = 'view')::INT) AS a, sum((event_type = 'click')::INT) AS b, sum((event_type NOT IN ('view', 'click'))::INT) AS c, count(*) AS n, max(event_id) % 5 AS label FROM f GROUP BY 1, 2),
+x AS (SELECT *, [a::DOUBLE, b::DOUBLE, c::DOUBLE] AS v FROM r),
+e AS (SELECT p.user_id, p.bar AS u, q.bar AS w FROM x p JOIN x q ON p.user_id = q.user_id AND round(list_cosine_similarity(p.v, q.v), 9) >= 0.97),
+g(user_id, bar, l) AS (SELECT user_id, bar, bar FROM x UNION SELECT e.user_id, e.w, g.l FROM g JOIN e ON e.user_id = g.user_id AND e.u = g.bar WHERE g.l < e.w),
+k AS (SELECT user_id, bar, min(l) AS grp FROM g GROUP BY 1, 2),
+t AS (SELECT k.user_id, grp, label, sum(n) AS weight FROM k JOIN x ON x.user_id = k.user_id AND x.bar = k.bar GROUP BY ALL),
+o AS (SELECT user_id, grp, label AS planned FROM t QUALIFY row_number() OVER (PARTITION BY user_id, grp ORDER BY label = 0, weight DESC, label) = 1)"""
+
+
+@query(f"WITH RECURSIVE {_BARS} SELECT k.user_id, k.bar, x.label, planned, k.grp AS \"group\" FROM k JOIN x ON x.user_id = k.user_id AND x.bar = k.bar JOIN o ON o.user_id = k.user_id AND o.grp = k.grp")
+def music_repeat_plan(spark, sf_dir):
+    """Bars of four events that are alike in their mix of types get the label that most of their events carry."""
+    f = frames(spark, sf_dir).withColumn("bar", F.floor(F.col("frame") / 4))
+    count = lambda c: F.count_if(c).cast("double")
+    kind = F.col("event_type")
+    bars = f.groupBy("user_id", "bar").agg(F.array(count(kind == "view"), count(kind == "click"), count(~kind.isin("view", "click"))).alias("v"), F.count(F.lit(1)).alias("n"), (F.max("event_id") % 5).alias("label"))
+    return recurrence.repeat_plan(bars, "user_id", "bar", "v", "label", "n", 0.97)

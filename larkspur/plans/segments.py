@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import quantiles, ranks, segments, timeline
+from larkspur.operators import folds, quantiles, ranks, segments, timeline
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -334,3 +334,40 @@ def sequence_moments_by_window(spark, sf_dir):
 def short_runs_merged(spark, sf_dir):
     """A fold in which each merge depends on those before; held against planted cases."""
     return segments.merged_short(label_runs(spark, sf_dir), "user_id", "event_type", 2)
+
+
+# --- left-to-right rules -----------------------------------------------------
+
+_SNAP = f"""{RUNS}, u AS (SELECT user_id, unnest([0, max(stop)]) AS cut FROM runs GROUP BY 1 UNION SELECT user_id, start FROM runs),
+z AS (SELECT user_id, (cut // 6) * 6 AS cut, max(cut) OVER (PARTITION BY user_id) AS last FROM u), b AS (SELECT DISTINCT user_id, cut, last FROM z WHERE cut = 0 OR last - cut >= 3 UNION SELECT user_id, last, last FROM z WHERE last >= 3),
+c AS (SELECT *, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY user_id) AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY cut)),
+t AS (SELECT DISTINCT user_id, frame AS beat, {{0}} AS weight FROM f WHERE event_type = 'error'),
+k AS (SELECT c.user_id, nth, n, c.cut, last, list({{{{'b': beat, 'w': weight}}}} ORDER BY beat) FILTER (beat IS NOT NULL) AS near FROM c LEFT JOIN t ON t.user_id = c.user_id AND abs(beat - c.cut) <= 4 GROUP BY ALL),
+w AS (SELECT user_id, nth, cut, cut AS snapped, true AS legal FROM k WHERE nth = 0 UNION ALL
+SELECT user_id, nth, cut, CASE WHEN nth = n - 1 THEN cut WHEN best IS NOT NULL THEN best.b WHEN high < low THEN greatest(cut, prev + 3) ELSE least(greatest(cut, low), high) END, nth = n - 1 OR best IS NOT NULL FROM (
+SELECT *, list_sort(list_transform(list_filter(near, lambda x: x.b >= low AND x.b <= high), lambda x: {{{{'w': -x.w, 'd': abs(x.b - cut), 'b': x.b}}}}))[1] AS best FROM (
+SELECT k.*, w.snapped AS prev, greatest(w.snapped + 3, k.cut - 4) AS low, least(last - (n - 1 - k.nth) * 3, k.cut + 4) AS high FROM w JOIN k ON k.user_id = w.user_id AND k.nth = w.nth + 1)))
+SELECT user_id, nth, cut, snapped, legal AND snapped <> cut AS moved, legal FROM w"""
+
+
+def _snapped(spark, sf_dir, weight=None):
+    f = frames(spark, sf_dir)
+    runs = label_runs(spark, sf_dir)
+    ends = runs.groupBy("user_id").agg(F.max("end").alias("last"))
+    grid = runs.join(ends, "user_id").select("user_id", (F.floor(F.col("start") / 6) * 6).alias("frame"), "last")
+    grid = grid.union(ends.select("user_id", (F.floor(F.col("last") / 6) * 6).alias("frame"), "last"))
+    inner = grid.filter("frame = 0 or last - frame >= 3").select("user_id", "frame").union(ends.filter("last >= 3").select("user_id", F.col("last").alias("frame"))).distinct()
+    beats = f.filter("event_type = 'error'").select("user_id", "frame", (F.col("event_id") % 3).alias("weight"))
+    return folds.snap_cuts(inner, beats, "user_id", "frame", 4, 3, weight)
+
+
+@query("WITH RECURSIVE " + _SNAP.format("0"))
+def snapped_cuts(spark, sf_dir):
+    """Boundaries on a grid of six frames move to the nearest error within four frames, three frames apart at least."""
+    return _snapped(spark, sf_dir)
+
+
+@query("WITH RECURSIVE " + _SNAP.format("event_id % 3"))
+def snapped_cuts_by_weight(spark, sf_dir):
+    """The same, to the errors of most weight within reach."""
+    return _snapped(spark, sf_dir, "weight")

@@ -246,3 +246,43 @@ def test_held_mass_and_many_places(spark, monkeypatch):
         side = max(SHARES, key=lambda s: (left[s], s))
         want[g], left[side] = side, left[side] - 10 * m
     assert {r["g"]: r["split"] for r in splits.largest_deficit(df, "g", "m", SHARES, held).collect()} == want
+
+
+# --- bars that sound alike ---------------------------------------------------
+
+BARS = "seq string, bar long, v array<double>, label int, n long"
+SOUND = {"A": [1.0, 0.0, 0.1], "B": [0.0, 1.0, 0.1], "C": [0.5, 0.5, 2.0]}
+
+
+def planned(spark, songs, strength=0.95, block=1_024):
+    rows = [(name, i, SOUND[s] if s in SOUND else [0.0] * 3, label, 4) for name, (sections, labels) in songs.items() for i, (s, label) in enumerate(zip(sections, labels, strict=True))]
+    out = {}
+    for r in recurrence.repeat_plan(spark.createDataFrame(rows, BARS), "seq", "bar", "v", "label", "n", strength, block=block).orderBy("bar").collect():
+        out.setdefault(r["seq"], []).append(r["planned"])
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 1_024])
+def test_bars_that_sound_alike_get_one_class(spark, block):
+    songs = {
+        "abab": ("ABABABAB", [1, 2, 3, 4, 5, 6, 7, 8]),
+        "weight": ("AAABBBBB", [5, 5, 6, 7, 7, 7, 7, 7]),
+        "filler": ("AAAABBBB", [0, 0, 0, 3, 9, 9, 9, 9]),
+        "only filler": ("AAB", [0, None, 4]),
+        None: ("ABCABCAB", [4, 9, 2, 4, 9, 2, 4, 9]),
+        "silent": ("xxA", [1, 2, 3]),
+    }
+    got = planned(spark, songs, block=block)
+    assert got["abab"] == [1, 2] * 4  # ties go to the least class
+    assert got["weight"] == [5, 5, 5, 7, 7, 7, 7, 7] and got["filler"] == [3, 3, 3, 3, 9, 9, 9, 9]
+    assert got["only filler"] == [0, 0, 4] and got[None] == [4, 9, 2, 4, 9, 2, 4, 9] and got["silent"] == [1, 2, 3]
+    assert planned(spark, songs, strength=0.0) == {s: labels for s, (_, labels) in songs.items()}
+
+
+def test_likeness_is_passed_on_along_chains(spark):
+    """Each bar is like the next one only; all of them are one group, in blocks of any size."""
+    rows = [("s", i, [float(np.cos(i / 20)), float(np.sin(i / 20))], i, 1) for i in range(30)]
+    df = spark.createDataFrame(rows, BARS)
+    for block in (4, 1_024):
+        assert {r["group"] for r in recurrence.alike(df, "seq", "bar", "v", 0.998, block).collect()} == {0}
+        assert len({r["group"] for r in recurrence.alike(df, "seq", "bar", "v", 0.99999, block).collect()}) == 30
