@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .shared import dealt_join, stage
 
-#: Lower case of A to Z, one mark for what ends a piece, a space for a tab.
-SIGNS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " \n " for c in ".,;:!?\n\x0b\x0c\r"} | {"\t": " "})
+#: In UTF-8, where these signs are bytes of their own: one mark for what ends a piece, a space for a tab.
+SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
 #: A step that has not come.
 NEVER = 255
@@ -69,14 +69,15 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = defaultdict(count().__next__)
-        self.codes[""], self.codes["\n"]
+        self.codes: dict[bytes, int] = defaultdict(count().__next__)
+        self.codes[b""], self.codes[b"\n"]
         self.parts: list[np.ndarray] = []
         self.n = 0
 
     def add(self, text: str) -> None:
-        found = text.translate(SIGNS).split(" ")
-        found.append("\n")
+        # bytes.lower() changes A to Z alone.
+        found = text.encode().lower().translate(SIGNS).replace(b"\n", b" \n ").split(b" ")
+        found.append(b"\n")
         self.parts.append(np.fromiter(map(self.codes.__getitem__, found), dtype=np.int64, count=len(found)))
         self.n += len(found)
 
@@ -84,7 +85,8 @@ class Words:
         """For each length k: where phrases of it begin, among the words' numbers, and their hashes there."""
         flat = np.concatenate(self.parts) if self.parts else np.zeros(0, dtype=np.int64)
         flat = flat[flat > 0]
-        own = np.fromiter((xxhash.xxh64_intdigest(f"{self.lang}\0{w}") for w in self.codes), dtype=np.uint64, count=len(self.codes))
+        begin = self.lang.encode() + b"\0"
+        own = np.fromiter((xxhash.xxh64_intdigest(begin + w) for w in self.codes), dtype=np.uint64, count=len(self.codes))
         word = own[flat]
         fine, h = flat > 1, word
         for k in range(1, longest + 1):
@@ -95,7 +97,7 @@ class Words:
 
     def text(self, at: np.ndarray, k: int, flat: np.ndarray) -> list[str]:
         names = list(self.codes)
-        return [" ".join([names[c] for c in flat[i : i + k].tolist()]) for i in at.tolist()]
+        return [b" ".join([names[c] for c in flat[i : i + k].tolist()]).decode() for i in at.tolist()]
 
 
 def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
