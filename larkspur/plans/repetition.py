@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import ranks, recurrence
+from larkspur.operators import ranks, recurrence, selfsimilarity
 from larkspur.plans.registry import query
 from larkspur.plans.segments import FRAMES, frames, label_runs
 from larkspur.session import table
@@ -95,3 +95,10 @@ def music_repeat_plan(spark, sf_dir):
     kind = F.col("event_type")
     bars = f.groupBy("user_id", "bar").agg(F.array(count(kind == "view"), count(kind == "click"), count(~kind.isin("view", "click"))).alias("v"), F.count(F.lit(1)).alias("n"), (F.max("event_id") % 5).alias("label"))
     return recurrence.repeat_plan(bars, "user_id", "bar", "v", "label", "n", 0.97)
+
+
+@query()
+def similarity_segments(spark, sf_dir):
+    """Each label's vectors in order of their ids as a sequence, cut where they change; held against the plain rule."""
+    placed = ranks.row_numbers(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "frame")
+    return selfsimilarity.segments(placed, "label", "frame", "embedding", selfsimilarity.Rules(min_length=4, frames_per_cluster=8.0))
