@@ -28,16 +28,20 @@ UNKNOWN = "und"
 class Limits:
     """Documented bounds of the model.
 
-    At most ``docs`` distinct labelled texts, the ones with the smallest
-    seeded hashes, are learned from, each once and whole; all their words and
+    Of each language an equal part of ``docs`` distinct labelled texts is
+    learned from, ``least_each`` at least, or all where there are fewer: those
+    with the smallest seeded hashes, each once and whole; all their words and
     n-grams are kept. So the model, which is what goes to executors, does not
-    grow with the corpus. A language needs ``least_part`` of those texts, so
-    that stray values of ``lang`` add no languages: there are at most 200.
+    grow with the corpus: it knows at most ``langs`` languages, those with the
+    most texts (ties by name). A language needs ``least_texts`` distinct texts,
+    however large the corpus is, so that a stray value of ``lang`` adds none.
     """
 
     docs: int = 1_000
     longest: int = 4
-    least_part: float = 0.005
+    langs: int = 200
+    least_texts: int = 5
+    least_each: int = 50
 
 
 @dataclass(frozen=True)
@@ -57,16 +61,17 @@ def train(labelled: DataFrame, limits: Limits = Limits()) -> Model:
     """
     labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
     labelled = labelled.select("text", "lang", F.xxhash64(F.lit(7), "lang", "text").alias("h"))
-    n = labelled.select("h").distinct().count()
-    if n > limits.docs:
-        # A bounded sample by hash; four standard deviations below the bound.
-        share = (limits.docs - 4 * math.sqrt(limits.docs)) / n
-        labelled = labelled.filter(F.col("h") < int(-(2**63) + share * 2**64))
     # Copies count once, so that one text with a third of all rows keeps the bound.
-    labelled = labelled.dropDuplicates(["h"])
-    texts = dict(labelled.groupBy("lang").count().collect())
-    langs = sorted(x for x, k in texts.items() if k >= limits.least_part * sum(texts.values()))
-    labelled = labelled.filter(F.col("lang").isin(langs))
+    texts = labelled.select("lang", "h").distinct().groupBy("lang").count().filter(F.col("count") >= limits.least_texts)
+    known = dict(texts.orderBy(F.desc("count"), "lang").limit(limits.langs).collect())
+    langs = sorted(known)
+    # A bounded sample by hash: of a language with more texts, four standard deviations below the bound.
+    each = max(limits.least_each, limits.docs // max(1, len(langs)))
+    cut = F.lit(None).cast("long")
+    for lang, n in known.items():
+        most = -(2**63) + int(max(1.0, each - 4 * math.sqrt(each)) / n * 2**64) if n > each else 2**63 - 1
+        cut = F.when(F.col("lang") == lang, F.lit(most)).otherwise(cut)
+    labelled = labelled.filter(F.col("h") <= cut).dropDuplicates(["h"])
     word = F.explode(F.expr(r"filter(split(lower(text), '[^\\p{L}]+'), w -> w != '')")).alias("word")
     counts = labelled.select("lang", word).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.persist()

@@ -545,3 +545,97 @@ def test_language_stage_fills_in_and_keeps_columns(spark):
     assert corpus_pipeline.language_id(spark, df.limit(0), SF).count() == 0
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == 20
+
+
+def test_rare_languages_are_kept_and_stray_ones_are_not(spark):
+    """Fourteen texts of a language with words of its own among thousands; one stray label."""
+    rng = random.Random(3)
+    speak = lambda words: " ".join(rng.choice(words) for _ in range(12))
+    en, fr, xx = ["the", "cat", "house", "water", "run"], ["le", "chat", "maison", "eau", "cours"], ["zorb", "quix", "vlek", "jumf", "plyk"]
+    rows = [(i, f"{speak(en)} {i}", "en") for i in range(2_000)] + [(5_000 + i, f"{speak(fr)} {i}", "fr") for i in range(1_000)]
+    rows += [(9_000 + i, f"{speak(xx)} {i}", "xx") for i in range(14)] + [(9_900, "stray", "zz")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.langs == ["en", "fr", "xx"]
+    told = {r["doc_id"]: (r["lang"], r["p"]) for r in language.identify(df, model, "p", "s").filter("doc_id < 9900").collect()}
+    assert all(lang == p for lang, p in told.values())
+    assert language.train(df, language.Limits(langs=1)).langs == ["en"]
+
+
+def test_predictions_are_those_of_a_plain_backoff(docs, table):
+    """Scores by dictionaries: known words, else the longest known n-grams' mean, with half a unit off for each shorter length."""
+    model = language.train(docs.filter(~language.held_out()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    scores = {w: model.word_scores[i] for w, i in model.words.items()}
+    for doc, text in table[["doc_id", "text"]].itertuples(index=False):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            assert got[doc] == ("und", 0.0)
+            continue
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w in scores:
+                total += scores[w]
+                continue
+            for k in range(4, 0, -1):
+                p = f"<{w}>"
+                found = [model.gram_scores[k - 1][model.grams[k - 1][g]] for g in (p[i : i + k] for i in range(len(p) - k + 1)) if g in model.grams[k - 1]]
+                if found:
+                    total += np.mean(found, axis=0) - 0.5 * (4 - k)
+                    break
+        mean = total / len(words)
+        likely = np.exp(mean - mean.max())
+        assert got[doc][0] == model.langs[int(likely.argmax())] and abs(got[doc][1] - likely.max() / likely.sum()) < 1e-9
+
+
+def test_iban_check_digits_are_told_apart():
+    """All valid numbers of one account: pseudonyms differ and lead back."""
+    given = [f"GB{c:02d}WEST1234569876543{d}" for c in range(100) for d in range(10)]
+    valid = [v for v in given if pii._iban_valid(v)]
+    made = {v: pii._iban(b"key", v) for v in valid}
+    assert len(set(made.values())) == len(valid) and all(pii._iban_valid(m) for m in made.values())
+    assert all(pii._iban(b"key", m, back=True) == v for v, m in made.items())
+    assert not any(v[2:4] in ("00", "01", "99") for v in valid)
+
+
+def test_shards_keep_columns_of_any_name_and_their_order_is_plain(spark):
+    names = ["order", "before_", "bucket", "row", "a.b"]
+    rows = [(i, f"text {i}" if i % 7 else None, *[i * 10 + j for j in range(5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sharding.external_shuffle(df, 8, bucket_bytes=700)
+    assert sorted(got.columns) == sorted(["doc_id", "text", *names, "shard", "slot"])
+    kept = sorted(tuple(r)[:7] for r in got.collect())
+    assert kept == rows
+    # Brute force: buckets by hash, rows in hash order, Fisher-Yates by bucket, dealt out in turn.
+    hashed = df.select("doc_id", "text", F.xxhash64(F.lit(42), "doc_id", "text").alias("h"), F.xxhash64(F.lit(43), "doc_id", "text").alias("o")).collect()
+    buckets = max(1, -(-sum(len((r["text"] or "").encode()) + 1 for r in hashed) // 700))
+    at, want = 0, {}
+    for b in range(buckets):
+        own = sorted((r for r in hashed if r["h"] % buckets == b), key=lambda r: r["o"])
+        for i in np.random.Generator(np.random.PCG64([42, b])).permutation(len(own)):
+            want[own[i]["doc_id"]] = (at % 8, at // 8)
+            at += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got.collect()} == want
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["language_pred__", "score", "pred", "row", "hash", "nth__", "doc__", "text_hash__", "order"]
+    texts = [f"{PROSE} number {i // 2} of the herd went over the hill and the river" for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", len(t), *[i] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name in ("language_id", "near_duplicates", "pii"):
+        got = dict(corpus_pipeline.STAGES)[name](spark, df, SF)
+        assert got.columns == df.columns
+        assert all(tuple(r)[5:] == (r["doc_id"],) * len(names) for r in got.collect())
+
+
+def test_pipeline_of_an_empty_table_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    texts = [f"{PROSE} {' '.join(random.Random(i).choices(PROSE.split(), k=40))}" for i in range(30)]
+    spark.createDataFrame([(None if i % 3 == 0 else i, t, "en", None, None) for i, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "odd")).count() > 0
