@@ -31,25 +31,26 @@ def external_shuffle(
     """All rows and columns of ``docs`` with ``shard`` and ``slot``, written as
     Parquet files by shard in the shared folder and read back.
 
-    ``docs`` has doc_id and text; its columns are kept, but one named shard,
-    slot or bucket is replaced. Scattering hashes the doc_id and text, so any
+    ``docs`` has doc_id and text; its columns are kept whatever their names, but
+    one named shard or slot is replaced. Scattering hashes the doc_id and text, so any
     number of equal texts, and rows of one id, spread; a null id counts as a
     value, and only rows equal in both stay in one bucket. Nulls and empty
     texts are records of size 1; repeated rows each keep a slot of their own;
     an empty table gives no rows.
     """
-    docs = docs.drop("shard", "slot", "bucket")
+    docs = docs.drop("shard", "slot")
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     total = docs.agg(F.sum(record_size(F.col("text")))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    bucketed = docs.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int"))
+    # The caller's row as a struct: its names meet none of these.
+    order = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("order")
+    bucketed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket"), order)
     counts = stage(bucketed.groupBy("bucket").count().withColumn("group", F.floor(F.col("bucket") / 4096)), "counts")
     earlier = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     of_groups = counts.groupBy("group").agg(F.sum("count").alias("n"))
     of_groups = of_groups.select("group", F.coalesce(F.sum("n").over(earlier(F.lit(0), "group")), F.lit(0)).alias("base_"))
     starts = counts.withColumn("within_", F.coalesce(F.sum("count").over(earlier("group", "bucket")), F.lit(0))).join(of_groups, "group")
     starts = stage(starts.select("bucket", (F.col("base_") + F.col("within_")).alias("before_")).coalesce(1 + buckets // 2**20), "starts")
-    names = [f.name for f in docs.schema.fields]
     schema = docs.withColumn("shard", F.lit(0).cast("int")).withColumn("slot", F.lit(0).cast("long")).schema
 
     def shuffled(batches):
@@ -68,12 +69,12 @@ def external_shuffle(
             at = before[part[0]] + np.arange(len(part), dtype=np.int64)
             shard, slot = (at % n_shards).astype(np.int32), at // n_shards
             for lo in range(0, len(part), 1024):
-                out = rows.select(names).take(part[lo : lo + 1024]).combine_chunks()
+                out = pa.Table.from_struct_array(rows.column("row").take(part[lo : lo + 1024]))
                 out = out.append_column("shard", pa.array(shard[lo : lo + 1024], pa.int32())).append_column("slot", pa.array(slot[lo : lo + 1024], pa.int64()))
                 yield from out.to_batches()
 
     # The table of buckets is broadcast while it is small.
-    scattered = bucketed.join(starts, "bucket").withColumn("order", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"))).repartitionById(buckets, F.col("bucket"))
+    scattered = bucketed.join(starts, "bucket").repartitionById(buckets, F.col("bucket"))
     path = f"{shared_dir(docs.sparkSession)}/larkspur/{name}-{_unique()}"
     scattered.mapInArrow(shuffled, schema).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     read = docs.sparkSession.read.schema(schema).parquet(path)
