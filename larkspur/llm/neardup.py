@@ -281,9 +281,11 @@ def first_of_each(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     _, of_group = _classes(docs, banding, "doc_id")
     first = of_group.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")).alias("f"))
     first = first.select(F.col("f.doc").alias("doc__"), F.col("f.hash").alias("hash__"))
-    hashed = docs.withColumn("text_hash__", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    same = (hashed["text_hash__"] == first["hash__"]) & hashed["doc_id"].cast("long").eqNullSafe(first["doc__"])
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.to_json(F.struct(*others)) if others else F.lit(0)
-    one = Window.partitionBy("text_hash__", F.col("doc_id").cast("long")).orderBy(order)
-    return hashed.join(first, same, "left_semi").withColumn("nth__", F.row_number().over(one)).filter("nth__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The caller's row as a struct: its names meet none of these.
+    hashed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("hash"),
+        F.col("doc_id").cast("long").alias("id"), (F.to_json(F.struct(*others)) if others else F.lit(0)).alias("order"))
+    same = (hashed["hash"] == first["hash__"]) & hashed["id"].eqNullSafe(first["doc__"])
+    one = Window.partitionBy("hash", "id").orderBy("order")
+    return hashed.join(first, same, "left_semi").withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row.*")
