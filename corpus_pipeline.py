@@ -29,13 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out; if there is nothing to learn from, all texts with letters stay.
     """
     model = language.train(docs.filter(~language.held_out()))
-    told = language.identify(docs, model, "language_pred__", "language_score__")
+    told = language.identify(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model, "pred", "score")
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     chance = 1 / len(model.langs)
-    sure = (F.col("language_pred__") != language.UNKNOWN) & (F.col("language_score__") >= chance + GUESS * (1 - chance))
-    filled = F.coalesce("lang", "language_pred__").alias("lang")
-    return told.filter(sure).select(*[filled if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    sure = (F.col("pred") != language.UNKNOWN) & (F.col("score") >= chance + GUESS * (1 - chance))
+    of = lambda c: F.coalesce(F.col("row.lang"), F.col("pred")) if c == "lang" else F.col("row").getField(c)
+    return told.filter(sure).select(*[of(c).alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
