@@ -7,7 +7,7 @@ first) have reached the threshold, which may be in the middle of a round, and
 then it is counted for exactly one full cycle of shards, wherever it began.
 Counting ends when no phrase is in the middle of its cycle.
 
-These counts are kept by 40 to 64 bits of a phrase's hash, a few bytes each: a
+These counts are kept by 32 to 60 bits of a phrase's hash, a few bytes each: a
 step's are sorted and packed by range of the hash, and phrases that became
 active at one step are one cohort, whose packed counts of a cycle are merged
 range by range. Tasks are told what is active by tables of fixed size: for each
@@ -22,13 +22,12 @@ phrases are counted than need be.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -36,8 +35,12 @@ from pyspark.sql import functions as F
 
 from .shared import dealt_join, stage
 
-#: In UTF-8, where these signs are bytes of their own: one mark for what ends a piece, a space for a tab.
-SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
+#: What ends a piece becomes a byte that UTF-8 does not have, a tab a space.
+END = b"\xff"
+SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
+
+#: Bits of a hash that are kept beside those of its range.
+KEPT = 28
 
 #: A step that has not come.
 NEVER = 255
@@ -49,9 +52,9 @@ class Rules:
     longest: int = 3  # words of a candidate, at most
     first: int = 2_000  # ranks of each language
     contained: int = 50  # percent of its occurrences in one longer candidate at which a phrase is dropped
-    shards: int = 4  # shards of a cycle, at most 60
-    bits: int = 25  # the tables have 2**bits entries, one table for each length
-    buffer: int = 2_000_000  # words that a task counts at a time
+    shards: int = 2  # shards of a cycle, at most 60; a step's counts are merged with those of a cycle
+    bits: int = 25  # the tables have 2**bits entries, at most 2**32, one table for each length
+    buffer: int = 3_000_000  # words that a task counts at a time
     part: int = 1_000_000  # words of the corpus for each range of hashes
 
 
@@ -62,55 +65,48 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts of one language as numbers, in order; 1 ends a piece."""
+    """The words of some texts of one language, and the phrases that they make."""
 
     def __init__(self, lang: str):
-        self.lang = lang
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[bytes, int] = defaultdict(count().__next__)
-        self.codes[b""], self.codes[b"\n"]
-        self.parts: list[np.ndarray] = []
-        self.n = 0
+        self.lang, self.raw, self.n = lang, [], 0
 
     def add(self, text: str) -> None:
         # bytes.lower() changes A to Z alone.
-        found = text.encode().lower().translate(SIGNS).replace(b"\n", b" \n ").split(b" ")
-        found.append(b"\n")
-        self.parts.append(np.fromiter(map(self.codes.__getitem__, found), dtype=np.int64, count=len(found)))
-        self.n += len(found)
-
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length k: where phrases of it begin, among the words' numbers, and their hashes there."""
-        flat = np.concatenate(self.parts) if self.parts else np.zeros(0, dtype=np.int64)
-        flat = flat[flat > 0]
-        begin = self.lang.encode() + b"\0"
-        own = np.fromiter((xxhash.xxh64_intdigest(begin + w) for w in self.codes), dtype=np.uint64, count=len(self.codes))
-        word = own[flat]
-        fine, h = flat > 1, word
+        cut = text.encode().lower().translate(SIGNS).replace(END, b" \xff ") + b" \xff"
+        self.raw.append(cut)
+        self.n += cut.count(b" ")
+
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length k: where phrases of it begin, among the places of the words, and their hashes there."""
+        found = pc.split_pattern(pa.array(self.raw, pa.large_binary()), b" ").flatten().dictionary_encode()
+        self.raw = []
+        self.names, flat = found.dictionary.to_pylist(), found.indices.to_numpy()
+        if b"" in self.names:  # between two blanks
+            flat = flat[flat != self.names.index(b"")]
+        self.flat, end, begin = flat.astype(np.int64), self.names.index(END), self.lang.encode() + b"\0"
+        own = np.fromiter((xxhash.xxh64_intdigest(begin + w) for w in self.names), dtype=np.uint64, count=len(self.names))
+        word, is_word = own[flat], flat != end
+        fine, h = is_word, word
         for k in range(1, longest + 1):
             if k > 1:
-                fine = fine[:-1] & (flat[k - 1 :] > 1)
+                fine = fine[:-1] & is_word[k - 1 :]
                 h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :])
-            yield k, fine, h, flat
+            yield k, fine, h
 
-    def text(self, at: np.ndarray, k: int, flat: np.ndarray) -> list[str]:
-        names = list(self.codes)
-        return [b" ".join([names[c] for c in flat[i : i + k].tolist()]).decode() for i in at.tolist()]
+    def text(self, at: np.ndarray, k: int) -> list[str]:
+        return [b" ".join([self.names[c] for c in self.flat[i : i + k].tolist()]).decode() for i in at.tolist()]
 
 
 def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes of a range (their low 40 bits count) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
-    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """Sorted hashes of a range (``KEPT`` bits) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
     return np.concatenate([steps.T.ravel(), np.minimum(n, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T.ravel()]).tobytes()
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(payload, dtype=np.uint8).reshape(7, -1)
-    steps, n = np.zeros((planes.shape[1], 8), dtype=np.uint8), np.zeros((planes.shape[1], 2), dtype=np.uint8)
-    steps[:, :5], n[:] = planes[:5].T, planes[5:].T
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), n.view("<u2").ravel().astype(np.int64)
+    planes = np.frombuffer(payload, dtype=np.uint8).reshape(6, -1)
+    steps, n = np.ascontiguousarray(planes[:4].T), np.ascontiguousarray(planes[4:].T)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64), n.view("<u2").ravel().astype(np.int64)
 
 
 class Active:
@@ -153,7 +149,7 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
 
         def drained(words: Words):
             before = None  # since when each shorter phrase counts as frequent, by place
-            for k, fine, h, _ in words.phrases(rules.longest):
+            for k, fine, h in words.phrases(rules.longest):
                 since = np.zeros(len(h), dtype=np.uint8) if before is None else np.maximum(before[:-1], before[1:])
                 live = fine & (since <= step) & (step < since.astype(np.int64) + rules.shards)
                 cohorts = np.unique(since[live]).tolist()
@@ -161,7 +157,7 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
                     found, n = np.unique(h[live & (since == cohort)], return_counts=True)
                     part = (found >> np.uint64(64 - part_bits)).astype(np.int64)
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                    low = (found << np.uint64(part_bits)) >> np.uint64(24)  # the 40 bits after the part's
+                    low = (found << np.uint64(part_bits)) >> np.uint64(64 - KEPT)
                     payloads = [_packed(low[i:j], n[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     for lo in range(0, len(payloads), 4_096):
                         some = payloads[lo : lo + 4_096]
@@ -187,7 +183,7 @@ def _reached(counts: DataFrame, rules: Rules, part_bits: int) -> list[np.ndarray
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         often = h[first][np.add.reduceat(n, first) >= rules.least]
-        whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(24)) >> np.uint64(part_bits))
+        whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(64 - KEPT)) >> np.uint64(part_bits))
         bits = np.unique(whole >> np.uint64(64 - rules.bits)).astype(np.int64)
         return pa.table({"k": pa.array(np.full(len(bits), key[0].as_py(), dtype=np.int32)), "bit": pa.array(bits)})
 
@@ -205,7 +201,7 @@ def _active(texts: DataFrame, rules: Rules) -> list[np.ndarray]:
     """All steps: for each length the table of the steps since which its phrases count as frequent."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    part_bits = min(40, max(4, int(size // 4 // rules.part).bit_length()))
+    part_bits = min(32, max(4, int(size // 4 // rules.part).bit_length()))
     tables = [np.full(1 << rules.bits, NEVER, dtype=np.uint8) for _ in range(rules.longest)]
     steps: list[DataFrame] = []
     step = latest = 0  # latest: when the last cohort began
@@ -249,7 +245,7 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 65_536], pa.int64())], names=["lang", "phrase", "k", "n"])
 
         def drained(words: Words):
-            for k, fine, h, flat in words.phrases(rules.longest):
+            for k, fine, h in words.phrases(rules.longest):
                 if k == 1:
                     yield from rows(words, 0, [""], [int(fine.sum())])
                 at = np.flatnonzero(fine)
@@ -257,11 +253,11 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 if not len(at):
                     break  # a longer phrase has frequent parts
                 # Numbers of phrases within the buffer, from those of their words.
-                code, names = flat[at], len(words.codes)
+                code, names = words.flat[at], len(words.names)
                 for j in range(1, k):
-                    _, code = np.unique(code * names + flat[at + j], return_inverse=True)
+                    _, code = np.unique(code * names + words.flat[at + j], return_inverse=True)
                 _, first, n = np.unique(code, return_index=True, return_counts=True)
-                yield from rows(words, k, words.text(at[first], k, flat), n.tolist())
+                yield from rows(words, k, words.text(at[first], k), n.tolist())
 
         yield from _batches(batches, rules, drained)
 
