@@ -29,11 +29,12 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, rank: str = "rank", by: l
 def quantile_range(df: DataFrame, value: str, parts: int = 4096, rows: int = 512) -> Column:
     """The number of a row's range, in order of ``value``, a number or a time: ranges of
     about ``rows`` rows, cut at approximate quantiles (at most ``parts`` numbers). Nulls are in the first."""
-    parts = max(1, min(parts, df.count() // rows))
-    if parts == 1:
+    # One pass for the count and the cuts; fewer ranges take some of these.
+    n, fine = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(value).cast("double"), [(i + 1) / parts for i in range(parts - 1)] or [1.0], 50_000)).first()
+    wanted = max(1, min(parts, n // rows))
+    if wanted == 1 or not fine:
         return F.lit(0)
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [(i + 1) / parts for i in range(parts - 1)] or [1.0], 50_000)).first()[0] or []
-    cuts = sorted(set(cuts[: parts - 1]))
+    cuts = sorted({fine[min(len(fine) - 1, -(-(i + 1) * parts // wanted) - 1)] for i in range(wanted - 1)})
     wide = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
     if not wide:
         return F.lit(0)
@@ -56,9 +57,13 @@ def mean_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, by: str, order: str | list[str], number: str, rows: int = 512) -> DataFrame:
-    """Number the rows of each group from 0 by ``order``, which has no ties:
-    within ranges of its first column, whose starts come from counts, so that no group is one task."""
+    """Number the rows of each group from 0 by ``order``, which has no ties. Where a
+    group has more than ``rows`` rows, within ranges of the first column of the order, whose
+    starts come from counts, so that no such group is one task."""
     order = [order] if isinstance(order, str) else order
+    largest = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_")).agg(F.max("n_")).first()[0] or 0
+    if largest <= rows:
+        return df.withColumn(number, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
     # The group as a struct: null groups are equal in the join too, and rows stay where the window has them.
     ranged = df.withColumns({"by_": F.struct(by), "range_": quantile_range(df, order[0], rows=rows)})
     counts = ranged.groupBy("by_", "range_").agg(F.count(F.lit(1)).alias("n_"))

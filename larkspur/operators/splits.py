@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import hash_rank, row_numbers
+from larkspur.session import staged
+
+from . import timeline
+from .ranks import hash_rank, quantile_range, row_numbers
 
 
 def rank_split(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42, by: list[str] | None = None) -> DataFrame:
@@ -19,10 +22,12 @@ def rank_split(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1)
 def group_fill_split(df: DataFrame, group: str, mass: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Whole groups, heaviest first (ties by name), fill train, then val, then test
     by the mass that stands before them. One row per group."""
-    sizes = df.groupBy(group).agg(F.sum(mass).alias("mass"), F.count(F.lit(1)).alias("members"))
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.desc("mass"), F.asc(group))
-    sized = sizes.withColumn("before", F.coalesce(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("mass").over(every))
+    sizes = staged(df.groupBy(group).agg(F.sum(mass).alias("mass"), F.count(F.lit(1)).alias("members")), "sizes")
+    # Running sums within ranges of masses and over their totals.
+    placed = sizes.withColumns({"key_": F.struct(F.lit(0)), "light_": -F.coalesce("mass", F.lit(0)).cast("double")})
+    placed = placed.withColumns({"block_": quantile_range(placed, "light_"), "order_": F.struct("light_", group)})
+    summed = timeline.running(placed, group, F.col("block_"), "order_", {"upto": ("sum", F.coalesce("mass", F.lit(0)))}, keep=True)
+    sized = summed.withColumn("before", F.col("upto") - F.coalesce("mass", F.lit(0))).crossJoin(F.broadcast(sizes.agg(F.sum("mass").alias("total"))))
     split = F.when(F.col("before") < F.col("total") * shares[0], "train").when(F.col("before") < F.col("total") * (shares[0] + shares[1]), "val").otherwise("test")
     return sized.withColumn("split", split).select(group, "mass", "members", "split")
 
@@ -34,9 +39,9 @@ def spanning_groups(df: DataFrame, keys: list[str], split: str = "split") -> Dat
     return seen.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n_splits"), F.sum("n").alias("members")).filter("n_splits > 1")
 
 
-def duplicate_groups(df: DataFrame, key: str, content: str, split: str | None = None) -> DataFrame:
-    """Contents that several rows have, and whether they cross the splits."""
-    base = df.withColumn("content_sha256", F.sha2(content, 256))
+def duplicate_groups(df: DataFrame, key: str, content: str, split: str | None = None, hashed: bool = False) -> DataFrame:
+    """Contents (or with ``hashed`` their hashes) that several rows have, and whether they cross the splits."""
+    base = df.withColumn("content_sha256", F.col(content) if hashed else F.sha2(content, 256))
     spread = [F.count_distinct(split).alias("n_splits"), (F.count_distinct(split) > 1).alias("cross_split_collision")] if split else []
     return base.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first_id"), *spread).filter("members > 1")
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import quantile_range
+from . import timeline
+from .ranks import quantile_range, row_numbers
 
 
 def rank_auc(df: DataFrame, score: str, positive: Column, digits: int | None = 6, parts: int = 4096) -> DataFrame:
@@ -33,8 +34,8 @@ def rank_auc(df: DataFrame, score: str, positive: Column, digits: int | None = 6
 def js_divergence(df: DataFrame, group: str, value: str, left: str, right: str) -> DataFrame:
     """Jensen-Shannon divergence, in bits, of a value's distribution in two groups."""
     counts = df.filter(F.col(group).isin(left, right)).groupBy(value).agg(F.sum((F.col(group) == left).cast("long")).alias("a"), F.sum((F.col(group) == right).cast("long")).alias("b"))
-    every = Window.partitionBy(F.lit(0))
-    p = counts.withColumn("p", F.col("a") / F.sum("a").over(every)).withColumn("q", F.col("b") / F.sum("b").over(every)).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    both = counts.crossJoin(F.broadcast(counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))))
+    p = both.withColumn("p", F.try_divide("a", "all_a")).withColumn("q", F.try_divide("b", "all_b")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).otherwise(0.0)
     return p.agg(F.round(F.sum(term("p") / 2 + term("q") / 2), 6).alias("js_bits"), F.count(F.lit(1)).alias("values"))
 
@@ -68,8 +69,10 @@ def permutation_p(entities: DataFrame, key: str, value: str, group: Column, roun
     rows = entities.select(key, F.col(value).cast("double").alias("x"), group.cast("int").alias("g"))
     sizes = rows.agg(F.sum("g").alias("k"))
     spread = rows.select(key, "x", "g", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
-    nth = F.row_number().over(Window.partitionBy("round").orderBy(_drawn(seed, F.col("round"), F.col(key)), key))
-    given = spread.withColumn("n", nth).crossJoin(F.broadcast(sizes)).withColumn("h", F.when(F.col("round") == 0, F.col("g") == 1).otherwise(F.col("n") <= F.col("k")))
+    # A round's order by ranges of the draws and their counts, so that no task sorts all entities.
+    placed = spread.withColumn("draw_", _drawn(seed, F.col("round"), F.col(key)))
+    placed = placed.withColumns({"key_": F.struct("round"), "block_": F.floor(F.col("draw_") / 2**20), "order_": F.struct("draw_", key)})
+    given = timeline.running(placed, "round", F.col("block_"), "order_", {"n": ("sum", F.lit(1))}).crossJoin(F.broadcast(sizes)).withColumn("h", F.when(F.col("round") == 0, F.col("g") == 1).otherwise(F.col("n") <= F.col("k")))
     means = given.groupBy("round").agg(F.avg(F.when(F.col("h"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("h"), F.col("x"))).alias("b"))
     diff = means.select("round", F.round(F.abs(F.col("a") - F.col("b")), 9).alias("d"))
     seen = diff.filter("round = 0").select(F.col("d").alias("seen"))
@@ -80,8 +83,8 @@ def permutation_p(entities: DataFrame, key: str, value: str, group: Column, roun
 def bootstrap_mean(entities: DataFrame, key: str, value: str, rounds: int = 100, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean over entities (one row each), drawn with
     replacement as often as there are entities, by seeded draws."""
-    at = Window.partitionBy(F.lit(0)).orderBy(key)
-    numbered = entities.select(key, F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(at) - 1)
+    one = entities.select(F.lit(0).alias("one_"), key, F.col(value).cast("double").alias("x"))
+    numbered = row_numbers(one, "one_", key, "i", timeline.BLOCK).drop("one_")
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
     draws = numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).crossJoin(F.broadcast(n))
     taken = draws.select("round", F.pmod(_drawn(seed, F.col("round"), F.col("i")), F.col("n")).alias("i"))

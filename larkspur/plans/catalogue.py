@@ -27,7 +27,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.rank_split(_docs(spark, sf_dir), "doc_id")
+    """Documents with a split and the hash of their text, which is all that the ranks' exchanges carry of it."""
+    hashed = _docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("hash"))
+    return splits.rank_split(hashed, "doc_id")
 
 
 # --- splits and leakage -------------------------------------------------------
@@ -36,7 +38,7 @@ def _split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SPLIT} SELECT sha256(text) AS content_sha256, count(*) AS members, min(doc_id) AS first_id,
 count(DISTINCT split) AS n_splits, count(DISTINCT split) > 1 AS cross_split_collision FROM s GROUP BY 1 HAVING count(*) > 1""")
 def cross_split_duplicates(spark, sf_dir):
-    return splits.duplicate_groups(_split_docs(spark, sf_dir), "doc_id", "text", "split")
+    return splits.duplicate_groups(_split_docs(spark, sf_dir), "doc_id", "hash", "split", hashed=True)
 
 
 @query("SELECT sha256(text) AS content_sha256, count(*) AS members, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -66,7 +68,7 @@ def account_greedy_split(spark, sf_dir):
 
 @query(f"WITH {_SPLIT} SELECT split, count(*) AS n, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS mass, count(DISTINCT sha256(text)) AS contents FROM s GROUP BY 1")
 def split_summary(spark, sf_dir):
-    s = _split_docs(spark, sf_dir).withColumn("h", F.sha2("text", 256))
+    s = _split_docs(spark, sf_dir).withColumnRenamed("hash", "h")
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("mass"), F.count_distinct("h").alias("contents"))
 
 
@@ -78,7 +80,7 @@ def shared_sources_between_splits(spark, sf_dir):
 @query(f"""WITH {_SPLIT}, k AS (SELECT split, 'source' AS key, source AS value FROM s UNION ALL SELECT split, 'hash', sha256(text) FROM s)
 SELECT key, value, count(DISTINCT split) AS n_splits, count(*) AS members FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
 def group_spans_splits(spark, sf_dir):
-    return splits.spanning_groups(_split_docs(spark, sf_dir).withColumn("hash", F.sha2("text", 256)), ["source", "hash"])
+    return splits.spanning_groups(_split_docs(spark, sf_dir), ["source", "hash"])
 
 
 # --- contracts ---------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import ranks, retrieval, stats, timeline
+from larkspur.operators import quantiles, ranks, retrieval, stats, timeline
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -43,11 +43,11 @@ def energy_share(spark, sf_dir):
     return v.crossJoin(F.broadcast(v.agg(F.sum("v").alias("all")))).select("dim", F.round(F.col("v") / F.col("all"), 7).alias("share"))
 
 
-@query(f"WITH {_DIMS} SELECT dim::INT AS dim, round(quantile_cont(x, 0.01), 6) AS low, round(quantile_cont(x, 0.99), 6) AS high FROM e WHERE dim < 8 GROUP BY 1")
+@query(f"WITH {_DIMS} SELECT dim::INT AS dim, round(quantile_cont(x, 0.01), 6) AS low, round(quantile_cont(x, 0.99), 6) AS high FROM e GROUP BY 1")
 def percentile_refit(spark, sf_dir):
-    each = _vectors(spark, sf_dir).select(F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "x"))
-    q = each.groupBy("dim").agg(F.percentile(F.col("x").cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return q.select("dim", F.round(F.expr("q[0]"), 6).alias("low"), F.round(F.expr("q[1]"), 6).alias("high"))
+    each = _vectors(spark, sf_dir).select(F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    q = quantiles.linear(each, "dim", "x", {"low": 0.01, "high": 0.99})
+    return q.select("dim", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("""WITH b AS (SELECT floor(log2(greatest(n_chars, 1)))::BIGINT AS bucket, sum((lang = 'en')::INT) AS a, sum((lang = 'de')::INT) AS b FROM documents GROUP BY 1), s AS (SELECT bucket, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM b)
@@ -88,10 +88,12 @@ def class_support(spark, sf_dir):
     return g.crossJoin(F.broadcast(all_))
 
 
-@query("""WITH k AS (SELECT unnest(range(0, 13)) AS bucket), c AS (SELECT turn // 2 AS bucket, count(*) AS n FROM conversations GROUP BY 1) SELECT bucket, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (bucket)""")
+@query("""WITH c AS (SELECT turn // 2 AS bucket, count(*) AS n FROM conversations WHERE turn IS NOT NULL GROUP BY 1), k AS (SELECT unnest(range(0, (SELECT max(bucket) FROM c)::BIGINT + 1)) AS bucket) SELECT bucket, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (bucket)""")
 def bincount(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy(F.floor(F.col("turn") / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
-    return spark.range(13).withColumnRenamed("id", "bucket").join(c, "bucket", "left").select("bucket", F.coalesce("k", F.lit(0)).alias("n"))
+    """Turns by twos, empty buckets among them, up to the last one that the data have."""
+    c = table(spark, sf_dir, "conversations").filter("turn is not null").groupBy(F.floor(F.col("turn") / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    every = c.agg(F.max("bucket").alias("last")).filter("last is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bucket"))
+    return every.join(c, "bucket", "left").select("bucket", F.coalesce("k", F.lit(0)).alias("n"))
 
 
 @query("""SELECT user_id, round(avg(CASE WHEN event_type = 'click' THEN value END), 7) AS click, round(avg(CASE WHEN event_type = 'purchase' THEN value END), 7) AS purchase, round(avg(CASE WHEN event_type = 'view' THEN value END), 7) AS view FROM events GROUP BY 1""")

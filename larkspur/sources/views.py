@@ -12,7 +12,7 @@ FUNCTIONS = (
     ("phase", "t DOUBLE, before DOUBLE, after DOUBLE", "DOUBLE", "try_divide(t - before, after - before)"),
     ("upload_key", "id STRING", "STRING", "element_at(split(id, ':'), -1)"),
     ("hash_share", "seed STRING, id STRING", "DOUBLE", "cast(conv(substring(sha2(concat(seed, ':', id), 256), 1, 8), 16, 10) as double) / 4294967296.0"),
-    ("mm_ss", "seconds BIGINT", "STRING", "concat(lpad(cast(seconds div 60 as string), 2, '0'), ':', lpad(cast(seconds % 60 as string), 2, '0'))"),
+    ("mm_ss", "seconds BIGINT", "STRING", "concat(lpad(cast(seconds div 60 as string), greatest(2, length(cast(seconds div 60 as string))), '0'), ':', lpad(cast(seconds % 60 as string), 2, '0'))"),
 )
 
 
