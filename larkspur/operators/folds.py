@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from larkspur.operators import ranks, timeline
 from larkspur.session import staged
@@ -35,6 +37,7 @@ def folded(df: DataFrame, sequence: str, nth: str, columns: list[str], rule: Rul
     rows = staged(df.select(F.struct(sequence).alias("key_"), F.floor(F.col(nth) / block).alias("block_"), F.col(nth).cast("long").alias("nth_"), *columns), "fold")
     names = [o.strip().split()[0] for o in outputs.split(",")]
     key = rows.schema["key_"].dataType.simpleString()
+    kinds = {n: to_arrow_type(t) for n, t in ((f.name, f.dataType) for f in StructType.fromDDL(outputs))}
 
     def column(table, name):
         return table.column(name).to_pylist()
@@ -55,7 +58,7 @@ def folded(df: DataFrame, sequence: str, nth: str, columns: list[str], rule: Rul
     def decided(table):
         table = table.sort_by("nth_")
         _, found = rule({c: column(table, c) for c in columns}, np.array([table.column("begin_")[0].as_py()]))
-        return pa.table({"key_": table.column("key_"), "nth_": table.column("nth_"), **{n: pa.array(found[n]) for n in names}})
+        return pa.table({"key_": table.column("key_"), "nth_": table.column("nth_"), **{n: pa.array(found[n], kinds[n]) for n in names}})
 
     run = rows.join(entry, ["key_", "block_"]).groupBy("key_", "block_").applyInArrow(decided, f"key_ {key}, nth_ long, {outputs}")
     return run.select(F.col(f"key_.{sequence}").alias(sequence), F.col("nth_").alias(nth), *names)
@@ -137,3 +140,53 @@ def apart(places: DataFrame, sequence: str, frame: str, least: int, block: int =
 
     got = folded(stepped, sequence, "nth", ["at__", "gap__"], rule, least + 1, least, "frame_ long, taken_ boolean", block)
     return got.filter("taken_").select(sequence, F.col("frame_").alias(frame))
+
+
+def seam_path(slots: DataFrame, sequence: str, nth: str, pool: str, most: int = 64, block: int = BLOCK) -> DataFrame:
+    """(sequence, nth, chosen, cost): for each slot of a sequence the candidate that
+    joins best to what was chosen for the slot before it.
+
+    ``pool`` is an array of structs (id, head, head_velocity, tail,
+    tail_velocity), the last four arrays of numbers of one length, without
+    channels that may flip at a joint. The cost of a joint is the distance
+    between the tail's pose moved on by its velocity and the head's, plus the
+    distance of their velocities, to nine decimals; the lowest wins, ties go to
+    the first in the pool, and so does a sequence's first slot, with a null
+    cost. A slot without candidates (null or empty) chooses none, and what
+    follows it starts anew. A pool of more than ``most`` is an error: the choice
+    before it is the state of the rule.
+    """
+    size = F.coalesce(F.size(pool), F.lit(0))
+    large = F.raise_error(F.concat(F.lit(f"a pool of more than {most} candidates: "), size.cast("string")))
+    stepped = timeline.near(slots.select(sequence, nth, pool), sequence, nth, 1, lambda w: {"before_": F.lag(pool).over(w)})
+    ready = stepped.withColumn("pool_", F.when(size > most, large.cast(slots.schema[pool].dataType)).otherwise(F.col(pool)))
+
+    def side(pool: list, name: str) -> np.ndarray:
+        return np.array([c[name] for c in pool], dtype=float).reshape(len(pool), -1)
+
+    def rule(rows: dict[str, list], state: np.ndarray):
+        # The state is the number of the candidate chosen before, or most where there is none.
+        out = {"chosen": [], "cost": []}
+        for pool, before in zip(rows["pool_"], rows["before_"], strict=True):
+            if not pool:
+                state = np.full(len(state), most)
+                pick, cost = None, None
+            else:
+                fresh = state >= len(before or [])
+                table = np.zeros((len(before or []) + 1, len(pool)))
+                if before:
+                    tail, moving = side(before, "tail"), side(before, "tail_velocity")
+                    head, going = side(pool, "head"), side(pool, "head_velocity")
+                    gap = np.sqrt(((tail + moving)[:, None] - head[None]) ** 2 @ np.ones(head.shape[1]))
+                    turn = np.sqrt((moving[:, None] - going[None]) ** 2 @ np.ones(head.shape[1]))
+                    table[:-1] = np.round(gap + turn, 9)
+                costs = table[np.where(fresh, len(table) - 1, state)]
+                state = costs.argmin(axis=1)
+                pick, cost = pool[int(state[0])]["id"], None if fresh[0] else float(costs[0, state[0]])
+            if len(state) == 1:
+                out["chosen"].append(pick)
+                out["cost"].append(cost)
+        return state, out
+
+    kind = slots.schema[pool].dataType.elementType["id"].dataType.simpleString()
+    return folded(ready, sequence, nth, ["pool_", "before_"], rule, most + 1, most, f"chosen {kind}, cost double", block)

@@ -371,3 +371,18 @@ def snapped_cuts(spark, sf_dir):
 def snapped_cuts_by_weight(spark, sf_dir):
     """The same, to the errors of most weight within reach."""
     return _snapped(spark, sf_dir, "weight")
+
+
+@query(f"""WITH RECURSIVE {RUNS}, s AS (SELECT user_id, start, stop, length, row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS nth FROM runs),
+c AS (SELECT user_id, nth, k, (start + 7 * k) % 11 AS head, (length + k) % 5 AS hv, (stop * 3 + k) % 11 AS tail, (length * 2 + k) % 5 AS tv FROM s, range(0, 4) t(k)),
+w AS (SELECT user_id, nth, k AS chosen, NULL::DOUBLE AS cost, tail, tv FROM c WHERE nth = 0 AND k = 0
+UNION ALL (SELECT user_id, nth, k, cost, tail, tv FROM (SELECT c.*, round(abs(w.tail + w.tv - c.head)::DOUBLE + abs(w.tv - c.hv)::DOUBLE, 9) AS cost FROM w JOIN c ON c.user_id = w.user_id AND c.nth = w.nth + 1) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cost, k) = 1))
+SELECT user_id, nth, chosen, round(cost, 6) AS cost FROM w""")
+def seam_path(spark, sf_dir):
+    """Each run as a slot with four variants of its ends as candidates; each choice joins best to the one before."""
+    runs = label_runs(spark, sf_dir)
+    number = lambda x: F.array(x.cast("double"))
+    one = lambda k: F.struct(F.lit(k).alias("id"), number((F.col("start") + 7 * k) % 11).alias("head"), number((F.col("length") + k) % 5).alias("head_velocity"), number((F.col("end") * 3 + k) % 11).alias("tail"), number((F.col("length") * 2 + k) % 5).alias("tail_velocity"))
+    slots = runs.select("user_id", (F.col("run") - 1).alias("nth"), F.array(*map(one, range(4))).alias("pool"))
+    got = folds.seam_path(slots, "user_id", "nth", "pool", 4)
+    return got.select("user_id", "nth", F.col("chosen").cast("long").alias("chosen"), F.round("cost", 6).alias("cost"))

@@ -1,5 +1,6 @@
 """Left-to-right rules in blocks of any size against the plain folds."""
 
+import math
 import random
 
 import pytest
@@ -79,3 +80,41 @@ def test_null_groups_stay(spark):
     assert candidates.above_floor(df, "g", "e", 0.5).filter("g is null").count() == 5
     starts = candidates.phrase_starts(df.withColumn("new", df.e % 4), "g", "frame", "new", 0.5, 3)
     assert sorted(map(tuple, starts.filter("g is null").collect())) == [(None, 0), (None, 3), (None, 6)]
+
+
+POOL = "seq string, nth long, pool array<struct<id: string, head: array<double>, head_velocity: array<double>, tail: array<double>, tail_velocity: array<double>>>"
+
+
+@pytest.mark.parametrize("block", [1, 4, 4_096])
+def test_seams_are_chosen_one_after_another(spark, block):
+    rng = random.Random(3)
+    pose = lambda: [rng.randrange(5) / 2, rng.randrange(5) / 2]
+    slots = {s: [[(f"{i}.{k}", pose(), pose(), pose(), pose()) for k in range(rng.randrange(0, 5))] or rng.choice([None, []]) for i in range(30)] for s in ("a", None)}
+    df = spark.createDataFrame([(s, i, p) for s, ps in slots.items() for i, p in enumerate(ps)], POOL)
+    found = {(r["seq"], r["nth"]): (r["chosen"], r["cost"]) for r in folds.seam_path(df, "seq", "nth", "pool", 6, block).collect()}
+    for name, pools in slots.items():
+        last = None
+        for i, pool in enumerate(pools):
+            if not pool:
+                last = None
+                assert found[name, i] == (None, None)
+                continue
+            if last is None:
+                last = pool[0]
+                assert found[name, i] == (last[0], None)
+                continue
+            cost = lambda c: round(math.dist([t + v for t, v in zip(last[3], last[4], strict=True)], c[1]) + math.dist(last[4], c[2]), 9)  # noqa: B023, E731
+            costs = [cost(c) for c in pool]
+            assert abs(found[name, i][1] - min(costs)) < 1e-8
+            last = pool[costs.index(min(costs))]
+            assert found[name, i][0] == last[0]
+    with pytest.raises(Exception, match="a pool of more than 2"):
+        folds.seam_path(df, "seq", "nth", "pool", 2).collect()
+
+
+def test_the_true_continuation_is_found(spark):
+    """One candidate goes on with pose and velocity; one is far away, one goes back."""
+    tail = ("t", [0.0], [0.0], [1.0], [0.1])
+    pool = [("far", [5.0], [0.1], [0.0], [0.0]), ("back", [1.1], [-0.4], [0.0], [0.0]), ("good", [1.1], [0.1], [0.0], [0.0])]
+    got = folds.seam_path(spark.createDataFrame([("s", 0, [tail]), ("s", 1, pool)], POOL), "seq", "nth", "pool")
+    assert {r["nth"]: r["chosen"] for r in got.collect()} == {0: "t", 1: "good"}
