@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dealt_join, stage
@@ -268,10 +268,13 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return out
 
 
-def _joined(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
-    """The counts of a part of each candidate; frequent parts are dealt over tasks."""
+def _joined(rows: DataFrame, counts: DataFrame, part: Column, name: str) -> DataFrame:
+    """The counts of a part of each candidate (lang, phrase, ...); frequent parts
+    are dealt over tasks. Written out, as dealing reads its rows three times."""
     table = counts.select(F.struct("lang", "phrase").alias("key_"), F.col("n").alias(name))
-    return dealt_join(rows.withColumn("key_", F.struct(F.col("lang"), F.col(part).alias("phrase"))), table, "key_", "phrase").drop("key_")
+    keyed = rows.withColumn("key_", F.struct(F.col("lang"), part.alias("phrase"))).drop("lang")
+    met = dealt_join(keyed, table, "key_", "phrase")
+    return stage(met.select(F.col("key_.lang").alias("lang"), *[c for c in met.columns if c != "key_"]), "parts")
 
 
 def collocations(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -297,9 +300,10 @@ def collocations(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     told = candidates.filter("k > 2").select("lang", F.explode(inside).alias("phrase"), F.col("a").alias("longer"))
     told = told.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = candidates.join(told, ["lang", "phrase"], "left").filter(f"longer is null or 100 * longer < {rules.contained} * a").drop("longer")
-    cut = F.explode(F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda i: F.struct(i.alias("cut"), F.array_join(F.slice(F.split("phrase", " "), F.lit(1), i), " ").alias("first"), F.array_join(F.slice(F.split("phrase", " "), i + 1, F.col("k") - i), " ").alias("rest"))))
-    cuts = kept.withColumn("c", cut).select("lang", "phrase", "a", "c.*")
-    scored = _joined(_joined(cuts, often, "first", "l"), often, "rest", "r")
+    cuts = stage(kept.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")), "cuts")
+    first = F.expr("substring_index(phrase, ' ', cut)")
+    rest = F.expr("substring(phrase, length(substring_index(phrase, ' ', cut)) + 2)")
+    scored = _joined(_joined(cuts, often, first, "l"), often, rest, "r")
     wide = lambda x: F.col(x).cast("decimal(15,0)")
     scored = scored.select("*", *[wide(x).alias(f"{x}_") for x in "alr"])
     scored = scored.withColumn("score", F.expr("(a_ * a_ * cast(1000000 as decimal(7, 0))) div (l_ * r_)"))
