@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
 from larkspur.operators import contracts, graph, quantiles, ranks, retrieval, splits, stats, timeline
-from larkspur.plans import artifacts, bars, controls, drafts, leakage, measures, nulls, planning, records, repetition, segments  # noqa: F401  they register their queries
+from larkspur.plans import artifacts, bars, boundaries, controls, drafts, leakage, measures, nulls, planning, records, repetition, segments  # noqa: F401  they register their queries
 from larkspur.plans.registry import oracle_sql, queries, query  # noqa: F401
 from larkspur.session import shared_folder, table
 from larkspur.streaming import events as streaming
