@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from larkspur.operators import quantiles
+from larkspur.operators import candidates, quantiles
 from larkspur.plans import catalogue
 
 
@@ -27,3 +27,14 @@ def test_means_that_differ_by_five_are_a_boundary_whatever_the_order_of_the_sums
     folder = _events(spark, tmp_path, [("view", 3.2)] * 3 + [("click", 8.2), ("view", 8.2)])
     got = sorted(tuple(r) for r in catalogue.queries()["boundaries_dropped"](spark, folder).select("user_id", "start", "end", "runs").collect())
     assert got == [(1, 0, 3, 1), (1, 3, 5, 2)] == _by_sql("boundaries_dropped", folder)
+
+
+def test_a_quantile_of_equal_values_is_their_value(spark):
+    df = spark.createDataFrame([(1, 1.39)] * 5, "g int, v double")
+    assert {r["g"]: r["cut"] for r in quantiles.linear(df, "g", "v", {"cut": 0.3}).collect()} == {1: 1.39}
+
+
+def test_deep_events_keeps_clicks_that_equal_their_quantile(spark, tmp_path):
+    folder = _events(spark, tmp_path, [("click", 1.39)] * 5)
+    got = sorted(tuple(r) for r in catalogue.queries()["deep_events"](spark, folder).select("user_id", "event_id", "value").collect())
+    assert got == [(1, i, 1.39) for i in range(5)] == _by_sql("deep_events", folder)
