@@ -38,3 +38,11 @@ def test_deep_events_keeps_clicks_that_equal_their_quantile(spark, tmp_path):
     folder = _events(spark, tmp_path, [("click", 1.39)] * 5)
     got = sorted(tuple(r) for r in catalogue.queries()["deep_events"](spark, folder).select("user_id", "event_id", "value").collect())
     assert got == [(1, i, 1.39) for i in range(5)] == _by_sql("deep_events", folder)
+
+
+def test_phrase_starts_takes_no_step_that_equals_its_quantile(spark):
+    # Steps of one size: none is above the quantile, whatever the last bits of the interpolation.
+    part = 0.7 * 11 - 7
+    x = [v for v in (i / 100 for i in range(100, 2000)) if v * (1 - part) + v * part < v][0]
+    rows = spark.createDataFrame([(1, i, x) for i in range(12)], "user_id long, frame long, novelty double")
+    assert [r["frame"] for r in candidates.phrase_starts(rows, "user_id", "frame", "novelty", 0.7, 3).collect()] == [0]
