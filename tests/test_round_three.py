@@ -46,3 +46,10 @@ def test_phrase_starts_takes_no_step_that_equals_its_quantile(spark):
     x = [v for v in (i / 100 for i in range(100, 2000)) if v * (1 - part) + v * part < v][0]
     rows = spark.createDataFrame([(1, i, x) for i in range(12)], "user_id long, frame long, novelty double")
     assert [r["frame"] for r in candidates.phrase_starts(rows, "user_id", "frame", "novelty", 0.7, 3).collect()] == [0]
+
+
+def test_seam_ratio_rounds_the_exact_fraction(spark, tmp_path):
+    # 0.8 over 2 frames against 16000: 2.5 hundred-thousandths, which floats put below.
+    folder = _events(spark, tmp_path, [("view", 16000)] * 3 + [("view", 0.1), ("click", 0.7)])
+    got = [tuple(r) for r in catalogue.queries()["seam_ratio"](spark, folder).collect()]
+    assert got == [(1, 0.00003)] == _by_sql("seam_ratio", folder)
