@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from larkspur.operators import candidates, quantiles
+from larkspur.operators import candidates, quantiles, retrieval
 from larkspur.plans import catalogue
 
 
@@ -53,3 +53,19 @@ def test_seam_ratio_rounds_the_exact_fraction(spark, tmp_path):
     folder = _events(spark, tmp_path, [("view", 16000)] * 3 + [("view", 0.1), ("click", 0.7)])
     got = [tuple(r) for r in catalogue.queries()["seam_ratio"](spark, folder).collect()]
     assert got == [(1, 0.00003)] == _by_sql("seam_ratio", folder)
+
+
+def test_tiles_meet_all_pairs_and_ties_go_to_the_least_id(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", (3, 4))
+    rows = spark.createDataFrame([(i, [float(i % 7), 0.0], i % 2) for i in range(40)], "id long, x array<double>, label int")
+    got = {(r["query_id"], r["rank"]): (r["row_id"], r["distance"]) for r in retrieval.nearest(rows.filter("id % 4 = 0"), rows, "id", "x", "label", 3).collect()}
+    for q in range(0, 40, 4):
+        want = sorted((float((q % 7 - i % 7) ** 2), i) for i in range(40) if i != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, d) for d, i in want]
+    # A few queries a pass, and counts digit by digit, give the same.
+    monkeypatch.setattr(retrieval, "DIGIT", 5)
+    far = sorted(float((q % 7 - i % 7) ** 2) for q in range(0, 40, 4) for i in range(1, 40, 2))
+    place = 0.95 * (len(far) - 1)
+    down = far[::-1]
+    cut = retrieval.ranked_distances(rows.filter("id % 4 = 0"), rows, "id", "x", "label", 0.95)
+    assert min(down[int(place)], down[int(place) + 1]) <= cut <= max(down[int(place)], down[int(place) + 1])
