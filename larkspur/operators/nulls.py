@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import ranks, timeline
+from larkspur.session import staged
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -79,7 +80,9 @@ def random_points(lengths: DataFrame, sequence: str, length: str, count: str, dr
     low, high = F.greatest(F.col("part_") * timeline.BLOCK, F.lit(1)), F.least((F.col("part_") + 1) * timeline.BLOCK - 1, F.col("n_") - 2)
     frames = parts.filter(low <= high).withColumn("frame", F.explode(F.sequence(low, high)))
     told = frames.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("hash_", hashed(seed, F.col("round"), F.col(sequence), F.col("frame")))
-    placed = told.withColumns({"key_": F.struct(sequence, "round"), "block_": F.conv(F.substring("hash_", 1, 2), 16, 10).cast("long")})
+    # Only a long sequence's frames are cut by the first digits of their hashes; another's are one block.
+    block = F.when(F.col("n_") > timeline.BLOCK, F.conv(F.substring("hash_", 1, 2), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    placed = told.withColumns({"key_": F.struct(sequence, "round"), "block_": block})
     ranked = timeline.running(placed, sequence, F.col("block_"), "hash_", {"rank_": ("sum", F.lit(1))}, keep=True)
     return ranked.filter("rank_ <= count_").select(sequence, F.col("round").alias("draw"), "frame")
 
@@ -87,10 +90,12 @@ def random_points(lengths: DataFrame, sequence: str, length: str, count: str, dr
 def point_distances(cuts: DataFrame, points: DataFrame, sequence: str, frame: str, by: str) -> DataFrame:
     """(sequence, by, frame, distance): each cut's distance to the nearest point
     of each round ``by`` of its sequence; as-of both ways, no pairs."""
+    # Drawn once: the points are asked for three times.
+    points = staged(points, "drawn")
     every = points.select(sequence, by).distinct()
     asked = cuts.select(F.struct(sequence).alias("of_"), F.col(frame).cast("long").alias("frame"))
     asked = asked.join(every, F.col("of_") == F.struct(sequence)).select(F.struct(sequence, by).alias("place_"), "frame", F.lit(False).alias("beat_"))
-    both = asked.union(points.select(F.struct(sequence, by).alias("place_"), F.col(frame).cast("long").alias("frame"), F.lit(True).alias("beat_")))
+    both = staged(asked.union(points.select(F.struct(sequence, by).alias("place_"), F.col(frame).cast("long").alias("frame"), F.lit(True).alias("beat_"))), "points")
     found = timeline.nearest_events(both.withColumn("key__", F.col("frame")), "place_", F.col("frame"), F.col("beat_"), ~F.col("beat_"), "key__")
     return found.select(F.col(f"place_.{sequence}").alias(sequence), F.col(f"place_.{by}").alias(by), F.col("t").alias("frame"), "distance")
 

@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from larkspur.operators import candidates, quantiles, retrieval
+from larkspur.operators import candidates, nulls, quantiles, retrieval, timeline
 from larkspur.plans import catalogue
 
 
@@ -69,3 +69,12 @@ def test_tiles_meet_all_pairs_and_ties_go_to_the_least_id(spark, monkeypatch):
     down = far[::-1]
     cut = retrieval.ranked_distances(rows.filter("id % 4 = 0"), rows, "id", "x", "label", 0.95)
     assert min(down[int(place)], down[int(place) + 1]) <= cut <= max(down[int(place)], down[int(place) + 1])
+
+
+def test_short_sequences_are_not_cut_into_blocks(spark, monkeypatch):
+    # The totals that are joined are one for each sequence and draw, not one for each row.
+    seen = []
+    running = timeline.running
+    monkeypatch.setattr(timeline, "running", lambda placed, sequence, block, *a, **k: (seen.append(placed.select("key_", "block_").distinct().count()) if "block_" in placed.columns else None) or running(placed, sequence, block, *a, **k))
+    got = nulls.random_points(spark.createDataFrame([(1, 60, 5), (2, 40, 50)], "s int, n int, k int"), "s", "n", "k", 2)
+    assert seen == [4] and got.count() == 2 * (5 + 38)
