@@ -78,3 +78,11 @@ def test_short_sequences_are_not_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(timeline, "running", lambda placed, sequence, block, *a, **k: (seen.append(placed.select("key_", "block_").distinct().count()) if "block_" in placed.columns else None) or running(placed, sequence, block, *a, **k))
     got = nulls.random_points(spark.createDataFrame([(1, 60, 5), (2, 40, 50)], "s int, n int, k int"), "s", "n", "k", 2)
     assert seen == [4] and got.count() == 2 * (5 + 38)
+
+
+def test_nearest_in_class_meets_neighbouring_values_only(spark):
+    rows = [(1, "a", 5.0), (2, "a", 5.0), (3, "a", 5.0), (4, "a", 7.0), (5, "a", 9.0), (6, "b", 1.0), (7, "a", None), (8, "c", None), (9, "c", 2.0)]
+    df = spark.createDataFrame(rows, "id long, c string, x double")
+    got = {r["id"]: r["donor"] for r in candidates.nearest_in_class(df, df, "c", "id", "x").collect()}
+    # Equal values first, then the lesser key of two as far; without a value the least other key.
+    assert got == {1: 2, 2: 1, 3: 1, 4: 1, 5: 4, 7: 1, 8: 9, 9: 8}
