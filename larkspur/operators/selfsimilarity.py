@@ -11,6 +11,7 @@ than the band all frames are compared with each other.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,31 +48,31 @@ def descriptions(x: np.ndarray, band: int, weight: float) -> np.ndarray:
     return np.concatenate([rows, place[:, None]], axis=1)
 
 
-def _gaps(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.maximum((rows**2).sum(axis=1)[:, None] - 2 * rows @ centers.T + (centers**2).sum(axis=1)[None, :], 0.0)
+def _gaps(rows: np.ndarray, squares: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.maximum(squares[:, None] - 2 * (rows @ centers.T) + (centers**2).sum(axis=1)[None, :], 0.0)
 
 
 def clustered(rows: np.ndarray, k: int, starts: int, seed: list[int]) -> np.ndarray:
     """k-means labels: from ``starts`` draws by squared distance, each run until nothing moves; the tightest counts."""
     best = (np.inf, np.zeros(len(rows), dtype=np.int64))
+    squares = (rows**2).sum(axis=1)
     for start in range(starts):
         draw = np.random.Generator(np.random.PCG64([*seed, start]))
-        centers = rows[[draw.integers(len(rows))]]
+        centers, near = rows[[draw.integers(len(rows))]], np.full(len(rows), np.inf)
         for _ in range(k - 1):
-            near = _gaps(rows, centers).min(axis=1)
+            near = np.minimum(near, _gaps(rows, squares, centers[-1:])[:, 0])
             total = near.sum()
             pick = np.searchsorted(np.cumsum(near), draw.random() * total, side="right") if total > 0 else draw.integers(len(rows))
             centers = np.concatenate([centers, rows[[min(int(pick), len(rows) - 1)]]])
         labels = None
         for _ in range(100):
-            gaps = _gaps(rows, centers)
+            gaps = _gaps(rows, squares, centers)
             now = gaps.argmin(axis=1)
             if labels is not None and (now == labels).all():
                 break
             labels = now
             sizes = np.bincount(labels, minlength=k)
-            sums = np.zeros_like(centers)
-            np.add.at(sums, labels, rows)
+            sums = (labels[None, :] == np.arange(k)[:, None]).astype(float) @ rows
             centers = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
         spread = float(gaps.min(axis=1).sum())
         if spread < best[0] - 1e-9:
@@ -95,31 +96,75 @@ def merge_short(starts: DataFrame, sequence: str, start: str, lengths: DataFrame
     neighbour (the one before, if they are equal), again and again; the last one left stays.
 
     A segment that is shorter than all within two places of it is settled as it
-    would be in that order, whatever happens elsewhere: so each round merges all
-    of these at once, in blocks of a sequence.
+    would be in that order, whatever happens elsewhere. So a block of a sequence's
+    segments is merged in that order as far as no segment beyond its ends is asked
+    for; the rest is settled in rounds whose blocks begin elsewhere.
     """
     whole = lengths.select(F.struct(sequence).alias("of_"), F.col(length).cast("long").alias("whole_"))
     now = staged(starts.select(sequence, F.col(start).cast("long").alias("start__")).distinct(), "starts")
+    before, idle, shift = now.count(), 0, 0
     while True:
         numbered = ranks.row_numbers(now, sequence, "start__", "nth", timeline.BLOCK).withColumn("of_", F.struct(sequence)).join(whole, "of_").drop("of_")
-        spans = timeline.near(numbered, sequence, "nth", 1, lambda w: {"end__": F.coalesce(F.lead("start__").over(w), F.col("whole_"))})
-        spans = spans.withColumn("long_", F.col("end__") - F.col("start__"))
-        place = lambda w, k: F.struct(F.lag("long_", k).over(w).alias("long"), F.lag("nth", k).over(w).alias("nth"))
-        around = lambda w: {f"at{k + 2}_": place(w, k) for k in (-2, -1, 1, 2)}
-        seen = timeline.near(spans, sequence, "nth", 2, around)
-        own = F.struct(F.col("long_").alias("long"), F.col("nth").alias("nth"))
-        least_here = F.lit(True)
-        for k in (0, 1, 3, 4):
-            least_here = least_here & (F.col(f"at{k}_.long").isNull() | (own < F.col(f"at{k}_")))
-        # Lag -1 is the next segment, lag 1 the one before.
-        after, before = F.col("at1_.long"), F.col("at3_.long")
-        goes = F.when((F.col("long_") < least) & least_here & (before.isNotNull() | after.isNotNull()), F.when(after.isNull() | (before <= after), "left").otherwise("right"))
-        told = seen.withColumn("goes_", goes).select(sequence, "nth", "start__", "end__", "goes_")
-        told = timeline.near(told, sequence, "nth", 1, lambda w: {"earlier_": F.lag("goes_").over(w)})
-        told = staged(told, "segments")
-        if told.filter("goes_ is not null").isEmpty():
-            return told.select(sequence, F.col("start__").alias("start"), F.col("end__").alias("end"))
-        now = told.filter("coalesce(goes_, '') <> 'left' and coalesce(earlier_, '') <> 'right'").select(sequence, "start__")
+        spans = timeline.near(numbered, sequence, "nth", 1, lambda w: {"first_": F.lag("start__").over(w).isNull(), "last_": F.lead("start__").over(w).isNull(), "end__": F.coalesce(F.lead("start__").over(w), F.col("whole_"))})
+        placed = spans.select(F.struct(sequence).alias("key_"), F.floor((F.col("nth") + shift) / MERGED).alias("block_"), "start__", "end__", "first_", "last_")
+        key = placed.schema["key_"].dataType.simpleString()
+
+        def settled(table):
+            table = table.sort_by("start__")
+            column = lambda c: table.column(c).to_pylist()
+            at, to = _merged(column("start__"), column("end__"), least, column("first_")[0], column("last_")[-1])
+            return pa.table({"key_": pa.array([table.column("key_")[0].as_py()] * len(at), table.schema.field("key_").type), "start_": pa.array(at, pa.int64()), "end_": pa.array(to, pa.int64())})
+
+        found = placed.groupBy("key_", "block_").applyInArrow(settled, f"key_ {key}, start_ long, end_ long")
+        told = staged(found.select(F.col(f"key_.{sequence}").alias(sequence), F.col("start_").alias("start"), F.col("end_").alias("end")), "segments")
+        left = told.count()
+        idle = idle + 1 if left == before else 0
+        # Where blocks begin at either place and nothing moves, nothing is left to do.
+        if idle == 2:
+            return told
+        before, shift = left, MERGED // 2 - shift
+        now = told.select(sequence, F.col("start").alias("start__"))
+
+
+#: Segments that one task merges at a time.
+MERGED = 65_536
+
+
+def _merged(starts: list[int], ends: list[int], least: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
+    """Short segments merged, the shortest first, the first of equals; one that has a segment
+    beyond an open end within two places, or one that waits so, stays."""
+    n = len(starts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    live, waits = [True] * n, [False] * n
+    heap = [(ends[i] - starts[i], starts[i], i) for i in range(n) if ends[i] - starts[i] < least]
+    heapq.heapify(heap)
+    while heap:
+        size, start, i = heapq.heappop(heap)
+        if not live[i] or size != ends[i] - starts[i] or start != starts[i]:
+            continue
+        left, right = before[i], after[i]
+        near = [left, before[left] if left >= 0 else -1], [right, after[right] if right < n else n]
+        beyond = (not first and -1 in near[0]) or (not last and n in near[1])
+        if beyond or any(0 <= j < n and waits[j] for side in near for j in side):
+            waits[i] = True
+            continue
+        if left < 0 and right >= n:
+            continue
+        # The shorter neighbour takes it, the one before if they are equal.
+        if right >= n or (left >= 0 and ends[left] - starts[left] <= ends[right] - starts[right]):
+            into, ends[left] = left, ends[i]
+        else:
+            into, starts[right] = right, starts[i]
+        live[i] = False
+        if left >= 0:
+            after[left] = right
+        if right < n:
+            before[right] = left
+        waits[into] = False
+        if ends[into] - starts[into] < least:
+            heapq.heappush(heap, (ends[into] - starts[into], starts[into], into))
+    kept = [i for i in range(n) if live[i]]
+    return [starts[i] for i in kept], [ends[i] for i in kept]
 
 
 def segments(df: DataFrame, sequence: str, frame: str, vector: str, rules: Rules = Rules()) -> DataFrame:

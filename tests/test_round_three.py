@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from larkspur.operators import candidates, nulls, quantiles, retrieval, timeline
+from larkspur.operators import candidates, nulls, quantiles, retrieval, selfsimilarity, timeline
 from larkspur.plans import catalogue
 
 
@@ -86,3 +86,13 @@ def test_nearest_in_class_meets_neighbouring_values_only(spark):
     got = {r["id"]: r["donor"] for r in candidates.nearest_in_class(df, df, "c", "id", "x").collect()}
     # Equal values first, then the lesser key of two as far; without a value the least other key.
     assert got == {1: 2, 2: 1, 3: 1, 4: 1, 5: 4, 7: 1, 8: 9, 9: 8}
+
+
+def test_equal_short_segments_are_merged_in_few_rounds(spark, monkeypatch):
+    # Each waits for the one before it: blocks of ten settle them as one block does.
+    at, to = selfsimilarity._merged(list(range(60)), list(range(1, 61)), 4, True, True)
+    assert min(b - a for a, b in zip(at, to, strict=True)) >= 4 and at[1:] == to[:-1]
+    monkeypatch.setattr(selfsimilarity, "MERGED", 20)
+    starts = spark.createDataFrame([(1, i) for i in range(60)], "s int, start int")
+    got = selfsimilarity.merge_short(starts, "s", "start", spark.createDataFrame([(1, 60)], "s int, n int"), "n", 4).collect()
+    assert sorted((r["start"], r["end"]) for r in got) == list(zip(at, to, strict=True))
