@@ -4,6 +4,7 @@ much of a plan the library covers; bars that return."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,21 +130,19 @@ def returns(slots: DataFrame, sequence: str, nth: str, length: str, filler: Colu
     back = lambda w, k: F.coalesce(~F.lag("filler_", k).over(w) & close(F.lag("length_", k).over(w)), F.lit(False))
     ready = timeline.near(full, sequence, nth, reach, lambda w: {"able_": F.array(*[back(w, k) for k in lags])})
 
-    def rule(rows: dict[str, list], state: np.ndarray):
+    def rule(table: pa.Table):
         # Bit k - 1 of the state: the slot k before this one can't return any more.
-        out = {"lag": [], "source": []}
-        for at, able, filler, wanted in zip(*[rows[c] for c in ("at_", "able_", "filler_", "wanted_")], strict=True):
-            taken = np.zeros(len(state), dtype=np.int64)
-            if wanted and not filler:
-                for k, fine in zip(lags, able, strict=True):
-                    if fine:
-                        taken = np.where((taken == 0) & (state >> (k - 1) & 1 == 0), k, taken)
+        at_, filler = folds.numbers(table.column("at_")), table.column("filler_").to_numpy()
+        able = table.column("able_").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(lags))
+        able = able & (table.column("wanted_").to_numpy() & ~filler)[:, None]
+
+        def step(at: np.ndarray, state: np.ndarray):
+            taken = np.zeros(state.shape, dtype=np.int64)
+            for i, k in enumerate(lags):
+                taken = np.where((taken == 0) & able[at, i] & (state >> (k - 1) & 1 == 0), k, taken)
             spent = np.where(taken > 0, state | (1 << np.maximum(taken - 1, 0)), state)
-            state = (spent << 1 | (filler | (taken > 0))) & ((1 << reach) - 1)
-            if len(state) == 1:
-                k = int(taken[0]) or None
-                out["lag"].append(k)
-                out["source"].append(k and at - k)
-        return state, out
+            return (spent << 1 | (filler[at] | (taken > 0))) & ((1 << reach) - 1), taken
+
+        return step, lambda decided: {"lag": pa.array(decided, mask=decided == 0), "source": pa.array(at_ - decided, mask=decided == 0)}
 
     return folds.folded(ready.withColumn("at_", F.col(nth)), sequence, nth, ["at_", "able_", "filler_", "wanted_"], rule, 1 << reach, (1 << reach) - 1, "lag int, source long", block)

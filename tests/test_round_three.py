@@ -3,8 +3,9 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
 
-from larkspur.operators import candidates, nulls, quantiles, retrieval, selfsimilarity, timeline
+from larkspur.operators import candidates, folds, nulls, quantiles, retrieval, selfsimilarity, timeline
 from larkspur.plans import catalogue
 
 
@@ -96,3 +97,16 @@ def test_equal_short_segments_are_merged_in_few_rounds(spark, monkeypatch):
     starts = spark.createDataFrame([(1, i) for i in range(60)], "s int, start int")
     got = selfsimilarity.merge_short(starts, "s", "start", spark.createDataFrame([(1, 60)], "s int, n int"), "n", 4).collect()
     assert sorted((r["start"], r["end"]) for r in got) == list(zip(at, to, strict=True))
+
+
+def test_sequences_of_one_block_are_run_once_and_side_by_side(spark, monkeypatch):
+    # No tables of states are made for them, and a task calls the rule once for many of them.
+    seen = []
+    staged = folds.staged
+    monkeypatch.setattr(folds, "staged", lambda df, name: seen.append(name) or staged(df, name))
+    rows = spark.createDataFrame([(s, f) for s in range(300) for f in (0, 4, 9, 20)], "s int, frame long")
+    got = sorted(tuple(r) for r in folds.apart(rows, "s", "frame", 9).collect())
+    assert got == [(s, f) for s in range(300) for f in (0, 9, 20)] and seen == ["fold"]
+    batches = pa.table({"nth_": [n for k in range(300) for n in range(k % 5 + 1)]}).to_batches(7)
+    found = [(t.num_rows, len(at)) for t, at in folds._blocks(iter(batches), 5, 100)]
+    assert sum(n for n, _ in found) == 900 and sum(k for _, k in found) == 300 and len(found) < 20
