@@ -4,8 +4,9 @@ import datetime
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from larkspur.operators import candidates, folds, nulls, quantiles, retrieval, selfsimilarity, timeline
+from larkspur.operators import candidates, folds, nulls, quantiles, recurrence, retrieval, selfsimilarity, timeline
 from larkspur.plans import catalogue
 
 
@@ -110,3 +111,17 @@ def test_sequences_of_one_block_are_run_once_and_side_by_side(spark, monkeypatch
     batches = pa.table({"nth_": [n for k in range(300) for n in range(k % 5 + 1)]}).to_batches(7)
     found = [(t.num_rows, len(at)) for t, at in folds._blocks(iter(batches), 5, 100)]
     assert sum(n for n, _ in found) == 900 and sum(k for _, k in found) == 300 and len(found) < 20
+
+
+def test_recurrence_of_short_sequences_needs_no_pairs_of_blocks(spark, monkeypatch):
+    seen = []
+    met = recurrence.met
+    monkeypatch.setattr(recurrence, "met", lambda blocks, *a, **k: seen.append({r["key_"]["s"] for r in blocks.select("key_").distinct().collect()}) or met(blocks, *a, **k))
+    value = lambda s, i: float(i * i % (11 + s))
+    told = lambda lengths: spark.createDataFrame([(s, i, [value(s, i)], i % 3 == 0) for s, n in lengths for i in range(n)], "s int, f long, x array<double>, e boolean")
+    run = lambda lengths, block: {(r["s"], r["frame"]): r["recurrence"] for r in recurrence.event_recurrence(told(lengths), "s", "f", "x", F.col("e"), 2, 0.1, block).collect()}
+    lengths = [(0, 1), (1, 5), (2, 8), (3, 20)]
+    got = run(lengths, 32)
+    assert not seen and len(got) == 1 + 2 + 3 + 7
+    # One sequence of three blocks beside short ones: the same, and it alone is paired.
+    assert run(lengths, 8) == got and seen and all(s == {3} for s in seen)
