@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
 from larkspur.operators import retrieval
+from larkspur.session import staged
 
 #: Centres that one task merges (their distances take 8 bytes a pair).
 MOST_MERGED = 4_096
@@ -48,11 +51,70 @@ def squared_seeds(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42
     return seeds
 
 
+#: Distances that a task holds at a time.
+TILE = 1 << 18
+
+
+def _assigned(x: np.ndarray, known: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The number of each vector's nearest centre as ``nearest`` tells it: of distances to six decimals,
+    added from left to right, the first of equal ones; the first too where a vector lacks a component."""
+    out = np.zeros(len(x), dtype=np.int64)
+    if x.shape[1] != centers.shape[1]:
+        return out
+    some = max(1, TILE // len(centers))
+    for at in range(0, len(x), some):
+        total = np.zeros((len(x[at : at + some]), len(centers)))
+        for a, c in zip(x[at : at + some].T, centers.T, strict=True):
+            step = a[:, None] - c[None, :]
+            total += step * step
+        out[at : at + some] = np.round(total, 6).argmin(axis=1)
+    out[~known.all(axis=1)] = 0
+    return out
+
+
+def _means(rows: DataFrame, vector: str, centers: list[tuple[int, list[float]]]) -> dict[int, list[float]]:
+    """The mean of the vectors nearest to each centre, by label: one pass, in which a task keeps
+    one sum and count for each centre and dimension; centres without vectors are not there."""
+    if len(centers) > retrieval.MOST_CENTERS:
+        raise ValueError(f"more than {retrieval.MOST_CENTERS} centres")
+    labels = np.array([i for i, _ in centers], dtype=np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array([c for _, c in centers], dtype=float))
+
+    def summed(batches):
+        at = shared.value
+        sums, counts = (np.zeros((len(at), at.shape[1])) for _ in range(2))
+        for b in batches:
+            lists = b.column(0).filter(b.column(0).is_valid())
+            wide = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for d in np.unique(wide[wide > 0]):
+                flat = lists.filter(pa.array(wide == d)).flatten()
+                known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, d)
+                x = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                if d > sums.shape[1]:
+                    sums, counts = (np.pad(a, ((0, 0), (0, d - a.shape[1]))) for a in (sums, counts))
+                own = _assigned(x, known, at)
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                sums[found, :d] += np.add.reduceat(x[order], first)
+                counts[found, :d] += np.add.reduceat(known[order].astype(float), first)
+        i, dim = np.nonzero(counts)
+        for lo in range(0, len(i), 65_536):
+            part = (i[lo : lo + 65_536], dim[lo : lo + 65_536])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[part[0]]), pa.array(part[1]), pa.array(sums[part]), pa.array(counts[part])], names=["label", "dim", "total", "n"])
+
+    parts = rows.select(vector).mapInArrow(summed, "label long, dim long, total double, n double")
+    found: dict[int, list[float]] = {}
+    for r in parts.groupBy("label", "dim").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("label", "dim").collect():
+        found.setdefault(r["label"], []).append(r["mean"])
+    shared.destroy()
+    return found
+
+
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int, seed: int = 42, start: list[list[float]] | None = None) -> DataFrame:
     """(label, center): Lloyd's rounds from ``start``, or the k first rows by sha256 of "seed:key".
 
-    A round assigns all rows in one pass and sums them per centre before the
-    shuffle; when no centre moves any more the rounds end. The centres (k rows)
+    The vectors are written out once, dealt over all tasks. A round assigns them in
+    one pass and sums them per centre before the shuffle; when no centre moves any more the rounds end. The centres (k rows)
     go through the driver, so that no plan grows with the rounds. A centre
     without rows starts again at a row farthest from its own. Fewer than k rows
     give as many centres as rows.
@@ -63,14 +125,15 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int, seed: in
         first = rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).limit(k)
         start = [[float(x) for x in r[0]] for r in first.select(vector).collect()]
     centers, before = list(enumerate(start)), None
+    kept = staged(rows.select(key, vector).repartition(key), "vectors") if centers else rows
     for _ in range(rounds):
         if not centers or centers == before:
             break
         before = centers
-        told = nearest(rows.select(key, vector), vector, spark.createDataFrame(centers, schema))
-        found = {r["label"]: [round(x, 9) for x in r["center"]] for r in retrieval.centroids(told.withColumnRenamed("assigned", "label"), vector, "label").collect()}
+        found = {i: [round(x, 9) for x in mean] for i, mean in _means(kept, vector, centers).items()}
         lost = [i for i, _ in centers if i not in found]
         if lost:
+            told = nearest(kept, vector, spark.createDataFrame(centers, schema))
             far = told.orderBy(F.desc("distance"), F.asc(key)).limit(len(lost)).select(vector).collect()
             found |= {i: [float(x) for x in r[0]] for i, r in zip(lost, far, strict=False)}
         centers = sorted(found.items())

@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from larkspur.operators import candidates, folds, nulls, quantiles, recurrence, retrieval, selfsimilarity, timeline
+from larkspur.operators import candidates, clusters, folds, nulls, quantiles, recurrence, retrieval, selfsimilarity, timeline
 from larkspur.plans import catalogue
 
 
@@ -125,3 +125,12 @@ def test_recurrence_of_short_sequences_needs_no_pairs_of_blocks(spark, monkeypat
     assert not seen and len(got) == 1 + 2 + 3 + 7
     # One sequence of three blocks beside short ones: the same, and it alone is paired.
     assert run(lengths, 8) == got and seen and all(s == {3} for s in seen)
+
+
+def test_rounds_of_kmeans_read_what_was_written_once(spark, monkeypatch):
+    # The source is read for the table of vectors and no more; a round is one pass of sums.
+    monkeypatch.setattr(clusters, "nearest", lambda *a: 1 / 0)
+    monkeypatch.setattr(clusters, "TILE", 6)
+    rows = spark.createDataFrame([(i, [float(i % 10 + 100 * (i % 2)), 1.0]) for i in range(40)] + [(40, None)], "id long, v array<double>")
+    got = {r["label"]: r["center"] for r in clusters.kmeans(rows, "id", "v", 2, 100, start=[[0.0, 0.0], [50.0, 0.0]]).collect()}
+    assert got == {0: [4.0, 1.0], 1: [105.0, 1.0]}
