@@ -50,6 +50,25 @@ def test_phrase_starts_takes_no_step_that_equals_its_quantile(spark):
     assert [r["frame"] for r in candidates.phrase_starts(rows, "user_id", "frame", "novelty", 0.7, 3).collect()] == [0]
 
 
+def test_phrase_starts_takes_its_quantile_at_an_exact_place(spark, tmp_path):
+    # 0.7 * 90 is less than 63 in floating point. The quantile of 63 steps below 28, one of 28 and 27 of 29 is 28, which is not above itself.
+    steps = [0] + [1] * 62 + [28] + [29] * 27
+    values = [sum(s if i % 2 else -s for i, s in enumerate(steps[: n + 1])) for n in range(91)]
+    folder = _events(spark, tmp_path, [("view", v) for v in values])
+    got = sorted(tuple(r) for r in catalogue.queries()["phrase_starts"](spark, folder).select("user_id", "frame").collect())
+    assert got == [(1, 0), (1, 64), (1, 72), (1, 80), (1, 88)] == _by_sql("phrase_starts", folder)
+
+
+def test_phrase_starts_leaves_out_steps_without_a_value(spark, tmp_path):
+    # Two steps are known, 0 and 5; as zeros the unknown ones would count towards the quantile.
+    at = datetime.datetime(2024, 1, 1)
+    values = [1.0, 6.0, None, None, None, 1.0, None, None, 2.0, 4.0]
+    told = [(i, at + datetime.timedelta(seconds=i), 1, "view", v) for i, v in enumerate(values)]
+    spark.createDataFrame(told, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["phrase_starts"](spark, str(tmp_path)).select("user_id", "frame").collect())
+    assert got == [(1, 0)] == _by_sql("phrase_starts", str(tmp_path))
+
+
 def test_seam_ratio_rounds_the_exact_fraction(spark, tmp_path):
     # 0.8 over 2 frames against 16000: 2.5 hundred-thousandths, which floats put below.
     folder = _events(spark, tmp_path, [("view", 16000)] * 3 + [("view", 0.1), ("click", 0.7)])
