@@ -7,7 +7,7 @@ first) have reached the threshold, which may be in the middle of a round, and
 then it is counted for exactly one full cycle of shards, wherever it began.
 Counting ends when no phrase is in the middle of its cycle.
 
-These counts are kept by 32 to 60 bits of a phrase's hash, a few bytes each: a
+These counts are kept by 25 to 52 bits of a phrase's hash, a byte or two each: a
 step's are sorted and packed by range of the hash, and phrases that became
 active at one step are one cohort, whose packed counts of a cycle are merged
 range by range. Tasks are told what is active by tables of fixed size: for each
@@ -39,8 +39,8 @@ from .shared import dealt_join, stage
 END = b"\xff"
 SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
 
-#: Bits of a hash that are kept beside those of its range.
-KEPT = 28
+#: Bits of a hash that are kept beside those of its range, at least: as many places as a range has words of the corpus.
+KEPT = 20
 
 #: A step that has not come.
 NEVER = 255
@@ -98,7 +98,7 @@ class Words:
 
 
 def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes of a range (``KEPT`` bits) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
+    """Sorted hashes of a range (their kept bits) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
     steps = np.diff(h, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
     return np.concatenate([steps.T.ravel(), np.minimum(n, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T.ravel()]).tobytes()
 
@@ -141,7 +141,7 @@ def _told(spark, tables: list[np.ndarray]) -> Broadcast:
     return spark.sparkContext.broadcast([zlib.compress(t, 1) for t in tables])
 
 
-def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bits: int) -> DataFrame:
+def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bits: int, kept: int) -> DataFrame:
     """(k, since, part, counts): the packed counts of a shard's active phrases, by cohort and range of hashes."""
 
     def counted(batches):
@@ -156,8 +156,11 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
                 for cohort in cohorts:
                     found, n = np.unique(h[live & (since == cohort)], return_counts=True)
                     part = (found >> np.uint64(64 - part_bits)).astype(np.int64)
+                    low = (found << np.uint64(part_bits)) >> np.uint64(64 - kept)
+                    # Hashes that differ only beyond these bits are one.
+                    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (part[1:] != part[:-1])]))
+                    n, part, low = np.add.reduceat(n, first), part[first], low[first]
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                    low = (found << np.uint64(part_bits)) >> np.uint64(64 - KEPT)
                     payloads = [_packed(low[i:j], n[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     for lo in range(0, len(payloads), 4_096):
                         some = payloads[lo : lo + 4_096]
@@ -172,7 +175,7 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
     return shard.mapInArrow(counted, "k int, since int, part long, counts binary")
 
 
-def _reached(counts: DataFrame, rules: Rules, part_bits: int) -> list[np.ndarray]:
+def _reached(counts: DataFrame, rules: Rules, part_bits: int, kept: int) -> list[np.ndarray]:
     """For each length the bits of phrases that reached the threshold in their
     cycle so far; in pieces of 4 KB, 2**bits / 32768 rows at most for each length."""
 
@@ -183,7 +186,7 @@ def _reached(counts: DataFrame, rules: Rules, part_bits: int) -> list[np.ndarray
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         often = h[first][np.add.reduceat(n, first) >= rules.least]
-        whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(64 - KEPT)) >> np.uint64(part_bits))
+        whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(64 - kept)) >> np.uint64(part_bits))
         bits = np.unique(whole >> np.uint64(64 - rules.bits)).astype(np.int64)
         return pa.table({"k": pa.array(np.full(len(bits), key[0].as_py(), dtype=np.int32)), "bit": pa.array(bits)})
 
@@ -202,18 +205,19 @@ def _active(texts: DataFrame, rules: Rules) -> list[np.ndarray]:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     part_bits = min(32, max(4, int(size // 4 // rules.part).bit_length()))
+    kept = max(KEPT, rules.bits - part_bits)  # the tables' bits are among those that are kept
     tables = [np.full(1 << rules.bits, NEVER, dtype=np.uint8) for _ in range(rules.longest)]
     steps: list[DataFrame] = []
     step = latest = 0  # latest: when the last cohort began
     while step < latest + rules.shards:
         shared = _told(spark, tables[:-1])
-        steps.append(stage(_scan(texts.filter(F.col("shard") == step % rules.shards), rules, step, shared, part_bits), f"phrases-{step}"))
+        steps.append(stage(_scan(texts.filter(F.col("shard") == step % rules.shards), rules, step, shared, part_bits, kept), f"phrases-{step}"))
         shared.destroy()
         # Cohorts whose cycle is over have told all that they had to.
         open_, cycle = steps[-1], steps[-rules.shards :]
         for earlier in cycle[:-1]:
             open_ = open_.union(earlier)
-        reached = _reached(open_.filter(F.col("since") > step - rules.shards), rules, part_bits)
+        reached = _reached(open_.filter(F.col("since") > step - rules.shards), rules, part_bits, kept)
         step += 1
         for k, (table, bits) in enumerate(zip(tables, reached, strict=True), 1):
             fresh = bits & (table == NEVER)
@@ -230,9 +234,9 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     of all words."""
     if rules.least > 65_535 or rules.shards > 60:
         raise ValueError("at most 65,535 occurrences and 60 shards")
+    # A step reads the documents as they are and leaves out other shards' rows: a copy by shard would be as large as they.
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(rules.shards)).cast("int")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("shard", shard)
-    texts = stage(texts, "phrase-shards", by="shard")  # a step reads its own shard's files only
     tables = _active(texts, rules)
     shared = _told(docs.sparkSession, [(t != NEVER).astype(np.uint8) for t in tables])
 
@@ -245,11 +249,15 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 65_536], pa.int64())], names=["lang", "phrase", "k", "n"])
 
         def drained(words: Words):
+            often = None  # where each shorter phrase may be frequent
             for k, fine, h in words.phrases(rules.longest):
                 if k == 1:
                     yield from rows(words, 0, [""], [int(fine.sum())])
-                at = np.flatnonzero(fine)
+                # Of a frequent phrase both parts are frequent: others that share its bit are left out.
+                at = np.flatnonzero(fine if often is None else fine & often[:-1] & often[1:])
                 at = at[active.since(k, h[at]) == 1]
+                often = np.zeros(len(fine), dtype=bool)
+                often[at] = True
                 if not len(at):
                     break  # a longer phrase has frequent parts
                 # Numbers of phrases within the buffer, from those of their words.
@@ -261,7 +269,7 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
         yield from _batches(batches, rules, drained)
 
-    found = texts.mapInArrow(counted, "lang string, phrase string, k int, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found = texts.drop("shard").mapInArrow(counted, "lang string, phrase string, k int, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     # The tables are needed until this is written.
     out = stage(found.filter((F.col("k") == 0) | (F.col("n") >= rules.least)), "phrases")
     shared.destroy()
@@ -301,9 +309,10 @@ def collocations(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     told = told.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = candidates.join(told, ["lang", "phrase"], "left").filter(f"longer is null or 100 * longer < {rules.contained} * a").drop("longer")
     cuts = stage(kept.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")), "cuts")
+    parts = often.filter(F.col("k") < rules.longest)  # the longest are part of none
     first = F.expr("substring_index(phrase, ' ', cut)")
     rest = F.expr("substring(phrase, length(substring_index(phrase, ' ', cut)) + 2)")
-    scored = _joined(_joined(cuts, often, first, "l"), often, rest, "r")
+    scored = _joined(_joined(cuts, parts, first, "l"), parts, rest, "r")
     wide = lambda x: F.col(x).cast("decimal(15,0)")
     scored = scored.select("*", *[wide(x).alias(f"{x}_") for x in "alr"])
     scored = scored.withColumn("score", F.expr("(a_ * a_ * cast(1000000 as decimal(7, 0))) div (l_ * r_)"))

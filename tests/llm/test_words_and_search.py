@@ -118,6 +118,17 @@ def test_phrases_begun_late_are_counted_whole(spark):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_steps_write_no_copy_of_the_texts_and_few_bits_of_a_hash(spark, monkeypatch):
+    made, stage = {}, phrases.stage
+    monkeypatch.setattr(phrases, "stage", lambda d, name, *by, **how: made.setdefault(name, stage(d, name, *by, **how)))
+    df = spark.createDataFrame([(i, "one two three " * 12 + f"w{i} x{i}", "en") for i in range(200)], "doc_id long, text string, lang string")
+    counts = phrases.phrase_counts(df, phrases.Rules(bits=16)).filter("n >= 10 and k > 0")
+    assert {r["phrase"]: r["n"] for r in counts.collect() if r["k"] == 3} == {"one two three": 2_400, "two three one": 2_200, "three one two": 2_200}
+    assert not [name for name, d in made.items() if "text" in d.columns]
+    found = [phrases._unpacked(bytes(r["counts"]))[0].max() for name, d in made.items() if "counts" in d.columns for r in d.collect()]
+    assert found and max(found) < 1 << 20
+
+
 def test_longer_phrases_drop_those_inside(spark):
     """Phrases of four words: counts, cuts and dropping against a plain version."""
     rng = random.Random(9)
