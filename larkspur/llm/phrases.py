@@ -8,14 +8,15 @@ then it is counted for exactly one full cycle of shards, wherever it began.
 Counting ends when no phrase is in the middle of its cycle.
 
 These counts are kept by 25 to 52 bits of a phrase's hash, a byte or two each: a
-step's are sorted and packed by range of the hash, and phrases that became
-active at one step are one cohort, whose packed counts of a cycle are merged
-range by range. Tasks are told what is active by tables of fixed size: for each
+step's are sorted, packed and compressed by range of the hash, all languages of
+a buffer together, and phrases that became active at one step are one cohort,
+whose packed counts of a cycle are merged range by range. Tasks are told what is active by tables of fixed size: for each
 bit of the hashes the step since which a phrase there counts as frequent.
 Entries never change again, and a phrase's cycle is dated by them alone. So two
 phrases that share a hash or a bit start early at worst, and none is lost. A
 last scan counts all phrases whose bits are set, by their words and therefore
-exactly. The tables do not grow with the corpus; when they fill up, more
+exactly; it sends them as sorted and compressed lists, one for each language and
+range of the hash. The tables do not grow with the corpus; when they fill up, more
 phrases are counted than need be.
 """
 
@@ -39,7 +40,7 @@ from .shared import dealt_join, stage
 END = b"\xff"
 SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
 
-#: Bits of a hash that are kept beside those of its range, at least: as many places as a range has words of the corpus.
+#: Bits of a hash that are kept beside those of its range, at least; all bits have as many places as the corpus has words.
 KEPT = 20
 
 #: A step that has not come.
@@ -55,7 +56,7 @@ class Rules:
     shards: int = 2  # shards of a cycle, at most 60; a step's counts are merged with those of a cycle
     bits: int = 25  # the tables have 2**bits entries, at most 2**32, one table for each length
     buffer: int = 3_000_000  # words that a task counts at a time
-    part: int = 1_000_000  # words of the corpus for each range of hashes
+    part: int = 2_000_000  # words of the corpus for each range of hashes; the last scan's ranges are four times as wide
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -97,16 +98,59 @@ class Words:
         return [b" ".join([self.names[c] for c in self.flat[i : i + k].tolist()]).decode() for i in at.tolist()]
 
 
+def _pressed(raw: bytes) -> bytes:
+    """Compressed, after four bytes of length: the shuffle's own compression finds little in numbers."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _plain(payload: bytes) -> bytes:
+    return pa.decompress(payload[4:], int.from_bytes(payload[:4], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all low bytes, then all higher ones, which are mostly zero."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _packed(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes of a range (their kept bits) and their numbers, byte by byte: steps first, whose high bytes are mostly zero."""
-    steps = np.diff(h, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return np.concatenate([steps.T.ravel(), np.minimum(n, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2).T.ravel()]).tobytes()
+    """Sorted hashes of a range (their kept bits), as steps, and their numbers."""
+    return _pressed(_planes(np.diff(h, prepend=np.uint64(0)).astype("<u4")) + _planes(np.minimum(n, 65_535).astype("<u2")))
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(payload, dtype=np.uint8).reshape(6, -1)
-    steps, n = np.ascontiguousarray(planes[:4].T), np.ascontiguousarray(planes[4:].T)
-    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint64), n.view("<u2").ravel().astype(np.int64)
+    raw = _plain(payload)
+    cut = len(raw) // 6 * 4
+    return np.cumsum(_numbers(raw[:cut], "<u4"), dtype=np.uint64), _numbers(raw[cut:], "<u2").astype(np.int64)
+
+
+def _listed(phrases: list[str], n: np.ndarray) -> bytes:
+    """Phrases, which have no line ends, and their numbers; sorted ones are short, as neighbours begin alike."""
+    return _pressed(len(n).to_bytes(4, "little") + _planes(n.astype("<u4")) + "\n".join(phrases).encode())
+
+
+def _unlisted(payload: bytes) -> pa.Table:
+    raw = _plain(payload)
+    cut = 4 + 4 * int.from_bytes(raw[:4], "little")
+    phrases = pc.split_pattern(pa.array([raw[cut:]], pa.large_binary()), b"\n").flatten()
+    return pa.table({"phrase": phrases.cast(pa.large_string()).cast(pa.string()), "n": pa.array(_numbers(raw[4:cut], "<u4").astype(np.int64))})
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, each once, and the sums of their numbers."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first)
+
+
+def _blocks(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where each value of ``part`` goes, which is in order."""
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
 
 
 class Active:
@@ -121,7 +165,7 @@ class Active:
 
 
 def _batches(batches, rules: Rules, drained):
-    """Texts by language into buffers, and what ``drained`` makes of full ones."""
+    """Texts by language into buffers, and what ``drained`` makes of all languages when they are full."""
     held: dict[str, Words] = {}
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -129,11 +173,9 @@ def _batches(batches, rules: Rules, drained):
                 held[lang] = Words(lang)
             held[lang].add(text)
             if sum(w.n for w in held.values()) > rules.buffer:
-                for words in held.values():
-                    yield from drained(words)
+                yield from drained(list(held.values()))
                 held.clear()
-    for words in held.values():
-        yield from drained(words)
+    yield from drained(list(held.values()))
 
 
 def _told(spark, tables: list[np.ndarray]) -> Broadcast:
@@ -147,28 +189,27 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
     def counted(batches):
         active = Active([np.frombuffer(zlib.decompress(t), dtype=np.uint8) for t in shared.value], rules.bits)
 
-        def drained(words: Words):
-            before = None  # since when each shorter phrase counts as frequent, by place
-            for k, fine, h in words.phrases(rules.longest):
-                since = np.zeros(len(h), dtype=np.uint8) if before is None else np.maximum(before[:-1], before[1:])
-                live = fine & (since <= step) & (step < since.astype(np.int64) + rules.shards)
-                cohorts = np.unique(since[live]).tolist()
-                for cohort in cohorts:
-                    found, n = np.unique(h[live & (since == cohort)], return_counts=True)
-                    part = (found >> np.uint64(64 - part_bits)).astype(np.int64)
-                    low = (found << np.uint64(part_bits)) >> np.uint64(64 - kept)
-                    # Hashes that differ only beyond these bits are one.
-                    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (part[1:] != part[:-1])]))
-                    n, part, low = np.add.reduceat(n, first), part[first], low[first]
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                    payloads = [_packed(low[i:j], n[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                    for lo in range(0, len(payloads), 4_096):
-                        some = payloads[lo : lo + 4_096]
-                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.int32()), pa.array([cohort] * len(some), pa.int32()), pa.array(part[cuts[lo : lo + len(some)]], pa.int64()), pa.array(some, pa.binary())], names=["k", "since", "part", "counts"])
-                if k < rules.longest:
-                    before = np.where(fine, active.since(k, h), np.uint8(NEVER))
-                    if not (before <= step).any():
-                        break
+        def drained(held: list[Words]):
+            found: dict[tuple[int, int], list] = {}  # by length and cohort
+            for words in held:
+                before = None  # since when each shorter phrase counts as frequent, by place
+                for k, fine, h in words.phrases(rules.longest):
+                    since = np.zeros(len(h), dtype=np.uint8) if before is None else np.maximum(before[:-1], before[1:])
+                    live = fine & (since <= step) & (step < since.astype(np.int64) + rules.shards)
+                    for cohort in np.unique(since[live]).tolist():
+                        found.setdefault((k, cohort), []).append(np.unique(h[live & (since == cohort)], return_counts=True))
+                    if k < rules.longest:
+                        before = np.where(fine, active.since(k, h), np.uint8(NEVER))
+                        if not (before <= step).any():
+                            break
+            for (k, cohort), some in found.items():
+                # Hashes that differ only beyond these bits are one.
+                h, n = _summed(np.concatenate([f[0] for f in some]) >> np.uint64(64 - part_bits - kept), np.concatenate([f[1] for f in some]))
+                part, low = (h >> np.uint64(kept)).astype(np.int64), h & np.uint64((1 << kept) - 1)
+                payloads = [(part[i], _packed(low[i:j], n[i:j])) for i, j in _blocks(part)]
+                for lo in range(0, len(payloads), 4_096):
+                    parts, counts = zip(*payloads[lo : lo + 4_096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(parts), pa.int32()), pa.array([cohort] * len(parts), pa.int32()), pa.array(parts, pa.int64()), pa.array(counts, pa.binary())], names=["k", "since", "part", "counts"])
 
         yield from _batches(batches, rules, drained)
 
@@ -181,11 +222,8 @@ def _reached(counts: DataFrame, rules: Rules, part_bits: int, kept: int) -> list
 
     def merged(key, table):
         found = [_unpacked(x) for x in table.column("counts").to_pylist()]
-        h, n = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        often = h[first][np.add.reduceat(n, first) >= rules.least]
+        h, n = _summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        often = h[n >= rules.least]
         whole = (np.uint64(key[2].as_py()) << np.uint64(64 - part_bits)) | ((often << np.uint64(64 - kept)) >> np.uint64(part_bits))
         bits = np.unique(whole >> np.uint64(64 - rules.bits)).astype(np.int64)
         return pa.table({"k": pa.array(np.full(len(bits), key[0].as_py(), dtype=np.int32)), "bit": pa.array(bits)})
@@ -200,12 +238,11 @@ def _reached(counts: DataFrame, rules: Rules, part_bits: int, kept: int) -> list
     return out
 
 
-def _active(texts: DataFrame, rules: Rules) -> list[np.ndarray]:
-    """All steps: for each length the table of the steps since which its phrases count as frequent."""
+def _active(texts: DataFrame, rules: Rules, size: int, part_bits: int) -> list[np.ndarray]:
+    """All steps: for each length the table of the steps since which its phrases
+    count as frequent. size: words of the corpus, at most about so many."""
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    part_bits = min(32, max(4, int(size // 4 // rules.part).bit_length()))
-    kept = max(KEPT, rules.bits - part_bits)  # the tables' bits are among those that are kept
+    kept = min(32, max(KEPT, size.bit_length() - part_bits, rules.bits - part_bits))  # the tables' bits are among those that are kept
     tables = [np.full(1 << rules.bits, NEVER, dtype=np.uint8) for _ in range(rules.longest)]
     steps: list[DataFrame] = []
     step = latest = 0  # latest: when the last cohort began
@@ -237,41 +274,58 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     # A step reads the documents as they are and leaves out other shards' rows: a copy by shard would be as large as they.
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(rules.shards)).cast("int")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("shard", shard)
-    tables = _active(texts, rules)
+    size = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 4
+    part_bits = min(32, max(4, (size // rules.part).bit_length()))
+    tables = _active(texts, rules, size, part_bits)
+    list_bits = max(4, part_bits - 2)
     shared = _told(docs.sparkSession, [(t != NEVER).astype(np.uint8) for t in tables])
 
     def counted(batches):
         active = Active([np.frombuffer(zlib.decompress(t), dtype=np.uint8) for t in shared.value], rules.bits)
 
-        def rows(words: Words, k: int, phrases: list[str], n: list[int]):
-            for lo in range(0, len(phrases), 65_536):
-                some = phrases[lo : lo + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 65_536], pa.int64())], names=["lang", "phrase", "k", "n"])
-
-        def drained(words: Words):
-            often = None  # where each shorter phrase may be frequent
-            for k, fine, h in words.phrases(rules.longest):
-                if k == 1:
-                    yield from rows(words, 0, [""], [int(fine.sum())])
-                # Of a frequent phrase both parts are frequent: others that share its bit are left out.
-                at = np.flatnonzero(fine if often is None else fine & often[:-1] & often[1:])
-                at = at[active.since(k, h[at]) == 1]
-                often = np.zeros(len(fine), dtype=bool)
-                often[at] = True
-                if not len(at):
-                    break  # a longer phrase has frequent parts
-                # Numbers of phrases within the buffer, from those of their words.
-                code, names = words.flat[at], len(words.names)
-                for j in range(1, k):
-                    _, code = np.unique(code * names + words.flat[at + j], return_inverse=True)
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
-                yield from rows(words, k, words.text(at[first], k), n.tolist())
+        def drained(held: list[Words]):
+            for words in held:
+                often = None  # where each shorter phrase may be frequent
+                found = []  # of each length: ranges, phrases, numbers
+                for k, fine, h in words.phrases(rules.longest):
+                    if k == 1:
+                        found.append(([0], [""], [int(fine.sum())]))
+                    # Of a frequent phrase both parts are frequent: others that share its bit are left out.
+                    at = np.flatnonzero(fine if often is None else fine & often[:-1] & often[1:])
+                    at = at[active.since(k, h[at]) == 1]
+                    often = np.zeros(len(fine), dtype=bool)
+                    often[at] = True
+                    if not len(at):
+                        break  # a longer phrase has frequent parts
+                    # Numbers of phrases within the buffer, from those of their words.
+                    code, names = words.flat[at], len(words.names)
+                    for j in range(1, k):
+                        _, code = np.unique(code * names + words.flat[at + j], return_inverse=True)
+                    _, first, n = np.unique(code, return_index=True, return_counts=True)
+                    at = at[first]
+                    found.append(((h[at] >> np.uint64(64 - list_bits)).astype(np.int64), words.text(at, k), n))
+                part, phrases, n = (pa.chunked_array([pa.array(f[i], kind) for f in found]) for i, kind in enumerate((pa.int64(), pa.large_string(), pa.int64())))
+                listed = pa.table({"part": part, "phrase": phrases, "n": n}).sort_by([("part", "ascending"), ("phrase", "ascending")])
+                part, phrases, n = listed["part"].to_numpy(), listed["phrase"].to_pylist(), listed["n"].to_numpy()
+                payloads = [(part[i], _listed(phrases[i:j], n[i:j])) for i, j in _blocks(part)]
+                for lo in range(0, len(payloads), 1_024):
+                    parts, lists = zip(*payloads[lo : lo + 1_024], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(lists, pa.binary())], names=["lang", "part", "phrases"])
 
         yield from _batches(batches, rules, drained)
 
-    found = texts.drop("shard").mapInArrow(counted, "lang string, phrase string, k int, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    def merged(key, table):
+        found = pa.concat_tables([_unlisted(x) for x in table.column("phrases").to_pylist()])
+        found = found.group_by("phrase").aggregate([("n", "sum")])
+        phrase, n = found["phrase"], found["n_sum"]
+        k = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        out = pa.table({"lang": pa.array([key[0].as_py()] * len(n), pa.string()), "k": k, "phrase": phrase, "n": n})
+        return out.filter(pc.or_(pc.equal(k, 0), pc.greater_equal(n, rules.least)))
+
+    found = texts.drop("shard").mapInArrow(counted, "lang string, part long, phrases binary")
+    found = found.groupBy("lang", "part").applyInArrow(merged, "lang string, k int, phrase string, n long")
     # The tables are needed until this is written.
-    out = stage(found.filter((F.col("k") == 0) | (F.col("n") >= rules.least)), "phrases")
+    out = stage(found, "phrases")
     shared.destroy()
     return out
 

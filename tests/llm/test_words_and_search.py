@@ -129,6 +129,26 @@ def test_steps_write_no_copy_of_the_texts_and_few_bits_of_a_hash(spark, monkeypa
     assert found and max(found) < 1 << 20
 
 
+def test_what_is_shuffled_is_packed(spark, monkeypatch):
+    """A range's counts of all languages of a buffer are one block of few bytes a phrase, and lists come back as they were."""
+    made, stage = {}, phrases.stage
+    monkeypatch.setattr(phrases, "stage", lambda d, name, *by, **how: made.setdefault(name, stage(d, name, *by, **how)))
+    rng = random.Random(3)
+    table = [(i, " ".join(f"w{rng.randint(0, 900)}" for _ in range(40)), "de" if i % 2 else "en") for i in range(1_000)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1)
+    assert phrases.phrase_counts(df).filter("k = 0").agg(F.sum("n")).first()[0] == 40_000
+    blocks = [r for name, d in made.items() if "counts" in d.columns for r in d.withColumn("step", F.lit(name)).collect()]
+    assert len({(r["step"], r["k"], r["since"], r["part"]) for r in blocks}) == len(blocks)
+    pairs = [bytes(r["counts"]) for r in blocks if r["k"] == 2]
+    assert sum(map(len, pairs)) < 3 * sum(len(phrases._unpacked(x)[0]) for x in pairs)
+    words = sorted({"", "ä", "ß 中", "\u2028 \x85", *(f"the word {i} of" for i in range(3_000))})
+    n = np.array([3_000_000_000, *range(1, len(words))])
+    packed = phrases._listed(words, n)
+    assert phrases._unlisted(packed).to_pydict() == {"phrase": words, "n": n.tolist()}
+    assert phrases._unlisted(phrases._listed([""], n[:1])).to_pydict() == {"phrase": [""], "n": [3_000_000_000]}
+    assert len(packed) < 8 * len(words)
+
+
 def test_longer_phrases_drop_those_inside(spark):
     """Phrases of four words: counts, cuts and dropping against a plain version."""
     rng = random.Random(9)
