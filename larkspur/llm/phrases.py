@@ -81,7 +81,8 @@ class Words:
         """For each length k: where phrases of it begin, among the places of the words, and their hashes there."""
         found = pc.split_pattern(pa.array(self.raw, pa.large_binary()), b" ").flatten().dictionary_encode()
         self.raw = []
-        self.names, flat = found.dictionary.to_pylist(), found.indices.to_numpy()
+        self.words, flat = found.dictionary, found.indices.to_numpy()
+        self.names = self.words.to_pylist()
         if b"" in self.names:  # between two blanks
             flat = flat[flat != self.names.index(b"")]
         self.flat, end, begin = flat.astype(np.int64), self.names.index(END), self.lang.encode() + b"\0"
@@ -94,8 +95,8 @@ class Words:
                 h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :])
             yield k, fine, h
 
-    def text(self, at: np.ndarray, k: int) -> list[str]:
-        return [b" ".join([self.names[c] for c in self.flat[i : i + k].tolist()]).decode() for i in at.tolist()]
+    def text(self, at: np.ndarray, k: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.flat[at + j])) for j in range(k)], pa.scalar(b" ", pa.large_binary()))
 
 
 def _pressed(raw: bytes) -> bytes:
@@ -127,9 +128,10 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_numbers(raw[:cut], "<u4"), dtype=np.uint64), _numbers(raw[cut:], "<u2").astype(np.int64)
 
 
-def _listed(phrases: list[str], n: np.ndarray) -> bytes:
+def _listed(phrases: pa.Array | list[str], n: np.ndarray) -> bytes:
     """Phrases, which have no line ends, and their numbers; sorted ones are short, as neighbours begin alike."""
-    return _pressed(len(n).to_bytes(4, "little") + _planes(n.astype("<u4")) + "\n".join(phrases).encode())
+    text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(n)]), pa.array(phrases, pa.large_binary())), pa.scalar(b"\n", pa.large_binary()))[0].as_py()
+    return _pressed(len(n).to_bytes(4, "little") + _planes(n.astype("<u4")) + text)
 
 
 def _unlisted(payload: bytes) -> pa.Table:
@@ -167,15 +169,21 @@ class Active:
 def _batches(batches, rules: Rules, drained):
     """Texts by language into buffers, and what ``drained`` makes of all languages when they are full."""
     held: dict[str, Words] = {}
+
+    def flushed():
+        some = list(held.values())
+        held.clear()  # drained() takes them out one by one, so that memory of those that are done is free
+        yield from drained(some)
+        pa.default_memory_pool().release_unused()
+
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             if lang not in held:
                 held[lang] = Words(lang)
             held[lang].add(text)
             if sum(w.n for w in held.values()) > rules.buffer:
-                yield from drained(list(held.values()))
-                held.clear()
-    yield from drained(list(held.values()))
+                yield from flushed()
+    yield from flushed()
 
 
 def _told(spark, tables: list[np.ndarray]) -> Broadcast:
@@ -191,7 +199,8 @@ def _scan(shard: DataFrame, rules: Rules, step: int, shared: Broadcast, part_bit
 
         def drained(held: list[Words]):
             found: dict[tuple[int, int], list] = {}  # by length and cohort
-            for words in held:
+            while held:
+                words = held.pop()
                 before = None  # since when each shorter phrase counts as frequent, by place
                 for k, fine, h in words.phrases(rules.longest):
                     since = np.zeros(len(h), dtype=np.uint8) if before is None else np.maximum(before[:-1], before[1:])
@@ -283,34 +292,38 @@ def phrase_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def counted(batches):
         active = Active([np.frombuffer(zlib.decompress(t), dtype=np.uint8) for t in shared.value], rules.bits)
 
+        def listed(words: Words) -> pa.Table:
+            often = None  # where each shorter phrase may be frequent
+            found = []  # of each length: ranges, phrases, numbers
+            for k, fine, h in words.phrases(rules.longest):
+                if k == 1:
+                    found.append(([0], [b""], [int(fine.sum())]))
+                # Of a frequent phrase both parts are frequent: others that share its bit are left out.
+                at = np.flatnonzero(fine if often is None else fine & often[:-1] & often[1:])
+                at = at[active.since(k, h[at]) == 1]
+                often = np.zeros(len(fine), dtype=bool)
+                often[at] = True
+                if not len(at):
+                    break  # a longer phrase has frequent parts
+                # Numbers of phrases within the buffer, from those of their words.
+                code, names = words.flat[at], len(words.names)
+                for j in range(1, k):
+                    _, code = np.unique(code * names + words.flat[at + j], return_inverse=True)
+                _, first, n = np.unique(code, return_index=True, return_counts=True)
+                at = at[first]
+                found.append(((h[at] >> np.uint64(64 - list_bits)).astype(np.int64), words.text(at, k), n))
+            part, phrases, n = (pa.chunked_array([pa.array(f[i], kind) for f in found]) for i, kind in enumerate((pa.int64(), pa.large_binary(), pa.int64())))
+            return pa.table({"part": part, "phrase": phrases, "n": n})
+
         def drained(held: list[Words]):
-            for words in held:
-                often = None  # where each shorter phrase may be frequent
-                found = []  # of each length: ranges, phrases, numbers
-                for k, fine, h in words.phrases(rules.longest):
-                    if k == 1:
-                        found.append(([0], [""], [int(fine.sum())]))
-                    # Of a frequent phrase both parts are frequent: others that share its bit are left out.
-                    at = np.flatnonzero(fine if often is None else fine & often[:-1] & often[1:])
-                    at = at[active.since(k, h[at]) == 1]
-                    often = np.zeros(len(fine), dtype=bool)
-                    often[at] = True
-                    if not len(at):
-                        break  # a longer phrase has frequent parts
-                    # Numbers of phrases within the buffer, from those of their words.
-                    code, names = words.flat[at], len(words.names)
-                    for j in range(1, k):
-                        _, code = np.unique(code * names + words.flat[at + j], return_inverse=True)
-                    _, first, n = np.unique(code, return_index=True, return_counts=True)
-                    at = at[first]
-                    found.append(((h[at] >> np.uint64(64 - list_bits)).astype(np.int64), words.text(at, k), n))
-                part, phrases, n = (pa.chunked_array([pa.array(f[i], kind) for f in found]) for i, kind in enumerate((pa.int64(), pa.large_string(), pa.int64())))
-                listed = pa.table({"part": part, "phrase": phrases, "n": n}).sort_by([("part", "ascending"), ("phrase", "ascending")])
-                part, phrases, n = listed["part"].to_numpy(), listed["phrase"].to_pylist(), listed["n"].to_numpy()
+            while held:
+                lang, found = held[-1].lang, listed(held.pop())
+                found = found.sort_by([("part", "ascending"), ("phrase", "ascending")])
+                part, phrases, n = found["part"].to_numpy(), found["phrase"].combine_chunks(), found["n"].to_numpy()
                 payloads = [(part[i], _listed(phrases[i:j], n[i:j])) for i, j in _blocks(part)]
                 for lo in range(0, len(payloads), 1_024):
                     parts, lists = zip(*payloads[lo : lo + 1_024], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(lists, pa.binary())], names=["lang", "part", "phrases"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array(lists, pa.binary())], names=["lang", "part", "phrases"])
 
         yield from _batches(batches, rules, drained)
 
