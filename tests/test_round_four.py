@@ -50,3 +50,28 @@ def test_strips_keep_rows_that_are_equal_in_id_or_no_number(spark):
     rows = spark.createDataFrame([(1, [0.0], 1), (1, [9.0], 1), (2, [1.0], None), (3, [nan], 1), (4, None, 1)], "id long, x array<double>, label int")
     got = [(r["query_id"], r["row_id"], str(r["distance"])) for r in strips.nearest(rows, "id", "x", "label", 2).orderBy("query_id", "rank").collect()]
     assert got == [(1, 2, "1.0"), (1, 2, "64.0"), (2, 1, "1.0"), (2, 1, "64.0"), (3, 1, "nan"), (3, 1, "nan")]
+
+
+def test_operating_point_asks_rows_of_any_id(spark, tmp_path):
+    folder = _vectors(spark, tmp_path, [(i, i * i % 17 / 4, i % 5, i % 3 if i % 8 else None) for i in range(1, 61)])
+    got, want = _both(spark, "operating_point", folder)
+    assert got == want and got[0][0] is not None
+
+
+@pytest.mark.parametrize("scale", [1.0, 300.0, 5e4])
+def test_operating_point_counts_two_blocks_once_for_both(spark, tmp_path, monkeypatch, scale):
+    # Blocks in even number, tiles that are not full, digits of few bits, and vectors so long that every product is in doubt.
+    monkeypatch.setattr(strips, "LEAST", 15)
+    monkeypatch.setattr(strips, "PACK", 4)
+    monkeypatch.setattr(strips, "HALF_TILE", 6)
+    monkeypatch.setattr(strips.retrieval, "DIGIT", 9)
+    folder = _vectors(spark, tmp_path, [(i, scale * (i * 37 % 101 / 100), scale * (i * i % 89 / 89), i % 4) for i in range(201, 291)])
+    packs, n = strips.packed(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding", "label")
+    assert n == 6 and packs.count() > 12
+    got, want = _both(spark, "operating_point", folder)
+    assert got == want and 0 < got[0][2] < 0.1
+
+
+def test_operating_point_of_one_label_is_none(spark, tmp_path):
+    got, want = _both(spark, "operating_point", _vectors(spark, tmp_path, [(i, i, 0, 1) for i in range(1, 4)]))
+    assert got == want == [(None, None, None)]
