@@ -75,3 +75,9 @@ def test_operating_point_counts_two_blocks_once_for_both(spark, tmp_path, monkey
 def test_operating_point_of_one_label_is_none(spark, tmp_path):
     got, want = _both(spark, "operating_point", _vectors(spark, tmp_path, [(i, i, 0, 1) for i in range(1, 4)]))
     assert got == want == [(None, None, None)]
+
+
+def test_r_precision_asks_rows_of_any_id(spark, tmp_path):
+    folder = _vectors(spark, tmp_path, [(i, i % 4 * 50 + i, 0, i % 4 if i % 9 else None) for i in range(1, 41)])
+    got, want = _both(spark, "r_precision", folder)
+    assert got == want and [r[0] for r in got] == list(range(1, 41))
