@@ -81,3 +81,10 @@ def test_r_precision_asks_rows_of_any_id(spark, tmp_path):
     folder = _vectors(spark, tmp_path, [(i, i % 4 * 50 + i, 0, i % 4 if i % 9 else None) for i in range(1, 41)])
     got, want = _both(spark, "r_precision", folder)
     assert got == want and [r[0] for r in got] == list(range(1, 41))
+
+
+def test_topk_neighbours_asks_rows_of_any_id(spark, tmp_path):
+    # Ties go to the least id.
+    folder = _vectors(spark, tmp_path, [(i, i % 6, i % 7, i % 4) for i in range(1, 41)])
+    got, want = _both(spark, "topk_neighbours", folder)
+    assert got == want and len(got) == 400
